@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, toxicity
+from . import bpe, exact_dedup, mixing, toxicity, warc
 
 QUERIES = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_bpe": bpe.op6_bpe,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_warc": warc.op10_warc,
 }
 
 SQL = {
