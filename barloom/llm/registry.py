@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, toxicity, warc
+from . import bpe, exact_dedup, mixing, near_dedup, toxicity, warc
 
 QUERIES = {
+    "op1_near_dedup": near_dedup.op1_near_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_bpe": bpe.op6_bpe,
     "op8_mix_sources": mixing.op8_mix_sources,
