@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, mixing, near_dedup, toxicity, warc
+from . import bpe, exact_dedup, line_dedup, mixing, near_dedup, toxicity, warc
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_bpe": bpe.op6_bpe,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_warc": warc.op10_warc,
 }
 
 SQL = {
+    "op7_line_dedup": line_dedup.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
 }
