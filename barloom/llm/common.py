@@ -45,7 +45,13 @@ class Stage:
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it again, so that nothing upstream is computed twice."""
         path = self.path(name)
-        df.write.parquet(path)
+        conf, flag = self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        was = conf.get(flag, "false")
+        conf.set(flag, "true")  # what this write shuffled is not needed again
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.set(flag, was)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, line_dedup, mixing, near_dedup, toxicity, warc
+from . import bpe, exact_dedup, line_dedup, mixing, near_dedup, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_bpe": bpe.op6_bpe,
     "op7_line_dedup": line_dedup.op7_line_dedup,
