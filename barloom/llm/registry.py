@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, line_dedup, mixing, near_dedup, substring_dedup, toxicity, warc
+from . import bpe, exact_dedup, line_dedup, mixing, near_dedup, substring_dedup, topk, toxicity, warc
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op4_top_k": topk.op4_top_k,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_bpe": bpe.op6_bpe,
     "op7_line_dedup": line_dedup.op7_line_dedup,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_top_k": topk.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
 }
