@@ -146,3 +146,27 @@ def encode_digests(docs: DataFrame, path: str | None = None, id_col="doc_id", te
 
 def op6_bpe(spark, sf_dir: str) -> DataFrame:
     return encode_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _rows_encoder(path: str, text_col: str, schema: pa.Schema):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = _loaded(path)
+        for batch in batches:
+            ids, same = [], []
+            for buf in texts_of(batch.column(text_col)):
+                text = buf.tobytes().decode("utf-8", "replace")
+                coded = bpe.encode(text)
+                ids.append(np.frombuffer(coded, dtype="<u4").astype(np.int32))
+                same.append(bpe.decode(coded) == text)
+            rest = [batch.column(n) for n in schema.names[:-3]]
+            yield pa.RecordBatch.from_arrays([*rest, pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], names=schema.names)
+
+    return run
+
+
+def encode_rows(docs: DataFrame, path: str | None = None, text_col="text") -> DataFrame:
+    """``docs`` with n_tokens, ids and round_trip (decoding gives the text again) in place of the text."""
+    rest = docs.drop(text_col)
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
+    names = pa.schema([(n, pa.null()) for n in [*rest.columns, "n_tokens", "ids", "round_trip"]])
+    return docs.mapInArrow(_rows_encoder(path or vocabulary_path(), text_col, names), f"{kinds}, n_tokens bigint, ids array<int>, round_trip boolean")

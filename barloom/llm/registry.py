@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, line_dedup, mixing, near_dedup, substring_dedup, topk, toxicity, warc
+from . import bpe, exact_dedup, language_model, line_dedup, mixing, near_dedup, substring_dedup, topk, toxicity, warc
 
 QUERIES = {
     "op1_near_dedup": near_dedup.op1_near_dedup,
     "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+    "op3_language_model": language_model.op3_language_model,
     "op4_top_k": topk.op4_top_k,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_bpe": bpe.op6_bpe,
