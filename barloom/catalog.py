@@ -2,6 +2,24 @@
 
 from __future__ import annotations
 
+from functools import partial
+
+from barloom.functions.expr import duckdb_sql, evaluate
+from barloom.functions.factors import FAMILIES
+from barloom.functions.recursive import recursive_indicators
+from barloom.sources.bars import DUCK_BARS, event_bars
+
 FLAGSHIP = "cs_rank_ic"
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+
+
+def _family(spark, sf_dir, name):
+    return evaluate(event_bars(spark, sf_dir), FAMILIES[name])
+
+
+for _name in FAMILIES:
+    QUERIES[f"factors_{_name}"] = partial(_family, name=_name)
+    SQL[f"factors_{_name}"] = duckdb_sql(DUCK_BARS, FAMILIES[_name])
+
+QUERIES["factors_recursive"] = lambda spark, sf_dir: recursive_indicators(event_bars(spark, sf_dir))
