@@ -7,11 +7,18 @@ from functools import partial
 from barloom.functions.expr import duckdb_sql, evaluate
 from barloom.functions.factors import FAMILIES
 from barloom.functions.recursive import recursive_indicators
-from barloom.sources.bars import DUCK_BARS, event_bars
+from barloom.operators import bars as B
+from barloom.operators import panel as P
+from barloom.operators import series as S
+from barloom.operators import trading as T
+from barloom.operators.sqlop import SqlOp
+from barloom.sources.bars import DUCK_BARS, DUCK_PANEL, event_bars, table_sql, user_bars
 
 FLAGSHIP = "cs_rank_ic"
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
+#: Type names of the other dialect.
+DUCK_TYPES = {"string": "VARCHAR", "ntz": "TIMESTAMP"}
 
 
 def _family(spark, sf_dir, name):
@@ -21,5 +28,62 @@ def _family(spark, sf_dir, name):
 for _name in FAMILIES:
     QUERIES[f"factors_{_name}"] = partial(_family, name=_name)
     SQL[f"factors_{_name}"] = duckdb_sql(DUCK_BARS, FAMILIES[_name])
-
 QUERIES["factors_recursive"] = lambda spark, sf_dir: recursive_indicators(event_bars(spark, sf_dir))
+
+# ---- inputs: how each is made in Spark, and its SQL in DuckDB ---------------------
+_EXTRA = "SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, value, event_id AS seq FROM events WHERE event_id % 5 < 2"
+_FACTORS = "SELECT symbol, ts, '{n}' AS name, close / nullif(lag(close, {n}) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1 AS value FROM {bars}"
+_LONG = SqlOp(" UNION ALL ".join(f"SELECT * FROM ({_FACTORS.format(n=n, bars='#bars')}) AS f{n} WHERE value IS NOT NULL" for n in (1, 2, 3, 5)))
+INPUTS = {
+    "bars": (event_bars, DUCK_BARS),
+    "extra": (lambda spark, sf_dir: table_sql(spark, sf_dir, _EXTRA, "events"), _EXTRA),
+    "user_bars": (user_bars, DUCK_PANEL),
+    "panel": (lambda spark, sf_dir: P.MOMENTUM_PANEL(bars=user_bars(spark, sf_dir)), P.MOMENTUM_PANEL.duck(bars=DUCK_PANEL)),
+    "series": (lambda spark, sf_dir: P.MOMENTUM_PANEL(bars=event_bars(spark, sf_dir)), P.MOMENTUM_PANEL.duck(bars=DUCK_BARS)),
+    "factors": (lambda spark, sf_dir: _LONG(bars=event_bars(spark, sf_dir)), _LONG.duck(bars=DUCK_BARS)),
+}
+
+
+def _run(spark, sf_dir, op, inputs, params):
+    return op(params, **{name: INPUTS[source][0](spark, sf_dir) for name, source in inputs.items()})
+
+
+def register(name: str, op: SqlOp, inputs: dict[str, str], **params) -> None:
+    """A query that applies ``op`` to inputs (operator's name -> entry of INPUTS)."""
+    QUERIES[name] = partial(_run, op=op, inputs=inputs, params=params)
+    SQL[name] = op.duck({**params, **{k: v for k, v in DUCK_TYPES.items() if k in op.defaults}}, **{n: INPUTS[s][1] for n, s in inputs.items()})
+
+
+_PANEL, _SERIES, _BARS = {"panel": "panel"}, {"panel": "series"}, {"bars": "bars"}
+register("cs_rank_ic", P.IC_SUMMARY, _PANEL)
+register("cs_ic_series", P.IC_SERIES, _PANEL)
+register("cs_group_returns", P.GROUP_RETURNS, _PANEL)
+register("cs_long_short", P.LONG_SHORT, _PANEL)
+register("cs_turnover", P.TURNOVER, _PANEL)
+register("cs_ic_decay", P.IC_DECAY, _PANEL)
+register("cs_normalise", P.NORMALISE, _PANEL)
+register("cs_clip_mad", P.CLIP_MAD, _PANEL)
+register("cs_winsorise", P.WINSORISE, _PANEL)
+register("liquidity_filter", P.LIQUIDITY, {"bars": "user_bars"})
+register("latest_scan", P.LATEST_SCAN, _PANEL)
+register("series_summary", S.SERIES_SUMMARY, _SERIES)
+register("rolling_ic", S.ROLLING_IC, _SERIES)
+register("autocorrelation", S.AUTOCORRELATION, _SERIES)
+register("mutual_information", S.MUTUAL_INFORMATION, _SERIES)
+register("factor_correlation", S.PAIR_CORRELATION, {"factors": "factors"})
+register("loader_indicators", S.INDICATORS, _BARS)
+register("asof_join", B.ASOF, {"bars": "bars", "extra": "extra"})
+register("resample_completed", B.RESAMPLE, _BARS)
+register("intrabar_snapshot", B.INTRABAR, _BARS)
+register("gap_detect", B.GAPS, _BARS)
+register("gap_detect_wide", B.GAPS, _BARS, times="3")
+register("bar_health", B.HEALTH, _BARS)
+register("dedup_keep_last", B.KEEP_LAST, {"extra": "extra"})
+register("repair_bars", B.REPAIR, _BARS)
+register("pressure_proxy", B.PRESSURE, _BARS)
+register("clip_and_scale", B.CLIP_AND_SCALE, _BARS)
+register("bar_inventory", B.INVENTORY, _BARS)
+register("backtest", T.BACKTEST, _SERIES)
+register("backtest_performance", T.PERFORMANCE, _SERIES)
+register("labels_and_split", T.LABELS, _BARS)
+register("losses", T.LOSSES, _SERIES)
