@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import partial
 
+from pyspark.sql import functions as F
+
 from barloom.functions.expr import duckdb_sql, evaluate
 from barloom.functions.factors import FAMILIES
 from barloom.functions.recursive import recursive_indicators
@@ -11,8 +13,11 @@ from barloom.operators import bars as B
 from barloom.operators import panel as P
 from barloom.operators import series as S
 from barloom.operators import trading as T
+from barloom.operators.selection import daily_rank_ic, ensemble, weights
 from barloom.operators.sqlop import SqlOp
+from barloom.plans.languages import FEATURES, INFIX_SAMPLES, POSTFIX_FEATURES, POSTFIX_SAMPLES, infix, postfix
 from barloom.sources.bars import DUCK_BARS, DUCK_PANEL, event_bars, table_sql, user_bars
+from barloom.streaming.bars import event_stream, run_once, tumbling_bars
 
 FLAGSHIP = "cs_rank_ic"
 QUERIES: dict = {}
@@ -87,3 +92,52 @@ register("backtest", T.BACKTEST, _SERIES)
 register("backtest_performance", T.PERFORMANCE, _SERIES)
 register("labels_and_split", T.LABELS, _BARS)
 register("losses", T.LOSSES, _SERIES)
+
+
+# ---- expression languages -----------------------------------------------------------
+def _expressions(spark, sf_dir, factors):
+    return evaluate(event_bars(spark, sf_dir), factors)
+
+
+for _name, _made in {
+    "infix_series": {k: infix(v) for k, v in INFIX_SAMPLES.items()},
+    "infix_date": {"cross": infix(INFIX_SAMPLES["cross"], "date")},
+    "infix_features": FEATURES,
+    "postfix": {k: postfix(v) for k, v in POSTFIX_SAMPLES.items()},
+    "postfix_features": POSTFIX_FEATURES,
+}.items():
+    QUERIES[f"language_{_name}"] = partial(_expressions, factors=_made)
+    SQL[f"language_{_name}"] = duckdb_sql(DUCK_BARS, _made)
+
+
+# ---- selection, ensembles, streams -----------------------------------------------------
+def _long_with_returns(spark, sf_dir):
+    bars = user_bars(spark, sf_dir)
+    ret = P.MOMENTUM_PANEL(bars=bars).select("symbol", "ts", "ret")
+    return _LONG(bars=bars).join(ret, ["symbol", "ts"])
+
+
+def _factor_weights(spark, sf_dir):
+    ic = daily_rank_ic(_long_with_returns(spark, sf_dir))
+    rows = [(m, n, round(w, 6)) for m in ("equal", "mean_ic", "max_icir") for n, w in sorted(weights(ic, m).items())]
+    return spark.createDataFrame(rows, "method string, name string, weight double")
+
+
+def _ensemble_rank_ic(spark, sf_dir):
+    long = _long_with_returns(spark, sf_dir)
+    made = ensemble(long, {n: 0.25 for n in ("1", "2", "3", "5")})
+    return P.IC_SUMMARY(panel=made.join(long.select("symbol", "ts", "ret").distinct(), ["symbol", "ts"]))
+
+
+def _stream_bars(spark, sf_dir):
+    out = run_once(tumbling_bars(event_stream(spark, sf_dir)), f"bars_{abs(hash(sf_dir)) % 10**8}")
+    numbers = [F.round(c, 4).alias(c) for c in ("open", "high", "low", "close")]
+    return out.select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), *numbers, "volume")
+
+
+QUERIES["factor_weights"] = _factor_weights
+QUERIES["ensemble_rank_ic"] = _ensemble_rank_ic
+_ENSEMBLE = SqlOp("SELECT f.symbol, f.ts, sum(value * 0.25) / sum(0.25e0) AS factor, max(p.ret) AS ret FROM #factors AS f JOIN #panel AS p ON f.symbol = p.symbol AND f.ts = p.ts GROUP BY f.symbol, f.ts")
+SQL["ensemble_rank_ic"] = P.IC_SUMMARY.duck(panel=_ENSEMBLE.duck(factors=_LONG.duck(bars=DUCK_PANEL), panel=INPUTS["panel"][1]))
+QUERIES["stream_bars"] = _stream_bars
+SQL["stream_bars"] = f"SELECT symbol, CAST(ts AS VARCHAR) AS ts, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close, CAST(volume AS BIGINT) AS volume FROM ({DUCK_BARS}) AS b"

@@ -24,7 +24,7 @@ _OVER = "OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {lo} AND {hi})"
 class Expr:
     """kind: col, num, fn (template over arguments), win (aggregate over a frame), ewm."""
 
-    def __init__(self, kind: str, text, args: tuple = (), frame: tuple | None = None, duck: str | None = None):
+    def __init__(self, kind: str, text, args: tuple = (), frame: tuple | str | None = None, duck: str | None = None):
         self.kind, self.text, self.args, self.frame, self.duck = kind, text, args, frame, duck or text
         self.level = max((a.level for a in args), default=0) + (kind in ("win", "ewm"))
         self.key = f"{kind}:{text}:{frame}:({','.join(a.key for a in args)})"
@@ -82,6 +82,8 @@ class Expr:
         if self.kind == "num":
             return f"CAST({self.text!r} AS DOUBLE)"
         inner = (self.duck if duck else self.text).format(*[a.sql(names, duck) for a in self.args])
+        if self.kind == "win" and isinstance(self.frame, str):
+            return f"{inner} OVER ({self.frame.format(*[a.sql(names, duck) for a in self.args])})"
         if self.kind == "win":
             lo, hi = (("UNBOUNDED PRECEDING" if x is None and i == 0 else "UNBOUNDED FOLLOWING" if x is None else "CURRENT ROW" if x == 0 else f"{-x} PRECEDING" if x < 0 else f"{x} FOLLOWING") for i, x in enumerate(self.frame))
             return f"{inner} {_OVER.format(lo=lo, hi=hi)}"
@@ -100,7 +102,7 @@ def fn(template: str, *args, duck: str | None = None) -> Expr:
     return Expr("fn", template, tuple(map(lift, args)), duck=duck)
 
 
-def win(template: str, *args, frame: tuple, duck: str | None = None) -> Expr:
+def win(template: str, *args, frame: tuple | str, duck: str | None = None) -> Expr:
     return Expr("win", template, tuple(map(lift, args)), frame, duck)
 
 

@@ -9,7 +9,8 @@
 4. Survivors are verified on their full shingle sets.
 
 A bucket of m texts does not give m**2 pairs: first every member meets the bucket's smallest id; then only pairs of
-members that are still in different components are compared, block by block inside tasks, and only survivors leave a task.
+members that are still in different components are compared and verified, block by block inside tasks, and only
+links that join components leave a task.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ MISS = 1e-6
 #: Hashes compared between two looks at the posterior.
 LOOK = 16
 #: Members of a bucket that meet in one task at most; larger buckets are cut into blocks that meet pairwise.
-BLOCK = 512
+BLOCK = 256
 
 
 def bands_for(similarity: float, miss: float = MISS, rows: int = BAND_ROWS) -> int:
@@ -90,15 +91,10 @@ def _bands(bands: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sigs = np.stack([np.frombuffer(x, np.uint32) for x in batch.column(1).to_pylist()]).astype(np.uint64)
-            keys = []
-            for band in range(bands):
-                h = np.full(len(sigs), band + 1, dtype=np.uint64)
-                for k in range(band * BAND_ROWS, (band + 1) * BAND_ROWS):
-                    h = mix(h ^ (sigs[:, k] + np.uint64(1 << 40)))
-                keys.append(h)
+            sigs = np.stack([np.frombuffer(x, np.uint32) for x in batch.column(1).to_pylist()])
+            keys = [band_keys(sigs, band) for band in range(bands)]
             ids = np.tile(batch.column(0).to_numpy(), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(ids)], ["key", "id"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(ids)], ["key", "id"])
 
     return run
 
@@ -131,43 +127,107 @@ def survivors(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, need
     return keep
 
 
-def _block_pairs(need, share):
-    """Rows (key, i, j, block, id, comp, hub, n, sig), those of a (key, i, j) together -> surviving pairs of different components."""
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of the sets, by products of 0/1 matrices over slices of their common members."""
+    members, slot, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    common = np.flatnonzero(times > 1)
+    column = np.full(len(members), -1)
+    column[common] = np.arange(len(common))
+    column = column[slot]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(sets), len(sets)))
+    for lo in range(0, len(common), 4096):
+        on = slice(*np.searchsorted(column, (lo, lo + 4096)))
+        table = np.zeros((len(sets), 4096), dtype=np.float32)
+        table[owner[on], column[on] - lo] = 1
+        out += table @ table.T
+    return out
 
-    def compare(rows: list[tuple]) -> tuple[list, list]:
-        i, j = rows[0][1], rows[0][2]
-        ids, comp = np.array([r[4] for r in rows]), np.array([r[5] for r in rows])
-        sizes, sigs = np.array([r[7] for r in rows]), np.stack([np.frombuffer(r[8], np.uint32) for r in rows])
-        block, hub = np.array([r[3] for r in rows]), rows[0][6]
-        out_a, out_b = [], []
-        for x in range(len(rows)):
-            if ids[x] == hub or block[x] != i:
-                continue
-            others = np.flatnonzero((block == j) & (comp != comp[x]) & (ids != hub) & ((ids > ids[x]) if i == j else True))
+
+def _find(parent: dict, x: int) -> int:
+    while parent.setdefault(x, x) != x:
+        parent[x] = x = parent[parent[x]]
+    return x
+
+
+def _block_links(need, share):
+    """Rows (key, i, j, block, id, comp, hub, sig, members), those of a (key, i, j) together -> links between different components.
+
+    Every pair is looked at in the first band that it shares; survivors are verified on their full sets, and of the links that join the same
+    two components one is returned.
+    """
+
+    def compare(rows: list[tuple]) -> list[tuple[int, int]]:
+        i, j, hub = rows[0][1], rows[0][2], rows[0][6]
+        rows = [r for r in rows if r[4] != hub]  # the star has met the hub
+        if len({r[5] for r in rows}) < 2:
+            return []
+        ids, comp, block = (np.array([r[k] for r in rows]) for k in (4, 5, 3))
+        sigs = np.stack([np.frombuffer(r[7], np.uint32) for r in rows])
+        sets = [np.frombuffer(r[8], np.uint64) for r in rows]
+        sizes = np.array([len(x) for x in sets])
+        grouped = sigs.reshape(len(rows), -1, BAND_ROWS)
+        band = _band_of(grouped, rows[0][0])
+        found: list[tuple[int, int]] = []
+        for x in np.flatnonzero(block == i):
+            others = np.flatnonzero((block == j) & (comp != comp[x]) & ((ids > ids[x]) if i == j else True))
+            if band and len(others):
+                others = others[~(grouped[others, :band] == grouped[x, :band]).all(axis=2).any(axis=1)]
             if len(others):
                 mine = np.broadcast_to(sigs[x], (len(others), sigs.shape[1]))
                 keep = others[survivors(mine, sigs[others], np.full(len(others), sizes[x]), sizes[others], need, share)]
-                out_a += [min(ids[x], y) for y in ids[keep]]
-                out_b += [max(ids[x], y) for y in ids[keep]]
-        return out_a, out_b
+                found += [(int(x), int(y)) for y in keep]
+        if not found:
+            return []
+        used = sorted({x for pair in found for x in pair})
+        place = {x: k for k, x in enumerate(used)}
+        both = overlaps([sets[x] for x in used])
+        parent: dict[int, int] = {}
+        out = []
+        for x, y in found:
+            n = both[place[x], place[y]]
+            if share[1] * n >= share[0] * (sizes[x] + sizes[y] - n):
+                a, b = _find(parent, int(comp[x])), _find(parent, int(comp[y]))
+                if a != b:
+                    parent[a] = b
+                    out.append((int(ids[x]), int(ids[y])))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+
+        def batch_of(links: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
+
         for batch in batches:
-            out_a, out_b = [], []
+            links = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and row[:3] != held[0][:3]:
-                    a, b = compare(held)
-                    out_a, out_b, held = out_a + a, out_b + b, []
+                    links += compare(held)
+                    held = []
                 held.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
+            yield batch_of(links)
         if held:
-            a, b = compare(held)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            yield batch_of(compare(held))
 
     return run
 
 
+def band_keys(sigs: np.ndarray, band: int) -> np.ndarray:
+    h = np.full(len(sigs), band + 1, dtype=np.uint64)
+    for k in range(band * BAND_ROWS, (band + 1) * BAND_ROWS):
+        h = mix(h ^ (sigs[:, k].astype(np.uint64) + np.uint64(1 << 40)))
+    return h.view(np.int64)
+
+
+def _band_of(grouped: np.ndarray, key: int) -> int:
+    """The band whose key this bucket has."""
+    one = grouped[:1].reshape(1, -1)
+    return next((b for b in range(grouped.shape[1]) if band_keys(one, b)[0] == key), 0)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         yield pa.RecordBatch.from_arrays([batch.column(0), blobs([pack(shingle_set(buf, SHINGLE)) for buf in texts_of(batch.column(1))])], ["id", "members"])
@@ -236,10 +296,10 @@ def near_groups(docs: DataFrame, id_col="doc_id", text_col="text", share: tuple[
     left = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
     left = left.withColumn("meet", F.explode(meets)).select("key", "meet.i", "meet.j", "block", "id", "comp", "hub")
-    left = left.join(reps, "id").select("key", "i", "j", "block", "id", "comp", "hub", "n", "sig")
+    left = left.join(reps, "id").join(sets, "id").select("key", "i", "j", "block", "id", "comp", "hub", "sig", "members")
     left = left.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = stage.table(left.mapInArrow(_block_pairs(need, share), "a bigint, b bigint").distinct(), "survivors")
-    links = links.unionByName(confirmed(more))
+    more = left.mapInArrow(_block_links(need, share), "a bigint, b bigint")
+    links = links.unionByName(stage.table(more, "links"))
     parts = components(stage.table(links, "links"), stage)
     copies = groups.filter("copies > 1").select("digest", "rep")
     out = rows.select("id", "n", "digest").join(copies, "digest", "left").withColumn("rep", F.coalesce("rep", "id"))
