@@ -33,6 +33,8 @@ BAND_ROWS = 4
 MISS = 1e-6
 #: Hashes compared between two looks at the posterior.
 LOOK = 16
+#: Bits of the filter that keeps texts without candidates from being shuffled (4 MB).
+FILTER_BITS = 1 << 25
 #: Members of a bucket that meet in one task at most; larger buckets are cut into blocks that meet pairwise.
 BLOCK = 256
 
@@ -153,7 +155,7 @@ def _find(parent: dict, x: int) -> int:
 
 
 def _block_links(need, share):
-    """Rows (key, i, j, block, id, comp, hub, sig, members), those of a (key, i, j) together -> links between different components.
+    """Rows (key, i, j, block, id, comp, hub, n, sig, text), those of a (key, i, j) together -> links between different components.
 
     Every pair is looked at in the first band that it shares; survivors are verified on their full sets, and of the links that join the same
     two components one is returned.
@@ -165,9 +167,8 @@ def _block_links(need, share):
         if len({r[5] for r in rows}) < 2:
             return []
         ids, comp, block = (np.array([r[k] for r in rows]) for k in (4, 5, 3))
-        sigs = np.stack([np.frombuffer(r[7], np.uint32) for r in rows])
-        sets = [np.frombuffer(r[8], np.uint64) for r in rows]
-        sizes = np.array([len(x) for x in sets])
+        sigs = np.stack([np.frombuffer(r[8], np.uint32) for r in rows])
+        sizes = np.array([r[7] for r in rows])
         grouped = sigs.reshape(len(rows), -1, BAND_ROWS)
         band = _band_of(grouped, rows[0][0])
         found: list[tuple[int, int]] = []
@@ -183,7 +184,7 @@ def _block_links(need, share):
             return []
         used = sorted({x for pair in found for x in pair})
         place = {x: k for k, x in enumerate(used)}
-        both = overlaps([sets[x] for x in used])
+        both = overlaps([shingle_set(np.frombuffer(rows[x][9], np.uint8), SHINGLE) for x in used])
         parent: dict[int, int] = {}
         out = []
         for x, y in found:
@@ -228,17 +229,22 @@ def _band_of(grouped: np.ndarray, key: int) -> int:
     return next((b for b in range(grouped.shape[1]) if band_keys(one, b)[0] == key), 0)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), blobs([pack(shingle_set(buf, SHINGLE)) for buf in texts_of(batch.column(1))])], ["id", "members"])
+def may_hold(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose id is among ``ids``, and few others while ids are few against FILTER_BITS: a filter of fixed size, broadcast as 4-KB bitmaps."""
+    at = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(FILTER_BITS))
+    slot, bit = F.shiftright(at, 15).cast("int"), at.bitwiseAND((1 << 15) - 1)
+    bits = ids.select(slot.alias("__slot"), bit.alias("__bit")).groupBy("__slot").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    near = rows.join(F.broadcast(bits), slot == F.col("__slot"))
+    byte = F.conv(F.hex(F.substring("__bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return near.filter(F.getbit(byte, bit.bitwiseAND(7).cast("int")) == 1).select(*rows.columns)
 
 
 def _exact(share: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for x, y in zip(texts_of(batch.column("text_a")), texts_of(batch.column("text_b")), strict=True):
+                a, b = shingle_set(x, SHINGLE), shingle_set(y, SHINGLE)
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(share[1] * both >= share[0] * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
@@ -272,12 +278,12 @@ def near_groups(docs: DataFrame, id_col="doc_id", text_col="text", share: tuple[
     stage.drop(keyed)
     star = stage.table(members.filter("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "star")
     wanted = members.select("id").distinct()
-    sets = stage.table(texts.join(wanted, "id", "left_semi").mapInArrow(_sets, "id bigint, members binary"), "sets")
+    some = stage.table(may_hold(texts, members).join(wanted, "id", "left_semi"), "texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("members").alias("set_b")), "b")
-        both = with_b.join(sets.select(F.col("id").alias("a"), F.col("members").alias("set_a")), "a")
-        return both.select("a", "b", "set_a", "set_b").mapInArrow(_exact(share), "a bigint, b bigint")
+        with_b = pairs.join(some.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+        both = with_b.join(some.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+        return both.select("a", "b", "text_a", "text_b").mapInArrow(_exact(share), "a bigint, b bigint")
 
     def side(x: str) -> DataFrame:
         return reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
@@ -296,7 +302,7 @@ def near_groups(docs: DataFrame, id_col="doc_id", text_col="text", share: tuple[
     left = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
     left = left.withColumn("meet", F.explode(meets)).select("key", "meet.i", "meet.j", "block", "id", "comp", "hub")
-    left = left.join(reps, "id").join(sets, "id").select("key", "i", "j", "block", "id", "comp", "hub", "sig", "members")
+    left = left.join(reps, "id").join(some.withColumn("text", F.col("text").cast("binary")), "id").select("key", "i", "j", "block", "id", "comp", "hub", "n", "sig", "text")
     left = left.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     more = left.mapInArrow(_block_links(need, share), "a bigint, b bigint")
     links = links.unionByName(stage.table(more, "links"))
