@@ -28,7 +28,8 @@ from .common import Stage, blobs, mix, only, pack, shingle_set, texts_of
 from .components import components
 
 SHINGLE = 5
-BAND_ROWS = 4
+#: Hashes of a band: so many that texts which share a passage seldom share a band, however large the corpus is.
+BAND_ROWS = 6
 #: Chosen probability of missing a pair at the threshold, for the bands and for each posterior bound.
 MISS = 1e-6
 #: Hashes compared between two looks at the posterior.
@@ -266,19 +267,24 @@ def near_groups(docs: DataFrame, id_col="doc_id", text_col="text", share: tuple[
     hashes = bands * BAND_ROWS
     need = least_matches(similarity, hashes, miss)
     texts = only(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    rows = stage.table(texts.mapInArrow(_sketches(hashes), "id bigint, n bigint, digest binary, sig binary"), "sketches")
+    sketches = stage.table(texts.mapInArrow(_sketches(hashes), "id bigint, n bigint, digest binary, sig binary"), "sketches")
+    rows = stage.table(sketches.select("id", "n", "digest"), "sizes")
     groups = rows.filter("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     groups = stage.table(groups, "groups")
-    reps = rows.join(groups.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").select("id", "n", "sig")
+    reps = sketches.join(groups.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").select("id", "n", "sig")
     reps = stage.table(reps, "reps")
+    stage.drop(sketches)
     keyed = reps.select("id", "sig").mapInArrow(_bands(bands), "key bigint, id bigint")
     keyed = stage.table(keyed, "bands")
     hubs = stage.table(keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top"), F.count(F.lit(1)).alias("m")).filter("hub < top").drop("top"), "hubs")
     members = stage.table(keyed.join(hubs, "key"), "members")
     stage.drop(keyed)
     star = stage.table(members.filter("id > hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "star")
-    wanted = members.select("id").distinct()
-    some = stage.table(may_hold(texts, members).join(wanted, "id", "left_semi"), "texts")
+    wanted = stage.table(members.select("id").distinct(), "wanted")
+    # inner joins with distinct ids: a semi join would be pushed below the filter
+    some = stage.table(may_hold(texts, wanted).join(wanted, "id"), "texts")
+    sigs = stage.table(may_hold(reps, wanted).join(wanted, "id"), "signatures")
+    stage.drop(reps)
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         with_b = pairs.join(some.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
@@ -286,7 +292,7 @@ def near_groups(docs: DataFrame, id_col="doc_id", text_col="text", share: tuple[
         return both.select("a", "b", "text_a", "text_b").mapInArrow(_exact(share), "a bigint, b bigint")
 
     def side(x: str) -> DataFrame:
-        return reps.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
+        return sigs.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
 
     pairs = star.join(side("b"), "b").join(side("a"), "a").mapInArrow(_posterior(need, share), "a bigint, b bigint")
     pairs = stage.table(pairs, "survivors")
@@ -302,7 +308,7 @@ def near_groups(docs: DataFrame, id_col="doc_id", text_col="text", share: tuple[
     left = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
     left = left.withColumn("meet", F.explode(meets)).select("key", "meet.i", "meet.j", "block", "id", "comp", "hub")
-    left = left.join(reps, "id").join(some.withColumn("text", F.col("text").cast("binary")), "id").select("key", "i", "j", "block", "id", "comp", "hub", "n", "sig", "text")
+    left = left.join(sigs, "id").join(some.withColumn("text", F.col("text").cast("binary")), "id").select("key", "i", "j", "block", "id", "comp", "hub", "n", "sig", "text")
     left = left.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     more = left.mapInArrow(_block_links(need, share), "a bigint, b bigint")
     links = links.unionByName(stage.table(more, "links"))
