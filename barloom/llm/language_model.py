@@ -1,15 +1,16 @@
 """Hierarchical Pitman-Yor language model (operator 3).
 
-Restaurants: one for each context class (the last three bytes of the previous word, hashed to ``CLASSES``; one more for the start
-of a text), all sharing one unigram restaurant as parent, whose base is uniform over the vocabulary and one unknown word. A word's
-customers in a context open tables; each table is a customer of the parent.
+Restaurants: one for each context, all sharing one unigram restaurant as parent, whose base is uniform over the vocabulary and one
+unknown word. A word's customers in a context open tables; each table is a customer of the parent.
 
-Counts are dealt to buckets by word, so all restaurants' seats of a word are together and the parent's counts are
-local; what restaurants share over buckets are the table totals of each class, a vector of fixed size. A Gibbs sweep takes each
-(context, word) group of customers out and seats it again one by one, given all other tables of the sweep before; a sweep
-is one Spark job over the stored seats. After the burn-in, every sweep's predictive probability is kept and scoring averages them.
+The corpus is tokenised once, into stored blocks of a bounded number of tokens. A block knows its distinct (context, word) pairs and its
+distinct words; only these travel, once for each block, so neither a frequent word nor a frequent pair makes a large group. Pairs are
+dealt to buckets by a hash of both; what is summed for a word, or for a context, is dealt by its own hash (a *node*).
+A Gibbs sweep takes each pair's customers out and seats them again, given all other tables of the sweep before: pair buckets send their nodes the
+tables, node buckets seat the unigram restaurant and answer with the totals. After the burn-in every sweep is kept, and scoring averages
+their predictive probabilities: blocks ask for their pairs and nodes, and add up their own texts.
 
-Data move as sorted number columns packed in binary rows, a row for each part of the corpus and bucket.
+Data move as sorted number columns packed in binary rows.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,72 +32,52 @@ DISCOUNT, STRENGTH, DISCOUNT0, STRENGTH0 = 0.75, 5.0, 0.5, 100.0
 BURN_IN, SAMPLES = 2, 3
 #: Customers of a group that are seated one at a time before waits are drawn at once.
 ONE_BY_ONE = 8
-#: Text bytes for each bucket of words; tokens gathered before a task packs them.
-BUCKET_BYTES, GATHERED = 16 << 20, 1_500_000
+#: Text bytes for each bucket of pairs; tokens of a block (or those of one text, if it has more).
+BUCKET_BYTES, GATHERED = 16 << 20, 1_000_000
 END = np.uint64(0x5EED0E4D5EED0E4D)
 NO_ID = np.iinfo(np.int64).min
 
 
 def tokens(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word hash, context class) of each token of one text, its end included."""
+    """(word hash, context hash) of each token of one text, its end included."""
     text = lower(buf)
     starts, ends = word_spans(text)
     coded = _BYTE[text]
     words = np.append(ranged_hash(coded, starts, ends), END)
     suffix = ranged_hash(coded, np.maximum(starts, ends - 3), ends)
-    return words, np.append(np.uint64(CLASSES), suffix % np.uint64(CLASSES)).astype(np.uint16)
+    return words, mix(np.append(np.uint64(CLASSES), suffix % np.uint64(CLASSES)) + np.uint64(1))
 
 
-def _key(words: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    return mix(words ^ (classes.astype(np.uint64) << np.uint64(48)))
+def _key(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    return mix(words ^ mix(contexts + np.uint64(0x9E3779B97F4A7C15)))
 
 
-def _packed(gathered: list[tuple[np.ndarray, np.ndarray, int]], buckets: int, with_ids: bool) -> pa.RecordBatch:
-    """Rows (bucket, words, classes, repeats, ids, times): distinct (word, class) pairs, of each how many
-    texts (or, without ids, how many tokens), and for each text its id and number of tokens."""
-    sizes = np.array([len(g[0]) for g in gathered])
-    words, classes = np.concatenate([g[0] for g in gathered]), np.concatenate([g[1] for g in gathered])
-    text = np.repeat(np.arange(len(gathered)), sizes)
-    ids = np.array([g[2] for g in gathered], dtype=np.int64)
-    key, bucket = _key(words, classes), (mix(words) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort((bucket.astype(np.uint64) << np.uint64(44)) | (key >> np.uint64(20)), kind="stable")
-    key, bucket, text = key[order], bucket[order], text[order]
-    fresh = np.concatenate(([True], (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])))
-    entry = np.concatenate(([True], fresh[1:] | (text[1:] != text[:-1]))) if with_ids else fresh
-    at = np.flatnonzero(entry)
-    times = np.diff(np.append(at, len(key))).astype(np.uint32)
-    pair = np.flatnonzero(fresh[at])  # entries that begin a pair
-    repeats = np.diff(np.append(pair, len(at))).astype(np.uint32) if with_ids else times
-    first = order[at[pair]]
-    w, c, b = words[first], classes[first], bucket[at[pair]]
-    rows: list[dict] = []
-    bounds = np.searchsorted(b, np.arange(buckets + 1))
-    entry_bounds = np.append(pair, len(at))[bounds]
-    for i in np.flatnonzero(np.diff(bounds)):
-        lo, hi = bounds[i], bounds[i + 1]
-        e = slice(entry_bounds[i], entry_bounds[i + 1])
-        rows.append({"bucket": int(i), "words": pack(w[lo:hi]), "classes": pack(c[lo:hi]), "repeats": pack(repeats[lo:hi]), "ids": pack(ids[text[at[e]]]) if with_ids else b"", "times": pack(times[e]) if with_ids else b""})
-    return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("bucket", pa.int32()), *[(k, pa.binary()) for k in ("words", "classes", "repeats", "ids", "times")]]))
-
-
-PACKED = "bucket int, words binary, classes binary, repeats binary, ids binary, times binary"
-
-
-def _pack_tokens(buckets: int, with_ids: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gathered, n = [], 0
-        for batch in batches:
-            for i, buf in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-                words, classes = tokens(buf)
-                gathered.append((words, classes, NO_ID if i is None else i))
-                n += len(words)
-                if n >= GATHERED:
-                    yield _packed(gathered, buckets, with_ids)
-                    gathered, n = [], 0
-        if gathered:
-            yield _packed(gathered, buckets, with_ids)
+def _cuts(sorted_hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending hashes are dealt to buckets by range: the bounds of all buckets, and the buckets that have any."""
+    bucket = ((sorted_hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    bounds = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+    return bounds, np.flatnonzero(np.diff(bounds))
 
-    return run
+
+def _schema(**columns) -> pa.Schema:
+    kinds = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64())}
+    return pa.schema([(k, kinds[v]) for k, v in columns.items()])
+
+
+def _ddl(schema: dict) -> str:
+    return ", ".join(f"{k} {v}" for k, v in schema.items())
+
+
+_B = "binary"
+BLOCKS = {"block": "bigint", "ids": _B, "sizes": _B, "slots": _B, "words": _B, "contexts": _B, "nodes": _B, "counts": _B}
+COUNTS = {"bucket": "int", "words": _B, "contexts": _B, "counts": _B}
+SEATS = {"bucket": "int", "words": _B, "contexts": _B, "nodes": _B, "customers": _B, "tables": _B, "summed": _B, "tops": _B}
+SENT = {"node_bucket": "int", "bucket": "int", "nodes": _B, "sums": _B, "tops": _B}
+#: bucket -1 holds the node bucket itself, others the answer to a pair bucket; known: tokens, words, tables' sum, tops' sum.
+NODES = {"node_bucket": "int", "bucket": "int", "nodes": _B, "sums": _B, "tops": _B, "known": "array<bigint>"}
+ASKED = {"bucket": "int", "block": "bigint", "hashes": _B}
+TOLD = {"block": "bigint", "kind": "int", "bucket": "int", "numbers": _B, "counts": _B}
+SCORES = "id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
 def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
@@ -102,40 +85,85 @@ def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, kind)
 
 
-def _merged(words: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs in the order of (word, class key), with summed counts."""
-    _, at, slot = np.unique(_key(words, classes), return_index=True, return_inverse=True)
-    total = np.bincount(slot, weights=counts, minlength=len(at)).astype(np.int64)
-    words, classes = words[at], classes[at]
-    order = np.argsort(words, kind="stable")
-    return words[order], classes[order], total[order]
+# ---- blocks ------------------------------------------------------------------------
+
+
+def _block(gathered: list[tuple[np.ndarray, np.ndarray, int]], number: int) -> pa.RecordBatch:
+    sizes = np.array([len(g[0]) for g in gathered], dtype=np.int32)
+    words, contexts = np.concatenate([g[0] for g in gathered]), np.concatenate([g[1] for g in gathered])
+    ids = np.array([g[2] for g in gathered], dtype=np.int64)
+    _, at, slots = np.unique(_key(words, contexts), return_index=True, return_inverse=True)
+    counts = np.bincount(slots[np.repeat(_trains(ids), sizes)], minlength=len(at))
+    nodes, where = np.unique(np.concatenate([words[at], contexts[at]]), return_inverse=True)
+    where = where.astype(np.int32)
+    row = {"block": number, "ids": pack(ids), "sizes": pack(sizes), "slots": pack(slots.astype(np.int32)), "words": pack(where[: len(at)]), "contexts": pack(where[len(at) :]), "nodes": pack(nodes), "counts": pack(counts.astype(np.int32))}
+    return pa.RecordBatch.from_pylist([row], schema=_schema(**BLOCKS))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number = TaskContext.get().partitionId() << 32
+    gathered, n = [], 0
+    for batch in batches:
+        for i, buf in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
+            words, contexts = tokens(buf)
+            gathered.append((words, contexts, NO_ID if i is None else i))
+            n += len(words)
+            if n >= GATHERED:
+                yield _block(gathered, number)
+                gathered, n, number = [], 0, number + 1
+    if gathered:
+        yield _block(gathered, number)
+
+
+def _pairs_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, contexts and keys (ascending) of a row's pairs, and its nodes."""
+    nodes = np.frombuffer(row["nodes"], np.uint64)
+    words, contexts = nodes[np.frombuffer(row["words"], np.int32)], nodes[np.frombuffer(row["contexts"], np.int32)]
+    return words, contexts, _key(words, contexts), nodes
+
+
+def _trains(ids: np.ndarray, fold: int = 2, folds: int = 7) -> np.ndarray:
+    import zlib
+
+    distinct, slot = np.unique(ids, return_inverse=True)
+    return np.array([i == NO_ID or zlib.crc32(str(i).encode()) % folds != fold for i in distinct.tolist()], dtype=bool)[slot]
+
+
+def _each(make, schema: dict):
+    """A mapInArrow function: ``make`` gives the rows that come of one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                yield pa.RecordBatch.from_pylist(make(batch.slice(i, 1).to_pylist()[0]), schema=_schema(**schema))
+
+    return run
+
+
+# ---- training ------------------------------------------------------------------------
 
 
-SEATS = "bucket int, pair_word binary, pair_class binary, customers binary, tables binary, summed binary, words binary, singles binary, tops binary, base binary, known array<bigint>, class_customers array<bigint>, class_tables array<bigint>, top_tables bigint"
+def _count(buckets: int):
+    def make(row: dict) -> list[dict]:
+        words, contexts, key, _ = _pairs_of(row)
+        counts = np.frombuffer(row["counts"], np.int32)
+        on = counts > 0
+        words, contexts, key, counts = words[on], contexts[on], key[on], counts[on]
+        bounds, some = _cuts(key, buckets)
+        return [{"bucket": int(b), "words": pack(words[s]), "contexts": pack(contexts[s]), "counts": pack(counts[s])} for b in some for s in [slice(bounds[b], bounds[b + 1])]]
+
+    return _each(make, COUNTS)
 
 
 def _seat_first(table: pa.Table) -> pa.Table:
-    """Counts of one bucket -> its first seats: a table for each pair. Pairs with one customer always have one table, so
-    only their number for each word is kept."""
-    words, classes, n = _merged(_joined(table, "words", np.uint64), _joined(table, "classes", np.uint16), _joined(table, "repeats", np.uint32).astype(np.float64))
-    distinct, at = np.unique(words, return_index=True)
-    word_of = np.repeat(np.arange(len(distinct)), np.diff(np.append(at, len(words))))
-    singles = np.bincount(word_of[n == 1], minlength=len(distinct))
-    many = n > 1
-    row = {
-        "bucket": table["bucket"][0].as_py(), "pair_word": pack(word_of[many].astype(np.int32)), "pair_class": pack(classes[many]), "customers": pack(n[many].astype(np.int64)),
-        "tables": pack(np.ones(many.sum(), np.int32)), "summed": pack(np.zeros(many.sum(), np.float32)), "words": pack(distinct), "singles": pack(singles.astype(np.int32)),
-        "tops": pack(np.ones(len(distinct), np.int32)), "base": b"", "known": [int(n.sum()), len(distinct)],
-        "class_customers": np.bincount(classes, weights=n, minlength=CLASSES + 1).astype(np.int64).tolist(),
-        "class_tables": np.bincount(classes, minlength=CLASSES + 1).tolist(), "top_tables": len(distinct),
-    }
-    return pa.Table.from_pylist([row], schema=SEAT_SCHEMA)
-
-
-SEAT_SCHEMA = pa.schema(
-    [("bucket", pa.int32()), *[(k, pa.binary()) for k in ("pair_word", "pair_class", "customers", "tables", "summed", "words", "singles", "tops", "base")],
-     *[(k, pa.list_(pa.int64())) for k in ("known", "class_customers", "class_tables")], ("top_tables", pa.int64())]
-)
+    """Counts of one bucket -> its first seats: a table for each pair."""
+    words, contexts = _joined(table, "words", np.uint64), _joined(table, "contexts", np.uint64)
+    _, at, slot = np.unique(_key(words, contexts), return_index=True, return_inverse=True)
+    customers = np.bincount(slot, weights=_joined(table, "counts", np.int32), minlength=len(at)).astype(np.int64)
+    nodes, where = np.unique(np.concatenate([words[at], contexts[at]]), return_inverse=True)
+    where = where.astype(np.int32)
+    row = {"bucket": table["bucket"][0].as_py(), "words": pack(where[: len(at)]), "contexts": pack(where[len(at) :]), "nodes": pack(nodes), "customers": pack(customers), "tables": pack(np.ones(len(at), np.int32)), "summed": pack(np.zeros(len(at), np.float32)), "tops": pack(np.ones(len(nodes), np.int32))}
+    return pa.Table.from_pylist([row], schema=_schema(**SEATS))
 
 
 def seat(customers: np.ndarray, mass: np.ndarray, discount: float, rng) -> np.ndarray:
@@ -170,140 +198,187 @@ def seat(customers: np.ndarray, mass: np.ndarray, discount: float, rng) -> np.nd
 
 
 class Shared:
-    """What all buckets share: fixed counts, and the table totals of the last sweep."""
-
-    def __init__(self, n: int, v: int, customers: np.ndarray, tables: np.ndarray, top_tables: int):
-        self.n, self.v, self.customers, self.tables, self.top_tables = n, v, customers, tables, top_tables
+    """Totals of a sweep: training tokens, distinct words, the unigram restaurant's customers and tables."""
+
+    def __init__(self, n: int, v: int, customers: int, tables: int):
+        self.n, self.v, self.customers, self.tables = n, v, customers, tables
+
+    def parent(self, customers: np.ndarray, tops: np.ndarray, out: np.ndarray | int = 0) -> np.ndarray:
+        """The unigram restaurant's probability of words with these customers and tables, after ``out`` customers of the word left it."""
+        new = (STRENGTH0 + DISCOUNT0 * self.tables) / (self.v + 1.0)
+        left = customers - out
+        return (left - DISCOUNT0 * np.minimum(tops, left) + new) / (STRENGTH0 + self.customers - out)
+
+
+def _send(buckets: int):
+    """What a pair bucket tells its nodes: customers and tables of each as a word, and as a context."""
+
+    def make(row: dict) -> list[dict]:
+        nodes, tops = np.frombuffer(row["nodes"], np.uint64), np.frombuffer(row["tops"], np.int32)
+        customers, tables = np.frombuffer(row["customers"], np.int64), np.frombuffer(row["tables"], np.int32)
+        sums = np.stack([np.bincount(np.frombuffer(row[side], np.int32), weights=x, minlength=len(nodes)) for side in ("words", "contexts") for x in (customers, tables)]).astype(np.int64)
+        bounds, some = _cuts(nodes, buckets)
+        return [{"node_bucket": int(b), "bucket": row["bucket"], "nodes": pack(nodes[s]), "sums": pack(sums[:, s]), "tops": pack(tops[s])} for b in some for s in [slice(bounds[b], bounds[b + 1])]]
+
+    return _each(make, SENT)
+
+
+def _node_turn(shared: Shared | None, seed: int):
+    """Sum a node bucket, seat its words in the unigram restaurant, answer every pair bucket that sent."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        sizes = [len(r["nodes"]) // 8 for r in rows]
+        nodes, at, where = np.unique(_joined(table, "nodes", np.uint64), return_index=True, return_inverse=True)
+        sent = np.concatenate([np.frombuffer(r["sums"], np.int64).reshape(4, -1) for r in rows], axis=1)
+        sums = np.stack([np.bincount(where, weights=x, minlength=len(nodes)) for x in sent]).astype(np.int64)
+        tops = _joined(table, "tops", np.int32)[at] * (sums[0] > 0)
+        if shared is not None:
+            rng = np.random.default_rng([seed, 1, rows[0]["node_bucket"]])
+            word = np.flatnonzero(sums[0])
+            mass = (STRENGTH0 + DISCOUNT0 * shared.tables) / (shared.v + 1.0)
+            tops = np.zeros(len(nodes), np.int64)
+            tops[word] = seat(sums[1][word], np.full(len(word), mass), DISCOUNT0, rng)
+        known = [int(sums[0].sum()), int((sums[0] > 0).sum()), int(sums[1].sum()), int(tops.sum())]
+        tops = tops.astype(np.int32)
+        out = [{"node_bucket": rows[0]["node_bucket"], "bucket": -1, "nodes": pack(nodes), "sums": pack(sums), "tops": pack(tops), "known": known}]
+        for r, lo, hi in zip(rows, np.cumsum([0, *sizes[:-1]]), np.cumsum(sizes), strict=True):
+            mine = where[lo:hi]
+            out.append({"node_bucket": r["node_bucket"], "bucket": r["bucket"], "nodes": b"", "sums": pack(sums[1:4:2, mine]), "tops": pack(tops[mine]), "known": None})
+        return pa.Table.from_pylist(out, schema=_schema(**NODES))
 
-    def parent(self, top_customers: np.ndarray, tops: np.ndarray) -> np.ndarray:
-        """The unigram restaurant's probability of words with these customers and tables."""
-        new = (STRENGTH0 + DISCOUNT0 * self.top_tables) / (self.v + 1.0)
-        return (top_customers - DISCOUNT0 * tops + new) / (STRENGTH0 + self.tables.sum())
+    return run
 
 
-def _sweep(shared: Shared, seed: int, keep: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                rng = np.random.default_rng([seed, row["bucket"]])
-                word, cls = np.frombuffer(row["pair_word"], np.int32), np.frombuffer(row["pair_class"], np.uint16)
-                customers, tables = np.frombuffer(row["customers"], np.int64), np.frombuffer(row["tables"], np.int32)
-                singles, tops = np.frombuffer(row["singles"], np.int32), np.frombuffer(row["tops"], np.int32)
-                top_customers = singles + np.bincount(word, weights=tables, minlength=len(singles))
-                p = shared.parent(top_customers, tops)
-                tables = seat(customers, (STRENGTH + DISCOUNT * shared.tables[cls]) * p[word], DISCOUNT, rng)
-                top_customers = singles + np.bincount(word, weights=tables, minlength=len(singles))
-                mass = np.full(len(singles), (STRENGTH0 + DISCOUNT0 * shared.top_tables) / (shared.v + 1.0))
-                tops = seat(top_customers, mass, DISCOUNT0, rng)
-                single_classes = np.array(row["class_tables"]) - np.bincount(cls, weights=np.frombuffer(row["tables"], np.int32), minlength=CLASSES + 1)
-                row["class_tables"] = (single_classes + np.bincount(cls, weights=tables, minlength=CLASSES + 1)).astype(np.int64).tolist()
-                row["tables"], row["tops"], row["top_tables"] = pack(tables.astype(np.int32)), pack(tops.astype(np.int32)), int(tops.sum())
-                if keep:
-                    row["summed"] = pack(np.frombuffer(row["summed"], np.float32) + tables.astype(np.float32))
-                    row["base"] += pack(np.stack([top_customers, tops]).astype(np.int32))
-                out.append(row)
-            yield pa.RecordBatch.from_pylist(out, schema=SEAT_SCHEMA)
+def _pair_turn(shared: Shared, seed: int, keep: bool):
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        rng = np.random.default_rng([seed, 0, row["bucket"]])
+        right = right.sort_by("node_bucket")
+        totals = np.concatenate([np.frombuffer(x, np.int64).reshape(2, -1) for x in right["sums"].to_pylist()], axis=1)
+        tops = _joined(right, "tops", np.int32)
+        word, context = np.frombuffer(row["words"], np.int32), np.frombuffer(row["contexts"], np.int32)
+        customers, tables = np.frombuffer(row["customers"], np.int64), np.frombuffer(row["tables"], np.int32)
+        p = shared.parent(totals[0], tops)[word]
+        tables = seat(customers, (STRENGTH + DISCOUNT * totals[1][context]) * p, DISCOUNT, rng)
+        if keep:
+            row["summed"] = pack(np.frombuffer(row["summed"], np.float32) + tables.astype(np.float32))
+        row["tables"], row["tops"] = pack(tables.astype(np.int32)), pack(tops)
+        return pa.Table.from_pylist([row], schema=_schema(**SEATS))
 
     return run
 
 
-def _totals(seats: DataFrame) -> Shared:
-    """Sums over buckets: vectors of CLASSES + 1 entries, whatever the size of the corpus."""
-
-    def summed(name: str) -> np.ndarray:
-        rows = seats.select(F.posexplode(name).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
-        out = np.zeros(CLASSES + 1, dtype=np.int64)
-        for r in rows:
-            out[r["i"]] = r["x"]
-        return out
+def train(blocks: DataFrame, buckets: int, stage: Stage) -> tuple[DataFrame, list[DataFrame], list[Shared]]:
+    """Seats of all pairs after the last sweep, with sums over the kept sweeps; nodes and totals of each kept sweep."""
 
-    known = summed("known")
-    top = seats.agg(F.coalesce(F.sum("top_tables"), F.lit(0))).head()[0]
-    return Shared(int(known[0]), int(known[1]), summed("class_customers"), summed("class_tables"), int(top))
+    def node_turn(seats: DataFrame, shared: Shared | None, sweep: int) -> tuple[DataFrame, Shared]:
+        sent = seats.mapInArrow(_send(buckets), _ddl(SENT))
+        nodes = stage.table(sent.groupBy("node_bucket").applyInArrow(_node_turn(shared, sweep), _ddl(NODES)), "nodes")
+        known = nodes.filter("bucket = -1").agg(*[F.coalesce(F.sum(F.col("known")[i]), F.lit(0)) for i in range(4)]).head()
+        return nodes, Shared(*map(int, known))
 
-
-def train(rows: DataFrame, buckets: int, stage: Stage) -> tuple[DataFrame, list[Shared]]:
-    """Seats of all buckets after the last sweep, with sums over the kept sweeps, and what the kept sweeps shared."""
-    counted = rows.mapInArrow(_pack_tokens(buckets, False), PACKED).groupBy("bucket").applyInArrow(_seat_first, SEATS)
-    seats = stage.table(counted, "seats")
-    shared, kept = _totals(seats), []
+    counted = blocks.select("words", "contexts", "nodes", "counts").mapInArrow(_count(buckets), _ddl(COUNTS))
+    seats = stage.table(counted.groupBy("bucket").applyInArrow(_seat_first, _ddl(SEATS)), "seats")
+    nodes, shared = node_turn(seats, None, 0)
+    kept, kept_shared = [], []
     for sweep in range(BURN_IN + SAMPLES):
-        moved = stage.table(seats.mapInArrow(_sweep(shared, sweep, sweep >= BURN_IN), SEATS), "seats")
+        answers = nodes.filter("bucket >= 0").select("node_bucket", "bucket", "sums", "tops")
+        moved = seats.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_pair_turn(shared, sweep, sweep >= BURN_IN), _ddl(SEATS))
+        moved = stage.table(moved, "seats")
         stage.drop(seats)
-        seats, shared = moved, _totals(moved)
+        if not any(nodes is k for k in kept):
+            stage.drop(nodes)
+        seats = moved
+        nodes, shared = node_turn(seats, shared, sweep + 1)
         if sweep >= BURN_IN:
-            kept.append(shared)
-    return seats, kept
+            kept.append(nodes)
+            kept_shared.append(shared)
+    return seats, kept, kept_shared
+
+
+# ---- scoring ------------------------------------------------------------------------
+
+
+def _ask(buckets: int, pairs: bool):
+    """A block's questions: its pairs' keys, or its nodes, by bucket."""
+
+    def make(row: dict) -> list[dict]:
+        hashes = _pairs_of(row)[2] if pairs else np.frombuffer(row["nodes"], np.uint64)
+        bounds, some = _cuts(hashes, buckets)
+        return [{"bucket": int(b), "block": row["block"], "hashes": pack(hashes[bounds[b] : bounds[b + 1]])} for b in some]
+
+    return _each(make, ASKED)
 
 
-def _score(shared: list[Shared], parts: int):
-    n, v = shared[-1].n, shared[-1].v
+def _found(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each asked hash is among the known (ascending), and whether it is there."""
+    at = np.minimum(np.searchsorted(known, asked), max(0, len(known) - 1))
+    return at, known[at] == asked if len(known) else np.zeros(len(asked), bool)
+
+
+def _tell_pairs(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    """Each asked pair's customers less the discounts of its tables, averaged over the kept sweeps; 0 for pairs not met in training."""
+    known, own = np.zeros(0, np.uint64), np.zeros(0)
+    if right.num_rows:
+        row = right.to_pylist()[0]
+        known = _pairs_of(row)[2]
+        own = np.maximum(np.frombuffer(row["customers"], np.int64) - DISCOUNT * np.frombuffer(row["summed"], np.float32) / SAMPLES, 0.0)
+    out = []
+    for r in left.to_pylist():
+        at, hit = _found(known, np.frombuffer(r["hashes"], np.uint64))
+        numbers = np.zeros(len(hit), np.float32)
+        numbers[hit] = own[at[hit]]
+        out.append({"block": r["block"], "kind": 0, "bucket": r["bucket"], "numbers": pack(numbers), "counts": b""})
+    return pa.Table.from_pylist(out, schema=_schema(**TOLD))
+
+
+def _tell_nodes(shared: list[Shared]):
+    """Of each asked node: its training count; as a word, the unigram probability in each kept sweep; as a context, 1 / (strength +
+    customers), and the weight of the unigram in each kept sweep."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        words, classes = _joined(left, "words", np.uint64), _joined(left, "classes", np.uint16)
-        repeats, ids, times = _joined(left, "repeats", np.uint32), _joined(left, "ids", np.int64), _joined(left, "times", np.uint32)
-        seats = right.to_pylist()[0] if right.num_rows else None
-        distinct, slot = np.unique(words, return_inverse=True)
-        tops = np.zeros((len(shared), 2, len(distinct)))
-        tables = np.zeros(len(words))
-        entry_pair = np.repeat(np.arange(len(words)), repeats)
-        training = _trains(ids)
-        pair_count = np.bincount(entry_pair[training], weights=times[training], minlength=len(words))
-        _, pair_at, pair_slot = np.unique(_key(words, classes), return_index=True, return_inverse=True)
-        customers = np.bincount(pair_slot, weights=pair_count)[pair_slot]
-        first = np.zeros(len(words), dtype=bool)
-        first[pair_at] = True
-        count = np.bincount(slot[first], weights=customers[first], minlength=len(distinct))
-        tables[customers == 1] = 1.0
-        if seats:
-            known = np.frombuffer(seats["words"], np.uint64)
-            at = np.minimum(np.searchsorted(known, distinct), max(0, len(known) - 1))
-            hit = known[at] == distinct if len(known) else np.zeros(len(distinct), bool)
-            base = np.frombuffer(seats["base"], np.int32).reshape(len(shared), 2, -1)
-            tops[:, :, hit] = base[:, :, at[hit]]
-            pair_key = _key(known[np.frombuffer(seats["pair_word"], np.int32)], np.frombuffer(seats["pair_class"], np.uint16))
-            order = np.argsort(pair_key)
-            mean = (np.frombuffer(seats["summed"], np.float32) / len(shared))[order]
-            pair_key = pair_key[order]
-            mine = _key(words, classes)
-            if len(pair_key):
-                at = np.minimum(np.searchsorted(pair_key, mine), len(pair_key) - 1)
-                tables = np.where(pair_key[at] == mine, mean[at], tables)
-        own = np.maximum(customers - DISCOUNT * tables, 0.0)
-        p = np.zeros(len(words))
-        for s, sample in enumerate(shared):
-            parent = sample.parent(tops[s, 0], tops[s, 1])[slot]
-            p += (own + (STRENGTH + DISCOUNT * sample.tables[classes]) * parent) / (STRENGTH + sample.customers[classes])
-        logs = np.log10(p / len(shared))
-        logs_base = np.log10((count[slot] + 1.0) / (n + v + 1.0))
-        seen = (count[slot] > 0).astype(np.float64)
-        text, where = np.unique(ids, return_inverse=True)
-        add = lambda x: np.bincount(where, weights=x[entry_pair] * times, minlength=len(text))
-        cols = [add(np.ones(len(words))), add(seen), add(logs_base), add(logs)]
-        part = (mix(text.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-        rows = []
-        for i in np.unique(part):
-            on = part == i
-            rows.append({"part": int(i), "ids": pack(text[on]), "sums": pack(np.stack([c[on] for c in cols]))})
-        return pa.Table.from_pylist(rows, schema=pa.schema([("part", pa.int32()), ("ids", pa.binary()), ("sums", pa.binary())]))
+        rows = sorted(right.to_pylist(), key=lambda r: r["sample"])
+        known = np.frombuffer(rows[0]["nodes"], np.uint64) if rows else np.zeros(0, np.uint64)
+        sums = [np.frombuffer(r["sums"], np.int64).reshape(4, -1) for r in rows]
+        out = []
+        for r in left.to_pylist():
+            at, hit = _found(known, np.frombuffer(r["hashes"], np.uint64))
+            at, counts = at[hit], np.zeros(len(hit), np.int64)
+            numbers = np.zeros((1 + 2 * len(shared), len(hit)), np.float32)
+            numbers[0] = 1.0 / STRENGTH
+            for s, sample in enumerate(shared):
+                numbers[1 + s], numbers[1 + len(shared) + s] = sample.parent(np.zeros(1), np.zeros(1)), 1.0
+                if rows:
+                    counts[hit] = sums[s][0][at]
+                    numbers[0, hit] = 1.0 / (STRENGTH + sums[s][2][at])
+                    numbers[1 + s, hit] = sample.parent(sums[s][1][at], np.frombuffer(rows[s]["tops"], np.int32)[at])
+                    numbers[1 + len(shared) + s, hit] = (STRENGTH + DISCOUNT * sums[s][3][at]) / (STRENGTH + sums[s][2][at])
+            out.append({"block": r["block"], "kind": 1, "bucket": r["bucket"], "numbers": pack(numbers), "counts": pack(counts)})
+        return pa.Table.from_pylist(out, schema=_schema(**TOLD))
 
     return run
 
 
-def _trains(ids: np.ndarray, fold: int = 2, folds: int = 7) -> np.ndarray:
-    import zlib
-
-    distinct, slot = np.unique(ids, return_inverse=True)
-    return np.array([i == NO_ID or zlib.crc32(str(i).encode()) % folds != fold for i in distinct.tolist()], dtype=bool)[slot]
+def _score(n: int, v: int):
+    """Sums of one block's texts."""
 
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        right = right.sort_by("bucket")
+        pairs, nodes = (right.filter(pc.equal(right["kind"], k)) for k in (0, 1))
+        own = _joined(pairs, "numbers", np.float32).astype(np.float64)
+        counts = _joined(nodes, "counts", np.int64)
+        of_node = np.concatenate([np.frombuffer(x, np.float32).reshape(1 + 2 * SAMPLES, -1) for x in nodes["numbers"].to_pylist()], axis=1).astype(np.float64)
+        word, context = np.frombuffer(row["words"], np.int32), np.frombuffer(row["contexts"], np.int32)
+        p = own * of_node[0, context] + np.mean([of_node[1 + SAMPLES + s, context] * of_node[1 + s, word] for s in range(SAMPLES)], axis=0)
+        slots, sizes = np.frombuffer(row["slots"], np.int32), np.frombuffer(row["sizes"], np.int32)
+        at = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        add = lambda x: np.add.reduceat(x[slots], at)  # noqa: E731  every text has its end token
+        cols = [np.frombuffer(row["ids"], np.int64), sizes.astype(np.int64), add((counts[word] > 0).astype(np.int64)), add(np.log10((counts[word] + 1.0) / (n + v + 1.0))), add(np.log10(p))]
+        return pa.Table.from_arrays([pa.array(c) for c in cols], ["id", "n_tokens", "n_known", "base_score", "score"])
 
-def _gather(table: pa.Table) -> pa.Table:
-    ids = _joined(table, "ids", np.int64)
-    sums = np.concatenate([np.frombuffer(x, np.float64).reshape(4, -1) for x in table["sums"].to_pylist()], axis=1)
-    text, where = np.unique(ids, return_inverse=True)
-    cols = [np.bincount(where, weights=s, minlength=len(text)) for s in sums]
-    return pa.Table.from_arrays([pa.array(text), pa.array(cols[0].astype(np.int64)), pa.array(cols[1].astype(np.int64)), pa.array(cols[2]), pa.array(cols[3])], ["id", "n_tokens", "n_known", "base_score", "score"])
+    return run
 
 
 def score_documents(docs: DataFrame, id_col="doc_id", text_col="text", stage: Stage | None = None) -> DataFrame:
@@ -311,19 +386,27 @@ def score_documents(docs: DataFrame, id_col="doc_id", text_col="text", stage: St
 
     Trained on the texts whose crc32(id) mod 7 is not 2 (a null id trains); scores are log10 probabilities of whole texts, averaged
     predictive probabilities of the kept sweeps. Null text is empty and has one token, its end. Ids are integers; rows
-    with one id, or with none, are scored together as one. An empty table gives no rows. Reruns agree: draws are seeded by bucket and sweep.
+    with one id, or with none, are scored together as one. An empty table gives no rows. Draws are seeded by bucket and sweep.
     """
     stage = stage or Stage(docs.sparkSession, "lm")
     rows = only(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     total = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     buckets = max(16, -(-total // BUCKET_BYTES))
-    held_out = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    seats, shared = train(rows.filter(~held_out), buckets, stage)
-    packed = rows.mapInArrow(_pack_tokens(buckets, True), PACKED).groupBy("bucket")
-    parts = packed.cogroup(seats.groupBy("bucket")).applyInArrow(_score(shared, buckets), "part int, ids binary, sums binary")
-    parts = stage.table(parts, "parts")
-    out = parts.groupBy("part").applyInArrow(_gather, "id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
+    blocks = stage.table(rows.mapInArrow(_blocks, _ddl(BLOCKS)), "blocks")
+    seats, nodes, shared = train(blocks, buckets, stage)
+    kept = None
+    for s, one in enumerate(nodes):
+        one = one.filter("bucket = -1").select(F.col("node_bucket").alias("bucket"), F.lit(s).alias("sample"), "nodes", "sums", "tops")
+        kept = one if kept is None else kept.unionByName(one)
+    asked = blocks.select("block", "words", "contexts", "nodes")
+    pairs = asked.mapInArrow(_ask(buckets, True), _ddl(ASKED)).groupBy("bucket").cogroup(seats.groupBy("bucket")).applyInArrow(_tell_pairs, _ddl(TOLD))
+    words = asked.select("block", "nodes").mapInArrow(_ask(buckets, False), _ddl(ASKED)).groupBy("bucket").cogroup(kept.groupBy("bucket")).applyInArrow(_tell_nodes(shared), _ddl(TOLD))
+    told = stage.table(pairs.unionByName(words), "told")
+    held = blocks.select("block", "ids", "sizes", "slots", "words", "contexts")
+    sums = held.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_score(shared[-1].n, shared[-1].v), SCORES)
+    out = stage.table(sums, "sums").groupBy("id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
     out = out.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id")))
+    held_out = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     return out.select(
         F.col("id").alias("doc_id"), held_out.alias("held_out"), "n_tokens", "n_known", F.lit(shared[-1].n).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity")
     )
