@@ -1,12 +1,12 @@
 """Hierarchical Pitman-Yor language model (operator 3).
 
-Restaurants: one for each context, all sharing one unigram restaurant as parent, whose base is uniform over the vocabulary and one
+Restaurants: one for each previous word (and one for the start of a text), all sharing one unigram restaurant as parent, whose base is uniform over the vocabulary and one
 unknown word. A word's customers in a context open tables; each table is a customer of the parent.
 
 The corpus is tokenised once, into stored blocks of a bounded number of tokens. A block knows its distinct (context, word) pairs and its
 distinct words; only these travel, once for each block, so neither a frequent word nor a frequent pair makes a large group. Pairs are
 dealt to buckets by a hash of both; what is summed for a word, or for a context, is dealt by its own hash (a *node*).
-A Gibbs sweep takes each pair's customers out and seats them again, given all other tables of the sweep before: pair buckets send their nodes the
+A Gibbs sweep takes each pair's customers and tables out and seats the customers again, given all other tables of the sweep before: pair buckets send their nodes the
 tables, node buckets seat the unigram restaurant and answer with the totals. After the burn-in every sweep is kept, and scoring averages
 their predictive probabilities: blocks ask for their pairs and nodes, and add up their own texts.
 
@@ -26,7 +26,6 @@ from pyspark.sql import functions as F
 
 from .common import _BYTE, Stage, lower, mix, only, pack, ranged_hash, texts_of, word_spans
 
-CLASSES = 1024
 #: Discount and strength of the contexts and of the unigram restaurant; sweeps thrown away and kept.
 DISCOUNT, STRENGTH, DISCOUNT0, STRENGTH0 = 0.75, 5.0, 0.5, 100.0
 BURN_IN, SAMPLES = 2, 3
@@ -34,7 +33,7 @@ BURN_IN, SAMPLES = 2, 3
 ONE_BY_ONE = 8
 #: Text bytes for each bucket of pairs; tokens of a block (or those of one text, if it has more).
 BUCKET_BYTES, GATHERED = 16 << 20, 1_000_000
-END = np.uint64(0x5EED0E4D5EED0E4D)
+END, START = np.uint64(0x5EED0E4D5EED0E4D), np.uint64(0xA11CE5ED5EED57A7)
 NO_ID = np.iinfo(np.int64).min
 
 
@@ -44,8 +43,7 @@ def tokens(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     starts, ends = word_spans(text)
     coded = _BYTE[text]
     words = np.append(ranged_hash(coded, starts, ends), END)
-    suffix = ranged_hash(coded, np.maximum(starts, ends - 3), ends)
-    return words, mix(np.append(np.uint64(CLASSES), suffix % np.uint64(CLASSES)) + np.uint64(1))
+    return words, np.concatenate(([START], words[:-1]))
 
 
 def _key(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
@@ -166,22 +164,24 @@ def _seat_first(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([row], schema=_schema(**SEATS))
 
 
-def seat(customers: np.ndarray, mass: np.ndarray, discount: float, rng) -> np.ndarray:
-    """Tables after seating each group's customers one by one; the n-th opens a table with chance mass / (n - discount * tables + mass).
+def seat(customers: np.ndarray, mass: np.ndarray, discount: float, rng, slope: np.ndarray | float = 0.0) -> np.ndarray:
+    """Tables after seating each group's customers one by one; the n-th opens a table with chance m / (n - discount * tables + m),
+    where m = mass + slope * tables: what the group's own tables so far add to its mass.
 
     The first ``ONE_BY_ONE`` are drawn so. After them the wait for the next new table is drawn at once: an exponential draw is
     set against the integral of -log(1 - chance), which is solved by Newton's steps.
     """
     tables = np.ones(len(customers), dtype=np.int64)
+    slope = np.broadcast_to(slope, mass.shape)
     live = np.flatnonzero(customers > 1)
     for n in range(1, ONE_BY_ONE):
         live = live[customers[live] > n]
-        m = mass[live]
+        m = mass[live] + slope[live] * tables[live]
         tables[live] += rng.random(len(live)) * (n - discount * tables[live] + m) < m
     live = live[customers[live] > ONE_BY_ONE]
     seated = np.full(len(live), float(ONE_BY_ONE))
     while len(live):
-        m, off = np.maximum(mass[live], 1e-300), discount * tables[live] + 0.5
+        m, off = np.maximum(mass[live] + slope[live] * tables[live], 1e-300), discount * tables[live] + 0.5
         area = lambda y, m: (y + m) * np.log(y + m) - y * np.log(y)
         low, end = seated - off, customers[live] - off
         goal = area(low, m) + rng.exponential(size=len(live))
@@ -236,9 +236,9 @@ def _node_turn(shared: Shared | None, seed: int):
         if shared is not None:
             rng = np.random.default_rng([seed, 1, rows[0]["node_bucket"]])
             word = np.flatnonzero(sums[0])
-            mass = (STRENGTH0 + DISCOUNT0 * shared.tables) / (shared.v + 1.0)
+            others = shared.tables - tops[word]  # without the word's own tables
             tops = np.zeros(len(nodes), np.int64)
-            tops[word] = seat(sums[1][word], np.full(len(word), mass), DISCOUNT0, rng)
+            tops[word] = seat(sums[1][word], (STRENGTH0 + DISCOUNT0 * others) / (shared.v + 1.0), DISCOUNT0, rng, DISCOUNT0 / (shared.v + 1.0))
         known = [int(sums[0].sum()), int((sums[0] > 0).sum()), int(sums[1].sum()), int(tops.sum())]
         tops = tops.astype(np.int32)
         out = [{"node_bucket": rows[0]["node_bucket"], "bucket": -1, "nodes": pack(nodes), "sums": pack(sums), "tops": pack(tops), "known": known}]
@@ -259,8 +259,9 @@ def _pair_turn(shared: Shared, seed: int, keep: bool):
         tops = _joined(right, "tops", np.int32)
         word, context = np.frombuffer(row["words"], np.int32), np.frombuffer(row["contexts"], np.int32)
         customers, tables = np.frombuffer(row["customers"], np.int64), np.frombuffer(row["tables"], np.int32)
-        p = shared.parent(totals[0], tops)[word]
-        tables = seat(customers, (STRENGTH + DISCOUNT * totals[1][context]) * p, DISCOUNT, rng)
+        p = shared.parent(totals[0][word], tops[word], tables)  # without the pair's own tables
+        weight = STRENGTH + DISCOUNT * (totals[1][context] - tables)
+        tables = seat(customers, weight * p, DISCOUNT, rng, DISCOUNT * p + weight / (STRENGTH0 + shared.customers))
         if keep:
             row["summed"] = pack(np.frombuffer(row["summed"], np.float32) + tables.astype(np.float32))
         row["tables"], row["tops"] = pack(tables.astype(np.int32)), pack(tops)

@@ -15,3 +15,24 @@ def test_frequent_words_and_pairs_leave_a_block_once():
     assert sum(len(r["counts"]) // 4 for r in counted) == len(pairs)
     trained = lm._trains(np.arange(3000)).sum()
     assert sum(np.frombuffer(r["counts"], np.int32).sum() for r in counted) == trained * 6
+
+
+def test_contexts_are_whole_previous_words(spark):
+    """Two words with the same ending have different followers, and each text's follower is scored by its own."""
+    held = [i for i in range(1000) if not lm._trains(np.array([i]))[0]][:2]
+    free = [i for i in range(1000) if lm._trains(np.array([i]))[0]]
+    rows = [(i, "oneabc red" if n % 2 else "twoabc blue") for n, i in enumerate(free[:400])]
+    rows += [(held[0], "oneabc red"), (held[1], "oneabc blue")]
+    found = {r["doc_id"]: r["score"] for r in lm.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found[held[0]] > found[held[1]] + 1
+
+
+def test_seating_with_a_slope_agrees_with_seating_one_by_one():
+    n, mass, slope, discount, times = 200, 1.0, 0.3, 0.75, 2000
+    rng = np.random.default_rng(2)
+    at_once = lm.seat(np.full(times, n), np.full(times, mass), discount, rng, np.full(times, slope))
+    tables = np.ones(times)
+    for seated in range(1, n):
+        m = mass + slope * tables
+        tables += rng.random(times) < m / (seated - discount * tables + m)
+    assert abs(at_once.mean() / tables.mean() - 1) < 0.08
