@@ -2,7 +2,8 @@
 
 A text's features are byte n-grams of its lower-cased words, with word ends marked, and the words themselves, hashed into
 a fixed number of rows of an embedding matrix. The mean of a text's rows goes through a linear softmax; matrix and softmax are trained
-jointly (Adam, numpy) on a bounded sample of labelled rows. Misspellings share n-grams with known words.
+jointly (Adam, numpy) on a bounded sample of labelled rows. Misspellings share n-grams with known words. Against overfitting, rows
+met in few training texts are scaled down, by numbers of texts and not by shares: with more labels, rare words count more.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from .common import _BYTE, _SEP, lower, mix, only, pack, ranged_hash, texts_of,
 ROWS, WIDTH, GRAMS = 1 << 17, 8, (3, 5)
 #: Labelled rows that are used for training at most (the bound of the sample); all fewer are used.
 MOST_LABELLED = 8000
-#: Matrix rows met in a smaller share of the training texts stay zero: too rare to tell a class.
-LEAST_SHARE = 0.02
+#: A matrix row met in n training texts is scaled by n / (n + HALF_TEXTS), and stays zero if n is below LEAST_TEXTS.
+LEAST_TEXTS, HALF_TEXTS = 3, 10.0
 #: Zero rows added to each text's mean, so that one n-gram of a very short text does not decide alone.
 PADDING = 150
 STEPS, BATCH, RATE, SCALE = 360, 256, 0.01, 3000.0
@@ -91,8 +92,9 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> Model:
     prior = float(np.log(share / (1 - share)))
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(ROWS, np.float32), prior)
-    met = np.bincount(np.concatenate([b[0] for b in bags]), minlength=ROWS) >= max(2.0, LEAST_SHARE * len(bags))
-    bags = [(rows[met[rows]], shares[met[rows]], y) for rows, shares, y in bags]
+    met = np.bincount(np.concatenate([b[0] for b in bags]), minlength=ROWS)
+    scale = np.where(met >= LEAST_TEXTS, met / (met + HALF_TEXTS), 0.0).astype(np.float32)
+    bags = [(rows[on], shares[on] * scale[rows[on]], y) for rows, shares, y in bags for on in [scale[rows] > 0]]
     rng = np.random.default_rng(seed)
     params = {"E": rng.normal(0, 1e-3, (ROWS, WIDTH)).astype(np.float32), "U": rng.normal(0, 0.5, (WIDTH, 2)).astype(np.float32), "b": np.array([0.0, prior], np.float32)}
     first = {k: np.zeros_like(v) for k, v in params.items()}
@@ -126,7 +128,7 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> Model:
                 second[name][part] = v = 0.999 * second[name][part] + 0.001 * g * g
                 params[name][part] -= RATE * fix * m / (np.sqrt(v) + 1e-8)
     u = params["U"][:, 1] - params["U"][:, 0]
-    return Model(np.where(met, params["E"] @ u, 0.0).astype(np.float32), float(params["b"][1] - params["b"][0]))
+    return Model((scale * (params["E"] @ u)).astype(np.float32), float(params["b"][1] - params["b"][0]))
 
 
 def held_out(column, fold: int = 2, folds: int = 4):
