@@ -7,6 +7,7 @@ space and 0x09-0x0D, which is the same for bytes and for characters. Hashes are
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -106,12 +107,6 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _odd_powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser."""
     x = x ^ (x >> np.uint64(30))
@@ -121,17 +116,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_POW = {"up": _odd_powers(_BASE, 1 << 16), "down": _odd_powers(_BASE_INV, 1 << 16)}
+_STEP, _LONG_WORD = np.uint64(0x9E3779B97F4A7C15), 64
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POW["up"]) < n:
-        size = 1 << (n - 1).bit_length()
-        _POW.update(up=_odd_powers(_BASE, size), down=_odd_powers(_BASE_INV, size))
-    return _POW["up"], _POW["down"]
+def fold(h: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """One step of a hash over a sequence. Each step shifts down after it multiplies, so hashes are no polynomials and have none of their systematic collisions."""
+    h = (h ^ x) * _STEP
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
 
 
 def lower(buf: np.ndarray) -> np.ndarray:
@@ -147,18 +141,35 @@ def word_spans(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == -1), np.flatnonzero(step == 1)
 
 
-def ranged_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of values[start:end] for each range, from prefix sums of a polynomial mod 2**64."""
-    up, down = _powers(len(values) + 1)
-    sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * up[: len(values)], dtype=np.uint64, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the bytes of each span: eight bytes a step, and BLAKE2b for spans of more than 64 bytes."""
+    padded = np.zeros(len(buf) + 8, dtype=np.uint8)
+    padded[: len(buf)] = buf
+    eights = np.ndarray(len(buf) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    sizes = ends - starts
+    h = sizes.astype(np.uint64)
+    live, k = np.flatnonzero((sizes > 0) & (sizes <= _LONG_WORD)), 0
+    while len(live):
+        rest = sizes[live] - k
+        h[live] = fold(h[live], eights[starts[live] + k] & _LOW_BYTES[np.minimum(rest, 8)])
+        live, k = live[rest > 8], k + 8
+    for i in np.flatnonzero(sizes > _LONG_WORD).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return mix(h)
 
 
 def word_hashes(buf: np.ndarray) -> np.ndarray:
     """A 64-bit hash for each word of one text."""
-    starts, ends = word_spans(buf)
-    return ranged_hash(_BYTE[buf], starts, ends)
+    return span_hashes(buf, *word_spans(buf))
+
+
+def run_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each ``width`` consecutive values."""
+    n = len(words) - width + 1
+    h = np.full(max(0, n), width, dtype=np.uint64)
+    for k in range(width):
+        h = fold(h, words[k : k + n])
+    return mix(h)
 
 
 def shingle_set(buf: np.ndarray, k: int = 5) -> np.ndarray:
@@ -166,9 +177,7 @@ def shingle_set(buf: np.ndarray, k: int = 5) -> np.ndarray:
     words = word_hashes(lower(buf))
     if not len(words):
         return words
-    width = min(k, len(words))
-    at = np.arange(len(words) - width + 1)
-    return np.unique(ranged_hash(words, at, at + width))
+    return np.unique(run_hashes(words, min(k, len(words))))
 
 
 def pack(values: np.ndarray) -> bytes:

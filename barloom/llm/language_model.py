@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, Stage, lower, mix, only, pack, ranged_hash, texts_of, word_spans
+from .common import Stage, lower, mix, only, pack, texts_of, word_hashes
 
 #: Discount and strength of the contexts and of the unigram restaurant; sweeps thrown away and kept.
 DISCOUNT, STRENGTH, DISCOUNT0, STRENGTH0 = 0.75, 5.0, 0.5, 100.0
@@ -39,10 +39,7 @@ NO_ID = np.iinfo(np.int64).min
 
 def tokens(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(word hash, context hash) of each token of one text, its end included."""
-    text = lower(buf)
-    starts, ends = word_spans(text)
-    coded = _BYTE[text]
-    words = np.append(ranged_hash(coded, starts, ends), END)
+    words = np.append(word_hashes(lower(buf)), END)
     return words, np.concatenate(([START], words[:-1]))
 
 

@@ -8,9 +8,10 @@
    reaches the threshold (uniform prior, binomial matches) falls below the miss probability.
 4. Survivors are verified on their full shingle sets.
 
-A bucket of m texts does not give m**2 pairs: first every member meets the bucket's smallest id; then only pairs of
-members that are still in different components are compared and verified, block by block inside tasks, and only
-links that join components leave a task.
+A bucket of m texts does not give m**2 pairs: first every member meets the bucket's smallest id. Then members that can link with
+no other component are left out: a text whose shingles outside its own component are too few for the threshold. In buckets that still hold several
+components, members of the largest go to one block each, the others to every block, and pairs between different
+components are compared and verified inside tasks; only links that join components leave a task.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, blobs, mix, only, pack, shingle_set, texts_of
+from .common import Stage, blobs, lower, mix, only, pack, shingle_set, texts_of, word_spans
 from .components import components
 
 SHINGLE = 5
@@ -36,7 +37,7 @@ MISS = 1e-6
 LOOK = 16
 #: Bits of the filter that keeps texts without candidates from being shuffled (4 MB).
 FILTER_BITS = 1 << 25
-#: Members of a bucket that meet in one task at most; larger buckets are cut into blocks that meet pairwise.
+#: Members of a bucket that have their place in one task at most; larger buckets are cut into blocks.
 BLOCK = 256
 
 
@@ -84,7 +85,7 @@ def _sketches(hashes: int):
                 n.append(len(shingles))
                 digest.append(hashlib.sha256(pack(shingles)).digest()[:16] if len(shingles) else None)
                 sig.append(pack(signature(shingles, hashes)) if len(shingles) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), blobs(digest), blobs(sig)], ["id", "n", "digest", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n, pa.int64()), blobs(digest), blobs(sig)], ["id", "mark", "n", "digest", "sig"])
 
     return run
 
@@ -155,26 +156,41 @@ def _find(parent: dict, x: int) -> int:
     return x
 
 
+def shingle_words(buf: np.ndarray) -> set[tuple[bytes, ...]]:
+    """The shingles themselves."""
+    raw, (starts, ends) = lower(buf).tobytes(), word_spans(buf)
+    words = [raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    width = min(SHINGLE, len(words))
+    return set(zip(*(words[k : len(words) - width + 1 + k] for k in range(width)), strict=True))
+
+
+def linked(x: np.ndarray, y: np.ndarray, share: tuple[int, int]) -> bool:
+    """Whether the similarity of two texts' shingle sets, word by word, reaches the share."""
+    a, b = shingle_words(x), shingle_words(y)
+    both = len(a & b)
+    return bool(a and b) and share[1] * both >= share[0] * (len(a) + len(b) - both)
+
+
 def _block_links(need, share):
-    """Rows (key, i, j, block, id, comp, hub, n, sig, text), those of a (key, i, j) together -> links between different components.
+    """Rows (key, block, id, comp, hub, minor, home, n, sig, text), those of a (key, block) together -> links between different components.
 
-    Every pair is looked at in the first band that it shares; survivors are verified on their full sets, and of the links that join the same
-    two components one is returned.
+    ``home`` rows belong to the block; ``minor`` ones, which are not in the bucket's largest component, are in every block. Each minor row meets
+    the block's own rows, in the first band that the two share; survivors are verified on their full sets, and of the links that join the same
+    two components one is confirmed word by word and returned.
     """
 
     def compare(rows: list[tuple]) -> list[tuple[int, int]]:
-        i, j, hub = rows[0][1], rows[0][2], rows[0][6]
-        rows = [r for r in rows if r[4] != hub]  # the star has met the hub
-        if len({r[5] for r in rows}) < 2:
+        rows = [r for r in rows if r[2] != r[4]]  # the star has met the hub
+        if len({r[3] for r in rows}) < 2:
             return []
-        ids, comp, block = (np.array([r[k] for r in rows]) for k in (4, 5, 3))
+        ids, comp, minor, home, sizes = (np.array([r[k] for r in rows]) for k in (2, 3, 5, 6, 7))
         sigs = np.stack([np.frombuffer(r[8], np.uint32) for r in rows])
-        sizes = np.array([r[7] for r in rows])
         grouped = sigs.reshape(len(rows), -1, BAND_ROWS)
         band = _band_of(grouped, rows[0][0])
         found: list[tuple[int, int]] = []
-        for x in np.flatnonzero(block == i):
-            others = np.flatnonzero((block == j) & (comp != comp[x]) & ((ids > ids[x]) if i == j else True))
+        for x in np.flatnonzero(minor):
+            others = np.flatnonzero(home & (comp != comp[x]) & (~minor | (ids < ids[x])))
+            others = others[np.minimum(sizes[others], sizes[x]) * share[1] >= np.maximum(sizes[others], sizes[x]) * share[0]]
             if band and len(others):
                 others = others[~(grouped[others, :band] == grouped[x, :band]).all(axis=2).any(axis=1)]
             if len(others):
@@ -192,7 +208,7 @@ def _block_links(need, share):
             n = both[place[x], place[y]]
             if share[1] * n >= share[0] * (sizes[x] + sizes[y] - n):
                 a, b = _find(parent, int(comp[x])), _find(parent, int(comp[y]))
-                if a != b:
+                if a != b and linked(np.frombuffer(rows[x][9], np.uint8), np.frombuffer(rows[y][9], np.uint8), share):
                     parent[a] = b
                     out.append((int(ids[x]), int(ids[y])))
         return out
@@ -206,7 +222,7 @@ def _block_links(need, share):
         for batch in batches:
             links = []
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and row[:3] != held[0][:3]:
+                if held and row[:2] != held[0][:2]:
                     links += compare(held)
                     held = []
                 held.append(row)
@@ -230,6 +246,25 @@ def _band_of(grouped: np.ndarray, key: int) -> int:
     return next((b for b in range(grouped.shape[1]) if band_keys(one, b)[0] == key), 0)
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, comp, text) -> a row for each shingle of the text: id is the shingle, of the text it is in."""
+    for batch in batches:
+        for own, comp, buf in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), strict=True):
+            found = shingle_set(buf, SHINGLE).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(np.full(len(found), own, np.int64)), pa.array(np.full(len(found), comp, np.int64))], ["id", "of", "comp"])
+
+
+def able(members: DataFrame, texts: DataFrame, share: tuple[int, int], stage: Stage) -> DataFrame:
+    """members(id, comp, n), one row an id -> ids of those that may link with another component: at least ``share`` of their shingles
+    are in texts of other components too. Exact: no text left out has such a link. A shingle's row count never meets in one task."""
+    rows = members.join(texts, "id").select("id", "comp", "text").mapInArrow(_shingle_rows, "id bigint, of bigint, comp bigint")
+    rows = stage.table(rows, "shingles")
+    common = rows.groupBy("id").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("id")
+    shared = may_hold(rows, stage.table(common, "common")).groupBy("of").agg(F.count(F.lit(1)).alias("shared"))
+    kept = members.join(shared.withColumnRenamed("of", "id"), "id").filter(F.col("shared") * share[1] >= F.col("n") * share[0])
+    return stage.table(kept.select("id"), "able")
+
+
 def may_hold(rows: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows whose id is among ``ids``, and few others while ids are few against FILTER_BITS: a filter of fixed size, broadcast as 4-KB bitmaps."""
     at = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(FILTER_BITS))
@@ -243,32 +278,23 @@ def may_hold(rows: DataFrame, ids: DataFrame) -> DataFrame:
 def _exact(share: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(texts_of(batch.column("text_a")), texts_of(batch.column("text_b")), strict=True):
-                a, b = shingle_set(x, SHINGLE), shingle_set(y, SHINGLE)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(share[1] * both >= share[0] * (len(a) + len(b) - both))
+            keep = [linked(x, y, share) for x, y in zip(texts_of(batch.column("text_a")), texts_of(batch.column("text_b")), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(keep, pa.bool_())), batch.column("b").filter(pa.array(keep, pa.bool_()))], ["a", "b"])
 
     return run
 
 
-def near_groups(docs: DataFrame, id_col="doc_id", text_col="text", share: tuple[int, int] = (80, 100), miss: float = MISS, stage: Stage | None = None) -> DataFrame:
-    """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
-
-    Two texts are linked when share[1] * |A & B| >= share[0] * |A | B| over their shingle sets. component_id is the smallest id
-    reachable over links; kept marks that row. Null and wordless texts have an empty set and are linked with nothing; a text of
-    fewer than five words has one shingle. Rows with a null id are linked with nothing and kept. Rows repeated with one id are
-    one text of that id. Ids are integers. An empty table gives no rows.
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str, share: tuple[int, int], miss: float, stage: Stage | None) -> DataFrame:
+    """near_groups with ``mark``, a hash of the row's text."""
     stage = stage or Stage(docs.sparkSession, "near")
     similarity = share[0] / share[1]
     bands = bands_for(similarity, miss)
     hashes = bands * BAND_ROWS
     need = least_matches(similarity, hashes, miss)
     texts = only(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    sketches = stage.table(texts.mapInArrow(_sketches(hashes), "id bigint, n bigint, digest binary, sig binary"), "sketches")
-    rows = stage.table(sketches.select("id", "n", "digest"), "sizes")
+    marked = texts.withColumn("mark", F.xxhash64("text"))
+    sketches = stage.table(marked.mapInArrow(_sketches(hashes), "id bigint, mark bigint, n bigint, digest binary, sig binary"), "sketches")
+    rows = stage.table(sketches.select("id", "mark", "n", "digest"), "sizes")
     groups = rows.filter("id is not null and digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     groups = stage.table(groups, "groups")
     reps = sketches.join(groups.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi").select("id", "n", "sig")
@@ -301,30 +327,49 @@ def near_groups(docs: DataFrame, id_col="doc_id", text_col="text", share: tuple[
     # what the stars leave open: buckets with members in different components
     inside = members.filter("m > 2").join(parts, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
     inside = stage.table(inside, "inside")
-    open_keys = inside.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
-    open_keys = stage.table(open_keys, "open")
-    left = inside.join(open_keys, "key", "left_semi")
+
+    def open_rows(rows: DataFrame) -> DataFrame:
+        open_keys = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("m")).filter("low < high").select("key", "m")
+        return rows.drop("m").join(stage.table(open_keys, "open"), "key")
+
+    left = stage.table(open_rows(inside), "left")
+    whole = left.select("id", "comp").distinct().join(sigs.select("id", "n"), "id")
+    left = stage.table(open_rows(left.join(able(stage.table(whole, "whole"), some, share, stage), "id")), "left")
+    largest = left.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("size")).groupBy("key").agg(F.max_by("comp", F.struct("size", "comp")).alias("largest"))
+    left = left.join(stage.table(largest, "largest"), "key").withColumn("minor", F.col("comp") != F.col("largest"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    left = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.col("blocks")).cast("int"))
-    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, F.col("block")).alias("i"), F.greatest(k, F.col("block")).alias("j")))
-    left = left.withColumn("meet", F.explode(meets)).select("key", "meet.i", "meet.j", "block", "id", "comp", "hub")
-    left = left.join(sigs, "id").join(some.withColumn("text", F.col("text").cast("binary")), "id").select("key", "i", "j", "block", "id", "comp", "hub", "n", "sig", "text")
-    left = left.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    own = F.pmod(F.xxhash64("id", F.lit(3)), blocks).cast("int")
+    visits = F.explode(F.when(F.col("minor"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own)))
+    left = left.select("key", "id", "comp", "hub", "minor", own.alias("own"), visits.alias("block"))
+    left = left.join(sigs, "id").join(some.withColumn("text", F.col("text").cast("binary")), "id")
+    left = left.select("key", "block", "id", "comp", "hub", "minor", (F.col("block") == F.col("own")).alias("home"), "n", "sig", "text")
+    left = left.repartition("key", "block").sortWithinPartitions("key", "block")
     more = left.mapInArrow(_block_links(need, share), "a bigint, b bigint")
     links = links.unionByName(stage.table(more, "links"))
     parts = components(stage.table(links, "links"), stage)
     copies = groups.filter("copies > 1").select("digest", "rep")
-    out = rows.select("id", "n", "digest").join(copies, "digest", "left").withColumn("rep", F.coalesce("rep", "id"))
-    out = stage.table(out.select("id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep")), "reps_of")
+    out = rows.join(copies, "digest", "left").withColumn("rep", F.coalesce("rep", "id"))
+    out = stage.table(out.select("id", "mark", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep")), "reps_of")
     out = out.join(parts.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"), "mark")
+
+
+def near_groups(docs: DataFrame, id_col="doc_id", text_col="text", share: tuple[int, int] = (80, 100), miss: float = MISS, stage: Stage | None = None) -> DataFrame:
+    """One row for each row of ``docs``: doc_id, n_shingles, component_id, kept.
+
+    Two texts are linked when share[1] * |A & B| >= share[0] * |A | B| over their shingle sets. component_id is the smallest id
+    reachable over links; kept marks that row. Null and wordless texts have an empty set and are linked with nothing; a text of
+    fewer than five words has one shingle. Rows with a null id are linked with nothing and kept. Different texts under one id are
+    judged each by its own links, and join the components that they link with. Ids are integers. An empty table gives no rows.
+    """
+    return _grouped(docs, id_col, text_col, share, miss, stage).drop("mark")
 
 
-def drop_near_copies(docs: DataFrame, id_col="doc_id", text_col="text", **options) -> DataFrame:
-    """``docs`` without the rows that another text of their component replaces."""
-    gone = near_groups(docs, id_col, text_col, **options).filter("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+def drop_near_copies(docs: DataFrame, id_col="doc_id", text_col="text", share: tuple[int, int] = (80, 100), miss: float = MISS, stage: Stage | None = None) -> DataFrame:
+    """``docs`` without the rows that another text of their component replaces; rows are told apart by id and text."""
+    gone = _grouped(docs, id_col, text_col, share, miss, stage).filter("not kept").select(F.col("doc_id").alias("__gone"), F.col("mark").alias("__mark")).distinct()
+    return docs.join(gone, (docs[id_col] == gone["__gone"]) & (F.xxhash64(docs[text_col]) == gone["__mark"]), "left_anti")
 
 
 def op1_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -4,10 +4,11 @@ Every text is parsed by rounds of recompression: runs of one symbol become a sym
 taken from each symbol's name says which symbols may stand left and which right. A name is the 64-bit hash of what it replaces, so all
 tasks name runs and pairs alike without exchanging tables, and equal substrings get equal symbols except near
 their ends. Each symbol carries the word range that its making looked at; inside a window that covers this range it is certain to appear.
+Rounds go on until a mean symbol spans about a third of a window, so that shared symbols tell of long repeats and seldom of phrases.
 
 Each window of ``WIDTH`` words is represented by the least-named certain symbol of the highest level that has one. Symbols
 that represent windows of one text only reveal no repeat and go; windows behind shared symbols are compared by
-the hash of all their words with the smallest id that holds the same window.
+a 128-bit digest (BLAKE2b) of all their words with the smallest id that holds the same window.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, mix, only, ranged_hash, texts_of, word_hashes, word_spans
+from .common import Stage, mix, only, span_hashes, texts_of, word_spans
 
-WIDTH, ROUNDS = 50, 4
+WIDTH, ROUNDS = 50, 10
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 _FAR = 1 << 40
 
@@ -119,7 +120,19 @@ def representatives(words: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray,
     return key[cut], cut, np.concatenate((cut[1:], [n])) - 1
 
 
-ROW = pa.struct([("key", pa.int64()), ("whole", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+ROW = pa.struct([("key", pa.int64()), ("whole", pa.int64()), ("whole2", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+
+
+def digests(raw: bytes, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The 128-bit digest, as two longs, of the words first..last - 1 of each range, one space between them."""
+    gaps = ends[:-1] + 1 == starts[1:]
+    if not gaps.all() or (np.frombuffer(raw, np.uint8)[ends[:-1]] != 32).any():
+        sizes = ends - starts
+        raw, starts = b" ".join([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
+        ends = starts + sizes
+    view = memoryview(raw)
+    found = [hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(starts[first].tolist(), ends[last - 1].tolist(), strict=True)]
+    return np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
 
 
 def kept_text(raw: bytes, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray | None = None) -> bytes:
@@ -131,15 +144,15 @@ def kept_text(raw: bytes, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n_words, sha, sizes, cols = [], [], [0], [[], [], [], []]
+        n_words, sha, sizes, cols = [], [], [0], [[], [], [], [], []]
         for buf in texts_of(batch.column(1)):
             starts, ends = word_spans(buf)
-            words = word_hashes(buf)
+            words, raw = span_hashes(buf, starts, ends), buf.tobytes()
             n_words.append(len(words))
-            sha.append(hashlib.sha256(kept_text(buf.tobytes(), starts, ends)).hexdigest())
+            sha.append(hashlib.sha256(kept_text(raw, starts, ends)).hexdigest())
             key, lo, hi = representatives(words)
-            whole = ranged_hash(words, lo, hi + WIDTH) if len(key) else key
-            for col, values in zip(cols, (key.view(np.int64), whole.view(np.int64), lo.astype(np.int32), hi.astype(np.int32)), strict=True):
+            whole = digests(raw, starts, ends, lo, hi + WIDTH)
+            for col, values in zip(cols, (key.view(np.int64), whole[:, 0], whole[:, 1], lo.astype(np.int32), hi.astype(np.int32)), strict=True):
                 col.append(values)
             sizes.append(sizes[-1] + len(key))
         flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
@@ -149,17 +162,17 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of the windows in the ranges (column ``checks``) of each text."""
+    """Digests of the windows in the ranges (column ``checks``) of each text."""
     for batch in batches:
         ids, keys, places = [], [], []
         for i, buf, checks in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            words = word_hashes(buf)
             at = np.concatenate([np.arange(c["lo"], c["hi"] + 1) for c in checks])
-            keys.append(ranged_hash(words, at, at + WIDTH).view(np.int64))
+            keys.append(digests(buf.tobytes(), *word_spans(buf), at, at + WIDTH))
             ids.append(np.full(len(at), i, dtype=np.int64))
             places.append(at.astype(np.int32))
         if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(places))], ["id", "window", "at"])
+            both = np.concatenate(keys)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.concatenate(places))], ["id", "window", "window2", "at"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,25 +204,25 @@ def repeats(docs: DataFrame, id_col="doc_id", text_col="text", stage: Stage | No
     """
     stage = stage or Stage(docs.sparkSession, "substring")
     texts = only(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    facts = texts.mapInArrow(_facts, "id bigint, n_words bigint, sha string, rows array<struct<key:bigint,whole:bigint,lo:int,hi:int>>")
+    facts = texts.mapInArrow(_facts, "id bigint, n_words bigint, sha string, rows array<struct<key:bigint,whole:bigint,whole2:bigint,lo:int,hi:int>>")
     facts = stage.table(facts, "facts")
     rows = facts.filter("id is not null").select("id", F.inline("rows"))
     named = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), (F.min("whole") < F.max("whole")).alias("mixed"))
     shared = stage.table(named.filter("first < last").select("key", "mixed"), "shared")
     rows = stage.table(rows.join(shared, "key"), "rows")
     # equal ranges behind one symbol: only the smallest id's needs a look at single windows
-    firsts = stage.table(rows.groupBy("key", "whole").agg(F.min("id").alias("first")), "firsts")
-    marked = rows.join(firsts, ["key", "whole"]).select("id", "lo", "hi", (F.col("id") > F.col("first")).alias("gone"), "mixed")
+    firsts = stage.table(rows.groupBy("key", "whole", "whole2").agg(F.min("id").alias("first")), "firsts")
+    marked = rows.join(firsts, ["key", "whole", "whole2"]).select("id", "lo", "hi", (F.col("id") > F.col("first")).alias("gone"), "mixed")
     marked = stage.table(marked.filter("gone or mixed"), "marked")
     span = F.struct("lo", "hi")
     per_text = marked.groupBy("id").agg(F.collect_list(F.when(F.col("gone"), span)).alias("gone"), F.collect_list(F.when(~F.col("gone"), span)).alias("checks"))
     some = stage.table(texts.join(per_text, "id"), "texts")
     stage.drop(rows, firsts)
-    checks = some.filter(F.size("checks") > 0).select("id", "text", "checks").mapInArrow(_windows, "id bigint, window bigint, at int")
+    checks = some.filter(F.size("checks") > 0).select("id", "text", "checks").mapInArrow(_windows, "id bigint, window bigint, window2 bigint, at int")
     checks = stage.table(checks, "windows")
-    least = checks.groupBy("window").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("window", "first")
+    least = checks.groupBy("window", "window2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("window", "window2", "first")
     least = stage.table(least, "least")
-    late = checks.join(least, "window").filter("id > first").select("id", "at")
+    late = checks.join(least, ["window", "window2"]).filter("id > first").select("id", "at")
     late = stage.table(late.groupBy("id").agg(F.collect_list(F.struct(F.col("at").alias("lo"), F.col("at").alias("hi"))).alias("more")), "late")
     changed = some.join(late, "id", "left").filter("size(gone) > 0 or more is not null").select("id", "text", "gone", "more")
     cut = "id bigint, n_words bigint, n_removed bigint, kept string, spans array<struct<lo:int,hi:int>>"

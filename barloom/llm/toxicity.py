@@ -1,6 +1,6 @@
 """Toxicity by subword-bag embeddings (operator 5).
 
-A text's features are byte n-grams of its lower-cased words, with word ends marked, and the words themselves, hashed into
+A text's features are character n-grams of its lower-cased words, with word ends marked, and the words themselves, hashed into
 a fixed number of rows of an embedding matrix. The mean of a text's rows goes through a linear softmax; matrix and softmax are trained
 jointly (Adam, numpy) on a bounded sample of labelled rows. Misspellings share n-grams with known words. Against overfitting, rows
 met in few training texts are scaled down, by numbers of texts and not by shares: with more labels, rare words count more.
@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _SEP, lower, mix, only, pack, ranged_hash, texts_of, word_spans
+from .common import _SEP, lower, only, pack, span_hashes, texts_of, word_spans
 
-#: Rows of the embedding matrix, its width, and the n-gram lengths in bytes.
-ROWS, WIDTH, GRAMS = 1 << 17, 8, (3, 5)
+#: Rows of the embedding matrix, its width, and the n-gram lengths in characters.
+ROWS, WIDTH, GRAMS = 1 << 17, 8, (3, 4, 5)
 #: Labelled rows that are used for training at most (the bound of the sample); all fewer are used.
 MOST_LABELLED = 8000
 #: A matrix row met in n training texts is scaled by n / (n + HALF_TEXTS), and stays zero if n is below LEAST_TEXTS.
@@ -27,7 +27,6 @@ LEAST_TEXTS, HALF_TEXTS = 3, 10.0
 PADDING = 150
 STEPS, BATCH, RATE, SCALE = 360, 256, 0.01, 3000.0
 THRESHOLD = 0.3
-_FACTORS = mix(np.arange(11, 11 + 8, dtype=np.uint64)) | np.uint64(1)
 
 
 def folded(buf: np.ndarray) -> np.ndarray:
@@ -45,21 +44,15 @@ def features(buf: np.ndarray) -> np.ndarray:
     text = np.full(len(buf) + 2, 32, dtype=np.uint8)
     text[1:-1] = folded(buf)
     text[_SEP[text]] = 32
-    gap = np.zeros(len(text) + 1, dtype=np.int32)
-    np.cumsum(text == 32, out=gap[1:])
-    coded = _BYTE[text]
+    at = np.flatnonzero((text & 0xC0) != 0x80)  # where characters start
+    gap = np.concatenate(([0], np.cumsum(text[at] == 32)))
+    at = np.append(at, len(text))
     found = []
     for n in GRAMS:
-        m = len(text) - n + 1
-        if m < 1:
-            continue
-        at = np.flatnonzero(gap[n - 1 : n - 1 + m] == gap[1 : 1 + m])  # no gap strictly inside
-        h = coded[at] * _FACTORS[0]
-        for k in range(1, n):
-            h += coded[at + k] * _FACTORS[k]
-        found.append(mix(h + np.uint64(n)))
-    starts, ends = word_spans(text)
-    found.append(ranged_hash(coded, starts, ends))
+        m = max(0, len(at) - n)
+        some = np.flatnonzero(gap[n - 1 : n - 1 + m] == gap[1 : 1 + m])  # no gap strictly inside
+        found.append(span_hashes(text, at[some], at[some + n]))
+    found.append(~span_hashes(text, *word_spans(text)))
     return (np.concatenate(found) & np.uint64(ROWS - 1)).astype(np.int64)
 
 
@@ -73,6 +66,34 @@ def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.binary()), pa.array(counts, pa.binary())], ["id", "label", "rows", "shares"])
 
 
+class Bags:
+    """Labelled texts in packed arrays: text i has the matrix rows ``rows[at[i]:at[i + 1]]`` with their shares."""
+
+    def __init__(self, rows: np.ndarray, shares: np.ndarray, sizes: np.ndarray, labels: np.ndarray):
+        self.rows, self.shares, self.labels = rows, shares, labels
+        self.at = np.concatenate(([0], np.cumsum(sizes)))
+
+    @classmethod
+    def of(cls, texts: list[tuple[np.ndarray, np.ndarray, int]]) -> Bags:
+        none = [(np.zeros(0, np.int32), np.zeros(0, np.float32), 0)]
+        rows, shares = (np.concatenate([t[k] for t in texts or none]) for k in (0, 1))
+        return cls(rows, shares, np.array([len(t[0]) for t in texts], dtype=np.int64), np.array([t[2] for t in texts], dtype=np.int64))
+
+    def weighted(self, scale: np.ndarray) -> Bags:
+        """Shares times the scale of their row, without rows of scale 0."""
+        on = scale[self.rows] > 0
+        kept = np.concatenate(([0], np.cumsum(on)))[self.at]
+        rows = self.rows[on]
+        return Bags(rows, self.shares[on] * scale[rows], np.diff(kept), self.labels)
+
+    def batch(self, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, shares, sizes and labels of the given texts, those without rows left out."""
+        sizes = self.at[texts + 1] - self.at[texts]
+        texts, sizes = texts[sizes > 0], sizes[sizes > 0]
+        place = np.repeat(self.at[texts] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return self.rows[place], self.shares[place], sizes, self.labels[texts]
+
+
 class Model:
     """Scalar of each matrix row after the softmax (its two logits' difference), and the bias."""
 
@@ -85,43 +106,38 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -30.0, 30.0)))
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> Model:
-    """Train on (rows, shares, label) triples. With one class only, or none, the score is that class's smoothed share."""
-    labels = np.array([b[2] for b in bags], dtype=np.int64)
+def fit(bags: Bags, seed: int = 7) -> Model:
+    """Train on labelled bags. With one class only, or none, the score is that class's smoothed share."""
+    labels = bags.labels
     share = (labels.sum() + 0.5) / (len(labels) + 1.0) if len(labels) else 0.5
     prior = float(np.log(share / (1 - share)))
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(ROWS, np.float32), prior)
-    met = np.bincount(np.concatenate([b[0] for b in bags]), minlength=ROWS)
+    met = np.bincount(bags.rows, minlength=ROWS)
     scale = np.where(met >= LEAST_TEXTS, met / (met + HALF_TEXTS), 0.0).astype(np.float32)
-    bags = [(rows[on], shares[on] * scale[rows[on]], y) for rows, shares, y in bags for on in [scale[rows] > 0]]
+    bags = bags.weighted(scale)
     rng = np.random.default_rng(seed)
     params = {"E": rng.normal(0, 1e-3, (ROWS, WIDTH)).astype(np.float32), "U": rng.normal(0, 0.5, (WIDTH, 2)).astype(np.float32), "b": np.array([0.0, prior], np.float32)}
     first = {k: np.zeros_like(v) for k, v in params.items()}
     second = {k: np.zeros_like(v) for k, v in params.items()}
     step = 0
     while step < STEPS:
-        order = rng.permutation(len(bags))
+        order = rng.permutation(len(labels))
         for lo in range(0, len(order), BATCH):
-            some = [bags[i] for i in order[lo : lo + BATCH] if len(bags[i][0])]
+            rows, shares, sizes, y = bags.batch(order[lo : lo + BATCH])
             step += 1
-            if not some:
+            if not len(y):
                 continue
-            y = np.array([b[2] for b in some])
-            rows, shares = np.concatenate([b[0] for b in some]), np.concatenate([b[1] for b in some])
-            sizes = np.array([len(b[0]) for b in some])
-            doc = np.repeat(np.arange(len(some)), sizes)
-            at = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-            hidden = SCALE * np.add.reduceat(params["E"][rows] * shares[:, None], at, axis=0)
-            logits = hidden @ params["U"] + params["b"]
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(y)), y] -= 1.0
-            p /= len(y)
-            back = SCALE * (p @ params["U"].T)
-            grads = {"U": hidden.T @ p, "b": p.sum(axis=0)}
-            used, slot = np.unique(rows, return_inverse=True)
-            grad = np.stack([np.bincount(slot, weights=back[doc, k] * shares, minlength=len(used)) for k in range(WIDTH)], axis=1).astype(np.float32)
+            # two classes: all gradients follow from each row's share of the errors
+            apart = params["U"][:, 1] - params["U"][:, 0]
+            z = SCALE * np.add.reduceat((params["E"] @ apart)[rows] * shares, np.concatenate(([0], np.cumsum(sizes)[:-1])))
+            error = (1.0 / (1.0 + np.exp(-np.clip(z + params["b"][1] - params["b"][0], -30.0, 30.0))) - y) / len(y)
+            felt = SCALE * np.bincount(rows, weights=np.repeat(error, sizes) * shares, minlength=ROWS)
+            used = np.flatnonzero(felt)
+            felt = felt[used].astype(np.float32)
+            to_u = felt @ params["E"][used]
+            grads = {"U": np.stack([-to_u, to_u], axis=1), "b": np.array([-error.sum(), error.sum()])}
+            grad = felt[:, None] * apart
             fix = np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for name, g, part in (("U", grads["U"], slice(None)), ("b", grads["b"], slice(None)), ("E", grad, used)):
                 first[name][part] = m = 0.9 * first[name][part] + 0.1 * g
@@ -136,19 +152,22 @@ def held_out(column, fold: int = 2, folds: int = 4):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="toxic", most: int = MOST_LABELLED) -> Model:
-    """Fit on labelled rows outside the held-out fold: the ``most`` first by a hash of their id.
+    """Fit on labelled rows outside the held-out fold: the ``most`` first by a hash of their id. Their whole texts are used.
 
-    Null labels are left out; a document labelled more than once counts as toxic if one label says so.
+    The fold is taken from the id written as text (crc32 mod 4 is not 2), whatever its type. Null ids and null labels are left out;
+    a document labelled more than once counts as toxic if one label says so. Without usable labels every score is the smoothed share.
     """
     known = only(labels, id=id_col, label=label_col).filter("id is not null and label is not null")
     known = known.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max(F.col("label").cast("int")).alias("label"))
     known = known.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(most)
     rows = only(docs, id=id_col, text=text_col).join(F.broadcast(known), "id").select("id", "text", "label")
     kind = rows.schema["id"].dataType.simpleString()
-    got = rows.mapInArrow(_bags, f"id {kind}, label int, rows binary, shares binary").toArrow()
-    got = got.sort_by("id")
-    cut = zip(got["rows"].to_pylist(), got["shares"].to_pylist(), got["label"].to_pylist(), strict=True)
-    return fit([(np.frombuffer(r, np.int32), np.frombuffer(s, np.float32), y) for r, s, y in cut])
+    got = rows.mapInArrow(_bags, f"id {kind}, label int, rows binary, shares binary").toArrow().sort_by("id")
+    packed = [np.frombuffer(b"".join(c.as_py() for c in got[name]), np_kind) for name, np_kind in (("rows", np.int32), ("shares", np.float32))]
+    sizes = np.array([len(c.as_buffer()) // 4 for c in got["rows"]], dtype=np.int64)
+    labels_of = got["label"].to_numpy().astype(np.int64)
+    del got
+    return fit(Bags(*packed, sizes, labels_of))
 
 
 def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", threshold: float = THRESHOLD) -> DataFrame:

@@ -1,14 +1,16 @@
 """Operators 1, 2, 7 and 9 against brute force, on tables with nulls, copies, ties and clashing columns."""
 
 import hashlib
+import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from compare import differences
 from pyspark.sql import functions as F
 
-from barloom.llm import exact_dedup, line_dedup, near_dedup, substring_dedup
+from barloom.llm import common, exact_dedup, line_dedup, near_dedup, substring_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -34,18 +36,20 @@ def clashing(df):
     return df.withColumns({n: F.lit("x") for n in names})
 
 
-def test_near_dedup_equals_brute_force(spark, docs):
-    found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_groups(clashing(docs), share=(85, 100)).collect()}
+def shingle_sets(rows) -> dict:
     sets = {}
-    for r in docs.collect():
-        words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or ""))
+    for i, text in rows:
+        words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
         k = min(5, len(words))
-        sets[r["doc_id"]] = {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if words else set()
-    by, parent = defaultdict(list), {i: i for i in sets}
+        sets[i] = {tuple(words[x : x + k]) for x in range(len(words) - k + 1)} if words else set()
+    return sets
+
+
+def brute_components(sets: dict, share: int) -> dict:
+    by, both, parent = defaultdict(list), defaultdict(int), {i: i for i in sets}
     for i, s in sets.items():
         for x in s:
             by[x].append(i)
-    both = defaultdict(int)
     for ids in by.values():
         for x, a in enumerate(ids):
             for b in ids[x + 1 :]:
@@ -53,14 +57,57 @@ def test_near_dedup_equals_brute_force(spark, docs):
 
     def root(x):
         while parent[x] != x:
-            x = parent[x]
+            parent[x] = x = parent[parent[x]]
         return x
 
     for (a, b), n in both.items():
-        if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n):
+        if 100 * n >= share * (len(sets[a]) + len(sets[b]) - n):
             lo, hi = sorted((root(a), root(b)))
             parent[hi] = lo
-    assert found == {i: (len(s), root(i), root(i) == i) for i, s in sets.items()}
+    return {i: root(i) for i in sets}
+
+
+def test_near_dedup_equals_brute_force(spark, docs):
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_groups(clashing(docs), share=(85, 100)).collect()}
+    sets = shingle_sets((r["doc_id"], r["text"]) for r in docs.collect())
+    roots = brute_components(sets, 85)
+    assert found == {i: (len(s), roots[i], roots[i] == i) for i, s in sets.items()}
+
+
+def test_large_group_around_the_threshold(spark):
+    """1,200 edited copies of one text: buckets of more than a block, copies with and without links to others."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for i in range(1200):
+        words = list(base)
+        for at in rng.sample(range(80), rng.choice((0, 1, 1, 2, 2, 3, 3, 4))):
+            words[at] = f"x{i}_{at}"
+        texts.append((i, " ".join(words)))
+    rng.shuffle(texts)
+    rows = spark.createDataFrame(texts, "doc_id bigint, text string").repartition(8)
+    roots = brute_components(shingle_sets(texts), 80)
+    assert {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(rows).collect()} == roots
+    assert 10 < len(set(roots.values())) < 1200
+
+
+def thue_morse(turn: int, n: int = 1024) -> str:
+    return "".join("ab"[(bin(i).count("1") + turn) % 2] for i in range(n))
+
+
+def test_words_that_collide_under_a_polynomial_modulo_2_64_are_different(spark):
+    pair = [(1, thue_morse(0)), (2, thue_morse(1))]
+    rows = spark.createDataFrame(pair, "doc_id bigint, text string")
+    assert all(r["kept"] for r in near_dedup.near_groups(rows).collect())
+    long = spark.createDataFrame([(i, " ".join([t] * 60)) for i, t in pair], "doc_id bigint, text string")
+    assert substring_dedup.repeats(long)[1].count() == 0
+    assert len({common.word_hashes(np.frombuffer(t.encode(), np.uint8))[0] for _, t in pair}) == 2
+
+
+def test_rows_with_one_id_and_different_texts_are_dropped_one_by_one(spark):
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = spark.createDataFrame([(1, base), (2, base), (2, "a text of its own with some more words in it")], "doc_id bigint, text string")
+    assert sorted(r["text"] for r in near_dedup.drop_near_copies(rows).collect()) == sorted([base, "a text of its own with some more words in it"])
 
 
 def test_near_dedup_keeps_null_ids_and_empty_tables(spark):

@@ -15,7 +15,7 @@ def test_words_of_rare_toxic_texts_are_learnt():
     for i, text in enumerate(texts[:600]):
         rows, n = np.unique(toxicity.features(buf(text + " vuxolpyk" * (i < 9))), return_counts=True)
         bags.append((rows.astype(np.int32), (n / (n.sum() + toxicity.PADDING)).astype(np.float32), int(i < 9)))
-    model = toxicity.fit(bags)
+    model = toxicity.fit(toxicity.Bags.of(bags))
     clean = np.array([model.score(buf(t)) for t in texts[600:]])
     toxic = np.array([model.score(buf(t + " vuxolpyk")) for t in texts[600:]])
     assert (toxic[:, None] > clean[None, :]).mean() > 0.95
