@@ -6,7 +6,8 @@ unknown word. A word's customers in a context open tables; each table is a custo
 The corpus is tokenised once, into stored blocks of a bounded number of tokens. A block knows its distinct (context, word) pairs and its
 distinct words; only these travel, once for each block, so neither a frequent word nor a frequent pair makes a large group. Pairs are
 dealt to buckets by a hash of both; what is summed for a word, or for a context, is dealt by its own hash (a *node*).
-A Gibbs sweep takes each pair's customers and tables out and seats the customers again, given all other tables of the sweep before: pair buckets send their nodes the
+A pair met once has one customer at one table in every seating: such pairs are counted into their nodes once and then kept as bare keys.
+A Gibbs sweep takes each other pair's customers and tables out and seats the customers again, given all other tables of the sweep before: pair buckets send their nodes the
 tables, node buckets seat the unigram restaurant and answer with the totals. After the burn-in every sweep is kept, and scoring averages
 their predictive probabilities: blocks ask for their pairs and nodes, and add up their own texts.
 
@@ -66,10 +67,13 @@ def _ddl(schema: dict) -> str:
 _B = "binary"
 BLOCKS = {"block": "bigint", "ids": _B, "sizes": _B, "slots": _B, "words": _B, "contexts": _B, "nodes": _B, "counts": _B}
 COUNTS = {"bucket": "int", "words": _B, "contexts": _B, "counts": _B}
-SEATS = {"bucket": "int", "words": _B, "contexts": _B, "nodes": _B, "customers": _B, "tables": _B, "summed": _B, "tops": _B}
-SENT = {"node_bucket": "int", "bucket": "int", "nodes": _B, "sums": _B, "tops": _B}
-#: bucket -1 holds the node bucket itself, others the answer to a pair bucket; known: tokens, words, tables' sum, tops' sum.
-NODES = {"node_bucket": "int", "bucket": "int", "nodes": _B, "sums": _B, "tops": _B, "known": "array<bigint>"}
+#: Pairs with more customers than one.
+SEATS = {"bucket": "int", "words": _B, "contexts": _B, "nodes": _B, "customers": _B, "tables": _B, "summed": _B}
+#: With the keys of the others, and how often each node is in one as a word and as a context.
+FIRST = {**SEATS, "singles": _B, "single_nodes": _B, "single_sums": _B}
+SENT = {"node_bucket": "int", "bucket": "int", "nodes": _B, "sums": _B}
+#: bucket -1 holds the node bucket itself, others the answer to a pair bucket; base: what single pairs add; known: tokens, words, tables' sum, tops' sum.
+NODES = {"node_bucket": "int", "bucket": "int", "nodes": _B, "sums": _B, "tops": _B, "base": _B, "known": "array<bigint>"}
 ASKED = {"bucket": "int", "block": "bigint", "hashes": _B}
 TOLD = {"block": "bigint", "kind": "int", "bucket": "int", "numbers": _B, "counts": _B}
 SCORES = "id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
@@ -153,12 +157,18 @@ def _count(buckets: int):
 def _seat_first(table: pa.Table) -> pa.Table:
     """Counts of one bucket -> its first seats: a table for each pair."""
     words, contexts = _joined(table, "words", np.uint64), _joined(table, "contexts", np.uint64)
-    _, at, slot = np.unique(_key(words, contexts), return_index=True, return_inverse=True)
-    customers = np.bincount(slot, weights=_joined(table, "counts", np.int32), minlength=len(at)).astype(np.int64)
-    nodes, where = np.unique(np.concatenate([words[at], contexts[at]]), return_inverse=True)
+    keys, at, slot = np.unique(_key(words, contexts), return_index=True, return_inverse=True)
+    customers = np.bincount(slot, weights=_joined(table, "counts", np.int32), minlength=len(at)).astype(np.int32)
+    words, contexts = words[at], contexts[at]
+    once, more = np.flatnonzero(customers == 1), np.flatnonzero(customers > 1)
+    nodes, where = np.unique(np.concatenate([words[more], contexts[more]]), return_inverse=True)
     where = where.astype(np.int32)
-    row = {"bucket": table["bucket"][0].as_py(), "words": pack(where[: len(at)]), "contexts": pack(where[len(at) :]), "nodes": pack(nodes), "customers": pack(customers), "tables": pack(np.ones(len(at), np.int32)), "summed": pack(np.zeros(len(at), np.float32)), "tops": pack(np.ones(len(nodes), np.int32))}
-    return pa.Table.from_pylist([row], schema=_schema(**SEATS))
+    row = {"bucket": table["bucket"][0].as_py(), "words": pack(where[: len(more)]), "contexts": pack(where[len(more) :]), "nodes": pack(nodes)}
+    row |= {"customers": pack(customers[more]), "tables": pack(np.ones(len(more), np.int32)), "summed": pack(np.zeros(len(more), np.float32)), "singles": pack(keys[once])}
+    nodes, where = np.unique(np.concatenate([words[once], contexts[once]]), return_inverse=True)
+    sums = [np.bincount(side, minlength=len(nodes)).astype(np.int32) for side in (where[: len(once)], where[len(once) :])]
+    row |= {"single_nodes": pack(nodes), "single_sums": pack(np.stack(sums))}
+    return pa.Table.from_pylist([row], schema=_schema(**FIRST))
 
 
 def seat(customers: np.ndarray, mass: np.ndarray, discount: float, rng, slope: np.ndarray | float = 0.0) -> np.ndarray:
@@ -211,37 +221,68 @@ def _send(buckets: int):
     """What a pair bucket tells its nodes: customers and tables of each as a word, and as a context."""
 
     def make(row: dict) -> list[dict]:
-        nodes, tops = np.frombuffer(row["nodes"], np.uint64), np.frombuffer(row["tops"], np.int32)
-        customers, tables = np.frombuffer(row["customers"], np.int64), np.frombuffer(row["tables"], np.int32)
+        nodes = np.frombuffer(row["nodes"], np.uint64)
+        customers, tables = np.frombuffer(row["customers"], np.int32), np.frombuffer(row["tables"], np.int32)
         sums = np.stack([np.bincount(np.frombuffer(row[side], np.int32), weights=x, minlength=len(nodes)) for side in ("words", "contexts") for x in (customers, tables)]).astype(np.int64)
         bounds, some = _cuts(nodes, buckets)
-        return [{"node_bucket": int(b), "bucket": row["bucket"], "nodes": pack(nodes[s]), "sums": pack(sums[:, s]), "tops": pack(tops[s])} for b in some for s in [slice(bounds[b], bounds[b + 1])]]
+        return [{"node_bucket": int(b), "bucket": row["bucket"], "nodes": pack(nodes[s]), "sums": pack(sums[:, s])} for b in some for s in [slice(bounds[b], bounds[b + 1])]]
+
+    return _each(make, SENT)
+
+
+def _send_singles(buckets: int):
+    def make(row: dict) -> list[dict]:
+        nodes = np.frombuffer(row["single_nodes"], np.uint64)
+        sums = np.frombuffer(row["single_sums"], np.int32).reshape(2, -1)
+        bounds, some = _cuts(nodes, buckets)
+        return [{"node_bucket": int(b), "bucket": row["bucket"], "nodes": pack(nodes[s]), "sums": pack(sums[:, s])} for b in some for s in [slice(bounds[b], bounds[b + 1])]]
 
     return _each(make, SENT)
 
 
+def _summed(where: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    return np.stack([np.bincount(where, weights=x, minlength=n) for x in values]).astype(np.int64)
+
+
+def _node_base(table: pa.Table) -> pa.Table:
+    """A node bucket with what the single pairs of all pair buckets add to it."""
+    nodes, where = np.unique(_joined(table, "nodes", np.uint64), return_inverse=True)
+    sent = np.concatenate([np.frombuffer(x, np.int32).reshape(2, -1) for x in table["sums"].to_pylist()], axis=1)
+    base = _summed(where, sent, len(nodes))
+    row = {"node_bucket": table["node_bucket"][0].as_py(), "bucket": -1, "nodes": pack(nodes), "sums": b"", "tops": pack((base[0] > 0).astype(np.int32)), "base": pack(base), "known": None}
+    return pa.Table.from_pylist([row], schema=_schema(**NODES))
+
+
 def _node_turn(shared: Shared | None, seed: int):
-    """Sum a node bucket, seat its words in the unigram restaurant, answer every pair bucket that sent."""
+    """Sum a node bucket, seat its words in the unigram restaurant, answer every pair bucket that sent. Left: what was sent; right: the node bucket."""
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        rows, before = left.to_pylist(), right.to_pylist()
+        number = (rows or before)[0]["node_bucket"]
         sizes = [len(r["nodes"]) // 8 for r in rows]
-        nodes, at, where = np.unique(_joined(table, "nodes", np.uint64), return_index=True, return_inverse=True)
-        sent = np.concatenate([np.frombuffer(r["sums"], np.int64).reshape(4, -1) for r in rows], axis=1)
-        sums = np.stack([np.bincount(where, weights=x, minlength=len(nodes)) for x in sent]).astype(np.int64)
-        tops = _joined(table, "tops", np.int32)[at] * (sums[0] > 0)
+        old = np.frombuffer(before[0]["nodes"], np.uint64) if before else np.zeros(0, np.uint64)
+        nodes, where = np.unique(np.concatenate([_joined(left, "nodes", np.uint64), old]), return_inverse=True)
+        was, where = where[sum(sizes) :], where[: sum(sizes)]
+        base, tops = np.zeros((2, len(nodes)), np.int64), np.zeros(len(nodes), np.int64)
+        if before:
+            base[:, was] = np.frombuffer(before[0]["base"], np.int64).reshape(2, -1)
+            tops[was] = np.frombuffer(before[0]["tops"], np.int32)
+        sums = base[[0, 0, 1, 1]]
+        if rows:
+            sums = sums + _summed(where, np.concatenate([np.frombuffer(r["sums"], np.int64).reshape(4, -1) for r in rows], axis=1), len(nodes))
+        word = np.flatnonzero(sums[0])
+        tops[word] = np.maximum(tops[word], 1)
         if shared is not None:
-            rng = np.random.default_rng([seed, 1, rows[0]["node_bucket"]])
-            word = np.flatnonzero(sums[0])
+            rng = np.random.default_rng([seed, 1, number])
             others = shared.tables - tops[word]  # without the word's own tables
             tops = np.zeros(len(nodes), np.int64)
             tops[word] = seat(sums[1][word], (STRENGTH0 + DISCOUNT0 * others) / (shared.v + 1.0), DISCOUNT0, rng, DISCOUNT0 / (shared.v + 1.0))
-        known = [int(sums[0].sum()), int((sums[0] > 0).sum()), int(sums[1].sum()), int(tops.sum())]
+        known = [int(sums[0].sum()), len(word), int(sums[1].sum()), int(tops.sum())]
         tops = tops.astype(np.int32)
-        out = [{"node_bucket": rows[0]["node_bucket"], "bucket": -1, "nodes": pack(nodes), "sums": pack(sums), "tops": pack(tops), "known": known}]
-        for r, lo, hi in zip(rows, np.cumsum([0, *sizes[:-1]]), np.cumsum(sizes), strict=True):
+        out = [{"node_bucket": number, "bucket": -1, "nodes": pack(nodes), "sums": pack(sums), "tops": pack(tops), "base": pack(base), "known": known}]
+        for r, lo, hi in zip(rows, np.cumsum([0, *sizes[:-1]]), np.cumsum(sizes), strict=False):
             mine = where[lo:hi]
-            out.append({"node_bucket": r["node_bucket"], "bucket": r["bucket"], "nodes": b"", "sums": pack(sums[1:4:2, mine]), "tops": pack(tops[mine]), "known": None})
+            out.append({"node_bucket": number, "bucket": r["bucket"], "nodes": b"", "sums": pack(sums[1:4:2, mine]), "tops": pack(tops[mine]), "base": b"", "known": None})
         return pa.Table.from_pylist(out, schema=_schema(**NODES))
 
     return run
@@ -252,47 +293,52 @@ def _pair_turn(shared: Shared, seed: int, keep: bool):
         row = left.to_pylist()[0]
         rng = np.random.default_rng([seed, 0, row["bucket"]])
         right = right.sort_by("node_bucket")
-        totals = np.concatenate([np.frombuffer(x, np.int64).reshape(2, -1) for x in right["sums"].to_pylist()], axis=1)
+        totals = np.concatenate([np.zeros((2, 0), np.int64), *[np.frombuffer(x, np.int64).reshape(2, -1) for x in right["sums"].to_pylist()]], axis=1)
         tops = _joined(right, "tops", np.int32)
         word, context = np.frombuffer(row["words"], np.int32), np.frombuffer(row["contexts"], np.int32)
-        customers, tables = np.frombuffer(row["customers"], np.int64), np.frombuffer(row["tables"], np.int32)
+        customers, tables = np.frombuffer(row["customers"], np.int32).astype(np.int64), np.frombuffer(row["tables"], np.int32)
         p = shared.parent(totals[0][word], tops[word], tables)  # without the pair's own tables
         weight = STRENGTH + DISCOUNT * (totals[1][context] - tables)
         tables = seat(customers, weight * p, DISCOUNT, rng, DISCOUNT * p + weight / (STRENGTH0 + shared.customers))
         if keep:
             row["summed"] = pack(np.frombuffer(row["summed"], np.float32) + tables.astype(np.float32))
-        row["tables"], row["tops"] = pack(tables.astype(np.int32)), pack(tops)
+        row["tables"] = pack(tables.astype(np.int32))
         return pa.Table.from_pylist([row], schema=_schema(**SEATS))
 
     return run
 
 
-def train(blocks: DataFrame, buckets: int, stage: Stage) -> tuple[DataFrame, list[DataFrame], list[Shared]]:
-    """Seats of all pairs after the last sweep, with sums over the kept sweeps; nodes and totals of each kept sweep."""
+def train(blocks: DataFrame, buckets: int, stage: Stage) -> tuple[DataFrame, DataFrame, list[DataFrame], list[Shared]]:
+    """Seats of all pairs of several customers after the last sweep, with sums over the kept sweeps; keys of single pairs; nodes and totals of each kept sweep."""
 
-    def node_turn(seats: DataFrame, shared: Shared | None, sweep: int) -> tuple[DataFrame, Shared]:
+    def node_turn(seats: DataFrame, nodes: DataFrame, shared: Shared | None, sweep: int) -> tuple[DataFrame, Shared]:
         sent = seats.mapInArrow(_send(buckets), _ddl(SENT))
-        nodes = stage.table(sent.groupBy("node_bucket").applyInArrow(_node_turn(shared, sweep), _ddl(NODES)), "nodes")
-        known = nodes.filter("bucket = -1").agg(*[F.coalesce(F.sum(F.col("known")[i]), F.lit(0)) for i in range(4)]).head()
-        return nodes, Shared(*map(int, known))
+        turn = sent.groupBy("node_bucket").cogroup(nodes.filter("bucket = -1").groupBy("node_bucket"))
+        out = stage.table(turn.applyInArrow(_node_turn(shared, sweep), _ddl(NODES)), "nodes")
+        known = out.filter("bucket = -1").agg(*[F.coalesce(F.sum(F.col("known")[i]), F.lit(0)) for i in range(4)]).head()
+        return out, Shared(*map(int, known))
 
     counted = blocks.select("words", "contexts", "nodes", "counts").mapInArrow(_count(buckets), _ddl(COUNTS))
-    seats = stage.table(counted.groupBy("bucket").applyInArrow(_seat_first, _ddl(SEATS)), "seats")
-    nodes, shared = node_turn(seats, None, 0)
+    first = stage.table(counted.groupBy("bucket").applyInArrow(_seat_first, _ddl(FIRST)), "first")
+    singles, seats = first.select("bucket", "singles"), first.select(*SEATS)
+    told = first.select("bucket", "single_nodes", "single_sums").mapInArrow(_send_singles(buckets), _ddl(SENT))
+    base = stage.table(told.groupBy("node_bucket").applyInArrow(_node_base, _ddl(NODES)), "base")
+    nodes, shared = node_turn(seats, base, None, 0)
     kept, kept_shared = [], []
     for sweep in range(BURN_IN + SAMPLES):
         answers = nodes.filter("bucket >= 0").select("node_bucket", "bucket", "sums", "tops")
         moved = seats.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_pair_turn(shared, sweep, sweep >= BURN_IN), _ddl(SEATS))
         moved = stage.table(moved, "seats")
         stage.drop(seats)
+        seats = moved
+        new, shared = node_turn(seats, nodes, shared, sweep + 1)
         if not any(nodes is k for k in kept):
             stage.drop(nodes)
-        seats = moved
-        nodes, shared = node_turn(seats, shared, sweep + 1)
+        nodes = new
         if sweep >= BURN_IN:
             kept.append(nodes)
             kept_shared.append(shared)
-    return seats, kept, kept_shared
+    return seats, singles, kept, kept_shared
 
 
 # ---- scoring ------------------------------------------------------------------------
@@ -316,16 +362,20 @@ def _found(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _tell_pairs(key, left: pa.Table, right: pa.Table) -> pa.Table:
-    """Each asked pair's customers less the discounts of its tables, averaged over the kept sweeps; 0 for pairs not met in training."""
-    known, own = np.zeros(0, np.uint64), np.zeros(0)
-    if right.num_rows:
-        row = right.to_pylist()[0]
-        known = _pairs_of(row)[2]
-        own = np.maximum(np.frombuffer(row["customers"], np.int64) - DISCOUNT * np.frombuffer(row["summed"], np.float32) / SAMPLES, 0.0)
+    """Each asked pair's customers less the discounts of its tables, averaged over the kept sweeps; 0 for pairs not met in training.
+    Right: a row with the bucket's seats and one with the keys of its single pairs."""
+    known, own, singles = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0, np.uint64)
+    for row in right.to_pylist():
+        if row["singles"] is not None:
+            singles = np.frombuffer(row["singles"], np.uint64)
+        else:
+            known = _pairs_of(row)[2]
+            own = np.maximum(np.frombuffer(row["customers"], np.int32) - DISCOUNT * np.frombuffer(row["summed"], np.float32) / SAMPLES, 0.0)
     out = []
     for r in left.to_pylist():
-        at, hit = _found(known, np.frombuffer(r["hashes"], np.uint64))
-        numbers = np.zeros(len(hit), np.float32)
+        asked = np.frombuffer(r["hashes"], np.uint64)
+        at, hit = _found(known, asked)
+        numbers = np.where(_found(singles, asked)[1], np.float32(1.0 - DISCOUNT), np.float32(0.0))
         numbers[hit] = own[at[hit]]
         out.append({"block": r["block"], "kind": 0, "bucket": r["bucket"], "numbers": pack(numbers), "counts": b""})
     return pa.Table.from_pylist(out, schema=_schema(**TOLD))
@@ -380,30 +430,32 @@ def _score(n: int, v: int):
 
 
 def score_documents(docs: DataFrame, id_col="doc_id", text_col="text", stage: Stage | None = None) -> DataFrame:
-    """One row for each id: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
+    """One row for each row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
     Trained on the texts whose crc32(id) mod 7 is not 2 (a null id trains); scores are log10 probabilities of whole texts, averaged
     predictive probabilities of the kept sweeps. Null text is empty and has one token, its end. Ids are integers; rows
-    with one id, or with none, are scored together as one. An empty table gives no rows. Draws are seeded by bucket and sweep.
+    with one id, or with none, are scored each on its own, and each counts in training. An empty table gives no rows. Draws are seeded by bucket and sweep.
     """
     stage = stage or Stage(docs.sparkSession, "lm")
     rows = only(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     total = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     buckets = max(16, -(-total // BUCKET_BYTES))
     blocks = stage.table(rows.mapInArrow(_blocks, _ddl(BLOCKS)), "blocks")
-    seats, nodes, shared = train(blocks, buckets, stage)
+    seats, singles, nodes, shared = train(blocks, buckets, stage)
     kept = None
     for s, one in enumerate(nodes):
         one = one.filter("bucket = -1").select(F.col("node_bucket").alias("bucket"), F.lit(s).alias("sample"), "nodes", "sums", "tops")
         kept = one if kept is None else kept.unionByName(one)
     asked = blocks.select("block", "words", "contexts", "nodes")
-    pairs = asked.mapInArrow(_ask(buckets, True), _ddl(ASKED)).groupBy("bucket").cogroup(seats.groupBy("bucket")).applyInArrow(_tell_pairs, _ddl(TOLD))
+    none = F.lit(None).cast("binary")
+    pair_rows = seats.select("bucket", "words", "contexts", "nodes", "customers", "summed", none.alias("singles"))
+    pair_rows = pair_rows.unionByName(singles.select("bucket", *[none.alias(c) for c in ("words", "contexts", "nodes", "customers", "summed")], "singles"))
+    pairs = asked.mapInArrow(_ask(buckets, True), _ddl(ASKED)).groupBy("bucket").cogroup(pair_rows.groupBy("bucket")).applyInArrow(_tell_pairs, _ddl(TOLD))
     words = asked.select("block", "nodes").mapInArrow(_ask(buckets, False), _ddl(ASKED)).groupBy("bucket").cogroup(kept.groupBy("bucket")).applyInArrow(_tell_nodes(shared), _ddl(TOLD))
     told = stage.table(pairs.unionByName(words), "told")
     held = blocks.select("block", "ids", "sizes", "slots", "words", "contexts")
     sums = held.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_score(shared[-1].n, shared[-1].v), SCORES)
-    out = stage.table(sums, "sums").groupBy("id").agg(*[F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")])
-    out = out.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id")))
+    out = sums.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id")))
     held_out = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     return out.select(
         F.col("id").alias("doc_id"), held_out.alias("held_out"), "n_tokens", "n_known", F.lit(shared[-1].n).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity")
