@@ -28,8 +28,9 @@ def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
 
 
 def with_chunks(rows: DataFrame) -> DataFrame:
-    """rows(id, text) with ``chunks``: array of (at, lines, body)."""
-    cut = once(rows, "lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
+    """rows(..., text) with ``chunks``: array of (at, lines, body)."""
+    names = rows.columns
+    cut = once(rows, "lines", F.split("text", "\n", -1))
     cut = once(cut, "hashes", F.transform("lines", line_hash))
     rolled = F.transform("hashes", lambda h, i: sum((F.coalesce(F.get("hashes", i - k), F.lit(0)) * FACTOR**k for k in range(1, SPAN)), h))
     cut = once(cut, "rolled", rolled)
@@ -39,37 +40,42 @@ def with_chunks(rows: DataFrame) -> DataFrame:
     cut = once(cut, "ranges", F.zip_with(starts, "ends", lambda at, end: F.struct(at.alias("at"), (end - at).alias("n"))))
     body = lambda c: F.array_join(F.slice("lines", c["at"] + 1, c["n"]), "\n")
     chunks = F.transform("ranges", lambda c: F.struct(c["at"].alias("at"), c["n"].alias("lines"), body(c).alias("body")))
-    return once(cut, "chunks", chunks).select("id", "text", "chunks")
+    return once(cut, "chunks", chunks).select(*names, "chunks")
 
 
 def repeated_chunks(docs: DataFrame, id_col="doc_id", text_col="text", stage: Stage | None = None) -> DataFrame:
     """(id, n_lines, n_removed, kept): each text without the chunks that an earlier equal chunk replaces.
 
-    Null text counts as empty (one empty line); a null id sorts after all others. Rows repeated with one id and one text are told
+    Null text counts as empty (one empty line); a null id sorts after all others. A row is known by its id and the MD5 of its text, so rows with one id, or none,
+    and different texts are told apart (ties of ids go by that digest); rows repeated with one id and one text are told
     apart by nothing, so their chunks count as one occurrence. An empty table gives no rows. Chunks of blank lines only are text like any other.
+    Other columns are not read. A chunk that very many texts share makes one large key in two joins with a row a key on the other
+    side; Spark's adaptive skew handling splits these, and the counts before them are summed map-side.
     """
     stage = stage or Stage(docs.sparkSession, "lines")
-    rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    cut = with_chunks(rows)
-    keyed = cut.select("id", F.explode("chunks").alias("c")).filter(F.col("c.lines") >= LEAST_LINES)
-    keyed = stage.table(keyed.select("id", F.col("c.at").alias("at"), F.unhex(F.md5("c.body")).alias("key")), "keys")
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("first")
-    seen = keyed.groupBy("key").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.col("first.id").alias("first_id"), F.col("first.at").alias("first_at"))
+    text = F.coalesce(docs[text_col], F.lit(""))
+    rows = docs.select(docs[id_col].alias("id"), text.alias("text"), F.unhex(F.md5(text)).alias("mark"))
+    keyed = with_chunks(rows).select("id", "mark", F.explode("chunks").alias("c")).filter(F.col("c.lines") >= LEAST_LINES)
+    keyed = stage.table(keyed.select("id", "mark", F.col("c.at").alias("at"), F.unhex(F.md5("c.body")).alias("key")), "keys")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "mark", "at")).alias("first")
+    seen = keyed.groupBy("key").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "first")
     seen = stage.table(seen, "repeated")
-    found = stage.table(keyed.join(seen, "key").withColumn("own", F.col("id").eqNullSafe(F.col("first_id")) & (F.col("at") == F.col("first_at"))), "found")
-    marks = found.groupBy("id").agg(F.map_from_entries(F.collect_set(F.struct("at", F.struct("key", "own")))).alias("marks"))
-    marked = cut.join(marks.withColumnRenamed("id", "m_id"), F.col("id").eqNullSafe(F.col("m_id")), "left")
-    some = stage.table(marked.filter("marks is not null").select("id", "chunks", "marks"), "texts")
-    plain = marked.filter("marks is null").select("id", F.aggregate("chunks", F.lit(0), lambda n, c: n + c["lines"]).alias("n_lines"), F.lit(0).alias("n_removed"), F.coalesce("text", F.lit("")).alias("kept"))
+    is_first = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("mark") == F.col("first.mark")) & (F.col("at") == F.col("first.at"))
+    found = keyed.join(seen, "key").select("id", "mark", "at", "key", is_first.alias("own"))
+    marks = found.groupBy("id", "mark").agg(F.map_from_entries(F.collect_set(F.struct("at", F.struct("key", "own")))).alias("marks")).toDF("m_id", "m_mark", "marks")
+    same_row = F.col("id").eqNullSafe(F.col("m_id")) & (F.col("mark") == F.col("m_mark"))
+    marked = stage.table(rows.join(marks, same_row, "left").drop("m_id", "m_mark"), "texts")
+    plain = marked.filter("marks is null").select("id", F.size(F.split("text", "\n", -1)).alias("n_lines"), F.lit(0).alias("n_removed"), F.col("text").alias("kept"))
+    some = stage.table(with_chunks(marked.filter("marks is not null")).select("id", "mark", "chunks", "marks"), "chunks")
     # the bytes of every repeated chunk against those of its first occurrence
-    bodies = some.select("id", "marks", F.explode("chunks").alias("c")).withColumn("mark", F.try_element_at("marks", F.col("c.at"))).filter("mark is not null")
-    bodies = bodies.select("id", F.col("c.at").alias("at"), F.col("mark.key").alias("key"), F.col("mark.own").alias("own"), F.col("c.body").alias("body"))
+    bodies = some.select("id", "mark", "marks", F.explode("chunks").alias("c")).withColumn("m", F.try_element_at("marks", F.col("c.at"))).filter("m is not null")
+    bodies = bodies.select("id", "mark", F.col("c.at").alias("at"), F.col("m.key").alias("key"), F.col("m.own").alias("own"), F.col("c.body").alias("body"))
     bodies = stage.table(bodies, "bodies")
     firsts = bodies.filter("own").select("key", F.col("body").alias("first_body")).dropDuplicates(["key"])
     firsts = stage.table(firsts, "firsts")
     gone = bodies.filter("not own").join(firsts, "key").filter("body = first_body")
-    gone = stage.table(gone.groupBy("id").agg(F.collect_set("at").alias("gone")).withColumnRenamed("id", "g_id"), "gone")
-    out = some.join(gone, F.col("id").eqNullSafe(F.col("g_id")), "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    gone = stage.table(gone.groupBy("id", "mark").agg(F.collect_set("at").alias("gone")).toDF("m_id", "m_mark", "gone"), "gone")
+    out = some.join(gone, same_row, "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
     kept = F.filter("chunks", lambda c: ~F.array_contains("gone", c["at"]))
     count = lambda a: F.aggregate(a, F.lit(0), lambda n, c: n + c["lines"])
     out = out.select("id", count("chunks").alias("n_lines"), (count("chunks") - count(kept)).alias("n_removed"), F.array_join(F.transform(kept, lambda c: c["body"]), "\n").alias("kept"))

@@ -187,3 +187,13 @@ def test_line_dedup_of_null_ids_repeated_rows_and_nothing(spark):
     rows = spark.createDataFrame(odd_rows(), SCHEMA)
     assert line_dedup.repeated_chunks(clashing(rows)).count() == len(odd_rows())
     assert line_dedup.repeated_chunks(rows.limit(0)).count() == 0
+
+
+def test_line_dedup_of_different_texts_under_one_id_or_none(spark):
+    """Texts without an id, each with a copy under its own id; and one id with two texts that hold different repeated chunks."""
+    texts = ["\n".join(f"line {i} {k}" for k in range(12)) for i in range(30)]
+    rows = [(None, t) for t in texts] + [(i, t) for i, t in enumerate(texts)] + [(7, texts[8]), (7, texts[9])]
+    found = line_dedup.repeated_chunks(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(found) == len(rows)
+    assert all(r["n_removed"] == 0 for r in found if r["id"] not in (None, 7, 8, 9))
+    assert sum(r["n_removed"] > 0 for r in found if r["id"] is None) >= 20
