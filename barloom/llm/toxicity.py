@@ -2,8 +2,9 @@
 
 A text's features are character n-grams of its lower-cased words, with word ends marked, and the words themselves, hashed into
 a fixed number of rows of an embedding matrix. The mean of a text's rows goes through a linear softmax; matrix and softmax are trained
-jointly (Adam, numpy) on a bounded sample of labelled rows. Misspellings share n-grams with known words. Against overfitting, rows
-met in few training texts are scaled down, by numbers of texts and not by shares: with more labels, rare words count more.
+jointly (Adam, numpy) on a bounded sample of labelled rows. Misspellings share n-grams with known words. Rows are weighed by the
+inverse of the share of training texts that have them; against overfitting, rows met in few texts are scaled
+down, by numbers of texts and not by shares: with more labels, rare words count more.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from .common import _SEP, lower, only, pack, span_hashes, texts_of, word_spans
 ROWS, WIDTH, GRAMS = 1 << 17, 8, (3, 4, 5)
 #: Labelled rows that are used for training at most (the bound of the sample); all fewer are used.
 MOST_LABELLED = 8000
-#: A matrix row met in n training texts is scaled by n / (n + HALF_TEXTS), and stays zero if n is below LEAST_TEXTS.
+#: A matrix row met in n of N training texts is scaled by log((N + 1) / n) * n / (n + HALF_TEXTS), and stays zero if n is below LEAST_TEXTS.
 LEAST_TEXTS, HALF_TEXTS = 3, 10.0
 #: Zero rows added to each text's mean, so that one n-gram of a very short text does not decide alone.
 PADDING = 150
@@ -114,7 +115,8 @@ def fit(bags: Bags, seed: int = 7) -> Model:
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(ROWS, np.float32), prior)
     met = np.bincount(bags.rows, minlength=ROWS)
-    scale = np.where(met >= LEAST_TEXTS, met / (met + HALF_TEXTS), 0.0).astype(np.float32)
+    told = np.log((len(labels) + 1) / np.maximum(met, 1))  # rows of nearly all texts tell little
+    scale = np.where(met >= LEAST_TEXTS, told * met / (met + HALF_TEXTS), 0.0).astype(np.float32)
     bags = bags.weighted(scale)
     rng = np.random.default_rng(seed)
     params = {"E": rng.normal(0, 1e-3, (ROWS, WIDTH)).astype(np.float32), "U": rng.normal(0, 0.5, (WIDTH, 2)).astype(np.float32), "b": np.array([0.0, prior], np.float32)}
