@@ -71,6 +71,21 @@ def only(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[df[old].alias(new) for new, old in columns.items()])
 
 
+#: Bits of the filter that keeps rows without partners from being shuffled (4 MB).
+FILTER_BITS = 1 << 25
+
+
+def may_hold(rows: DataFrame, ids: DataFrame, on: str = "id") -> DataFrame:
+    """Rows whose id (column ``on``) is among ``ids``, and few others while ids are few against FILTER_BITS: a filter of fixed size, broadcast as 4-KB bitmaps.
+    With more ids it lets more rows through and loses none."""
+    at = F.pmod(F.xxhash64(on, F.lit(17)), F.lit(FILTER_BITS))
+    slot, bit = F.shiftright(at, 15).cast("int"), at.bitwiseAND((1 << 15) - 1)
+    bits = ids.select(slot.alias("__slot"), bit.alias("__bit")).groupBy("__slot").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    near = rows.join(F.broadcast(bits), slot == F.col("__slot"))
+    byte = F.conv(F.hex(F.substring("__bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    return near.filter(F.getbit(byte, bit.bitwiseAND(7).cast("int")) == 1).select(*rows.columns)
+
+
 def bucket_of(*cols: Column | str, n: int) -> Column:
     return F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, blobs, lower, mix, only, pack, shingle_set, texts_of, word_spans
+from .common import Stage, blobs, lower, may_hold, mix, only, pack, shingle_set, texts_of, word_spans
 from .components import components
 
 SHINGLE = 5
@@ -35,8 +35,6 @@ BAND_ROWS = 6
 MISS = 1e-6
 #: Hashes compared between two looks at the posterior.
 LOOK = 16
-#: Bits of the filter that keeps texts without candidates from being shuffled (4 MB).
-FILTER_BITS = 1 << 25
 #: Members of a bucket that have their place in one task at most; larger buckets are cut into blocks.
 BLOCK = 256
 
@@ -265,16 +263,6 @@ def able(members: DataFrame, texts: DataFrame, share: tuple[int, int], stage: St
     return stage.table(kept.select("id"), "able")
 
 
-def may_hold(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose id is among ``ids``, and few others while ids are few against FILTER_BITS: a filter of fixed size, broadcast as 4-KB bitmaps."""
-    at = F.pmod(F.xxhash64("id", F.lit(17)), F.lit(FILTER_BITS))
-    slot, bit = F.shiftright(at, 15).cast("int"), at.bitwiseAND((1 << 15) - 1)
-    bits = ids.select(slot.alias("__slot"), bit.alias("__bit")).groupBy("__slot").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
-    near = rows.join(F.broadcast(bits), slot == F.col("__slot"))
-    byte = F.conv(F.hex(F.substring("__bits", F.shiftright(bit, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
-    return near.filter(F.getbit(byte, bit.bitwiseAND(7).cast("int")) == 1).select(*rows.columns)
-
-
 def _exact(share: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

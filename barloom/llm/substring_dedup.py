@@ -4,11 +4,12 @@ Every text is parsed by rounds of recompression: runs of one symbol become a sym
 taken from each symbol's name says which symbols may stand left and which right. A name is the 64-bit hash of what it replaces, so all
 tasks name runs and pairs alike without exchanging tables, and equal substrings get equal symbols except near
 their ends. Each symbol carries the word range that its making looked at; inside a window that covers this range it is certain to appear.
-Rounds go on until a mean symbol spans about a third of a window, so that shared symbols tell of long repeats and seldom of phrases.
+With more than ``ROUNDS`` rounds few symbols are certain inside a window: they have looked too far.
 
 Each window of ``WIDTH`` words is represented by the least-named certain symbol of the highest level that has one. Symbols
 that represent windows of one text only reveal no repeat and go; windows behind shared symbols are compared by
-a 128-bit digest (BLAKE2b) of all their words with the smallest id that holds the same window.
+a 128-bit digest (BLAKE2b) of all their words with the smallest id that holds the same window, whole ranges of
+windows by their symbol and a 64-bit digest.
 """
 
 from __future__ import annotations
@@ -21,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, mix, only, span_hashes, texts_of, word_spans
+from .common import Stage, may_hold, mix, only, span_hashes, texts_of, word_spans
 
-WIDTH, ROUNDS = 50, 10
+WIDTH, ROUNDS = 50, 5
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 _FAR = 1 << 40
 
@@ -120,7 +121,7 @@ def representatives(words: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray,
     return key[cut], cut, np.concatenate((cut[1:], [n])) - 1
 
 
-ROW = pa.struct([("key", pa.int64()), ("whole", pa.int64()), ("whole2", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+ROW = pa.struct([("key", pa.int64()), ("whole", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 
 
 def digests(raw: bytes, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -144,7 +145,7 @@ def kept_text(raw: bytes, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray
 
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n_words, sha, sizes, cols = [], [], [0], [[], [], [], [], []]
+        n_words, sha, sizes, cols = [], [], [0], [[], [], [], []]
         for buf in texts_of(batch.column(1)):
             starts, ends = word_spans(buf)
             words, raw = span_hashes(buf, starts, ends), buf.tobytes()
@@ -152,7 +153,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sha.append(hashlib.sha256(kept_text(raw, starts, ends)).hexdigest())
             key, lo, hi = representatives(words)
             whole = digests(raw, starts, ends, lo, hi + WIDTH)
-            for col, values in zip(cols, (key.view(np.int64), whole[:, 0], whole[:, 1], lo.astype(np.int32), hi.astype(np.int32)), strict=True):
+            for col, values in zip(cols, (key.view(np.int64), whole[:, 0], lo.astype(np.int32), hi.astype(np.int32)), strict=True):
                 col.append(values)
             sizes.append(sizes[-1] + len(key))
         flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
@@ -204,15 +205,18 @@ def repeats(docs: DataFrame, id_col="doc_id", text_col="text", stage: Stage | No
     """
     stage = stage or Stage(docs.sparkSession, "substring")
     texts = only(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
-    facts = texts.mapInArrow(_facts, "id bigint, n_words bigint, sha string, rows array<struct<key:bigint,whole:bigint,whole2:bigint,lo:int,hi:int>>")
+    facts = texts.mapInArrow(_facts, "id bigint, n_words bigint, sha string, rows array<struct<key:bigint,whole:bigint,lo:int,hi:int>>")
     facts = stage.table(facts, "facts")
     rows = facts.filter("id is not null").select("id", F.inline("rows"))
-    named = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), (F.min("whole") < F.max("whole")).alias("mixed"))
-    shared = stage.table(named.filter("first < last").select("key", "mixed"), "shared")
-    rows = stage.table(rows.join(shared, "key"), "rows")
+    named = rows.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"))
+    shared = stage.table(named.filter("first < last").select("key"), "shared")
+    # an inner join with distinct keys: a semi join would be pushed below the filter
+    rows = stage.table(may_hold(rows, shared, "key").join(shared, "key"), "rows")
     # equal ranges behind one symbol: only the smallest id's needs a look at single windows
-    firsts = stage.table(rows.groupBy("key", "whole", "whole2").agg(F.min("id").alias("first")), "firsts")
-    marked = rows.join(firsts, ["key", "whole", "whole2"]).select("id", "lo", "hi", (F.col("id") > F.col("first")).alias("gone"), "mixed")
+    firsts = stage.table(rows.groupBy("key", "whole").agg(F.min("id").alias("first")), "firsts")
+    kinds = firsts.groupBy("key").agg((F.count(F.lit(1)) > 1).alias("mixed"))
+    firsts = stage.table(firsts.join(kinds, "key"), "kinds")
+    marked = rows.join(firsts, ["key", "whole"]).select("id", "lo", "hi", (F.col("id") > F.col("first")).alias("gone"), "mixed")
     marked = stage.table(marked.filter("gone or mixed"), "marked")
     span = F.struct("lo", "hi")
     per_text = marked.groupBy("id").agg(F.collect_list(F.when(F.col("gone"), span)).alias("gone"), F.collect_list(F.when(~F.col("gone"), span)).alias("checks"))

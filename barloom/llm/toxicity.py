@@ -21,7 +21,7 @@ from .common import _SEP, lower, only, pack, span_hashes, texts_of, word_spans
 #: Rows of the embedding matrix, its width, and the n-gram lengths in characters.
 ROWS, WIDTH, GRAMS = 1 << 17, 8, (3, 4, 5)
 #: Labelled rows that are used for training at most (the bound of the sample); all fewer are used.
-MOST_LABELLED = 8000
+MOST_LABELLED = 6000
 #: A matrix row met in n of N training texts is scaled by log((N + 1) / n) * n / (n + HALF_TEXTS), and stays zero if n is below LEAST_TEXTS.
 LEAST_TEXTS, HALF_TEXTS = 3, 10.0
 #: Zero rows added to each text's mean, so that one n-gram of a very short text does not decide alone.
@@ -149,6 +149,24 @@ def fit(bags: Bags, seed: int = 7) -> Model:
     return Model((scale * (params["E"] @ u)).astype(np.float32), float(params["b"][1] - params["b"][0]))
 
 
+def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fit on all bags of one task: at most the bound of the sample."""
+    rows, shares, sizes, labels = [], [], [], []
+    for batch in batches:
+        for r, s, y in zip(texts_of(batch.column(2)), texts_of(batch.column(3)), batch.column(1).to_pylist(), strict=True):
+            rows.append(r.view(np.int32))
+            shares.append(s.view(np.float32))
+            sizes.append(len(rows[-1]))
+            labels.append(y)
+    if not labels:
+        model = fit(Bags.of([]))
+    else:
+        packed = np.concatenate(rows), np.concatenate(shares)
+        del rows, shares
+        model = fit(Bags(*packed, np.array(sizes, dtype=np.int64), np.array(labels, dtype=np.int64)))
+    yield pa.RecordBatch.from_arrays([pa.array([pack(model.scalars)], pa.binary()), pa.array([float(model.bias)])], ["scalars", "bias"])
+
+
 def held_out(column, fold: int = 2, folds: int = 4):
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
@@ -164,12 +182,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     known = known.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(most)
     rows = only(docs, id=id_col, text=text_col).join(F.broadcast(known), "id").select("id", "text", "label")
     kind = rows.schema["id"].dataType.simpleString()
-    got = rows.mapInArrow(_bags, f"id {kind}, label int, rows binary, shares binary").toArrow().sort_by("id")
-    packed = [np.frombuffer(b"".join(c.as_py() for c in got[name]), np_kind) for name, np_kind in (("rows", np.int32), ("shares", np.float32))]
-    sizes = np.array([len(c.as_buffer()) // 4 for c in got["rows"]], dtype=np.int64)
-    labels_of = got["label"].to_numpy().astype(np.int64)
-    del got
-    return fit(Bags(*packed, sizes, labels_of))
+    bags = rows.mapInArrow(_bags, f"id {kind}, label int, rows binary, shares binary")
+    found = bags.repartition(1).sortWithinPartitions("id").mapInArrow(_fit_task, "scalars binary, bias double").head()
+    return Model(np.frombuffer(found["scalars"], np.float32), found["bias"]) if found else fit(Bags.of([]))
 
 
 def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text", threshold: float = THRESHOLD) -> DataFrame:
