@@ -6,11 +6,14 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from barloom.functions.expr import duckdb_sql, evaluate
+from barloom.functions.expr import duckdb_sql, evaluate, rounded
 from barloom.functions.factors import FAMILIES
 from barloom.functions.recursive import recursive_indicators
+from barloom.operators import analysis as A
 from barloom.operators import bars as B
+from barloom.operators import joins as J
 from barloom.operators import panel as P
+from barloom.operators import quality as Q
 from barloom.operators import series as S
 from barloom.operators import trading as T
 from barloom.operators.selection import daily_rank_ic, ensemble, weights
@@ -27,7 +30,7 @@ DUCK_TYPES = {"string": "VARCHAR", "ntz": "TIMESTAMP"}
 
 
 def _family(spark, sf_dir, name):
-    return evaluate(event_bars(spark, sf_dir), FAMILIES[name])
+    return rounded(evaluate(event_bars(spark, sf_dir), FAMILIES[name]))
 
 
 for _name in FAMILIES:
@@ -36,10 +39,29 @@ for _name in FAMILIES:
 QUERIES["factors_recursive"] = lambda spark, sf_dir: recursive_indicators(event_bars(spark, sf_dir))
 
 # ---- inputs: how each is made in Spark, and its SQL in DuckDB ---------------------
-_EXTRA = "SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, value, event_id AS seq FROM events WHERE event_id % 5 < 2"
-_FACTORS = "SELECT symbol, ts, '{n}' AS name, close / nullif(lag(close, {n}) OVER (PARTITION BY symbol ORDER BY ts), 0) - 1 AS value FROM {bars}"
-_LONG = SqlOp(" UNION ALL ".join(f"SELECT * FROM ({_FACTORS.format(n=n, bars='#bars')}) AS f{n} WHERE value IS NOT NULL" for n in (1, 2, 3, 5)))
+_EXTRA = "SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, value, event_id AS seq FROM events"
+_LAGS = (1, 2, 3, 5)
+#: Momentum over several lags in long form: one window pass, then a row for each lag.
+_LONG = SqlOp(
+    "WITH f AS (SELECT symbol, ts, " + ", ".join(f"close / nullif(lag(close, {n}) OVER w, 0) - 1 AS f{n}" for n in _LAGS) + " FROM #bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)), "
+    "l AS (SELECT *, @EXPLODE(" + ", ".join(f"'{n}'" for n in _LAGS) + ") AS name FROM f), "
+    "v AS (SELECT symbol, ts, name, CASE name " + " ".join(f"WHEN '{n}' THEN f{n}" for n in _LAGS) + " END AS value FROM l) SELECT * FROM v WHERE value IS NOT NULL"
+)
+#: The same with the return of each bar, rows without value included.
+_SCORED = SqlOp(
+    "WITH f AS (SELECT symbol, ts, close / nullif(lag(close) OVER w, 0) - 1 AS ret, " + ", ".join(f"close / nullif(lag(close, {n}) OVER w, 0) - 1 AS f{n}" for n in _LAGS) + " FROM #bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)), "
+    "l AS (SELECT *, @EXPLODE(" + ", ".join(f"'{n}'" for n in _LAGS) + ") AS name FROM f) "
+    "SELECT symbol, ts, name, ret, CASE name " + " ".join(f"WHEN '{n}' THEN f{n}" for n in _LAGS) + " END AS value FROM l"
+)
+_TICKS = "SELECT event_type AS symbol, ts, value, event_id AS seq FROM events"
+_STORED = "SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, {min_by}(value, ts) AS value FROM events GROUP BY event_type, date_trunc('hour', ts)"
+_FRESH = "SELECT o_orderpriority AS symbol, date_trunc('hour', o_orderdate) AS ts, max(o_totalprice) AS value FROM orders GROUP BY o_orderpriority, date_trunc('hour', o_orderdate) UNION ALL SELECT event_type, date_trunc('day', ts), max(value) FROM events GROUP BY event_type, date_trunc('day', ts)"
 INPUTS = {
+    "scored": (lambda spark, sf_dir: _SCORED(bars=event_bars(spark, sf_dir)), _SCORED.duck(bars=DUCK_BARS)),
+    "ticks": (lambda spark, sf_dir: table_sql(spark, sf_dir, _TICKS, "events"), _TICKS),
+    "stored": (lambda spark, sf_dir: table_sql(spark, sf_dir, _STORED.format(min_by="min_by"), "events"), _STORED.format(min_by="arg_min")),
+    "fresh": (lambda spark, sf_dir: table_sql(spark, sf_dir, _FRESH, "events", "orders"), _FRESH),
+    "long_user": (lambda spark, sf_dir: _LONG(bars=user_bars(spark, sf_dir)), _LONG.duck(bars=DUCK_PANEL)),
     "bars": (event_bars, DUCK_BARS),
     "extra": (lambda spark, sf_dir: table_sql(spark, sf_dir, _EXTRA, "events"), _EXTRA),
     "user_bars": (user_bars, DUCK_PANEL),
@@ -76,27 +98,53 @@ register("rolling_ic", S.ROLLING_IC, _SERIES)
 register("autocorrelation", S.AUTOCORRELATION, _SERIES)
 register("mutual_information", S.MUTUAL_INFORMATION, _SERIES)
 register("factor_correlation", S.PAIR_CORRELATION, {"factors": "factors"})
-register("loader_indicators", S.INDICATORS, _BARS)
+register("loader_indicators", Q.INDICATORS, _BARS)
 register("asof_join", B.ASOF, {"bars": "bars", "extra": "extra"})
 register("resample_completed", B.RESAMPLE, _BARS)
 register("intrabar_snapshot", B.INTRABAR, _BARS)
 register("gap_detect", B.GAPS, _BARS)
-register("gap_detect_wide", B.GAPS, _BARS, times="3")
+register("gap_detect_wide", B.GAPS, {"bars": "user_bars"}, times="3", secs=86400)
 register("bar_health", B.HEALTH, _BARS)
 register("dedup_keep_last", B.KEEP_LAST, {"extra": "extra"})
 register("repair_bars", B.REPAIR, _BARS)
 register("pressure_proxy", B.PRESSURE, _BARS)
 register("clip_and_scale", B.CLIP_AND_SCALE, _BARS)
 register("bar_inventory", B.INVENTORY, _BARS)
-register("backtest", T.BACKTEST, _SERIES)
-register("backtest_performance", T.PERFORMANCE, _SERIES)
+_SCORES = {"scored": "scored"}
+register("backtest", T.BACKTEST, _SCORES)
+register("backtest_performance", T.PERFORMANCE, _SCORES)
+register("factor_analysis", A.FACTOR_ANALYSIS, _SCORES)
+register("factor_ranking", A.FACTOR_RANKING, _SCORES, top=3)
+register("effectiveness_ranking", A.FACTOR_RANKING, _SCORES, metric="effectiveness")
+register("rolling_ir", A.ROLLING_IR, _SCORES)
+register("ic_stability", A.IC_STABILITY, _SCORES)
+register("mining_score", A.MINING_SCORE, _SCORES)
+register("library_performance", A.LIBRARY_PERFORMANCE, _SCORES)
+register("oos_measure", P.OOS_MEASURE, {"factors": "long_user", "panel": "panel"})
+register("cs_ic_segments", P.IC_SEGMENTS, _PANEL)
+register("cs_group_shape", P.GROUP_SHAPE, _PANEL)
+register("valid_signals", Q.VALID, _SERIES)
+register("market_clean", Q.MARKET_CLEAN, _BARS)
+register("preprocess", Q.PREPROCESS, _BARS)
+register("sample_step", Q.SAMPLE_STEP, _PANEL)
+register("completed_bars", Q.COMPLETED, _BARS)
+register("validate_bars", Q.VALIDATE, _BARS)
+register("dedup_columns", Q.DEDUP_COLUMNS, {"extra": "extra"})
+register("dedup_second", Q.DEDUP_SECOND, {"ticks": "ticks"})
+register("dedup_deep", Q.DEDUP_DEEP, {"ticks": "ticks"})
+register("merge_upsert", Q.UPSERT, {"stored": "stored", "fresh": "fresh"})
+register("gap_tasks", Q.GAP_TASKS, {"bars": "user_bars"}, secs=86400)
+register("health_score", Q.HEALTH_SCORE, _BARS)
+register("resample_ffill", Q.RESAMPLE_FFILL, _BARS)
+register("offset_resample", Q.OFFSET_RESAMPLE, _BARS)
+register("grid_align", J.GRID, {"bars": "user_bars"}, share="0.1")
 register("labels_and_split", T.LABELS, _BARS)
 register("losses", T.LOSSES, _SERIES)
 
 
 # ---- expression languages -----------------------------------------------------------
 def _expressions(spark, sf_dir, factors):
-    return evaluate(event_bars(spark, sf_dir), factors)
+    return rounded(evaluate(event_bars(spark, sf_dir), factors))
 
 
 for _name, _made in {
@@ -110,6 +158,67 @@ for _name, _made in {
     SQL[f"language_{_name}"] = duckdb_sql(DUCK_BARS, _made)
 
 
+# ---- joins ------------------------------------------------------------------------------
+_METRICS = "SELECT event_type AS symbol, date_trunc('minute', ts) AS ts, CAST(count(DISTINCT user_id) AS DOUBLE) AS open_interest, max(CASE WHEN value > 50 THEN value END) AS lsr FROM events GROUP BY event_type, date_trunc('minute', ts)"
+_FUNDING = "SELECT event_type AS symbol, date_trunc('day', ts) AS ts, avg(value) / 1000 AS funding_rate FROM events GROUP BY event_type, date_trunc('day', ts)"
+_MARK = "SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, max(value) AS mark_close FROM events GROUP BY event_type, date_trunc('hour', ts)"
+_INDEX = "SELECT event_type AS symbol, date_trunc('hour', ts) AS ts, avg(value) AS index_close FROM events GROUP BY event_type, date_trunc('hour', ts)"
+_EXTRAS = {"metrics": _METRICS, "funding": _FUNDING, "mark": _MARK, "index": _INDEX}
+_NAMES = [str(n) for n in _LAGS]
+
+
+def _shown(df, *numbers):
+    return df.select("symbol", F.col("ts").cast("string").alias("ts"), *[F.round(c, 4).alias(c) for c in numbers])
+
+
+def _join_extras(spark, sf_dir):
+    bars = event_bars(spark, sf_dir).select("symbol", "ts", "close")
+    out = J.join_extras(bars, {name: table_sql(spark, sf_dir, sql, "events") for name, sql in _EXTRAS.items()})
+    return _shown(out, "close", "open_interest", "lsr", "funding_rate", "mark_close", "index_close", "basis")
+
+
+def _asof_renamed(spark, sf_dir):
+    ticks = table_sql(spark, sf_dir, "SELECT event_type AS symbol, ts, value AS close, event_type AS note FROM events", "events")
+    return _shown(J.asof(event_bars(spark, sf_dir).select("symbol", "ts", "close"), J.numeric(ticks), prefix="extra_tick"), "close", "extra_tick_close")
+
+
+def _outer_merge(spark, sf_dir):
+    frames = [table_sql(spark, sf_dir, _EXTRAS[n], "events") for n in ("funding", "mark", "index")]
+    return _shown(J.outer_merge(frames, ["symbol", "ts"]), "funding_rate", "mark_close", "index_close")
+
+
+def _common_times(spark, sf_dir):
+    frames = [event_bars(spark, sf_dir).filter(F.col("symbol") == s).select("ts") for s in ("click", "view", "purchase")]
+    return J.common_times(frames, ["ts"]).select(F.col("ts").cast("string").alias("ts"))
+
+
+def _wide_factors(spark, sf_dir):
+    return _shown(J.wide(INPUTS["long_user"][0](spark, sf_dir), _NAMES), *_NAMES)
+
+
+def _aligned(spark, sf_dir):
+    returns = INPUTS["panel"][0](spark, sf_dir).select("symbol", "ts", "ret")
+    return _shown(J.align(J.wide(INPUTS["long_user"][0](spark, sf_dir), _NAMES), returns, _NAMES), *_NAMES, "ret")
+
+
+QUERIES |= {"join_extras": _join_extras, "asof_renamed": _asof_renamed, "outer_merge": _outer_merge, "common_times": _common_times, "factors_wide": _wide_factors, "factors_aligned": _aligned}
+SQL["join_extras"] = (
+    f"WITH b AS (SELECT symbol, ts, close FROM ({DUCK_BARS}) AS q), j AS (SELECT b.*, m.open_interest, m.lsr, f.funding_rate, k.mark_close, i.index_close FROM b ASOF LEFT JOIN ({_METRICS}) AS m ON b.symbol = m.symbol AND b.ts >= m.ts "
+    f"ASOF LEFT JOIN ({_FUNDING}) AS f ON b.symbol = f.symbol AND b.ts >= f.ts ASOF LEFT JOIN ({_MARK}) AS k ON b.symbol = k.symbol AND b.ts >= k.ts ASOF LEFT JOIN ({_INDEX}) AS i ON b.symbol = i.symbol AND b.ts >= i.ts) "
+    "SELECT symbol, CAST(ts AS VARCHAR) AS ts, " + ", ".join(f"round({c}, 4) AS {c}" for c in ("close", "open_interest", "lsr", "funding_rate", "mark_close", "index_close")) + ", round((coalesce(mark_close, close) - index_close) / nullif(index_close, 0), 4) AS basis FROM j"
+)
+SQL["asof_renamed"] = f"SELECT b.symbol, CAST(b.ts AS VARCHAR) AS ts, round(b.close, 4) AS close, round(e.value, 4) AS extra_tick_close FROM ({DUCK_BARS}) AS b ASOF LEFT JOIN events AS e ON b.symbol = e.event_type AND b.ts >= e.ts"
+SQL["outer_merge"] = f"SELECT symbol, CAST(ts AS VARCHAR) AS ts, round(funding_rate, 4) AS funding_rate, round(mark_close, 4) AS mark_close, round(index_close, 4) AS index_close FROM ({_FUNDING}) FULL JOIN ({_MARK}) USING (symbol, ts) FULL JOIN ({_INDEX}) USING (symbol, ts)"
+SQL["common_times"] = f"SELECT CAST(ts AS VARCHAR) AS ts FROM ({DUCK_BARS}) AS b WHERE symbol IN ('click', 'view', 'purchase') GROUP BY ts HAVING count(DISTINCT symbol) = 3"
+_WIDE = "SELECT symbol, ts, " + ", ".join(f'max(value) FILTER (name = \'{n}\') AS "{n}"' for n in _NAMES) + f" FROM ({INPUTS['long_user'][1]}) AS l GROUP BY symbol, ts"
+_ROUNDED = ", ".join(f'round("{n}", 4) AS "{n}"' for n in _NAMES)
+SQL["factors_wide"] = f"SELECT symbol, CAST(ts AS VARCHAR) AS ts, {_ROUNDED} FROM ({_WIDE}) AS w"
+SQL["factors_aligned"] = (
+    f"SELECT symbol, CAST(ts AS VARCHAR) AS ts, {_ROUNDED}, round(ret, 4) AS ret FROM (SELECT w.*, p.ret FROM ({_WIDE}) AS w JOIN ({INPUTS['panel'][1]}) AS p ON w.symbol = p.symbol AND w.ts = p.ts WHERE p.ret IS NOT NULL AND "
+    + " + ".join(f'("{n}" IS NOT NULL)::INT' for n in _NAMES) + f" >= {len(_NAMES)} / 2.0) AS x QUALIFY count(*) OVER (PARTITION BY symbol) >= 10"
+)
+
+
 # ---- selection, ensembles, streams -----------------------------------------------------
 def _long_with_returns(spark, sf_dir):
     bars = user_bars(spark, sf_dir)

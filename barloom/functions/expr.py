@@ -329,8 +329,8 @@ def _stages(roots: Iterable[Expr]) -> tuple[dict[str, str], list[list[Expr]]]:
     return names, stages
 
 
-def evaluate(bars: DataFrame, factors: dict[str, Expr], digits: int = 4) -> DataFrame:
-    """bars(symbol, ts, ...) -> symbol, ts and a column for each factor, rounded; infinite and NaN values are null."""
+def evaluate(bars: DataFrame, factors: dict[str, Expr]) -> DataFrame:
+    """bars(symbol, ts, ...) -> symbol, ts and a column for each factor, in full precision; infinite and NaN values are null."""
     names, stages = _stages(factors.values())
     out = bars.selectExpr("*", "row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn")
     for stage in stages:
@@ -343,12 +343,18 @@ def evaluate(bars: DataFrame, factors: dict[str, Expr], digits: int = 4) -> Data
             out = _smoothed(out, means, names)
     cells = [f"{e.sql(names)} AS `{name}`" for name, e in factors.items()]
     out = out.selectExpr("symbol", "ts", *cells)
-    def rounded(n: str):
-        x = F.col(f"`{n}`").cast("double") * NUDGE
-        return F.when((F.abs(x) >= LARGE) & (F.abs(x) < float('inf')), F.round(x / 1e6) * 1e6).when(F.abs(x) < LARGE, F.round(x, digits)).alias(n)
+    finite = [F.when(F.abs(F.col(f"`{n}`").cast("double")) < float("inf"), F.col(f"`{n}`").cast("double")).alias(n) for n in factors]
+    return out.select("symbol", "ts", *finite)
 
-    clean = [rounded(n).alias(n) for n in factors]
-    return out.select("symbol", F.col("ts").cast("string").alias("ts"), *clean)
+
+def rounded(values: DataFrame, digits: int = 4) -> DataFrame:
+    """symbol, ts and factor columns as the comparison with ``duckdb_sql`` takes them: rounded, large ones to millions, ts as text."""
+
+    def shown(n: str):
+        x = F.col(f"`{n}`") * NUDGE
+        return F.when(F.abs(x) >= LARGE, F.round(x / 1e6) * 1e6).otherwise(F.round(x, digits)).alias(n)
+
+    return values.select("symbol", F.col("ts").cast("string").alias("ts"), *[shown(n) for n in values.columns[2:]])
 
 
 def _smoothed(df: DataFrame, means: list[Expr], names: dict[str, str]) -> DataFrame:

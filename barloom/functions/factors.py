@@ -167,6 +167,7 @@ def rsi_of(x: Expr, n: int) -> Expr:
 
 move = delta(C)
 gain_of = unless(larger(move, 0.0), prior)
+up0, down0 = or_zero(larger(move, 0.0)), or_zero(larger(-move, 0.0))
 rises = lambda n: rsi_of(unless(move, prior), n)
 stoch = lambda n: 100.0 * (C - low_of(L, n)) / (high_of(H, n) - low_of(L, n))
 stretch = lambda x, n: 100.0 * (x - low_of(x, n)) / (high_of(x, n) - low_of(x, n))
@@ -174,7 +175,7 @@ family("oscillators", {
     "rsi": rises(14), "rsi_21": rises(21), "rsi_overbought_14": flag(rises(14) > 70.0), "rsi_overbought_21": flag(rises(21) > 70.0), "rsi_oversold_14": flag(rises(14) < 30.0), "rsi_oversold_21": flag(rises(21) < 30.0),
     "stoch_k": stoch(14), "stoch_d": mean(stoch(14), 3), "stoch_overbought": flag(stoch(14) > 80.0), "stoch_oversold": flag(stoch(14) < 20.0), "stoch_rsi": mean(stretch(rises(14), 14), 3),
     "rmi": rsi_of(unless(delta(C, 5), lag(C, 5)), 20), "cci": (TYPICAL - mean(TYPICAL, 20)) / (0.015 * mean(absolute(TYPICAL - mean(TYPICAL, 20)), 20)),
-    "chande_momentum": 100.0 * (total(gain_of, 14) - total(unless(larger(-move, 0.0), prior), 14)) / (total(gain_of, 14) + total(unless(larger(-move, 0.0), prior), 14)),
+    "chande_momentum": 100.0 * (total(up0, 14) - total(down0, 14)) / (total(up0, 14) + total(down0, 14)),
     "awesome_oscillator": mean((H + L) / 2.0, 5) - mean((H + L) / 2.0, 34), "dpo": lag(C, 11) - mean(C, 20), "ulcer_index": sqrt(mean(power(100.0 * (C / high_of(C, 14) - 1.0), 2), 14)),
     "coppock_curve": weighted(100.0 * (pct(C, 14) + pct(C, 11)), 10, [(10 - k) / 55.0 for k in range(10)]), "kst": total(pct(C, 10), 10) + 2.0 * total(pct(C, 15), 10) + 3.0 * total(pct(C, 20), 10) + 4.0 * total(pct(C, 30), 15),
     "wma": decay_linear(C, 20), "triangle_pattern": -(absolute(slope(H, 50)) + absolute(slope(L, 50))),
@@ -187,7 +188,7 @@ ult = lambda n: total(bp, n) / total(tr_b, n)
 obv = running(sign(move) * V)
 vi = lambda x, n: total(absolute(x), n) / total(TR, n)
 family("volume_flow", {
-    "accumulation_distribution": running(or_zero(flow) * V), "chaikin_money_flow": total(or_zero(flow) * V, 20) / total(V, 20), "obv": obv, "obv_change": pct(obv), "obv_ma": mean(obv, 20),
+    "accumulation_distribution": running(or_zero(flow) * V), "chaikin_money_flow": total(flow * V, 20) / total(V, 20), "obv": obv, "obv_change": pct(obv), "obv_ma": mean(obv, 20),
     "mfi": 100.0 - 100.0 / (1.0 + total(when(delta(TYPICAL) > 0.0, money, 0.0), 14) / total(when(delta(TYPICAL) < 0.0, money, 0.0), 14)),
     "ease_of_movement": mean(delta((H + L) / 2.0) / (V / span), 14), "vwap": running(C * V) / running(V), "vwap_distance": (C - total(C * V, 20) / total(V, 20)) / (total(C * V, 20) / total(V, 20)),
     "ultimate_oscillator": 100.0 * (4.0 * ult(7) + 2.0 * ult(14) + ult(28)) / 7.0, "vortex_oscillator": vi(H - lag(L), 14) - vi(L - lag(H), 14),
@@ -196,11 +197,12 @@ family("volume_flow", {
 # ---- candles and gaps ----------------------------------------------------------------------------
 body, upper, lower_shadow = absolute(C - O), H - top, bottom - L
 pbody = lag(body)
+five = win("count({0})", H, frame=(-2, 2))  # no fractal at the ends of a history
 family("candles", {
     "doji": flag(body / span <= 0.001), "hammer": flag((lower_shadow >= 2.0 * body) & (upper <= 0.3 * body)), "shooting_star": flag((upper >= 2.0 * body) & (lower_shadow <= 0.3 * body)),
     "engulfing_bullish": flag((lag(C) < lag(O)) & (C > O) & (O <= lag(C)) & (C >= lag(O)) & (body >= 0.5 * pbody)), "engulfing_bearish": flag((lag(C) > lag(O)) & (C < O) & (O >= lag(C)) & (C <= lag(O)) & (body >= 0.5 * pbody)),
     "morning_star": flag((lag(C, 2) < lag(O, 2)) & (pbody <= 0.3 * mean(body, 3)) & (C > O) & (C > (lag(O, 2) + lag(C, 2)) / 2.0)), "evening_star": flag((lag(C, 2) > lag(O, 2)) & (pbody <= 0.3 * mean(body, 3)) & (C < O) & (C < (lag(O, 2) + lag(C, 2)) / 2.0)),
-    "fractal_up": flag(H >= win("max({0})", H, frame=(-2, 2))), "fractal_down": flag(L <= win("min({0})", L, frame=(-2, 2))), "gap_up": or_zero(larger(O - prior, 0.0)), "gap_down": or_zero(larger(prior - O, 0.0)),
+    "fractal_up": flag((H >= win("max({0})", H, frame=(-2, 2))) & (five >= 5.0)), "fractal_down": flag((L <= win("min({0})", L, frame=(-2, 2))) & (five >= 5.0)), "gap_up": or_zero(larger(O - prior, 0.0)), "gap_down": or_zero(larger(prior - O, 0.0)),
     "gap_fill": flag((C - prior) * (O - prior) <= 0.0), "technical_mining_doji_5": flag(body / span < 0.1), "technical_mining_long_lower_shadow_5": flag((lower_shadow > 2.0 * body) & (C > O)),
 })
 family("mined", {
@@ -236,6 +238,15 @@ family("derivatives", {
     "funding_rate_current": FUND + 0.0, "funding_rate_ma": mean(FUND, 72), "funding_rate_sign_balance": mean(or_zero(sign(FUND)), 168), "funding_rate_zscore": zs(FUND, 240), "network_value": col("circulating_supply") * C,
 })
 
+#: Fixed list: 0, not missing, where there is no value, as in the warm-up.
+ZERO_WHERE_MISSING = {
+    "mayer_multiple", "rvi", "volatility_adjusted_return", "correlation", "volume_ratio", "ichimoku_senkou_a", "ichimoku_senkou_b", "resistance_distance",
+    "awesome_oscillator", "cci", "chande_momentum", "coppock_curve", "dpo", "kst", "triangle_pattern", "ulcer_index", "chaikin_money_flow",
+    "ultimate_oscillator", "vortex_oscillator", "force_index", "klinger_oscillator", "schaff_trend_cycle", "trix", "tsi",
+}
+for group in FAMILIES.values():
+    group.update({name: or_zero(e) for name, e in group.items() if name in ZERO_WHERE_MISSING})
+
 FACTORS = {name: e for group in FAMILIES.values() for name, e in group.items()}
 #: Factors that use later bars.
 LOOKAHEAD = {"fractal_up", "fractal_down", *(f"volatility_state_{w}" for w in (5, 10, 20, 50))}

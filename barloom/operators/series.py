@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .sqlop import SqlOp
 
-#: Pearson and Spearman IC, win rate, turnover, shape and the combined score.
+#: Pearson and Spearman IC, win rate, mean step, mean and deviation.
 SERIES_SUMMARY = SqlOp(
     """WITH k AS (SELECT *, rank() OVER (PARTITION BY symbol ORDER BY factor) + (count(*) OVER (PARTITION BY symbol, factor) - 1) / CAST(2 AS DOUBLE) AS rf,
   rank() OVER (PARTITION BY symbol ORDER BY ret) + (count(*) OVER (PARTITION BY symbol, ret) - 1) / CAST(2 AS DOUBLE) AS rr, abs(factor - lag(factor) OVER (PARTITION BY symbol ORDER BY ts)) AS step FROM #panel)
@@ -22,13 +22,14 @@ ROLLING_IC = SqlOp(
     string="STRING",
 )
 
-#: Lag-k autocorrelation of the factor for k = 1..5.
+#: Lag-k autocorrelation of the factor for k = 1..10: one window pass, then an aggregate a lag.
 AUTOCORRELATION = SqlOp(
-    "WITH k AS ("
-    + " UNION ALL ".join(f"SELECT symbol, {k} AS lag, factor, lag(factor, {k}) OVER (PARTITION BY symbol ORDER BY ts) AS past FROM #panel" for k in range(1, 6))
-    + """),
-x AS (SELECT * FROM k WHERE past IS NOT NULL)
-SELECT symbol, lag, round(covar_samp(factor, past) / nullif(stddev_samp(factor) * stddev_samp(past), 0), 6) AS autocorrelation FROM x GROUP BY symbol, lag HAVING count(*) >= 10""",
+    "WITH w AS (SELECT symbol, factor, "
+    + ", ".join(f"lag(factor, {k}) OVER (PARTITION BY symbol ORDER BY ts) AS p{k}" for k in range(1, 11))
+    + " FROM #panel), e AS (SELECT *, @EXPLODE(1, 2, 3, 4, 5, 6, 7, 8, 9, 10) AS lag FROM w), x AS (SELECT symbol, lag, factor, CASE lag "
+    + " ".join(f"WHEN {k} THEN p{k}" for k in range(1, 11))
+    + """ END AS past FROM e)
+SELECT symbol, lag, round(covar_samp(factor, past) / nullif(stddev_samp(factor) * stddev_samp(past), 0), 6) AS autocorrelation FROM x WHERE past IS NOT NULL GROUP BY symbol, lag HAVING count(*) >= 10""",
 )
 
 #: Mutual information of factor and return over 10 by 10 bins of equal width, in nats.
@@ -44,12 +45,3 @@ PAIR_CORRELATION = SqlOp(
     """SELECT a.name AS a, b.name AS b, count(*) AS n, round(covar_samp(a.value, b.value) / nullif(stddev_samp(a.value) * stddev_samp(b.value), 0), 5) AS correlation
 FROM #factors AS a JOIN #factors AS b ON a.symbol = b.symbol AND a.ts = b.ts AND a.name < b.name GROUP BY a.name, b.name""",
 )
-
-#: Returns and ratios of the basic loader: returns, means, position, volume ratio.
-INDICATORS = SqlOp(
-    """SELECT symbol, CAST(ts AS $string) AS ts, round(close / nullif(lag(close) OVER w, 0) - 1, 5) AS returns, round(CASE WHEN close > 0 AND lag(close) OVER w > 0 THEN ln(close / lag(close) OVER w) END, 5) AS log_returns,
-  round(CASE WHEN count(close) OVER w20 = 20 THEN avg(close) OVER w20 END, 5) AS ma_20, round(CASE WHEN count(close) OVER w20 = 20 THEN (close - min(low) OVER w20) / nullif(max(high) OVER w20 - min(low) OVER w20, 0) END, 5) AS position_20,
-  round(CASE WHEN count(close) OVER w20 = 20 THEN volume / nullif(avg(volume) OVER w20, 0) END, 5) AS volume_ratio
-FROM #bars WINDOW w AS (PARTITION BY symbol ORDER BY ts), w20 AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""",
-    string="STRING",
-)

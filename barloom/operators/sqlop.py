@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 #: Fixed spellings of the two dialects.
-SPARK = {"PCT": "percentile", "MAXBY": "max_by", "MINBY": "min_by", "LAST": "last_value", "SECS": "timestampdiff(SECOND, {0}, {1})", "IGN": "last({0}, true)", "ADD": "{0} + make_dt_interval(0, 0, 0, {1})", "FLOORSECS": "unix_seconds(CAST({0} AS TIMESTAMP))"}
-DUCK = {"PCT": "quantile_cont", "MAXBY": "arg_max", "MINBY": "arg_min", "LAST": "last_value", "SECS": "date_diff('second', {0}, {1})", "IGN": "last_value({0} IGNORE NULLS)", "ADD": "{0} + to_seconds({1})", "FLOORSECS": "CAST(epoch({0}) AS BIGINT)"}
+SPARK = {"PCT": "percentile", "MAXBY": "max_by", "MINBY": "min_by", "LAST": "last_value", "SECS": "timestampdiff(SECOND, {0}, {1})", "IGN": "last({0}, true)", "ADD": "{0} + make_dt_interval(0, 0, 0, {1})", "FLOORSECS": "unix_seconds(CAST({0} AS TIMESTAMP))", "EXPLODE": "explode(array({*}))", "FIRST": "first({0}, true)", "SEQ": "explode(sequence({0}, {1}))", "ROUNDSECS": "CAST(bround(unix_micros(CAST({0} AS TIMESTAMP)) / 1e6, 0) AS BIGINT)"}
+DUCK = {"PCT": "quantile_cont", "MAXBY": "arg_max", "MINBY": "arg_min", "LAST": "last_value", "SECS": "date_diff('second', {0}, {1})", "IGN": "last_value({0} IGNORE NULLS)", "ADD": "{0} + to_seconds({1})", "FLOORSECS": "CAST(epoch({0}) AS BIGINT)", "EXPLODE": "unnest([{*}])", "FIRST": "first_value({0} IGNORE NULLS)", "SEQ": "unnest(generate_series({0}, {1}))", "ROUNDSECS": "CAST(round_even(epoch_us({0}) / 1e6, 0) AS BIGINT)"}
 
 
 class SqlOp:
@@ -31,7 +31,7 @@ class SqlOp:
                         start = j + 1
                     if depth == 0:
                         break
-                new = form.format(*args) if "{0}" in form else f"{form}({', '.join(args)})"
+                new = form.replace("{*}", ", ".join(args)) if "{*}" in form else form.format(*args) if "{0}" in form else f"{form}({', '.join(args)})"
                 out = out[:at] + new + out[j + 1 :]
         return out
 

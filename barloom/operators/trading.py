@@ -1,25 +1,39 @@
-"""Signals, backtests, labels and losses over panel(symbol, ts, factor, ret)."""
+"""Signals and backtests over scored(symbol, ts, name, value, ret), labels and losses over panel(symbol, ts, factor, ret)."""
 
 from __future__ import annotations
 
+from .analysis import kurtosis, skewness
 from .sqlop import SqlOp
 
-_SIGNALS = """WITH e AS (SELECT symbol AS es, @PCT(factor, 0.2) AS lo, @PCT(factor, 0.8) AS hi FROM #panel GROUP BY symbol),
-s AS (SELECT p.symbol, p.ts, p.ret, CASE WHEN p.factor >= e.hi THEN 1 WHEN p.factor <= e.lo THEN -1 ELSE 0 END AS signal FROM #panel AS p JOIN e ON p.symbol = e.es),
-x AS (SELECT *, coalesce(lag(signal) OVER (PARTITION BY symbol ORDER BY ts), 0) AS held FROM s),
-r AS (SELECT symbol, ts, signal, held * ret - abs(signal - held) * $cost - abs(held) * $slip AS net FROM x WHERE ret > -1)
+#: scored(symbol, ts, name, value, ret): rows without value or return are left out, then the outer fifths of each factor's whole history are held for one bar.
+#: The held position is the signal of the bar before; a change of position costs $cost, a held one $slip. The first bar has no return.
+_SIGNALS = """WITH d AS (SELECT symbol, ts, name, value, ret FROM #scored WHERE value IS NOT NULL AND ret IS NOT NULL), e AS (SELECT symbol AS es, name AS en, @PCT(value, 0.2) AS lo, @PCT(value, 0.8) AS hi FROM d GROUP BY symbol, name HAVING count(*) > 5),
+g AS (SELECT d.*, @EXPLODE('long_short', 'long_only', 'short_only') AS strategy, CASE WHEN value <= lo THEN -1 WHEN value > hi THEN 1 ELSE 0 END AS side FROM d JOIN e ON d.symbol = e.es AND d.name = e.en),
+s AS (SELECT symbol, name, strategy, ts, ret, CASE WHEN strategy = 'long_only' THEN greatest(side, 0) WHEN strategy = 'short_only' THEN least(side, 0) ELSE side END AS signal FROM g),
+x AS (SELECT *, lag(signal) OVER (PARTITION BY symbol, name, strategy ORDER BY ts) AS held FROM s), r AS (SELECT symbol, name, strategy, ts, signal, held * ret - abs(signal - held) * $cost - abs(held) * $slip AS net FROM x WHERE held IS NOT NULL),
+c AS (SELECT *, CASE WHEN count(CASE WHEN 1 + net = 0 THEN 1 END) OVER w > 0 THEN 0e0 ELSE (1 - 2 * (count(CASE WHEN 1 + net < 0 THEN 1 END) OVER w % 2)) * exp(sum(CASE WHEN 1 + net <> 0 THEN ln(abs(1 + net)) END) OVER w) END AS cumulative
+  FROM r WINDOW w AS (PARTITION BY symbol, name, strategy ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+p AS (SELECT *, max(cumulative) OVER (PARTITION BY symbol, name, strategy ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak FROM c),
+v AS (SELECT *, (cumulative - peak) / nullif(peak, 0) AS drawdown FROM p)
 """
-#: Positions of the outer quintiles of the whole history, held one bar, after costs.
-BACKTEST = SqlOp(_SIGNALS + "SELECT symbol, CAST(ts AS $string) AS ts, signal, round(net, 6) AS net FROM r", cost="0.001", slip="0.0005", string="STRING")
+#: Each bar's signal, net return, running product of 1 + net and drawdown from its maximum, for three strategies. A return of -100 % makes the product 0 from there on.
+BACKTEST = SqlOp(_SIGNALS + "SELECT symbol, name, strategy, CAST(ts AS $string) AS ts, signal, round(net, 5) AS net, round(cumulative, 4) AS cumulative, round(drawdown, 4) AS drawdown FROM v", cost="0.001", slip="0.0005", string="STRING")
 
-#: Performance of that backtest: return, volatility, Sharpe, Sortino, drawdown of the running sum, win share.
+#: Performance of each symbol, factor and strategy; 252 bars a year. Measures without a denominator are 0, the profit ratio without losses is missing.
 PERFORMANCE = SqlOp(
     _SIGNALS
-    + """, c AS (SELECT *, sum(net) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM r), d AS (SELECT *, total - max(total) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS drop FROM c)
-SELECT symbol, count(*) AS n, round(sum(net), 5) AS total, round(avg(net) * 252, 5) AS annual, round(stddev_samp(net) * sqrt(252), 5) AS volatility, round((avg(net) * 252 - 0.02) / nullif(stddev_samp(net) * sqrt(252), 0), 5) AS sharpe,
-  round(avg(net) * 252 / nullif(stddev_samp(CASE WHEN net < 0 THEN net END) * sqrt(252), 0), 5) AS sortino, round(min(drop), 5) AS max_drawdown, round(avg(CASE WHEN net > 0 THEN 1e0 ELSE 0e0 END), 6) AS win_share FROM d GROUP BY symbol""",
+    + """, l AS (SELECT symbol, name, strategy, @MAXBY(cumulative, ts) - 1 AS total, count(*) AS n, avg(net) AS mean, stddev_samp(net) AS std, stddev_samp(CASE WHEN net < 0 THEN net END) AS down, min(drawdown) AS worst,
+  avg(CASE WHEN net > 0 THEN 1e0 ELSE 0e0 END) AS win_rate, abs(avg(CASE WHEN net > 0 THEN net END) / nullif(avg(CASE WHEN net < 0 THEN net END), 0)) AS profit_loss, """
+    + "{skew} AS skewness, {kurt} AS kurtosis".format(skew="$skew", kurt="$kurt")
+    + """ FROM v GROUP BY symbol, name, strategy), a AS (SELECT *, CASE WHEN 1 + total >= 0 THEN pow(1 + total, CAST(252 AS DOUBLE) / n) - 1 END AS annual FROM l)
+SELECT symbol, name, strategy, n, round(total, 4) AS total, round(annual, 4) AS annual, round(std * sqrt(252), 4) AS volatility, round(CASE WHEN std > 0 THEN (annual - $free) / (std * sqrt(252)) ELSE 0 END, 4) AS sharpe,
+  round(CASE WHEN std > 0 THEN mean / std * sqrt(252) ELSE 0 END, 4) AS sharpe_annual, round(CASE WHEN down > 0 THEN (annual - $free) / (down * sqrt(252)) ELSE 0 END, 4) AS sortino, round(CASE WHEN worst <> 0 THEN annual / abs(worst) ELSE 0 END, 4) AS calmar,
+  round(worst, 4) AS max_drawdown, round(win_rate, 5) AS win_rate, round(profit_loss, 4) AS profit_loss, round(mean, 5) AS mean, round(skewness, 3) AS skewness, round(kurtosis, 3) AS kurtosis FROM a""",
     cost="0.001",
     slip="0.0005",
+    free="0.02",
+    skew=skewness("net"),
+    kurt=kurtosis("net"),
 )
 
 #: Labels of the next bar and the split by position: 80 % train, 10 % validation, the rest test.
