@@ -239,7 +239,7 @@ def _ensemble_rank_ic(spark, sf_dir):
 
 
 def _stream_bars(spark, sf_dir):
-    out = run_once(tumbling_bars(event_stream(spark, sf_dir)), f"bars_{abs(hash(sf_dir)) % 10**8}")
+    out = run_once(tumbling_bars(event_stream(spark, sf_dir)), ["symbol", "ts"])
     numbers = [F.round(c, 4).alias(c) for c in ("open", "high", "low", "close")]
     return out.select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), *numbers, "volume")
 
