@@ -8,7 +8,6 @@ space and 0x09-0x0D, which is the same for bytes and for characters. Hashes are
 from __future__ import annotations
 
 import hashlib
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,17 +16,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN_DIR: list[str] = []
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``), or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _OWN_DIR:
-        _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="barloom-"))
-    return _OWN_DIR[0]
+    """The cluster's shared folder: ``spark.checkpoint.dir``, or the warehouse where it is unset."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all stage tables that this driver has written. Results are lazy, so call it once they have been written or read."""
+    while _MADE:
+        _delete(spark, _MADE.pop())
 
 
 class Stage:
@@ -37,6 +42,7 @@ class Stage:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/barloom/{name}-{uuid.uuid4().hex}"
         self.paths: dict[int, str] = {}
+        _MADE.append(self.root)
         self.n = 0
 
     def path(self, name: str) -> str:
@@ -61,9 +67,7 @@ class Stage:
         for frame in frames:
             path = self.paths.pop(id(frame), None)
             if path:
-                jvm = self.spark._jvm
-                target = jvm.org.apache.hadoop.fs.Path(path)
-                target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+                _delete(self.spark, path)
 
 
 def only(df: DataFrame, **columns: str) -> DataFrame:
