@@ -16,7 +16,7 @@ from barloom.operators import panel as P
 from barloom.operators import quality as Q
 from barloom.operators import series as S
 from barloom.operators import trading as T
-from barloom.operators.selection import daily_rank_ic, ensemble, weights
+from barloom.operators.selection import correlations, daily_rank_ic, ensemble, rank_agreement, weights, wide
 from barloom.operators.sqlop import SqlOp
 from barloom.plans.languages import FEATURES, INFIX_SAMPLES, POSTFIX_FEATURES, POSTFIX_SAMPLES, infix, postfix
 from barloom.sources.bars import DUCK_BARS, DUCK_PANEL, event_bars, table_sql, user_bars
@@ -97,7 +97,6 @@ register("series_summary", S.SERIES_SUMMARY, _SERIES)
 register("rolling_ic", S.ROLLING_IC, _SERIES)
 register("autocorrelation", S.AUTOCORRELATION, _SERIES)
 register("mutual_information", S.MUTUAL_INFORMATION, _SERIES)
-register("factor_correlation", S.PAIR_CORRELATION, {"factors": "factors"})
 register("loader_indicators", Q.INDICATORS, _BARS)
 register("asof_join", B.ASOF, {"bars": "bars", "extra": "extra"})
 register("resample_completed", B.RESAMPLE, _BARS)
@@ -121,6 +120,7 @@ register("ic_stability", A.IC_STABILITY, _SCORES)
 register("mining_score", A.MINING_SCORE, _SCORES)
 register("library_performance", A.LIBRARY_PERFORMANCE, _SCORES)
 register("oos_measure", P.OOS_MEASURE, {"factors": "long_user", "panel": "panel"})
+register("walk_forward", P.WALK_FORWARD, {"factors": "long_user", "panel": "panel"})
 register("cs_ic_segments", P.IC_SEGMENTS, _PANEL)
 register("cs_group_shape", P.GROUP_SHAPE, _PANEL)
 register("valid_signals", Q.VALID, _SERIES)
@@ -244,6 +244,36 @@ def _stream_bars(spark, sf_dir):
     return out.select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), *numbers, "volume")
 
 
+def _factor_correlation(spark, sf_dir):
+    found = correlations(wide(INPUTS["factors"][0](spark, sf_dir), ["symbol", "ts"], _NAMES, "value"), _NAMES)
+    return found.withColumn("correlation", F.round("correlation", 5))
+
+
+def _ic_correlation(spark, sf_dir):
+    found = correlations(wide(daily_rank_ic(_long_with_returns(spark, sf_dir)), "ts", _NAMES, "ic"), _NAMES)
+    return found.withColumn("correlation", F.round("correlation", 5))
+
+
+def _rank_agreement(spark, sf_dir):
+    return rank_agreement(INPUTS["long_user"][0](spark, sf_dir)).select("a", "b", "dates", F.round("spearman", 6).alias("spearman"), F.round("same_rank", 6).alias("same_rank"))
+
+
+_IC_SQL = SqlOp(
+    """WITH j AS (SELECT f.symbol, f.ts, f.name, f.value, p.ret FROM #factors AS f JOIN #panel AS p ON f.symbol = p.symbol AND f.ts = p.ts),
+k AS (SELECT ts, name, rank() OVER (PARTITION BY ts, name ORDER BY value) + (count(*) OVER (PARTITION BY ts, name, value) - 1) / 2.0 AS a, rank() OVER (PARTITION BY ts, name ORDER BY ret) + (count(*) OVER (PARTITION BY ts, name, ret) - 1) / 2.0 AS b FROM j),
+i AS (SELECT ts, name, covar_samp(a, b) / nullif(stddev_samp(a) * stddev_samp(b), 0) AS ic FROM k GROUP BY ts, name)
+SELECT x.name AS a, y.name AS b, count(*) AS n, round(covar_samp(x.ic, y.ic) / nullif(stddev_samp(x.ic) * stddev_samp(y.ic), 0), 5) AS correlation FROM i AS x JOIN i AS y ON x.ts = y.ts AND x.name < y.name AND x.ic IS NOT NULL AND y.ic IS NOT NULL GROUP BY x.name, y.name HAVING count(*) >= 2"""
+)
+_AGREE_SQL = SqlOp(
+    """WITH j AS (SELECT x.ts, x.name AS a, y.name AS b, x.value AS u, y.value AS v FROM #factors AS x JOIN #factors AS y ON x.symbol = y.symbol AND x.ts = y.ts AND x.name < y.name),
+k AS (SELECT *, rank() OVER (PARTITION BY ts, a, b ORDER BY u) + (count(*) OVER (PARTITION BY ts, a, b, u) - 1) / 2.0 AS ru, rank() OVER (PARTITION BY ts, a, b ORDER BY v) + (count(*) OVER (PARTITION BY ts, a, b, v) - 1) / 2.0 AS rv FROM j),
+d AS (SELECT ts, a, b, covar_pop(ru, rv) / nullif(stddev_pop(ru) * stddev_pop(rv), 0) AS r, avg(CASE WHEN ru = rv THEN 1e0 ELSE 0e0 END) AS same FROM k GROUP BY ts, a, b HAVING count(*) > 1)
+SELECT a, b, count(*) AS dates, round(avg(r), 6) AS spearman, round(avg(same), 6) AS same_rank FROM d WHERE r IS NOT NULL GROUP BY a, b"""
+)
+QUERIES |= {"factor_correlation": _factor_correlation, "ic_correlation": _ic_correlation, "rank_agreement": _rank_agreement}
+SQL["factor_correlation"] = S.PAIR_CORRELATION.duck(factors=INPUTS["factors"][1])
+SQL["ic_correlation"] = _IC_SQL.duck(factors=INPUTS["long_user"][1], panel=INPUTS["panel"][1])
+SQL["rank_agreement"] = _AGREE_SQL.duck(factors=INPUTS["long_user"][1])
 QUERIES["factor_weights"] = _factor_weights
 QUERIES["ensemble_rank_ic"] = _ensemble_rank_ic
 _ENSEMBLE = SqlOp("SELECT f.symbol, f.ts, sum(value * 0.25) / sum(0.25e0) AS factor, max(p.ret) AS ret FROM #factors AS f JOIN #panel AS p ON f.symbol = p.symbol AND f.ts = p.ts GROUP BY f.symbol, f.ts")

@@ -40,7 +40,7 @@ j AS (SELECT symbol, n, x, y, count(*) AS c FROM b GROUP BY symbol, n, x, y), m
 SELECT symbol, round(sum(c / CAST(n AS DOUBLE) * ln(c * CAST(n AS DOUBLE) / (cx * cy))), 5) AS mutual_information FROM m GROUP BY symbol""",
 )
 
-#: factors(symbol, ts, name, value) -> Pearson correlation of each pair on common rows.
+#: The statement that ``selection.correlations`` is compared with: factors(symbol, ts, name, value) -> Pearson correlation of each pair on common rows.
 PAIR_CORRELATION = SqlOp(
     """SELECT a.name AS a, b.name AS b, count(*) AS n, round(covar_samp(a.value, b.value) / nullif(stddev_samp(a.value) * stddev_samp(b.value), 0), 5) AS correlation
 FROM #factors AS a JOIN #factors AS b ON a.symbol = b.symbol AND a.ts = b.ts AND a.name < b.name GROUP BY a.name, b.name""",
