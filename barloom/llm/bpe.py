@@ -124,6 +124,7 @@ def _encoder(path: str, digests: bool):
                 decoded.append(hashlib.sha256(text.encode()).hexdigest() if digests else text)
             kind = pa.string() if digests else pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, kind), pa.array(decoded, pa.string())], ["id", "n", "ids", "decoded"])
+        bpe.clear()  # a worker goes on to other tasks
 
     return run
 
@@ -160,13 +161,15 @@ def _rows_encoder(path: str, text_col: str, schema: pa.Schema):
                 same.append(bpe.decode(coded) == text)
             rest = [batch.column(n) for n in schema.names[:-3]]
             yield pa.RecordBatch.from_arrays([*rest, pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], names=schema.names)
+        bpe.clear()
 
     return run
 
 
 def encode_rows(docs: DataFrame, path: str | None = None, text_col="text") -> DataFrame:
-    """``docs`` with n_tokens, ids and round_trip (decoding gives the text again) in place of the text."""
-    rest = docs.drop(text_col)
+    """``docs`` with n_tokens, ids and round_trip (decoding gives the text again) in place of the text. Columns that have these names already are replaced;
+    null text is empty and has no ids; every other column is passed through."""
+    rest = docs.drop(text_col, "n_tokens", "ids", "round_trip")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
     names = pa.schema([(n, pa.null()) for n in [*rest.columns, "n_tokens", "ids", "round_trip"]])
     return docs.mapInArrow(_rows_encoder(path or vocabulary_path(), text_col, names), f"{kinds}, n_tokens bigint, ids array<int>, round_trip boolean")

@@ -86,7 +86,7 @@ def _position(words_before: Column) -> Column:
 
 
 def mix_plan(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", weights=WEIGHTS, ramps=RAMPS, max_repeats: int = MAX_REPEATS, stage: Stage | None = None) -> DataFrame:
-    """One row for each row of ``docs``: id, source, size, source_size, target, taken, starts.
+    """One row for each row of ``docs``: id, source, size, source_size, target, taken, starts, position of the first occurrence (taken or not), mark (a hash of the text).
 
     ``starts`` lists the training positions (words from the start of training) of the occurrences taken. A source's occurrences
     are taken in order until its target is reached; the last one counts only the words up to the target,
@@ -95,7 +95,7 @@ def mix_plan(docs: DataFrame, id_col="doc_id", text_col="text", source_col="sour
     """
     stage = stage or Stage(docs.sparkSession, "mixing")
     size = F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), size.alias("size"))
+    rows = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), size.alias("size"), F.xxhash64(docs[text_col]).alias("mark"))
     rows = stage.table(rows.withColumn("order", F.shiftrightunsigned(F.xxhash64("id", "size"), 1)), "sizes")
     targets = stage.table(source_targets(rows, weights, ramps, max_repeats), "targets")
     n = rows.count()
@@ -108,28 +108,28 @@ def mix_plan(docs: DataFrame, id_col="doc_id", text_col="text", source_col="sour
     taken = F.aggregate(begins, F.lit(0).cast("long"), lambda acc, x: acc + F.least(F.col("size"), goal - x))
     starts = F.transform(begins, lambda x: _position(x) * F.col("total"))
     first = _position(F.col("before").cast("double")) * F.col("total")
-    return laid.select("id", "source", "size", "source_size", "target", taken.alias("taken"), starts.alias("starts"), first.alias("position"))
+    return laid.select("id", "source", "size", "source_size", "target", taken.alias("taken"), starts.alias("starts"), first.alias("position"), "mark")
 
 
 def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="source", **options) -> DataFrame:
     """The training stream: rows of ``docs``, repeated or left out as the mix says, range-sorted by position.
 
-    A document is never cut: the occurrence in which a source reaches its target is kept whole. Rows with equal ids and sizes, null
-    ids too, are told apart by their order: each takes one row of the plan.
+    A document is never cut: the occurrence in which a source reaches its target is kept whole. Rows with equal ids, sources and texts, null
+    ids too, are told apart by their turn: each takes one row of the plan.
     """
     plan = mix_plan(docs, id_col, text_col, source_col, **options)
-    key = ["__none", "__id", "__size", "__of"]
-    plan = plan.select(*_row_key(F.col("id"), F.col("size"), F.col("source")), "starts").groupBy(*key).agg(F.sort_array(F.collect_list("starts")).alias("__plan"))
+    key = ["__none", "__id", "__size", "__of", "__mark"]
+    turn = F.row_number().over(Window.partitionBy(*key).orderBy("__first"))
+    plan = plan.select(*_row_key(F.col("id"), F.col("size"), F.col("source"), F.col("mark")), F.col("starts").alias("__starts"), F.col("position").alias("__first")).withColumn("__turn", turn)
     size = F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long")
-    own = docs.select("*", *_row_key(docs[id_col], size, docs[source_col]))
-    turn = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(text_col)))
-    out = own.join(plan, key).withColumn("__turn", turn)
-    return out.withColumn("__at", F.explode(F.element_at("__plan", F.col("__turn")))).sort("__at", "__none", "__id").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = docs.select("*", *_row_key(docs[id_col], size, docs[source_col], F.xxhash64(docs[text_col])), F.lit(0).alias("__first")).withColumn("__turn", turn).drop("__first")
+    out = own.join(plan, [*key, "__turn"])
+    return out.withColumn("__at", F.explode("__starts")).sort("__at", "__none", "__id").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def _row_key(id: Column, size: Column, source: Column) -> list[Column]:
+def _row_key(id: Column, size: Column, source: Column, mark: Column) -> list[Column]:
     """Columns without nulls that tell rows apart as far as the plan does."""
-    return [id.isNull().alias("__none"), F.coalesce(id.cast("string"), F.lit("")).alias("__id"), size.alias("__size"), F.to_json(F.struct(source.alias("s"))).alias("__of")]
+    return [id.isNull().alias("__none"), F.coalesce(id.cast("string"), F.lit("")).alias("__id"), size.alias("__size"), F.to_json(F.struct(source.alias("s"))).alias("__of"), mark.alias("__mark")]
 
 
 def op8_mix_sources(spark, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ down, by numbers of texts and not by shares: with more labels, rare words count
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,14 +57,10 @@ def features(buf: np.ndarray) -> np.ndarray:
     return (np.concatenate(found) & np.uint64(ROWS - 1)).astype(np.int64)
 
 
-def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows, counts = [], []
-        for buf in texts_of(batch.column(1)):
-            found, n = np.unique(features(buf), return_counts=True)
-            rows.append(pack(found.astype(np.int32)))
-            counts.append(pack((n / (n.sum() + PADDING)).astype(np.float32)))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.binary()), pa.array(counts, pa.binary())], ["id", "label", "rows", "shares"])
+def bag(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A text's matrix rows and their shares of its features, ``PADDING`` zero rows included."""
+    found, n = np.unique(features(buf), return_counts=True)
+    return found.astype(np.int32), (n / (n.sum() + PADDING)).astype(np.float32)
 
 
 class Bags:
@@ -75,10 +71,18 @@ class Bags:
         self.at = np.concatenate(([0], np.cumsum(sizes)))
 
     @classmethod
-    def of(cls, texts: list[tuple[np.ndarray, np.ndarray, int]]) -> Bags:
-        none = [(np.zeros(0, np.int32), np.zeros(0, np.float32), 0)]
-        rows, shares = (np.concatenate([t[k] for t in texts or none]) for k in (0, 1))
-        return cls(rows, shares, np.array([len(t[0]) for t in texts], dtype=np.int64), np.array([t[2] for t in texts], dtype=np.int64))
+    def of(cls, texts: Iterable[tuple[np.ndarray, np.ndarray, int]]) -> Bags:
+        """Packed as they come, in arrays that double."""
+        rows, shares, sizes, labels, end = np.empty(1 << 16, np.int32), np.empty(1 << 16, np.float32), [], [], 0
+        for r, s, y in texts:
+            sizes.append(len(r))
+            labels.append(y)
+            if end + len(r) > len(rows):
+                more = max(len(rows), len(r))
+                rows, shares = (np.concatenate([x[:end], np.empty(len(x) - end + more, x.dtype)]) for x in (rows, shares))
+            rows[end : end + len(r)], shares[end : end + len(r)] = r, s
+            end += len(r)
+        return cls(rows[:end], shares[:end], np.array(sizes, dtype=np.int64), np.array(labels, dtype=np.int64))
 
     def weighted(self, scale: np.ndarray) -> Bags:
         """Shares times the scale of their row, without rows of scale 0."""
@@ -150,20 +154,9 @@ def fit(bags: Bags, seed: int = 7) -> Model:
 
 
 def _fit_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fit on all bags of one task: at most the bound of the sample."""
-    rows, shares, sizes, labels = [], [], [], []
-    for batch in batches:
-        for r, s, y in zip(texts_of(batch.column(2)), texts_of(batch.column(3)), batch.column(1).to_pylist(), strict=True):
-            rows.append(r.view(np.int32))
-            shares.append(s.view(np.float32))
-            sizes.append(len(rows[-1]))
-            labels.append(y)
-    if not labels:
-        model = fit(Bags.of([]))
-    else:
-        packed = np.concatenate(rows), np.concatenate(shares)
-        del rows, shares
-        model = fit(Bags(*packed, np.array(sizes, dtype=np.int64), np.array(labels, dtype=np.int64)))
+    """Fit on all (id, text, label) rows of one task: at most the bound of the sample."""
+    texts = (x for batch in batches for x in zip(texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True))
+    model = fit(Bags.of((*bag(buf), y) for buf, y in texts))
     yield pa.RecordBatch.from_arrays([pa.array([pack(model.scalars)], pa.binary()), pa.array([float(model.bias)])], ["scalars", "bias"])
 
 
@@ -181,9 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     known = known.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max(F.col("label").cast("int")).alias("label"))
     known = known.orderBy(F.xxhash64("id", F.lit(1)), "id").limit(most)
     rows = only(docs, id=id_col, text=text_col).join(F.broadcast(known), "id").select("id", "text", "label")
-    kind = rows.schema["id"].dataType.simpleString()
-    bags = rows.mapInArrow(_bags, f"id {kind}, label int, rows binary, shares binary")
-    found = bags.repartition(1).sortWithinPartitions("id").mapInArrow(_fit_task, "scalars binary, bias double").head()
+    found = rows.repartition(1).sortWithinPartitions("id", "label").mapInArrow(_fit_task, "scalars binary, bias double").head()
     return Model(np.frombuffer(found["scalars"], np.float32), found["bias"]) if found else fit(Bags.of([]))
 
 

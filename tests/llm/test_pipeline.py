@@ -78,3 +78,25 @@ def test_token_ids_decode_to_the_texts(stored):
 
 def test_run_gives_the_rows_of_the_last_stage(spark, sf_dir, stored):
     assert corpus_pipeline.run(spark, sf_dir).count() == stored["bpe"].count()
+
+
+def test_stages_on_odd_rows_and_on_nothing(spark, sf_dir):
+    """Nulls in every column, empty and blank texts, rows repeated, one id with two texts."""
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").schema
+    words = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, words, "en", "s", 9), (1, words, "en", "s", 9), (1, "other words", "en", "s", 1), (2, words, None, None, None), (3, None, None, None, None), (4, "", "en", "s", 0), (5, " \n", "en", "s", 2), (None, "a text without id", None, None, None), (None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    steps = dict(corpus_pipeline.STAGES)
+    ids = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+    clean = steps["toxicity"](spark, docs, sf_dir)
+    assert ids(clean) == ids(docs)
+    once = steps["exact_dedup"](spark, docs, sf_dir)
+    assert ids(once) == sorted([(1, "other words"), (2, words), (4, ""), (5, " \n"), (None, "a text without id")], key=repr)
+    assert ids(steps["near_dedup"](spark, once, sf_dir)) == ids(once)
+    assert ids(steps["near_dedup"](spark, docs, sf_dir)) == sorted([r for r in ids(docs) if r != (2, words)], key=repr)
+    mixed = steps["mixing"](spark, once, sf_dir)
+    assert {(r["doc_id"], r["text"]) for r in mixed.collect()} <= {(1, "other words"), (2, words), (None, "a text without id")}
+    coded = steps["bpe"](spark, docs, sf_dir)
+    assert coded.count() == len(rows) and all(r["n_tokens"] == 0 for r in coded.filter("doc_id = 3 or doc_id = 4").collect())
+    for name, step in corpus_pipeline.STAGES:
+        assert step(spark, docs.limit(0), sf_dir).count() == 0, name
