@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.expr import duckdb_sql, evaluate, rounded
 from barloom.functions.factors import FAMILIES
+from barloom.functions.generators import GENERATORS, basic, engineered, learning, targets
 from barloom.functions.recursive import recursive_indicators
 from barloom.operators import analysis as A
 from barloom.operators import bars as B
@@ -36,6 +37,17 @@ def _family(spark, sf_dir, name):
 for _name in FAMILIES:
     QUERIES[f"factors_{_name}"] = partial(_family, name=_name)
     SQL[f"factors_{_name}"] = duckdb_sql(DUCK_BARS, FAMILIES[_name])
+_SETS = {name: make((5, 20)) for name, make in GENERATORS.items()} | {"learning": learning(), "basic": basic(), "targets": targets()}
+_SETS["engineered"] = engineered({n: learning()[n] for n in ("returns", "volume_ratio")})
+
+
+def _generated(spark, sf_dir, name):
+    return rounded(evaluate(event_bars(spark, sf_dir), _SETS[name]))
+
+
+for _name in _SETS:
+    QUERIES[f"features_{_name}"] = partial(_generated, name=_name)
+    SQL[f"features_{_name}"] = duckdb_sql(DUCK_BARS, _SETS[_name])
 QUERIES["factors_recursive"] = lambda spark, sf_dir: recursive_indicators(event_bars(spark, sf_dir))
 
 # ---- inputs: how each is made in Spark, and its SQL in DuckDB ---------------------
