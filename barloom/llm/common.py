@@ -49,20 +49,25 @@ class Stage:
         self.n += 1
         return f"{self.root}/{self.n:03d}-{name}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and read it again, so that nothing upstream is computed twice."""
+    def table(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Write ``df`` and read it again, so that nothing upstream is computed twice; with ``by``, in a folder for each value of that column."""
         path = self.path(name)
         conf, flag = self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
         was = conf.get(flag, "false")
         conf.set(flag, "true")  # what this write shuffled is not needed again
         try:
-            df.write.parquet(path)
+            out = df.write.option("compression", "zstd")
+            (out.partitionBy(by) if by else out).parquet(path)
         finally:
             conf.set(flag, was)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
 
+    def drop_part(self, frame: DataFrame, part: str) -> None:
+        """Delete one folder, such as ``kind=1``, of a table written ``by`` a column; nothing may read it any more."""
+        _delete(self.spark, f"{self.paths[id(frame)]}/{part}")
+
     def drop(self, *frames: DataFrame) -> None:
         for frame in frames:
             path = self.paths.pop(id(frame), None)

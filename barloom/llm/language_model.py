@@ -3,8 +3,9 @@
 Restaurants: one for each previous word (and one for the start of a text), all sharing one unigram restaurant as parent, whose base is uniform over the vocabulary and one
 unknown word. A word's customers in a context open tables; each table is a customer of the parent.
 
-The corpus is tokenised once, into stored blocks of a bounded number of tokens. A block knows its distinct (context, word) pairs and its
-distinct words; only these travel, once for each block, so neither a frequent word nor a frequent pair makes a large group. Pairs are
+The texts are stored once with the number of their block, a bounded number of bytes. A block's distinct (context, word) pairs and its
+distinct words travel, once for each block, so neither a frequent word nor a frequent pair makes a large group; tokens never do: a task that needs
+them takes them from the text again, which is a fifth of their size. Pairs are
 dealt to buckets by a hash of both; what is summed for a word, or for a context, is dealt by its own hash (a *node*).
 A pair met once has one customer at one table in every seating: such pairs are counted into their nodes once and then kept as bare keys.
 A Gibbs sweep takes each other pair's customers and tables out and seats the customers again, given all other tables of the sweep before: pair buckets send their nodes the
@@ -17,6 +18,7 @@ Data move as sorted number columns packed in binary rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,8 @@ DISCOUNT, STRENGTH, DISCOUNT0, STRENGTH0 = 0.75, 5.0, 0.5, 100.0
 BURN_IN, SAMPLES = 2, 3
 #: Customers of a group that are seated one at a time before waits are drawn at once.
 ONE_BY_ONE = 8
-#: Text bytes for each bucket of pairs; tokens of a block (or those of one text, if it has more).
-BUCKET_BYTES, GATHERED = 16 << 20, 1_000_000
+#: Text bytes for each bucket of pairs; text bytes of a block (and one text more); tokens counted together; passes in which pairs are asked for, to save disk.
+BUCKET_BYTES, BLOCK_BYTES, GATHERED, PASSES = 16 << 20, 4 << 20, 1_000_000, 2
 END, START = np.uint64(0x5EED0E4D5EED0E4D), np.uint64(0xA11CE5ED5EED57A7)
 NO_ID = np.iinfo(np.int64).min
 
@@ -65,15 +67,15 @@ def _ddl(schema: dict) -> str:
 
 
 _B = "binary"
-BLOCKS = {"block": "bigint", "ids": _B, "sizes": _B, "slots": _B, "words": _B, "contexts": _B, "nodes": _B, "counts": _B}
+TEXTS = "block bigint, id bigint, text string"
 COUNTS = {"bucket": "int", "words": _B, "contexts": _B, "counts": _B}
 #: Pairs with more customers than one.
 SEATS = {"bucket": "int", "words": _B, "contexts": _B, "nodes": _B, "customers": _B, "tables": _B, "summed": _B}
-#: With the keys of the others, and how often each node is in one as a word and as a context.
-FIRST = {**SEATS, "singles": _B, "single_nodes": _B, "single_sums": _B}
+#: kind 0: seats; 1: keys of pairs met once (nodes); 2: nodes of these pairs, times met as a word (customers) and as a context (tables).
+FIRST = {"kind": "int", **SEATS}
 SENT = {"node_bucket": "int", "bucket": "int", "nodes": _B, "sums": _B}
-#: bucket -1 holds the node bucket itself, others the answer to a pair bucket; base: what single pairs add; known: tokens, words, tables' sum, tops' sum.
-NODES = {"node_bucket": "int", "bucket": "int", "nodes": _B, "sums": _B, "tops": _B, "base": _B, "known": "array<bigint>"}
+#: kind 0: the node bucket itself; 1: the answer to a pair bucket. base: what single pairs add; known: tokens, words, tables' sum, tops' sum.
+NODES = {"kind": "int", "node_bucket": "int", "bucket": "int", "nodes": _B, "sums": _B, "tops": _B, "base": _B, "known": "array<bigint>"}
 ASKED = {"bucket": "int", "block": "bigint", "hashes": _B}
 TOLD = {"block": "bigint", "kind": "int", "bucket": "int", "numbers": _B, "counts": _B}
 SCORES = "id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
@@ -87,31 +89,29 @@ def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
 # ---- blocks ------------------------------------------------------------------------
 
 
-def _block(gathered: list[tuple[np.ndarray, np.ndarray, int]], number: int) -> pa.RecordBatch:
-    sizes = np.array([len(g[0]) for g in gathered], dtype=np.int32)
-    words, contexts = np.concatenate([g[0] for g in gathered]), np.concatenate([g[1] for g in gathered])
-    ids = np.array([g[2] for g in gathered], dtype=np.int64)
-    _, at, slots = np.unique(_key(words, contexts), return_index=True, return_inverse=True)
-    counts = np.bincount(slots[np.repeat(_trains(ids), sizes)], minlength=len(at))
-    nodes, where = np.unique(np.concatenate([words[at], contexts[at]]), return_inverse=True)
-    where = where.astype(np.int32)
-    row = {"block": number, "ids": pack(ids), "sizes": pack(sizes), "slots": pack(slots.astype(np.int32)), "words": pack(where[: len(at)]), "contexts": pack(where[len(at) :]), "nodes": pack(nodes), "counts": pack(counts.astype(np.int32))}
-    return pa.RecordBatch.from_pylist([row], schema=_schema(**BLOCKS))
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) -> (block, id, text): blocks are runs of texts of one task."""
+    number, held = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        ends = held + np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        held = int(ends[-1]) if len(ends) else held
+        yield pa.RecordBatch.from_arrays([pa.array(number + (ends - 1) // BLOCK_BYTES), pc.fill_null(batch.column(0), NO_ID), batch.column(1)], ["block", "id", "text"])
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = TaskContext.get().partitionId() << 32
-    gathered, n = [], 0
-    for batch in batches:
-        for i, buf in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), strict=True):
-            words, contexts = tokens(buf)
-            gathered.append((words, contexts, NO_ID if i is None else i))
-            n += len(words)
-            if n >= GATHERED:
-                yield _block(gathered, number)
-                gathered, n, number = [], 0, number + 1
-    if gathered:
-        yield _block(gathered, number)
+class Pairs:
+    """Distinct pairs of some texts by ascending key, and where each token's pair is among them."""
+
+    def __init__(self, tokenised: list[tuple[np.ndarray, np.ndarray]]):
+        words, contexts = (np.concatenate([t[k] for t in tokenised]) for k in (0, 1))
+        self.keys, at, self.slots = np.unique(_key(words, contexts), return_index=True, return_inverse=True)
+        self.words, self.contexts = words[at], contexts[at]
+
+    def nodes(self) -> np.ndarray:
+        return np.unique(np.concatenate([self.words, self.contexts]))
+
+
+def _tokenised(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [tokens(buf) for buf in texts_of(table["text"])]
 
 
 def _pairs_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -143,15 +143,29 @@ def _each(make, schema: dict):
 
 
 def _count(buckets: int):
-    def make(row: dict) -> list[dict]:
-        words, contexts, key, _ = _pairs_of(row)
-        counts = np.frombuffer(row["counts"], np.int32)
-        on = counts > 0
-        words, contexts, key, counts = words[on], contexts[on], key[on], counts[on]
-        bounds, some = _cuts(key, buckets)
-        return [{"bucket": int(b), "words": pack(words[s]), "contexts": pack(contexts[s]), "counts": pack(counts[s])} for b in some for s in [slice(bounds[b], bounds[b + 1])]]
+    """(block, id, text) -> counts of the training texts' pairs, by bucket, for each GATHERED tokens."""
+
+    def counted(gathered: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        pairs = Pairs(gathered)
+        counts = np.bincount(pairs.slots).astype(np.int32)
+        bounds, some = _cuts(pairs.keys, buckets)
+        rows = [{"bucket": int(b), "words": pack(pairs.words[s]), "contexts": pack(pairs.contexts[s]), "counts": pack(counts[s])} for b in some for s in [slice(bounds[b], bounds[b + 1])]]
+        return pa.RecordBatch.from_pylist(rows, schema=_schema(**COUNTS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gathered, n = [], 0
+        for batch in batches:
+            for on, buf in zip(_trains(batch.column(1).to_numpy()), texts_of(batch.column(2)), strict=True):
+                if on:
+                    gathered.append(tokens(buf))
+                    n += len(gathered[-1][0])
+                if n >= GATHERED:
+                    yield counted(gathered)
+                    gathered, n = [], 0
+        if gathered:
+            yield counted(gathered)
 
-    return _each(make, COUNTS)
+    return run
 
 
 def _seat_first(table: pa.Table) -> pa.Table:
@@ -163,12 +177,12 @@ def _seat_first(table: pa.Table) -> pa.Table:
     once, more = np.flatnonzero(customers == 1), np.flatnonzero(customers > 1)
     nodes, where = np.unique(np.concatenate([words[more], contexts[more]]), return_inverse=True)
     where = where.astype(np.int32)
-    row = {"bucket": table["bucket"][0].as_py(), "words": pack(where[: len(more)]), "contexts": pack(where[len(more) :]), "nodes": pack(nodes)}
-    row |= {"customers": pack(customers[more]), "tables": pack(np.ones(len(more), np.int32)), "summed": pack(np.zeros(len(more), np.float32)), "singles": pack(keys[once])}
+    empty = {"bucket": table["bucket"][0].as_py(), "words": b"", "contexts": b"", "customers": b"", "tables": b"", "summed": b""}
+    seats = {"kind": 0, "words": pack(where[: len(more)]), "contexts": pack(where[len(more) :]), "nodes": pack(nodes), "customers": pack(customers[more]), "tables": pack(np.ones(len(more), np.int32)), "summed": pack(np.zeros(len(more), np.float32))}
     nodes, where = np.unique(np.concatenate([words[once], contexts[once]]), return_inverse=True)
-    sums = [np.bincount(side, minlength=len(nodes)).astype(np.int32) for side in (where[: len(once)], where[len(once) :])]
-    row |= {"single_nodes": pack(nodes), "single_sums": pack(np.stack(sums))}
-    return pa.Table.from_pylist([row], schema=_schema(**FIRST))
+    met = [np.bincount(side, minlength=len(nodes)).astype(np.int32) for side in (where[: len(once)], where[len(once) :])]
+    rows = [empty | seats, empty | {"kind": 1, "nodes": pack(keys[once])}, empty | {"kind": 2, "nodes": pack(nodes), "customers": pack(met[0]), "tables": pack(met[1])}]
+    return pa.Table.from_pylist(rows, schema=_schema(**FIRST))
 
 
 def seat(customers: np.ndarray, mass: np.ndarray, discount: float, rng, slope: np.ndarray | float = 0.0) -> np.ndarray:
@@ -232,8 +246,8 @@ def _send(buckets: int):
 
 def _send_singles(buckets: int):
     def make(row: dict) -> list[dict]:
-        nodes = np.frombuffer(row["single_nodes"], np.uint64)
-        sums = np.frombuffer(row["single_sums"], np.int32).reshape(2, -1)
+        nodes = np.frombuffer(row["nodes"], np.uint64)
+        sums = np.stack([np.frombuffer(row[side], np.int32) for side in ("customers", "tables")])
         bounds, some = _cuts(nodes, buckets)
         return [{"node_bucket": int(b), "bucket": row["bucket"], "nodes": pack(nodes[s]), "sums": pack(sums[:, s])} for b in some for s in [slice(bounds[b], bounds[b + 1])]]
 
@@ -249,7 +263,7 @@ def _node_base(table: pa.Table) -> pa.Table:
     nodes, where = np.unique(_joined(table, "nodes", np.uint64), return_inverse=True)
     sent = np.concatenate([np.frombuffer(x, np.int32).reshape(2, -1) for x in table["sums"].to_pylist()], axis=1)
     base = _summed(where, sent, len(nodes))
-    row = {"node_bucket": table["node_bucket"][0].as_py(), "bucket": -1, "nodes": pack(nodes), "sums": b"", "tops": pack((base[0] > 0).astype(np.int32)), "base": pack(base), "known": None}
+    row = {"kind": 0, "node_bucket": table["node_bucket"][0].as_py(), "bucket": -1, "nodes": pack(nodes), "sums": b"", "tops": pack((base[0] > 0).astype(np.int32)), "base": pack(base), "known": None}
     return pa.Table.from_pylist([row], schema=_schema(**NODES))
 
 
@@ -279,10 +293,10 @@ def _node_turn(shared: Shared | None, seed: int):
             tops[word] = seat(sums[1][word], (STRENGTH0 + DISCOUNT0 * others) / (shared.v + 1.0), DISCOUNT0, rng, DISCOUNT0 / (shared.v + 1.0))
         known = [int(sums[0].sum()), len(word), int(sums[1].sum()), int(tops.sum())]
         tops = tops.astype(np.int32)
-        out = [{"node_bucket": number, "bucket": -1, "nodes": pack(nodes), "sums": pack(sums), "tops": pack(tops), "base": pack(base), "known": known}]
+        out = [{"kind": 0, "node_bucket": number, "bucket": -1, "nodes": pack(nodes), "sums": pack(sums), "tops": pack(tops), "base": pack(base), "known": known}]
         for r, lo, hi in zip(rows, np.cumsum([0, *sizes[:-1]]), np.cumsum(sizes), strict=False):
             mine = where[lo:hi]
-            out.append({"node_bucket": number, "bucket": r["bucket"], "nodes": b"", "sums": pack(sums[1:4:2, mine]), "tops": pack(tops[mine]), "base": b"", "known": None})
+            out.append({"kind": 1, "node_bucket": number, "bucket": r["bucket"], "nodes": b"", "sums": pack(sums[1:4:2, mine]), "tops": pack(tops[mine]), "base": b"", "known": None})
         return pa.Table.from_pylist(out, schema=_schema(**NODES))
 
     return run
@@ -308,28 +322,32 @@ def _pair_turn(shared: Shared, seed: int, keep: bool):
     return run
 
 
-def train(blocks: DataFrame, buckets: int, stage: Stage) -> tuple[DataFrame, DataFrame, list[DataFrame], list[Shared]]:
-    """Seats of all pairs of several customers after the last sweep, with sums over the kept sweeps; keys of single pairs; nodes and totals of each kept sweep."""
+def train(texts: DataFrame, buckets: int, stage: Stage) -> tuple[DataFrame, DataFrame, list[DataFrame], list[Shared]]:
+    """Seats of all pairs of several customers after the last sweep, with sums over the kept sweeps; keys of single pairs; nodes (kind 0) and totals of each
+    kept sweep. What no later step reads is deleted on the way."""
 
     def node_turn(seats: DataFrame, nodes: DataFrame, shared: Shared | None, sweep: int) -> tuple[DataFrame, Shared]:
         sent = seats.mapInArrow(_send(buckets), _ddl(SENT))
-        turn = sent.groupBy("node_bucket").cogroup(nodes.filter("bucket = -1").groupBy("node_bucket"))
-        out = stage.table(turn.applyInArrow(_node_turn(shared, sweep), _ddl(NODES)), "nodes")
-        known = out.filter("bucket = -1").agg(*[F.coalesce(F.sum(F.col("known")[i]), F.lit(0)) for i in range(4)]).head()
+        turn = sent.groupBy("node_bucket").cogroup(nodes.filter("kind = 0").select(*NODES).groupBy("node_bucket"))
+        out = stage.table(turn.applyInArrow(_node_turn(shared, sweep), _ddl(NODES)), "nodes", by="kind")
+        known = out.filter("kind = 0").agg(*[F.coalesce(F.sum(F.col("known")[i]), F.lit(0)) for i in range(4)]).head()
         return out, Shared(*map(int, known))
 
-    counted = blocks.select("words", "contexts", "nodes", "counts").mapInArrow(_count(buckets), _ddl(COUNTS))
-    first = stage.table(counted.groupBy("bucket").applyInArrow(_seat_first, _ddl(FIRST)), "first")
-    singles, seats = first.select("bucket", "singles"), first.select(*SEATS)
-    told = first.select("bucket", "single_nodes", "single_sums").mapInArrow(_send_singles(buckets), _ddl(SENT))
+    counted = texts.mapInArrow(_count(buckets), _ddl(COUNTS))
+    first = stage.table(counted.groupBy("bucket").applyInArrow(_seat_first, _ddl(FIRST)), "first", by="kind")
+    seats, singles = first.filter("kind = 0").select(*SEATS), first.filter("kind = 1").select("bucket", F.col("nodes").alias("singles"))
+    told = first.filter("kind = 2").select("bucket", "nodes", "customers", "tables").mapInArrow(_send_singles(buckets), _ddl(SENT))
     base = stage.table(told.groupBy("node_bucket").applyInArrow(_node_base, _ddl(NODES)), "base")
+    stage.drop_part(first, "kind=2")
     nodes, shared = node_turn(seats, base, None, 0)
+    stage.drop(base)
+    stage.paths[id(singles)] = stage.paths.pop(id(first))
     kept, kept_shared = [], []
     for sweep in range(BURN_IN + SAMPLES):
-        answers = nodes.filter("bucket >= 0").select("node_bucket", "bucket", "sums", "tops")
+        answers = nodes.filter("kind = 1").select("node_bucket", "bucket", "sums", "tops")
         moved = seats.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_pair_turn(shared, sweep, sweep >= BURN_IN), _ddl(SEATS))
         moved = stage.table(moved, "seats")
-        stage.drop(seats)
+        stage.drop_part(singles, "kind=0") if sweep == 0 else stage.drop(seats)
         seats = moved
         new, shared = node_turn(seats, nodes, shared, sweep + 1)
         if not any(nodes is k for k in kept):
@@ -344,15 +362,18 @@ def train(blocks: DataFrame, buckets: int, stage: Stage) -> tuple[DataFrame, Dat
 # ---- scoring ------------------------------------------------------------------------
 
 
-def _ask(buckets: int, pairs: bool):
-    """A block's questions: its pairs' keys, or its nodes, by bucket."""
+def _ask(buckets: int, pairs: bool, part: int = 0, parts: int = 1):
+    """A block's questions: its pairs' keys, or its nodes, by bucket; of each ``parts`` buckets one."""
 
-    def make(row: dict) -> list[dict]:
-        hashes = _pairs_of(row)[2] if pairs else np.frombuffer(row["nodes"], np.uint64)
+    def run(table: pa.Table) -> pa.Table:
+        mine = Pairs(_tokenised(table))
+        hashes = mine.keys if pairs else mine.nodes()
         bounds, some = _cuts(hashes, buckets)
-        return [{"bucket": int(b), "block": row["block"], "hashes": pack(hashes[bounds[b] : bounds[b + 1]])} for b in some]
+        block = table["block"][0].as_py()
+        rows = [{"bucket": int(b), "block": block, "hashes": pack(hashes[bounds[b] : bounds[b + 1]])} for b in some if b % parts == part]
+        return pa.Table.from_pylist(rows, schema=_schema(**ASKED))
 
-    return _each(make, ASKED)
+    return run
 
 
 def _found(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -412,18 +433,20 @@ def _score(n: int, v: int):
     """Sums of one block's texts."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        row = left.to_pylist()[0]
+        tokenised = _tokenised(left)
+        mine = Pairs(tokenised)
+        nodes = mine.nodes()
+        word, context = np.searchsorted(nodes, mine.words), np.searchsorted(nodes, mine.contexts)
         right = right.sort_by("bucket")
-        pairs, nodes = (right.filter(pc.equal(right["kind"], k)) for k in (0, 1))
-        own = _joined(pairs, "numbers", np.float32).astype(np.float64)
-        counts = _joined(nodes, "counts", np.int64)
-        of_node = np.concatenate([np.frombuffer(x, np.float32).reshape(1 + 2 * SAMPLES, -1) for x in nodes["numbers"].to_pylist()], axis=1).astype(np.float64)
-        word, context = np.frombuffer(row["words"], np.int32), np.frombuffer(row["contexts"], np.int32)
+        of_pairs, of_nodes = (right.filter(pc.equal(right["kind"], k)) for k in (0, 1))
+        own = _joined(of_pairs, "numbers", np.float32).astype(np.float64)
+        counts = _joined(of_nodes, "counts", np.int64)
+        of_node = np.concatenate([np.frombuffer(x, np.float32).reshape(1 + 2 * SAMPLES, -1) for x in of_nodes["numbers"].to_pylist()], axis=1).astype(np.float64)
         p = own * of_node[0, context] + np.mean([of_node[1 + SAMPLES + s, context] * of_node[1 + s, word] for s in range(SAMPLES)], axis=0)
-        slots, sizes = np.frombuffer(row["slots"], np.int32), np.frombuffer(row["sizes"], np.int32)
+        sizes = np.array([len(t[0]) for t in tokenised], dtype=np.int64)
         at = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        add = lambda x: np.add.reduceat(x[slots], at)  # noqa: E731  every text has its end token
-        cols = [np.frombuffer(row["ids"], np.int64), sizes.astype(np.int64), add((counts[word] > 0).astype(np.int64)), add(np.log10((counts[word] + 1.0) / (n + v + 1.0))), add(np.log10(p))]
+        add = lambda x: np.add.reduceat(x[mine.slots], at)  # noqa: E731  every text has its end token
+        cols = [left["id"].to_numpy(), sizes, add((counts[word] > 0).astype(np.int64)), add(np.log10((counts[word] + 1.0) / (n + v + 1.0))), add(np.log10(p))]
         return pa.Table.from_arrays([pa.array(c) for c in cols], ["id", "n_tokens", "n_known", "base_score", "score"])
 
     return run
@@ -440,21 +463,27 @@ def score_documents(docs: DataFrame, id_col="doc_id", text_col="text", stage: St
     rows = only(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     total = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     buckets = max(16, -(-total // BUCKET_BYTES))
-    blocks = stage.table(rows.mapInArrow(_blocks, _ddl(BLOCKS)), "blocks")
-    seats, singles, nodes, shared = train(blocks, buckets, stage)
-    kept = None
-    for s, one in enumerate(nodes):
-        one = one.filter("bucket = -1").select(F.col("node_bucket").alias("bucket"), F.lit(s).alias("sample"), "nodes", "sums", "tops")
-        kept = one if kept is None else kept.unionByName(one)
-    asked = blocks.select("block", "words", "contexts", "nodes")
+    texts = stage.table(rows.mapInArrow(_number, TEXTS), "texts")
+    seats, singles, nodes, shared = train(texts, buckets, stage)
+    for one in nodes:
+        stage.drop_part(one, "kind=1")
+    blocks = texts.groupBy("block")
     none = F.lit(None).cast("binary")
     pair_rows = seats.select("bucket", "words", "contexts", "nodes", "customers", "summed", none.alias("singles"))
     pair_rows = pair_rows.unionByName(singles.select("bucket", *[none.alias(c) for c in ("words", "contexts", "nodes", "customers", "summed")], "singles"))
-    pairs = asked.mapInArrow(_ask(buckets, True), _ddl(ASKED)).groupBy("bucket").cogroup(pair_rows.groupBy("bucket")).applyInArrow(_tell_pairs, _ddl(TOLD))
-    words = asked.select("block", "nodes").mapInArrow(_ask(buckets, False), _ddl(ASKED)).groupBy("bucket").cogroup(kept.groupBy("bucket")).applyInArrow(_tell_nodes(shared), _ddl(TOLD))
-    told = stage.table(pairs.unionByName(words), "told")
-    held = blocks.select("block", "ids", "sizes", "slots", "words", "contexts")
-    sums = held.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(_score(shared[-1].n, shared[-1].v), SCORES)
+    told = []
+    for part in range(PASSES):
+        asked = blocks.applyInArrow(_ask(buckets, True, part, PASSES), _ddl(ASKED)).groupBy("bucket")
+        told.append(stage.table(asked.cogroup(pair_rows.filter(F.col("bucket") % PASSES == part).groupBy("bucket")).applyInArrow(_tell_pairs, _ddl(TOLD)), "told"))
+    kept = None
+    for s, one in enumerate(nodes):
+        one = one.filter("kind = 0").select(F.col("node_bucket").alias("bucket"), F.lit(s).alias("sample"), "nodes", "sums", "tops")
+        kept = one if kept is None else kept.unionByName(one)
+    asked = blocks.applyInArrow(_ask(buckets, False), _ddl(ASKED)).groupBy("bucket")
+    told.append(stage.table(asked.cogroup(kept.groupBy("bucket")).applyInArrow(_tell_nodes(shared), _ddl(TOLD)), "told"))
+    stage.drop(seats, singles, *nodes)
+    answers = reduce(DataFrame.unionByName, told)
+    sums = blocks.cogroup(answers.groupBy("block")).applyInArrow(_score(shared[-1].n, shared[-1].v), SCORES)
     out = sums.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id")))
     held_out = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     return out.select(

@@ -6,12 +6,12 @@ from barloom.llm import language_model as lm
 
 
 def test_frequent_words_and_pairs_leave_a_block_once():
-    text = np.frombuffer(b"the the the cat the", np.uint8)
-    block = lm._block([(*lm.tokens(text), i) for i in range(3000)], 5).to_pylist()[0]
-    pairs = {(w, c) for w, c in zip(*(x.tolist() for x in lm.tokens(text)), strict=True)}
-    asked = [r for on in (True, False) for b in lm._ask(16, on)(iter([lm.pa.RecordBatch.from_pylist([block])])) for r in b.to_pylist()]
+    text = "the the the cat the"
+    rows = {"block": [5] * 3000, "id": list(range(3000)), "text": [text] * 3000}
+    pairs = {(w, c) for w, c in zip(*(x.tolist() for x in lm.tokens(np.frombuffer(text.encode(), np.uint8))), strict=True)}
+    asked = [r for on in (True, False) for r in lm._ask(16, on)(lm.pa.table(rows)).to_pylist()]
     assert sum(len(r["hashes"]) // 8 for r in asked) == len(pairs) + len({x for p in pairs for x in p})
-    counted = [r for b in lm._count(16)(iter([lm.pa.RecordBatch.from_pylist([block])])) for r in b.to_pylist()]
+    counted = [r for b in lm._count(16)(iter([lm.pa.record_batch(rows)])) for r in b.to_pylist()]
     assert sum(len(r["counts"]) // 4 for r in counted) == len(pairs)
     trained = lm._trains(np.arange(3000)).sum()
     assert sum(np.frombuffer(r["counts"], np.int32).sum() for r in counted) == trained * 6
@@ -61,7 +61,7 @@ def test_probabilities_of_a_context_add_up_to_one(spark):
     texts = [(i, " ".join(rng.choice(list("abcdefgh"), 30, p=np.array([8, 7, 6, 5, 4, 3, 2, 1]) / 36))) for i in range(60)]
     rows = spark.createDataFrame(texts, "id bigint, text string")
     stage = lm.Stage(spark, "lm-test")
-    blocks = stage.table(rows.mapInArrow(lm._blocks, lm._ddl(lm.BLOCKS)), "blocks")
+    blocks = stage.table(rows.mapInArrow(lm._number, lm.TEXTS), "texts")
     seats, singles, kept, shared = lm.train(blocks, 16, stage)
     pairs = {}
     for r in seats.collect():
@@ -73,7 +73,7 @@ def test_probabilities_of_a_context_add_up_to_one(spark):
     nodes = []
     for one in kept:
         nodes.append({})
-        for r in one.filter("bucket = -1").collect():
+        for r in one.filter("kind = 0").collect():
             sums, tops = np.frombuffer(r["sums"], np.int64).reshape(4, -1), np.frombuffer(r["tops"], np.int32)
             nodes[-1] |= {h: (*sums[:, k], tops[k]) for k, h in enumerate(np.frombuffer(r["nodes"], np.uint64))}
     words = [h for h, x in nodes[0].items() if x[0]]
