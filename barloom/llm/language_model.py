@@ -3,7 +3,7 @@
 Restaurants: one for each previous word (and one for the start of a text), all sharing one unigram restaurant as parent, whose base is uniform over the vocabulary and one
 unknown word. A word's customers in a context open tables; each table is a customer of the parent.
 
-The texts are stored once with the number of their block, a bounded number of bytes. A block's distinct (context, word) pairs and its
+A text belongs to a block by a hash of its id and words, so that every pass over the texts deals them alike. A block's distinct (context, word) pairs and its
 distinct words travel, once for each block, so neither a frequent word nor a frequent pair makes a large group; tokens never do: a task that needs
 them takes them from the text again, which is a fifth of their size. Pairs are
 dealt to buckets by a hash of both; what is summed for a word, or for a context, is dealt by its own hash (a *node*).
@@ -23,7 +23,6 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +33,7 @@ DISCOUNT, STRENGTH, DISCOUNT0, STRENGTH0 = 0.75, 5.0, 0.5, 100.0
 BURN_IN, SAMPLES = 2, 3
 #: Customers of a group that are seated one at a time before waits are drawn at once.
 ONE_BY_ONE = 8
-#: Text bytes for each bucket of pairs; text bytes of a block (and one text more); tokens counted together; passes in which pairs are asked for, to save disk.
+#: Text bytes for each bucket of pairs; mean text bytes of a block; tokens counted together; passes in which pairs are asked for, to save disk.
 BUCKET_BYTES, BLOCK_BYTES, GATHERED, PASSES = 16 << 20, 4 << 20, 1_000_000, 2
 END, START = np.uint64(0x5EED0E4D5EED0E4D), np.uint64(0xA11CE5ED5EED57A7)
 NO_ID = np.iinfo(np.int64).min
@@ -67,7 +66,6 @@ def _ddl(schema: dict) -> str:
 
 
 _B = "binary"
-TEXTS = "block bigint, id bigint, text string"
 COUNTS = {"bucket": "int", "words": _B, "contexts": _B, "counts": _B}
 #: Pairs with more customers than one.
 SEATS = {"bucket": "int", "words": _B, "contexts": _B, "nodes": _B, "customers": _B, "tables": _B, "summed": _B}
@@ -89,13 +87,10 @@ def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
 # ---- blocks ------------------------------------------------------------------------
 
 
-def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> (block, id, text): blocks are runs of texts of one task."""
-    number, held = TaskContext.get().partitionId() << 32, 0
-    for batch in batches:
-        ends = held + np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
-        held = int(ends[-1]) if len(ends) else held
-        yield pa.RecordBatch.from_arrays([pa.array(number + (ends - 1) // BLOCK_BYTES), pc.fill_null(batch.column(0), NO_ID), batch.column(1)], ["block", "id", "text"])
+def blocked(rows: DataFrame, total: int) -> DataFrame:
+    """(id, text) -> (block, id, text) for ``total`` bytes of text."""
+    block = F.pmod(F.xxhash64("id", "text"), F.lit(max(1, -(-total // BLOCK_BYTES)))).cast("long")
+    return rows.select(block.alias("block"), F.coalesce("id", F.lit(NO_ID)).alias("id"), "text")
 
 
 class Pairs:
@@ -103,7 +98,13 @@ class Pairs:
 
     def __init__(self, tokenised: list[tuple[np.ndarray, np.ndarray]]):
         words, contexts = (np.concatenate([t[k] for t in tokenised]) for k in (0, 1))
-        self.keys, at, self.slots = np.unique(_key(words, contexts), return_index=True, return_inverse=True)
+        key = _key(words, contexts)
+        order = np.argsort(key)
+        key = key[order]
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        self.slots = np.empty(len(key), dtype=np.int64)
+        self.slots[order] = np.cumsum(new) - 1
+        self.keys, at = key[new], order[new]
         self.words, self.contexts = words[at], contexts[at]
 
     def nodes(self) -> np.ndarray:
@@ -366,8 +367,8 @@ def _ask(buckets: int, pairs: bool, part: int = 0, parts: int = 1):
     """A block's questions: its pairs' keys, or its nodes, by bucket; of each ``parts`` buckets one."""
 
     def run(table: pa.Table) -> pa.Table:
-        mine = Pairs(_tokenised(table))
-        hashes = mine.keys if pairs else mine.nodes()
+        words, contexts = (np.concatenate(side) for side in zip(*_tokenised(table), strict=True))
+        hashes = np.unique(_key(words, contexts) if pairs else np.append(words, START))
         bounds, some = _cuts(hashes, buckets)
         block = table["block"][0].as_py()
         rows = [{"bucket": int(b), "block": block, "hashes": pack(hashes[bounds[b] : bounds[b + 1]])} for b in some if b % parts == part]
@@ -463,7 +464,7 @@ def score_documents(docs: DataFrame, id_col="doc_id", text_col="text", stage: St
     rows = only(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
     total = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     buckets = max(16, -(-total // BUCKET_BYTES))
-    texts = stage.table(rows.mapInArrow(_number, TEXTS), "texts")
+    texts = blocked(rows, total)
     seats, singles, nodes, shared = train(texts, buckets, stage)
     for one in nodes:
         stage.drop_part(one, "kind=1")

@@ -61,7 +61,7 @@ def test_probabilities_of_a_context_add_up_to_one(spark):
     texts = [(i, " ".join(rng.choice(list("abcdefgh"), 30, p=np.array([8, 7, 6, 5, 4, 3, 2, 1]) / 36))) for i in range(60)]
     rows = spark.createDataFrame(texts, "id bigint, text string")
     stage = lm.Stage(spark, "lm-test")
-    blocks = stage.table(rows.mapInArrow(lm._number, lm.TEXTS), "texts")
+    blocks = lm.blocked(rows, 5000)
     seats, singles, kept, shared = lm.train(blocks, 16, stage)
     pairs = {}
     for r in seats.collect():
