@@ -476,13 +476,14 @@ def score_documents(docs: DataFrame, id_col="doc_id", text_col="text", stage: St
     for part in range(PASSES):
         asked = blocks.applyInArrow(_ask(buckets, True, part, PASSES), _ddl(ASKED)).groupBy("bucket")
         told.append(stage.table(asked.cogroup(pair_rows.filter(F.col("bucket") % PASSES == part).groupBy("bucket")).applyInArrow(_tell_pairs, _ddl(TOLD)), "told"))
+    stage.drop(seats, singles)
     kept = None
     for s, one in enumerate(nodes):
         one = one.filter("kind = 0").select(F.col("node_bucket").alias("bucket"), F.lit(s).alias("sample"), "nodes", "sums", "tops")
         kept = one if kept is None else kept.unionByName(one)
     asked = blocks.applyInArrow(_ask(buckets, False), _ddl(ASKED)).groupBy("bucket")
     told.append(stage.table(asked.cogroup(kept.groupBy("bucket")).applyInArrow(_tell_nodes(shared), _ddl(TOLD)), "told"))
-    stage.drop(seats, singles, *nodes)
+    stage.drop(*nodes)
     answers = reduce(DataFrame.unionByName, told)
     sums = blocks.cogroup(answers.groupBy("block")).applyInArrow(_score(shared[-1].n, shared[-1].v), SCORES)
     out = sums.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id")))
