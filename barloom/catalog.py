@@ -6,7 +6,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from barloom.functions.expr import duckdb_sql, evaluate, rounded
+from barloom.functions.expr import NUDGE, duckdb_sql, evaluate, rounded
 from barloom.functions.factors import FAMILIES, LOOKAHEAD
 from barloom.functions.generators import GENERATORS, basic, engineered, learning, targets
 from barloom.functions.recursive import recursive_indicators
@@ -182,7 +182,7 @@ _NAMES = [str(n) for n in _LAGS]
 
 
 def _shown(df, *numbers):
-    return df.select("symbol", F.col("ts").cast("string").alias("ts"), *[F.round(c, 4).alias(c) for c in numbers])
+    return df.select("symbol", F.col("ts").cast("string").alias("ts"), *[F.round(F.col(c) * NUDGE, 4).alias(c) for c in numbers])
 
 
 def _join_extras(spark, sf_dir):
@@ -219,16 +219,16 @@ QUERIES |= {"join_extras": _join_extras, "asof_renamed": _asof_renamed, "outer_m
 SQL["join_extras"] = (
     f"WITH b AS (SELECT symbol, ts, close FROM ({DUCK_BARS}) AS q), j AS (SELECT b.*, m.open_interest, m.lsr, f.funding_rate, k.mark_close, i.index_close FROM b ASOF LEFT JOIN ({_METRICS}) AS m ON b.symbol = m.symbol AND b.ts >= m.ts "
     f"ASOF LEFT JOIN ({_FUNDING}) AS f ON b.symbol = f.symbol AND b.ts >= f.ts ASOF LEFT JOIN ({_MARK}) AS k ON b.symbol = k.symbol AND b.ts >= k.ts ASOF LEFT JOIN ({_INDEX}) AS i ON b.symbol = i.symbol AND b.ts >= i.ts) "
-    "SELECT symbol, CAST(ts AS VARCHAR) AS ts, " + ", ".join(f"round({c}, 4) AS {c}" for c in ("close", "open_interest", "lsr", "funding_rate", "mark_close", "index_close")) + ", round((coalesce(mark_close, close) - index_close) / nullif(index_close, 0), 4) AS basis FROM j"
+    "SELECT symbol, CAST(ts AS VARCHAR) AS ts, " + ", ".join(f"round({c} * {NUDGE!r}, 4) AS {c}" for c in ("close", "open_interest", "lsr", "funding_rate", "mark_close", "index_close")) + f", round((coalesce(mark_close, close) - index_close) / nullif(index_close, 0) * {NUDGE!r}, 4) AS basis FROM j"
 )
-SQL["asof_renamed"] = f"SELECT b.symbol, CAST(b.ts AS VARCHAR) AS ts, round(b.close, 4) AS close, round(e.value, 4) AS extra_tick_close FROM ({DUCK_BARS}) AS b ASOF LEFT JOIN events AS e ON b.symbol = e.event_type AND b.ts >= e.ts"
-SQL["outer_merge"] = f"SELECT symbol, CAST(ts AS VARCHAR) AS ts, round(funding_rate, 4) AS funding_rate, round(mark_close, 4) AS mark_close, round(index_close, 4) AS index_close FROM ({_FUNDING}) FULL JOIN ({_MARK}) USING (symbol, ts) FULL JOIN ({_INDEX}) USING (symbol, ts)"
+SQL["asof_renamed"] = f"SELECT b.symbol, CAST(b.ts AS VARCHAR) AS ts, round(b.close * {NUDGE!r}, 4) AS close, round(e.value * {NUDGE!r}, 4) AS extra_tick_close FROM ({DUCK_BARS}) AS b ASOF LEFT JOIN events AS e ON b.symbol = e.event_type AND b.ts >= e.ts"
+SQL["outer_merge"] = f"SELECT symbol, CAST(ts AS VARCHAR) AS ts, round(funding_rate * {NUDGE!r}, 4) AS funding_rate, round(mark_close * {NUDGE!r}, 4) AS mark_close, round(index_close * {NUDGE!r}, 4) AS index_close FROM ({_FUNDING}) FULL JOIN ({_MARK}) USING (symbol, ts) FULL JOIN ({_INDEX}) USING (symbol, ts)"
 SQL["common_times"] = f"SELECT CAST(ts AS VARCHAR) AS ts FROM ({DUCK_BARS}) AS b WHERE symbol IN ('click', 'view', 'purchase') GROUP BY ts HAVING count(DISTINCT symbol) = 3"
 _WIDE = "SELECT symbol, ts, " + ", ".join(f'max(value) FILTER (name = \'{n}\') AS "{n}"' for n in _NAMES) + f" FROM ({INPUTS['long_user'][1]}) AS l GROUP BY symbol, ts"
-_ROUNDED = ", ".join(f'round("{n}", 4) AS "{n}"' for n in _NAMES)
+_ROUNDED = ", ".join(f'round("{n}" * {NUDGE!r}, 4) AS "{n}"' for n in _NAMES)
 SQL["factors_wide"] = f"SELECT symbol, CAST(ts AS VARCHAR) AS ts, {_ROUNDED} FROM ({_WIDE}) AS w"
 SQL["factors_aligned"] = (
-    f"SELECT symbol, CAST(ts AS VARCHAR) AS ts, {_ROUNDED}, round(ret, 4) AS ret FROM (SELECT w.*, p.ret FROM ({_WIDE}) AS w JOIN ({INPUTS['panel'][1]}) AS p ON w.symbol = p.symbol AND w.ts = p.ts WHERE p.ret IS NOT NULL AND "
+    f"SELECT symbol, CAST(ts AS VARCHAR) AS ts, {_ROUNDED}, round(ret * {NUDGE!r}, 4) AS ret FROM (SELECT w.*, p.ret FROM ({_WIDE}) AS w JOIN ({INPUTS['panel'][1]}) AS p ON w.symbol = p.symbol AND w.ts = p.ts WHERE p.ret IS NOT NULL AND "
     + " + ".join(f'("{n}" IS NOT NULL)::INT' for n in _NAMES) + f" >= {len(_NAMES)} / 2.0) AS x QUALIFY count(*) OVER (PARTITION BY symbol) >= 10"
 )
 

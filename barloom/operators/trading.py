@@ -5,6 +5,12 @@ from __future__ import annotations
 from .analysis import kurtosis, skewness
 from .sqlop import SqlOp
 
+
+def shown(x: str, digits: int) -> str:
+    """Rounded; from a million on the power of ten with the sign, as products of many returns outgrow every fixed number of decimals."""
+    return f"CASE WHEN abs({x}) < 1e6 THEN round({x} * 1.0000000001, {digits}) ELSE round(sign({x}) * log10(abs({x})), 3) END"
+
+
 #: scored(symbol, ts, name, value, ret): rows without value or return are left out, then the outer fifths of each factor's whole history are held for one bar.
 #: The held position is the signal of the bar before; a change of position costs $cost, a held one $slip. The first bar has no return.
 _SIGNALS = """WITH d AS (SELECT symbol, ts, name, value, ret FROM #scored WHERE value IS NOT NULL AND ret IS NOT NULL), e AS (SELECT symbol AS es, name AS en, @PCT(value, 0.2) AS lo, @PCT(value, 0.8) AS hi FROM d GROUP BY symbol, name HAVING count(*) > 5),
@@ -17,7 +23,7 @@ p AS (SELECT *, max(cumulative) OVER (PARTITION BY symbol, name, strategy ORDER
 v AS (SELECT *, (cumulative - peak) / nullif(peak, 0) AS drawdown FROM p)
 """
 #: Each bar's signal, net return, running product of 1 + net and drawdown from its maximum, for three strategies. A return of -100 % makes the product 0 from there on.
-BACKTEST = SqlOp(_SIGNALS + "SELECT symbol, name, strategy, CAST(ts AS $string) AS ts, signal, round(net, 5) AS net, round(cumulative, 4) AS cumulative, round(drawdown, 4) AS drawdown FROM v", cost="0.001", slip="0.0005", string="STRING")
+BACKTEST = SqlOp(_SIGNALS + "SELECT symbol, name, strategy, CAST(ts AS $string) AS ts, signal, " + f"{shown('net', 5)} AS net, {shown('cumulative', 4)} AS cumulative, {shown('drawdown', 4)} AS drawdown FROM v", cost="0.001", slip="0.0005", string="STRING")
 
 #: Performance of each symbol, factor and strategy; 252 bars a year. Measures without a denominator are 0, the profit ratio without losses is missing.
 PERFORMANCE = SqlOp(
@@ -26,9 +32,17 @@ PERFORMANCE = SqlOp(
   avg(CASE WHEN net > 0 THEN 1e0 ELSE 0e0 END) AS win_rate, abs(avg(CASE WHEN net > 0 THEN net END) / nullif(avg(CASE WHEN net < 0 THEN net END), 0)) AS profit_loss, """
     + "{skew} AS skewness, {kurt} AS kurtosis".format(skew="$skew", kurt="$kurt")
     + """ FROM v GROUP BY symbol, name, strategy), a AS (SELECT *, CASE WHEN 1 + total >= 0 THEN pow(1 + total, CAST(252 AS DOUBLE) / n) - 1 END AS annual FROM l)
-SELECT symbol, name, strategy, n, round(total, 4) AS total, round(annual, 4) AS annual, round(std * sqrt(252), 4) AS volatility, round(CASE WHEN std > 0 THEN (annual - $free) / (std * sqrt(252)) ELSE 0 END, 4) AS sharpe,
-  round(CASE WHEN std > 0 THEN mean / std * sqrt(252) ELSE 0 END, 4) AS sharpe_annual, round(CASE WHEN down > 0 THEN (annual - $free) / (down * sqrt(252)) ELSE 0 END, 4) AS sortino, round(CASE WHEN worst <> 0 THEN annual / abs(worst) ELSE 0 END, 4) AS calmar,
-  round(worst, 4) AS max_drawdown, round(win_rate, 5) AS win_rate, round(profit_loss, 4) AS profit_loss, round(mean, 5) AS mean, round(skewness, 3) AS skewness, round(kurtosis, 3) AS kurtosis FROM a""",
+SELECT symbol, name, strategy, n, """
+    + ", ".join(
+        f"{shown(x, digits)} AS {name}"
+        for name, x, digits in (
+            ("total", "total", 4), ("annual", "annual", 4), ("volatility", "(std * sqrt(252))", 4), ("sharpe", "(CASE WHEN std > 0 THEN (annual - $free) / (std * sqrt(252)) ELSE 0 END)", 4),
+            ("sharpe_annual", "(CASE WHEN std > 0 THEN mean / std * sqrt(252) ELSE 0 END)", 4), ("sortino", "(CASE WHEN down > 0 THEN (annual - $free) / (down * sqrt(252)) ELSE 0 END)", 4),
+            ("calmar", "(CASE WHEN worst <> 0 THEN annual / abs(worst) ELSE 0 END)", 4), ("max_drawdown", "worst", 4), ("win_rate", "win_rate", 5), ("profit_loss", "profit_loss", 4), ("mean", "mean", 5),
+            ("skewness", "skewness", 3), ("kurtosis", "kurtosis", 3),
+        )
+    )
+    + """ FROM a""",
     cost="0.001",
     slip="0.0005",
     free="0.02",
