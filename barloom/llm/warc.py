@@ -69,8 +69,24 @@ def write_archives(pages: DataFrame, path: str, stage: Stage | None = None, **op
     records_of(pages, stage, **options).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
 
 
+#: No record is longer; offsets then fit 64 bits with room to add.
+LONGEST = 1 << 61
+
+
+def _length(digits: bytes) -> int | None:
+    """A length in ASCII digits, LONGEST at most; else None."""
+    digits = digits.strip(b" \t").lstrip(b"0") or digits.strip(b" \t")[:1]
+    if not digits.isdigit() or len(digits) > 19:
+        return None
+    return n if (n := int(digits)) <= LONGEST else None
+
+
 def parse(chunk: bytes) -> dict | None:
-    """A candidate (what follows the version line): its fields, its end, and its payload if the chunk holds the whole block."""
+    """A candidate (what follows the version line): its fields, its end, and its payload if the chunk holds the whole block.
+
+    None for bytes that are no record: without an end of the header, with a header line without colon, without type or id, or with a length
+    that is no number or beyond ``LONGEST``. A revisit whose HTTP header has no such length has null bytes.
+    """
     head = chunk.find(b"\r\n\r\n")
     if head < 0:
         return None
@@ -80,11 +96,8 @@ def parse(chunk: bytes) -> dict | None:
         if not colon:
             return None
         fields[key.strip().lower()] = value.strip()
-    try:
-        length = int(fields.get(b"content-length", b""))
-    except ValueError:
-        return None
-    if length < 0 or not {b"warc-type", b"warc-record-id"} <= fields.keys():
+    length = _length(fields.get(b"content-length", b""))
+    if length is None or not {b"warc-type", b"warc-record-id"} <= fields.keys():
         return None
     text = {k.decode("utf-8", "replace"): v.decode("utf-8", "replace") for k, v in fields.items()}
     out = {"type": text["warc-type"], "name": text["warc-record-id"], "refers": text.get("warc-refers-to"), "uri": text.get("warc-target-uri"), "end": head + 4 + length + 4, "whole": len(chunk) >= head + 4 + length}
@@ -93,7 +106,7 @@ def parse(chunk: bytes) -> dict | None:
         http, gap, payload = block.partition(b"\r\n\r\n") if block.startswith(b"HTTP/") else (b"", b"", block)
         if out["type"] == "revisit":  # the payload is that of another record: its length and digest are in the headers
             sizes = [x.partition(b":")[2] for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
-            out["bytes"] = int(sizes[0]) if sizes else None
+            out["bytes"] = _length(sizes[0]) if sizes else None
             out["digest"] = text.get("warc-payload-digest", "").removeprefix("sha1:")
         else:
             out["bytes"], out["digest"] = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()

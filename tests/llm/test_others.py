@@ -221,6 +221,28 @@ def test_warc_round_trip_with_records_inside_payloads(spark, tmp_path, least):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
 
 
+def broken_records() -> list[str]:
+    """Records inside payloads whose numbers, headers or ends are wrong."""
+    head = "WARC/1.1\r\nWARC-Type: {}\r\nWARC-Record-ID: <urn:page:5>\r\n"
+    lengths = ["abc", "99999999999999999999999", "9223372036854775807", "2305843009213693953", "-1", "+5", "5 5", "", "\u0665", "0x10", "1e3", "5.0", "0000000000000000000000000005", "\x00"]
+    out = [head.format("response") + f"Content-Length: {n}\r\n\r\nHELLO\r\n\r\n" for n in lengths]
+    out += [head.format("revisit") + f"Content-Length: {len(http.encode())}\r\n\r\n{http}\r\n\r\n" for n in lengths for http in [f"HTTP/1.1 200 OK\r\nContent-Length: {n}\r\n\r\n"]]
+    out += [head.format("response"), head.format("response") + "no colon\r\n\r\n", "WARC/1.1\r\nContent-Length: 5\r\n\r\nHELLO", "WARC/1.1\r\n\r\n", "WARC/1.1\r\n" * 5, head.format("revisit") + "Content-Length: 0\r\n\r\n", head.format("revisit") + "Content-Length: 9\r\n\r\nHTTP/1.1 \r\n\r\n"]
+    return out
+
+
+@pytest.mark.parametrize("split", ["128m", "900"])
+def test_warc_survives_broken_records_inside_payloads(spark, tmp_path, split):
+    texts = broken_records()
+    rows = [(i + 1, None, t) for i, t in enumerate([*texts, *["lead" + t + "tail" for t in texts], "".join(texts)])]
+    warc.write_archives(spark.createDataFrame(rows, PAGES).coalesce(1), str(tmp_path / "w"))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        assert read(spark, str(tmp_path / "w")) == want(rows)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_warc_of_all_pages_and_of_none(spark, sf_dir, tmp_path):
     rows = [(r["page_id"], None, r["html"]) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
     assert sorted(map(tuple, warc.op10_warc(spark, sf_dir).collect())) == want(rows)
