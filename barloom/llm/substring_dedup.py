@@ -124,6 +124,16 @@ def representatives(words: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray,
 ROW = pa.struct([("key", pa.int64()), ("whole", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
 
 
+def _own(spans: list | None, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
+    """(lo, hi) of those spans whose digest is that of this text's words: others belong to another text under the same id."""
+    near = [s for s in spans or () if s["hi"] + WIDTH <= len(starts)]
+    if not near:
+        return []
+    lo, hi = np.array([s["lo"] for s in near]), np.array([s["hi"] for s in near])
+    same = digests(raw, starts, ends, lo, hi + WIDTH)[:, 0] == np.array([s["whole"] for s in near], dtype=np.int64)
+    return list(zip(lo[same].tolist(), hi[same].tolist(), strict=True))
+
+
 def digests(raw: bytes, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The 128-bit digest, as two longs, of the words first..last - 1 of each range, one space between them."""
     gaps = ends[:-1] + 1 == starts[1:]
@@ -163,34 +173,42 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests of the windows in the ranges (column ``checks``) of each text."""
+    """Digests of the windows in the ranges (column ``checks``) of each text; ``place`` is the mark of the text and, in the low 32 bits, the window's start."""
     for batch in batches:
         ids, keys, places = [], [], []
-        for i, buf, checks in zip(batch.column(0).to_pylist(), texts_of(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-            at = np.concatenate([np.arange(c["lo"], c["hi"] + 1) for c in checks])
-            keys.append(digests(buf.tobytes(), *word_spans(buf), at, at + WIDTH))
+        for i, mark, buf, checks in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts_of(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+            raw, (starts, ends) = buf.tobytes(), word_spans(buf)
+            spans = _own(checks, raw, starts, ends)
+            if not spans:
+                continue
+            at = np.concatenate([np.arange(lo, hi + 1) for lo, hi in spans])
+            keys.append(digests(raw, starts, ends, at, at + WIDTH))
             ids.append(np.full(len(at), i, dtype=np.int64))
-            places.append(at.astype(np.int32))
+            places.append((mark << 32) | at)
         if ids:
             both = np.concatenate(keys)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.concatenate(places))], ["id", "window", "window2", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(np.concatenate(places))], ["id", "window", "window2", "place"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Remove the words under the window ranges of ``gone`` and ``more``."""
+    """Remove the words under the window ranges of ``gone`` and under the windows that start at ``more``."""
     for batch in batches:
         n_words, n_gone, kept, spans = [], [], [], []
-        for buf, *lists in zip(texts_of(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            starts, ends = word_spans(buf)
+        for buf, mine, more, mark in zip(texts_of(batch.column(1)), *(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True):
+            raw, (starts, ends) = buf.tobytes(), word_spans(buf)
             step = np.zeros(len(starts) + 1, dtype=np.int64)
-            for span in (s for some in lists for s in some or ()):
-                step[span["lo"]] += 1
-                step[span["hi"] + WIDTH] -= 1
+            for lo, hi in _own(mine, raw, starts, ends):
+                step[lo] += 1
+                step[hi + WIDTH] -= 1
+            place = np.array(more or (), dtype=np.int64)
+            at = (place & 0x7FFFFFFF)[place >> 32 == mark]
+            np.add.at(step, at, 1)
+            np.add.at(step, at + WIDTH, -1)
             gone = np.cumsum(step[:-1]) > 0
             edges = np.flatnonzero(np.diff(np.concatenate(([0], gone.astype(np.int8), [0]))))
             n_words.append(len(starts))
             n_gone.append(int(gone.sum()))
-            kept.append(kept_text(buf.tobytes(), starts, ends, gone).decode("utf-8", "replace"))
+            kept.append(kept_text(raw, starts, ends, gone).decode("utf-8", "replace"))
             spans.append([{"lo": int(a), "hi": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)])
         kind = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_gone, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, kind)], ["id", "n_words", "n_removed", "kept", "spans"])
@@ -201,7 +219,9 @@ def repeats(docs: DataFrame, id_col="doc_id", text_col="text", stage: Stage | No
     kept (words that stay, joined by one space), spans (removed word ranges [lo, hi)).
 
     A word goes when a 50-word window over it also starts in a text with a smaller id. Null text counts as empty. Repeats inside one text stay,
-    as do repeats between rows of one id. Rows with a null id are neither changed nor a reason for change. An empty table gives no rows.
+    as do repeats between rows of one id. Different texts under one id are judged each by its own words: ranges are gathered by id, and a text takes
+    those whose digest is that of its own words, and windows by the mark of its text (32 bits). Rows with a null id are neither changed nor a reason for
+    change. An empty table gives no rows.
     """
     stage = stage or Stage(docs.sparkSession, "substring")
     texts = only(docs, id=id_col, text=text_col).withColumn("id", F.col("id").cast("long"))
@@ -216,19 +236,19 @@ def repeats(docs: DataFrame, id_col="doc_id", text_col="text", stage: Stage | No
     firsts = stage.table(rows.groupBy("key", "whole").agg(F.min("id").alias("first")), "firsts")
     kinds = firsts.groupBy("key").agg((F.count(F.lit(1)) > 1).alias("mixed"))
     firsts = stage.table(firsts.join(kinds, "key"), "kinds")
-    marked = rows.join(firsts, ["key", "whole"]).select("id", "lo", "hi", (F.col("id") > F.col("first")).alias("gone"), "mixed")
+    marked = rows.join(firsts, ["key", "whole"]).select("id", "lo", "hi", "whole", (F.col("id") > F.col("first")).alias("gone"), "mixed")
     marked = stage.table(marked.filter("gone or mixed"), "marked")
-    span = F.struct("lo", "hi")
+    span = F.struct("lo", "hi", "whole")
     per_text = marked.groupBy("id").agg(F.collect_list(F.when(F.col("gone"), span)).alias("gone"), F.collect_list(F.when(~F.col("gone"), span)).alias("checks"))
-    some = stage.table(texts.join(per_text, "id"), "texts")
+    some = stage.table(texts.join(per_text, "id").withColumn("mark", F.hash("text").bitwiseAND(0x7FFFFFFF)), "texts")
     stage.drop(rows, firsts)
-    checks = some.filter(F.size("checks") > 0).select("id", "text", "checks").mapInArrow(_windows, "id bigint, window bigint, window2 bigint, at int")
+    checks = some.filter(F.size("checks") > 0).select("id", "mark", "text", "checks").mapInArrow(_windows, "id bigint, window bigint, window2 bigint, place bigint")
     checks = stage.table(checks, "windows")
     least = checks.groupBy("window", "window2").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last").select("window", "window2", "first")
     least = stage.table(least, "least")
-    late = checks.join(least, ["window", "window2"]).filter("id > first").select("id", "at")
-    late = stage.table(late.groupBy("id").agg(F.collect_list(F.struct(F.col("at").alias("lo"), F.col("at").alias("hi"))).alias("more")), "late")
-    changed = some.join(late, "id", "left").filter("size(gone) > 0 or more is not null").select("id", "text", "gone", "more")
+    late = checks.join(least, ["window", "window2"]).filter("id > first").select("id", "place")
+    late = stage.table(late.groupBy("id").agg(F.collect_list("place").alias("more")), "late")
+    changed = some.join(late, "id", "left").filter("size(gone) > 0 or more is not null").select("id", "text", "gone", "more", "mark")
     cut = "id bigint, n_words bigint, n_removed bigint, kept string, spans array<struct<lo:int,hi:int>>"
     changed = stage.table(changed.mapInArrow(_cut, cut), "changed")
     return facts.join(changed.select("id"), "id", "left_anti").select("id", "n_words", "sha"), changed

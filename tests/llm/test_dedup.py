@@ -156,6 +156,29 @@ def test_substring_dedup_of_null_ids_repeated_rows_and_nothing(spark):
     assert same.count() == changed.count() == 0
 
 
+def test_substring_dedup_judges_texts_of_one_id_each_by_its_own_words(spark):
+    """Short, long, equal and partly equal texts under one id, in any order."""
+    w = [f"w{i}" for i in range(200)]
+    tail, own = [f"t{i}" for i in range(120)], [f"o{i}" for i in range(300)]
+    texts = [(1, w), (5, tail + w), (5, ["a", "b", "c", "d"]), (5, w + tail), (5, tail + own), (5, own[:90] + w[:70] + own[90:]), (5, own[:90] + w[:70] + own[90:]), (7, own[40:140] + w[100:170]), (7, ["x"] * 60 + w[20:80]), (7, ["y"] * 60), (9, ["y"] * 55 + tail)]
+    rows = [(i, " ".join(t)) for i, t in texts]
+    first: dict = {}
+    for i, t in texts:
+        for at in range(len(t) - 49):
+            first[tuple(t[at : at + 50])] = min(i, first.get(tuple(t[at : at + 50]), i))
+    want = []
+    for i, t in texts:
+        gone = [False] * len(t)
+        for at in range(len(t) - 49):
+            if first[tuple(t[at : at + 50])] < i:
+                gone[at : at + 50] = [True] * 50
+        want.append((i, len(t), sum(gone), hashlib.sha256(" ".join(x for x, g in zip(t, gone, strict=True) if not g).encode()).hexdigest()))
+    same, changed = substring_dedup.repeats(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    found = [(r["id"], r["n_words"], 0, r["sha"]) for r in same.collect()]
+    found += [(r["id"], r["n_words"], r["n_removed"], hashlib.sha256(r["kept"].encode()).hexdigest()) for r in changed.collect()]
+    assert sorted(found) == sorted(want)
+
+
 def test_exact_dedup_equals_brute_force(spark, docs):
     for df in (clashing(docs), spark.createDataFrame(odd_rows(), SCHEMA), docs.limit(0)):
         groups = defaultdict(list)
