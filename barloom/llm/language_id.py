@@ -21,8 +21,8 @@ from .common import Stage, mix, only, texts_of
 
 #: Dimensions of a vector, letters of an n-gram (3 at most, as one is packed in 63 bits), languages that are compared in one pass.
 DIMENSIONS, GRAM, LANGUAGES = 2048, 3, 256
-#: Symbols of the texts that a task bundles at a time, n-grams of a matrix product, counted n-grams that a task holds before it hands them on.
-SYMBOLS, GRAMS, HELD = 1 << 20, 4096, 1 << 20
+#: Symbols and texts that a task bundles at a time, n-grams of a matrix product, counted n-grams that a task holds before it hands them on.
+SYMBOLS, TEXTS, GRAMS, HELD = 1 << 20, 512, 4096, 1 << 20
 GAP, UNKNOWN = 32, "und"
 
 
@@ -139,13 +139,15 @@ def _prototypes(n: int, seed: int, width: int):
         total: dict[str, np.ndarray] = {}
         for batch in batches:
             lang, which = np.unique(np.array(batch.column(0).to_pylist(), dtype=object), return_inverse=True)
-            weights = np.rint(1024 * np.log1p(batch.column(2).to_numpy().astype(float)))
-            made = bundle(which, batch.column(1).to_numpy(), weights, len(lang), seed, n, width)
-            for name, row in zip(lang.tolist(), made, strict=True):
-                total[name] = total[name] + row if name in total else row
-            if len(total) > LANGUAGES:
-                yield from given(total)
-                total = {}
+            packed, weights = batch.column(1).to_numpy(), np.rint(1024 * np.log1p(batch.column(2).to_numpy().astype(float)))
+            for a in range(0, len(lang), LANGUAGES):
+                on = (which >= a) & (which < a + LANGUAGES)
+                made = bundle(which[on] - a, packed[on], weights[on], min(LANGUAGES, len(lang) - a), seed, n, width)
+                for name, row in zip(lang[a : a + LANGUAGES].tolist(), made, strict=True):
+                    total[name] = total[name] + row if name in total else row
+                if len(total) > LANGUAGES:
+                    yield from given(total)
+                    total = {}
         yield from given(total)
 
     def given(total: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +185,7 @@ def _nearest(names: list[str], vectors: np.ndarray, n: int, seed: int, width: in
                 found = symbols(buf)
                 held.append((i, found))
                 size += len(found)
-                if size >= SYMBOLS:
+                if size >= SYMBOLS or len(held) >= TEXTS:
                     place(held, lang, score)
                     held, size = [], 0
             if held:
