@@ -6,6 +6,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
+from barloom import catalog_selection
 from barloom.functions.expr import NUDGE, duckdb_sql, evaluate, rounded
 from barloom.functions.factors import FAMILIES, LOOKAHEAD
 from barloom.functions.generators import GENERATORS, basic, engineered, learning, targets
@@ -328,3 +329,5 @@ SQL["sentiment_series"] = "WITH q AS (SELECT ts, CASE WHEN event_type = 'error'
 SQL["library_stats"] = f"SELECT family, count(*) AS n, count(*) FILTER (lookahead) AS lookahead, round(avg(length(text)), 3) AS mean_length FROM {_LIBRARY_SQL} GROUP BY family"
 SQL["library_search"] = f"SELECT name, family FROM {_LIBRARY_SQL} WHERE lower(name) LIKE '%momentum%' OR lower(text) LIKE '%momentum%'"
 SQL["library_diff"] = f"SELECT name, CASE WHEN lower(name) LIKE '%volume%' OR lower(text) LIKE '%volume%' THEN 'identical' ELSE 'missing' END AS state FROM {_LIBRARY_SQL}"
+QUERIES |= catalog_selection.QUERIES
+SQL |= catalog_selection.SQL
