@@ -6,7 +6,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from barloom import catalog_selection
+from barloom import catalog_panel, catalog_selection
 from barloom.functions.expr import NUDGE, duckdb_sql, evaluate, rounded
 from barloom.functions.factors import FAMILIES, LOOKAHEAD
 from barloom.functions.generators import GENERATORS, basic, engineered, learning, targets
@@ -331,3 +331,5 @@ SQL["library_search"] = f"SELECT name, family FROM {_LIBRARY_SQL} WHERE lower(na
 SQL["library_diff"] = f"SELECT name, CASE WHEN lower(name) LIKE '%volume%' OR lower(text) LIKE '%volume%' THEN 'identical' ELSE 'missing' END AS state FROM {_LIBRARY_SQL}"
 QUERIES |= catalog_selection.QUERIES
 SQL |= catalog_selection.SQL
+QUERIES |= catalog_panel.QUERIES
+SQL |= catalog_panel.SQL
