@@ -135,7 +135,6 @@ register("ic_stability", A.IC_STABILITY, _SCORES)
 register("mining_score", A.MINING_SCORE, _SCORES)
 register("library_performance", A.LIBRARY_PERFORMANCE, _SCORES)
 register("oos_measure", P.OOS_MEASURE, {"factors": "long_user", "panel": "panel"})
-register("walk_forward", P.WALK_FORWARD, {"factors": "long_user", "panel": "panel"})
 register("cs_ic_segments", P.IC_SEGMENTS, _PANEL)
 register("cs_group_shape", P.GROUP_SHAPE, _PANEL)
 register("valid_signals", Q.VALID, _SERIES)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from barloom.catalog_selection import moments_three, solved_three
 from barloom.functions.expr import col, pct
 from barloom.operators.cross_section import PanelPlan, evaluate_panel, prepare_panel
+from barloom.operators.walk_forward import METHODS, method_summary, out_of_sample, paired_tests
 from barloom.sources.bars import DUCK_BARS, DUCK_PANEL, event_bars, user_bars
 
 QUERIES: dict = {}
@@ -99,3 +101,71 @@ e AS (SELECT sizes.*, im.* EXCLUDE (name), sg.* EXCLUDE (name), o.* EXCLUDE (nam
   (long_short_return - cost_per_period) / nullif(returns_std, 0) * sqrt(365) AS annualized_sharpe_after_cost, 1 - coalesce(n_periods_ic, 0) / CAST(n_periods AS DOUBLE) AS ic_skip_rate, 1 - coalesce(n_periods_returns, 0) / CAST(n_periods AS DOUBLE) AS returns_skip_rate
   FROM sizes LEFT JOIN im USING (name) LEFT JOIN sg USING (name) LEFT JOIN o USING (name))
 SELECT name, round(sign(grown) * log10(abs(grown)), 6) AS log10_total_return, round(sign(grown_net) * log10(abs(grown_net)), 6) AS log10_total_return_after_cost, {", ".join(c if not d else f"round({c}, {d}) AS {c}" for c, d in _MEASURES.items())} FROM e"""
+
+# ---- walk-forward ------------------------------------------------------------------------------
+_WALKED = ["m1", "m2", "span"]
+_SUMMARY = {
+    "splits": 0, "n_periods": 0, "n_ic_periods": 0, "ic_mean": 7, "ic_std": 7, "icir": 6, "ic_tstat": 5, "ls_mean": 6, "sharpe": 5, "sharpe_after_cost": 5, "max_drawdown": 5, "max_drawdown_after_cost": 5, "turnover_mean": 7,
+}
+
+
+def _walked(spark, sf_dir):
+    panel = prepare_panel(user_bars(spark, sf_dir), {n: _FACTORS[n] for n in _WALKED})
+    return out_of_sample(panel, _WALKED, train=10, oos=5, step=5)
+
+
+def _walk_forward(spark, sf_dir):
+    found = method_summary(_walked(spark, sf_dir)[0])
+    grown = [F.round(F.signum(1 + F.col(c)) * F.log10(F.abs(1 + F.col(c))), 6).alias(f"log10_{c}") for c in ("ls_total", "ls_total_after_cost")]
+    return found.select("method", *grown, *[F.col(c) if not d else F.round(c, d).alias(c) for c, d in _SUMMARY.items()])
+
+
+def _walk_forward_dates(spark, sf_dir):
+    dates = _walked(spark, sf_dir)[0]
+    return dates.select("method", F.col("ts").cast("string").alias("ts"), "split", *[F.round(c, 7).alias(c) for c in ("ic", "ls", "turnover", "net")])
+
+
+def _walk_forward_weights(spark, sf_dir):
+    weights = _walked(spark, sf_dir)[1]
+    return weights.select("split", "method", *[F.round(F.col("weights")[i], 6).alias(n) for i, n in enumerate(_WALKED)])
+
+
+def _walk_forward_tests(spark, sf_dir):
+    found = paired_tests(_walked(spark, sf_dir)[0])
+    return found.select("method_a", "method_b", "n", F.round("mean_diff", 7).alias("mean_diff"), F.round("std_diff", 7).alias("std_diff"), F.round("t_stat", 5).alias("t_stat"))
+
+
+QUERIES |= {"walk_forward": _walk_forward, "walk_forward_dates": _walk_forward_dates, "walk_forward_weights": _walk_forward_weights, "walk_forward_tests": _walk_forward_tests}
+_L1 = "(abs({0}1) + abs({0}2) + abs({0}3))"
+_SHARES = {
+    "equal_weight": ["1e0 / 3"] * 3,
+    "ic_weight": [f"CASE WHEN o.n >= 5 AND {_L1.format('u')} > 0 THEN u{i} / {_L1.format('u')} ELSE 1e0 / 3 END" for i in (1, 2, 3)],
+    "max_icir_weight": [f"CASE WHEN o.n >= 5 AND {_L1.format('w')} > 0 THEN w{i} / {_L1.format('w')} ELSE 1e0 / 3 END" for i in (1, 2, 3)],
+}
+_WALK = f"""b AS ({DUCK_PANEL}), f0 AS (SELECT symbol, ts, {_CELLS}, lead(close) OVER {_W} / nullif(close, 0) - 1 AS ret FROM b), d0 AS (SELECT symbol, ts, ret, lag(m1) OVER {_W} AS m1, lag(m2) OVER {_W} AS m2, lag(span) OVER {_W} AS span FROM f0),
+panel AS ({_long("(SELECT * FROM d0 WHERE ret IS NOT NULL) AS q", _WALKED)}),
+r AS (SELECT *, CASE WHEN factor IS NOT NULL THEN rank() OVER (PARTITION BY name, ts ORDER BY factor NULLS LAST) + (count(*) OVER (PARTITION BY name, ts, factor) - 1) / 2e0 END AS rf, rank() OVER (PARTITION BY name, ts ORDER BY ret) + (count(*) OVER (PARTITION BY name, ts, ret) - 1) / 2e0 AS rr FROM panel),
+icd AS (SELECT ts, name, covar_samp(rf, rr) / nullif(stddev_samp(rf) * stddev_samp(CASE WHEN rf IS NOT NULL THEN rr END), 0) AS ic FROM r GROUP BY ts, name), iw AS (SELECT ts, {", ".join(f"max(ic) FILTER (name = '{n}') AS x{i + 1}" for i, n in enumerate(_WALKED))} FROM icd GROUP BY ts),
+ends AS (SELECT min(ts) AS t0, max(ts) AS t1 FROM r), sp AS (SELECT s AS split, t0 + to_days(CAST(5 * s AS INT)) AS a, t0 + to_days(CAST(5 * s + 10 AS INT)) AS m, t0 + to_days(CAST(5 * s + 15 AS INT)) AS z FROM ends, (SELECT unnest(generate_series(0, 1000)) AS s) AS g WHERE t0 + to_days(CAST(5 * s + 15 AS INT)) <= t1 + INTERVAL 23 HOUR),
+tm AS (SELECT split, count(*) FILTER (x1 IS NOT NULL OR x2 IS NOT NULL OR x3 IS NOT NULL) AS n, {", ".join(f"coalesce(avg(x{i}), 0) AS u{i}, sum(coalesce(x{i}, 0)) / count(*) FILTER (x1 IS NOT NULL OR x2 IS NOT NULL OR x3 IS NOT NULL) AS z{i}" for i in (1, 2, 3))} FROM sp JOIN iw ON ts >= a AND ts < m GROUP BY split),
+c AS (SELECT tm.split, n, u1, u2, u3, {moments_three([f"(coalesce(x{i}, 0) - z{i})" for i in (1, 2, 3)])} FROM tm JOIN sp USING (split) JOIN iw ON ts >= a AND ts < m AND (x1 IS NOT NULL OR x2 IS NOT NULL OR x3 IS NOT NULL) GROUP BY ALL), {solved_three("split")},
+wt AS ({" UNION ALL ".join(f"SELECT o.split, '{method}' AS method, {', '.join(f'{x} AS v{i + 1}' for i, x in enumerate(cells))} FROM o JOIN tm USING (split)" for method, cells in _SHARES.items())}),
+rw AS (SELECT ts, symbol, max(ret) AS ret, max(rr) AS rr, {", ".join(f"max(rf) FILTER (name = '{n}') AS r{i + 1}" for i, n in enumerate(_WALKED))} FROM r GROUP BY ts, symbol),
+cs AS (SELECT wt.split, method, rw.ts, symbol, ret, rr, round({" + ".join(f"coalesce(r{i} * v{i}, 0)" for i in (1, 2, 3))}, 9) AS comp FROM sp JOIN wt USING (split) JOIN rw ON rw.ts >= m AND rw.ts < z WHERE {" OR ".join(f"(r{i} IS NOT NULL AND v{i} <> 0)" for i in (1, 2, 3))}),
+pl AS (SELECT *, count(*) OVER k AS n, row_number() OVER (PARTITION BY split, method, ts ORDER BY comp DESC, symbol) AS i FROM cs WINDOW k AS (PARTITION BY split, method, ts)), ps AS (SELECT *, greatest(1, n // 5) AS held, CASE WHEN n >= 10 AND i <= greatest(1, n // 5) THEN 1 WHEN n >= 10 AND i > n - greatest(1, n // 5) THEN -1 END AS side FROM pl),
+dd AS (SELECT split, method, ts, CASE WHEN stddev_samp(comp) * stddev_samp(rr) > 1e-14 THEN covar_samp(comp, rr) / (stddev_samp(comp) * stddev_samp(rr)) END AS ic, avg(ret) FILTER (side = 1) - avg(ret) FILTER (side = -1) AS ls FROM ps GROUP BY split, method, ts),
+nb AS (SELECT split, method, ts, lag(ts) OVER (PARTITION BY split, method ORDER BY ts) AS before FROM dd WHERE ls IS NOT NULL), cur AS (SELECT nb.*, symbol, side / CAST(held AS DOUBLE) AS w FROM nb JOIN ps USING (split, method, ts) WHERE side IS NOT NULL),
+al AS (SELECT split, method, ts, symbol FROM cur WHERE before IS NOT NULL UNION SELECT nb.split, nb.method, nb.ts, p.symbol FROM nb JOIN cur AS p ON p.split = nb.split AND p.method = nb.method AND p.ts = nb.before),
+tv AS (SELECT al.split, al.method, al.ts, sum(abs(coalesce(x.w, 0) - coalesce(y.w, 0))) / 2 AS turnover FROM al JOIN nb ON nb.split = al.split AND nb.method = al.method AND nb.ts = al.ts LEFT JOIN cur AS x ON x.split = al.split AND x.method = al.method AND x.ts = al.ts AND x.symbol = al.symbol
+  LEFT JOIN cur AS y ON y.split = al.split AND y.method = al.method AND y.ts = nb.before AND y.symbol = al.symbol GROUP BY al.split, al.method, al.ts),
+oo AS (SELECT dd.*, turnover, ls - coalesce(turnover, 0) * 0.001 AS net FROM dd LEFT JOIN tv USING (split, method, ts) QUALIFY row_number() OVER (PARTITION BY method, ts ORDER BY split DESC) = 1)"""
+SQL["walk_forward_dates"] = f"WITH {_WALK} SELECT method, CAST(ts AS VARCHAR) AS ts, CAST(split AS INT) AS split, round(ic, 7) AS ic, round(ls, 7) AS ls, round(turnover, 7) AS turnover, round(net, 7) AS net FROM oo"
+SQL["walk_forward_weights"] = f"WITH {_WALK} SELECT CAST(split AS INT) AS split, method, {', '.join(f'round(v{i + 1}, 6) AS {n}' for i, n in enumerate(_WALKED))} FROM wt"
+_RUN = "(PARTITION BY method ORDER BY ts ROWS UNBOUNDED PRECEDING)"
+SQL["walk_forward"] = f"""WITH {_WALK}, gr AS (SELECT *, product(1 + coalesce(ls, 0)) OVER {_RUN} AS gl, product(1 + coalesce(net, 0)) OVER {_RUN} AS gn FROM oo), fl AS (SELECT *, gl / max(gl) OVER {_RUN} - 1 AS fl, gn / max(gn) OVER {_RUN} - 1 AS fn FROM gr WHERE ls IS NOT NULL),
+a AS (SELECT method, count(ls) AS n_periods, avg(ls) AS ls_mean, arg_max(gl, ts) AS gl, arg_max(gn, ts) AS gn, avg(ls) / nullif(stddev_samp(ls), 0) * sqrt(252) AS sharpe, avg(net) / nullif(stddev_samp(net), 0) * sqrt(252) AS sharpe_after_cost, min(fl) AS max_drawdown, min(fn) AS max_drawdown_after_cost, avg(turnover) AS turnover_mean FROM fl GROUP BY method),
+e2 AS (SELECT oo.method, count(DISTINCT split) AS splits, count(ic) AS n_ic_periods, avg(ic) AS ic_mean, stddev_samp(ic) AS ic_std, avg(ic) / nullif(stddev_samp(ic), 0) AS icir, avg(ic) * sqrt(count(ic)) / nullif(stddev_samp(ic), 0) AS ic_tstat FROM oo GROUP BY oo.method)
+SELECT e2.method, round(sign(gl) * log10(abs(gl)), 6) AS log10_ls_total, round(sign(gn) * log10(abs(gn)), 6) AS log10_ls_total_after_cost, {", ".join(f"coalesce({c}, 0) AS {c}" if c == "n_periods" else c if not d else f"round({c}, {d}) AS {c}" for c, d in _SUMMARY.items())} FROM e2 LEFT JOIN a USING (method)"""
+SQL["walk_forward_tests"] = f"""WITH {_WALK}, pr AS (SELECT x.method AS method_a, y.method AS method_b, count(*) AS n, avg(x.net - y.net) AS m, stddev_samp(x.net - y.net) AS s FROM oo AS x JOIN oo AS y ON x.ts = y.ts AND x.net IS NOT NULL AND y.net IS NOT NULL
+  JOIN (VALUES {", ".join(f"('{a}', '{c}')" for i, a in enumerate(METHODS) for c in METHODS[i + 1 :])}) AS p(a, b) ON x.method = p.a AND y.method = p.b GROUP BY x.method, y.method)
+SELECT method_a, method_b, n, CASE WHEN n >= 10 THEN round(m, 7) END AS mean_diff, CASE WHEN n >= 10 THEN round(s, 7) END AS std_diff, CASE WHEN n >= 10 AND s > 0 THEN round(m / s * sqrt(n), 5) END AS t_stat FROM pr"""

@@ -129,28 +129,30 @@ _ROLLED = (
 SQL["rolling_ic_matrix"] = f"WITH {_ROLLED} SELECT symbol, CAST(ts AS VARCHAR) AS ts, " + ", ".join(f"round({c}, 8) AS {c}" for c in _NAMES) + " FROM ic"
 
 
-def _cramer() -> str:
-    """Weights of three factors: deviations from the mean summed up date by date by a join, Ledoit-Wolf, and the solution by determinants."""
-    x = {1: "m2", 2: "m5", 3: "span"}
-    pairs = [(i, j) for i in x for j in x if i <= j]
+def solved_three(keys: str) -> str:
+    """CTEs from c(keys, n, u1..u3, c11..c33, fourth) to o(keys, n, w1..w3): Ledoit-Wolf shrinkage, a ridge of 1e-6, and the solution by determinants."""
+    pairs = [(i, j) for i in (1, 2, 3) for j in (1, 2, 3) if i <= j]
     at = lambda i, j: f"s{min(i, j)}{max(i, j)}"
-    means = "m AS (SELECT symbol, ts, n, " + ", ".join(f"avg({c}) OVER u AS u{i}" for i, c in x.items()) + " FROM z WINDOW u AS (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING))"
-    dev = {i: f"(z.{c} - m.u{i})" for i, c in x.items()}
-    size = " + ".join(f"pow({d}, 2)" for d in dev.values())
-    cov = "c AS (SELECT m.symbol, m.ts, m.n, m.u1, m.u2, m.u3, " + ", ".join(f"avg({dev[i]} * {dev[j]}) AS c{i}{j}" for i, j in pairs) + f", avg(pow({size}, 2)) AS fourth FROM m JOIN z ON z.symbol = m.symbol AND z.ts <= m.ts GROUP BY ALL)"
-    level = "(c11 + c22 + c33) / 3"
     total = " + ".join(f"{1 if i == j else 2} * pow(c{i}{j}, 2)" for i, j in pairs)
     apart = " + ".join(f"{1 if i == j else 2} * pow(c{i}{j}{' - level' if i == j else ''}, 2)" for i, j in pairs)
-    share = f"e AS (SELECT *, {level} AS level, {total} AS total FROM c), f AS (SELECT *, ({apart}) / 3 AS apart, (fourth - total) / (3 * n) AS error FROM e), g AS (SELECT *, CASE WHEN apart > 0 THEN least(greatest(error, 0), apart) / apart ELSE 0 END AS share FROM f)"
-    shrunk = "h AS (SELECT symbol, ts, n, u1, u2, u3, " + ", ".join(f"(1 - share) * c{i}{j}{' + share * level + 1e-6' if i == j else ''} AS s{i}{j}" for i, j in pairs) + " FROM g)"
+    share = f"e AS (SELECT *, (c11 + c22 + c33) / 3 AS level, {total} AS total FROM c), f AS (SELECT *, ({apart}) / 3 AS apart, (fourth - total) / (3 * n) AS error FROM e), g AS (SELECT *, CASE WHEN apart > 0 THEN least(greatest(error, 0), apart) / apart ELSE 0 END AS share FROM f)"
+    shrunk = f"h AS (SELECT {keys}, n, u1, u2, u3, " + ", ".join(f"(1 - share) * c{i}{j}{' + share * level + 1e-6' if i == j else ''} AS s{i}{j}" for i, j in pairs) + " FROM g)"
 
     def det(column: int) -> str:
         cell = lambda i, j: f"u{i}" if j == column else at(i, j)
         return " + ".join(f"{cell(1, a)} * ({cell(2, b)} * {cell(3, c)} - {cell(2, c)} * {cell(3, b)})" for a, b, c in ((1, 2, 3), (2, 3, 1), (3, 1, 2)))
 
-    solved = "o AS (SELECT symbol, ts, n, " + ", ".join(f"({det(i)}) / ({det(0)}) AS w{i}" for i in x) + " FROM h)"
-    out = ", ".join(f"round(CASE WHEN n < 2 OR abs(w1) + abs(w2) + abs(w3) = 0 THEN 1e0 / 3 ELSE w{i} / (abs(w1) + abs(w2) + abs(w3)) END, 5) AS {c}" for i, c in x.items())
-    return f"WITH {_ROLLED}, z AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM ic), {means}, {cov}, {share}, {shrunk}, {solved} SELECT symbol, CAST(ts AS VARCHAR) AS ts, n, {out} FROM o"
+    return f"{share}, {shrunk}, o AS (SELECT {keys}, n, " + ", ".join(f"({det(i)}) / ({det(0)}) AS w{i}" for i in (1, 2, 3)) + " FROM h)"
 
 
-SQL["icir_weights"] = _cramer()
+def moments_three(dev: list[str]) -> str:
+    """Cells c11..c33 and fourth of deviations from the mean."""
+    size = " + ".join(f"pow({d}, 2)" for d in dev)
+    return ", ".join(f"avg({dev[i]} * {dev[j]}) AS c{i + 1}{j + 1}" for i in range(3) for j in range(i, 3)) + f", avg(pow({size}, 2)) AS fourth"
+
+
+_MEANS = ", ".join(f"avg({c}) OVER u AS u{i + 1}" for i, c in enumerate(_NAMES))
+_PARTS = ", ".join(f"round(CASE WHEN n < 2 OR abs(w1) + abs(w2) + abs(w3) = 0 THEN 1e0 / 3 ELSE w{i + 1} / (abs(w1) + abs(w2) + abs(w3)) END, 5) AS {c}" for i, c in enumerate(_NAMES))
+SQL["icir_weights"] = f"""WITH {_ROLLED}, z AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM ic), m AS (SELECT symbol, ts, n, {_MEANS} FROM z WINDOW u AS (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)),
+c AS (SELECT m.symbol, m.ts, m.n, m.u1, m.u2, m.u3, {moments_three([f"(z.{c} - m.u{i + 1})" for i, c in enumerate(_NAMES)])} FROM m JOIN z ON z.symbol = m.symbol AND z.ts <= m.ts GROUP BY ALL), {solved_three("symbol, ts")}
+SELECT symbol, CAST(ts AS VARCHAR) AS ts, n, {_PARTS} FROM o"""

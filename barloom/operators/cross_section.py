@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.expr import Expr, col, evaluate, lag, lead
+from barloom.sources.tables import cut_lineage
 
 from .library import seconds_of, signal_lag
 
@@ -194,7 +195,7 @@ def evaluate_panel(panel: DataFrame, timeframe: str = "1d", cost: float = 0.001,
     The cost of a period is mean turnover times ``cost``, or twice ``cost`` where no turnover is known. Drawdowns are of compounded returns. Factors without any date
     that passes the gates have their sizes alone.
     """
-    dates = date_measures(panel, groups=groups, **gates)
+    dates = cut_lineage(date_measures(panel, groups=groups, **gates))
     count = lambda c: F.sum(c.cast("long"))
     sizes = panel.groupBy("name").agg(F.countDistinct("symbol").alias("n_symbols"), F.countDistinct("ts").alias("n_periods"))
 

@@ -154,26 +154,3 @@ SELECT count(*) AS groups, round(avg(CASE WHEN below IS NOT NULL THEN CASE WHEN
     groups=5,
     least=10,
 )
-
-#: factors(symbol, ts, name, value), panel(symbol, ts, ret): runs of $train dates to weigh the factors and $oos dates to try them, every $step dates, with equal
-#: weights and with weights in proportion to the mean rank IC; the composite's outer $groups-ths long and short, measured over all tried dates of a method.
-WALK_FORWARD = SqlOp(
-    """WITH j0 AS (SELECT f.symbol, f.ts, f.name, f.value, p.ret FROM #factors AS f JOIN #panel AS p ON f.symbol = p.symbol AND f.ts = p.ts),
-k AS (SELECT *, count(*) OVER (PARTITION BY ts, name) AS n, rank() OVER (PARTITION BY ts, name ORDER BY value) + (count(*) OVER (PARTITION BY ts, name, value) - 1) / CAST(2 AS DOUBLE) AS rf,
-  rank() OVER (PARTITION BY ts, name ORDER BY ret) + (count(*) OVER (PARTITION BY ts, name, ret) - 1) / CAST(2 AS DOUBLE) AS rr FROM j0),
-ic AS (SELECT ts AS it, name, covar_samp(rf, rr) / nullif(stddev_samp(rf) * stddev_samp(rr), 0) AS ic FROM k GROUP BY ts, name),
-d AS (SELECT ts AS dt, row_number() OVER (ORDER BY ts) - 1 AS i FROM (SELECT DISTINCT ts FROM k) AS q), s AS (SELECT @SEQ(0, last) AS split FROM (SELECT CAST(floor((max(i) - $train) / CAST($step AS DOUBLE)) AS BIGINT) AS last FROM d) AS q WHERE last >= 0),
-m AS (SELECT split, name, avg(ic) AS mean FROM s JOIN d ON i >= split * $step AND i < split * $step + $train JOIN ic ON it = dt GROUP BY split, name),
-w0 AS (SELECT split, name, mean, 1e0 / count(*) OVER (PARTITION BY split) AS equal, mean / nullif(sum(abs(mean)) OVER (PARTITION BY split), 0) AS weighted FROM m),
-w1 AS (SELECT *, @EXPLODE('equal', 'mean_ic') AS method FROM w0), w AS (SELECT split AS ws, name AS wn, method, CASE WHEN method = 'equal' THEN equal ELSE coalesce(weighted, equal) END AS weight FROM w1),
-c AS (SELECT split, method, ts, symbol, round(sum(weight * rf / n), 9) AS comp, max(ret) AS ret FROM s JOIN d ON i >= split * $step + $train AND i < split * $step + $train + $oos JOIN k ON k.ts = d.dt JOIN w ON ws = split AND wn = name GROUP BY split, method, ts, symbol),
-o AS (SELECT *, row_number() OVER (PARTITION BY split, method, ts ORDER BY comp, symbol) AS place, count(*) OVER (PARTITION BY split, method, ts) AS n FROM c),
-l AS (SELECT split, method, ts, avg(CASE WHEN place > n - floor(n / CAST($groups AS DOUBLE)) THEN ret END) - avg(CASE WHEN place <= floor(n / CAST($groups AS DOUBLE)) THEN ret END) AS ls FROM o WHERE n >= 2 * $groups GROUP BY split, method, ts),
-v AS (SELECT *, 1 + sum(ls) OVER (PARTITION BY method ORDER BY split, ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS value FROM l), x AS (SELECT *, max(value) OVER (PARTITION BY method ORDER BY split, ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak FROM v)
-SELECT method, count(DISTINCT split) AS splits, count(*) AS dates, round(avg(ls), 6) AS ls_mean, round(sum(ls), 5) AS ls_total, round(avg(ls) / nullif(stddev_samp(ls), 0) * sqrt(252), 4) AS sharpe, round(min(value - peak), 5) AS max_drawdown,
-  round(avg(CASE WHEN ls > 0 THEN 1e0 ELSE 0e0 END), 6) AS win_share FROM x GROUP BY method""",
-    train=10,
-    oos=5,
-    step=5,
-    groups=5,
-)

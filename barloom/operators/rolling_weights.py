@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .selection import unit_l1
@@ -39,43 +39,54 @@ def rolling_ic_matrix(rows: DataFrame, names: list[str], ret: str = "ret", windo
     return known.join(middle, key).select(key, order, *[F.coalesce(F.col(f"`{n}`"), f"__m{i}", F.lit(0.0)).alias(n) for i, n in enumerate(names)])
 
 
+class ICSums:
+    """Sums over runs of rows of k numbers x: x, products x_i x_j, x |x|^2 and |x|^4; a run a row. Mean, covariance and its Ledoit-Wolf share follow."""
+
+    def __init__(self, sums: np.ndarray, n: np.ndarray, k: int):
+        i, j = np.triu_indices(k)
+        self.n, self.k, self.first, self.times, self.squared = n, k, sums[:, :k], sums[:, -k - 1 : -1], sums[:, -1]
+        self.mean = self.first / np.maximum(n, 1)[:, None]
+        self.second = np.zeros((len(n), k, k))
+        self.second[:, i, j] = self.second[:, j, i] = sums[:, k : k + len(i)]
+
+    @staticmethod
+    def terms(x: list[Column]) -> list[Column]:
+        """What to sum up of each row, in the order taken here."""
+        k, size = len(x), sum((c * c for c in x), F.lit(0.0))
+        return [*x, *[x[i] * x[j] for i in range(k) for j in range(i, k)], *[c * size for c in x], size * size]
+
+    def covariance(self) -> np.ndarray:
+        return self.second / np.maximum(self.n, 1)[:, None, None] - self.mean[:, :, None] * self.mean[:, None, :]
+
+    def shrunk(self) -> np.ndarray:
+        """Covariance towards the mean variance times the identity, by the estimated share of its error."""
+        n, mean, cov = np.maximum(self.n, 1), self.mean, self.covariance()
+        total, m = np.trace(self.second, axis1=1, axis2=2), (mean * mean).sum(axis=1)
+        along = np.einsum("ti,tij,tj->t", mean, self.second, mean)
+        # the sum of |x - mean|^4, multiplied out
+        fourth = self.squared + 4 * along + n * m * m - 4 * (mean * self.times).sum(axis=1) + 2 * m * total - 4 * m * m * n
+        level, eye = np.trace(cov, axis1=1, axis2=2) / self.k, np.eye(self.k)
+        apart = ((cov - level[:, None, None] * eye) ** 2).sum(axis=(1, 2)) / self.k
+        error = (fourth / n - (cov**2).sum(axis=(1, 2))) / (self.k * n)
+        share = np.where(apart > 0, np.minimum(np.maximum(error, 0.0), apart) / np.maximum(apart, 1e-300), 0.0)
+        return (1 - share)[:, None, None] * cov + (share * level)[:, None, None] * eye
+
+
 def icir_weights(ic: DataFrame, names: list[str], history: int | None = None, ridge: float = 1e-6, positive: bool = False, key: str = "symbol", order: str = "ts") -> DataFrame:
     """(key, order, n, names...): weights that sum to 1 in absolute value, in proportion to the inverse shrunk covariance times the mean of the ICs of the last
-    ``history`` rows (all so far, if None). Equal weights from one row alone.
-
-    Of each row's past only sums are taken: of the ICs, their products, their squared size a = |x|^2 (alone, squared and times each IC). Covariance, its
-    Ledoit-Wolf share and the k by k solution follow from them, for a batch of rows at once.
+    ``history`` rows (all so far, if None). Equal weights from one row alone. A batch of rows is solved at once.
     """
     k = len(names)
-    x = [F.col(f"`{n}`") for n in names]
-    size = sum((c * c for c in x), F.lit(0.0))
-    terms = [*x, *[x[i] * x[j] for i in range(k) for j in range(i, k)], *[c * size for c in x], size * size]
+    terms = ICSums.terms([F.col(f"`{n}`") for n in names])
+    width = len(terms)
     run = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding if history is None else -(history - 1), Window.currentRow)
     sums = ic.select(key, order, F.count(F.lit(1)).over(run).cast("double").alias("n"), F.array(*[F.sum(t).over(run) for t in terms]).alias("sums"))
-    upper, width = np.triu_indices(k), len(terms)
 
     def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.column(2).to_numpy()
-            s = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(n), width)
-            mean = s[:, :k] / n[:, None]
-            second = np.zeros((len(n), k, k))
-            second[:, upper[0], upper[1]] = s[:, k : k + len(upper[0])]
-            second[:, upper[1], upper[0]] = s[:, k : k + len(upper[0])]
-            cov = second / n[:, None, None] - mean[:, :, None] * mean[:, None, :]
-            times, squared = s[:, -k - 1 : -1], s[:, -1]
-            total = np.trace(second, axis1=1, axis2=2)
-            m = (mean * mean).sum(axis=1)
-            along = np.einsum("ti,tij,tj->t", mean, second, mean)
-            # the sum of |x - mean|^4, multiplied out
-            fourth = squared + 4 * along + n * m * m - 4 * (mean * times).sum(axis=1) + 2 * m * total - 4 * m * m * n
-            level = np.trace(cov, axis1=1, axis2=2) / k
-            eye = np.eye(k)
-            apart = ((cov - level[:, None, None] * eye) ** 2).sum(axis=(1, 2)) / k
-            error = (fourth / n - (cov**2).sum(axis=(1, 2))) / (k * n)
-            share = np.where(apart > 0, np.minimum(np.maximum(error, 0.0), apart) / np.maximum(apart, 1e-300), 0.0)
-            shrunk = (1 - share)[:, None, None] * cov + (share * level)[:, None, None] * eye + ridge * eye
-            w = np.linalg.solve(shrunk, mean[:, :, None])[:, :, 0]
+            found = ICSums(batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(n), width), n, k)
+            w = np.linalg.solve(found.shrunk() + ridge * np.eye(k), found.mean[:, :, None])[:, :, 0]
             w = np.stack([unit_l1(row, positive) if size > 1 else np.full(k, 1.0 / k) for row, size in zip(w, n, strict=True)]) if len(n) else w
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), *[pa.array(w[:, i]) for i in range(k)]], [key, order, "n", *names])
 
