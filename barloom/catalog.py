@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 
 from barloom import catalog_panel, catalog_selection
 from barloom.functions.expr import NUDGE, duckdb_sql, evaluate, rounded
-from barloom.functions.factors import FAMILIES, LOOKAHEAD
+from barloom.functions.factors import FAMILIES
 from barloom.functions.generators import GENERATORS, basic, engineered, learning, targets
 from barloom.functions.recursive import recursive_indicators
 from barloom.operators import analysis as A
 from barloom.operators import bars as B
 from barloom.operators import joins as J
-from barloom.operators import library as L
 from barloom.operators import panel as P
 from barloom.operators import quality as Q
 from barloom.operators import series as S
@@ -296,7 +295,7 @@ QUERIES["stream_bars"] = _stream_bars
 SQL["stream_bars"] = f"SELECT symbol, CAST(ts AS VARCHAR) AS ts, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close, CAST(volume AS BIGINT) AS volume FROM ({DUCK_BARS}) AS b"
 
 
-# ---- market-wide series and the library -------------------------------------------------
+# ---- market-wide series -----------------------------------------------------------------
 _QUOTES = "SELECT CAST(ts AS TIMESTAMP) AS ts, event_type AS ticker, value AS close FROM events"
 _GRID = "g AS (SELECT unnest(generate_series(min(bucket), max(bucket))) AS bucket FROM b) SELECT CAST(make_timestamp(bucket * {s} * 1000000) AS VARCHAR) AS ts, {cells} FROM g LEFT JOIN b USING (bucket) WINDOW w AS (ORDER BY bucket)"
 
@@ -312,22 +311,9 @@ def _sentiment(spark, sf_dir):
     return S_FILES.sentiment(vix, caps, 7200).select(F.col("ts").cast("string").alias("ts"), F.round("vix", 4).alias("vix"), F.round("stablecoin_supply_ratio", 4).alias("ratio"))
 
 
-def _definitions(spark):
-    return L.definitions(spark, _DEFINED)
-
-
-_DEFINED = [(n, family, n in LOOKAHEAD, f"{e.kind} expression of {e.level} window stages") for family, group in FAMILIES.items() for n, e in group.items()]
-_LIBRARY_SQL = "(VALUES " + ", ".join(f"('{n}', '{f}', {str(a).lower()}, '{t.replace(chr(39), chr(39) * 2)}')" for n, f, a, t in _DEFINED) + ") AS v(name, family, lookahead, text)"
-QUERIES |= {
-    "macro_series": _macro, "sentiment_series": _sentiment, "library_stats": lambda spark, sf_dir: L.stats(_definitions(spark)).withColumn("mean_length", F.round("mean_length", 3)),
-    "library_search": lambda spark, sf_dir: L.search(_definitions(spark), "momentum").select("name", "family"),
-    "library_diff": lambda spark, sf_dir: L.diff(_definitions(spark), L.search(_definitions(spark), "volume")),
-}
+QUERIES |= {"macro_series": _macro, "sentiment_series": _sentiment}
 SQL["macro_series"] = "WITH q AS (SELECT ts, max(CASE WHEN event_type = 'view' THEN value END) AS spx, max(CASE WHEN event_type = 'signup' THEN value END) AS gold, max(CASE WHEN event_type = 'click' THEN value / 100 END) AS us10y_yield FROM events GROUP BY ts), b AS (SELECT CAST(floor(epoch(ts) / 3600) AS BIGINT) AS bucket, " + ", ".join(f"arg_max({c}, ts) FILTER ({c} IS NOT NULL) AS {c}" for c in ("spx", "gold", "us10y_yield")) + " FROM q GROUP BY 1), " + _GRID.format(s=3600, cells=", ".join(f"round(last_value({c} IGNORE NULLS) OVER w, 4) AS {c}" for c in ("spx", "gold", "us10y_yield")))
 SQL["sentiment_series"] = "WITH q AS (SELECT ts, CASE WHEN event_type = 'error' THEN value END AS vix, CASE WHEN event_type = 'purchase' THEN value / nullif(CAST(user_id AS DOUBLE), 0) END AS ratio FROM events WHERE event_type IN ('error', 'purchase')), b AS (SELECT CAST(floor(epoch(ts) / 7200) AS BIGINT) AS bucket, arg_max(vix, ts) FILTER (vix IS NOT NULL) AS vix, arg_max(ratio, ts) FILTER (ratio IS NOT NULL) AS ratio FROM q GROUP BY 1), " + _GRID.format(s=7200, cells="round(last_value(vix IGNORE NULLS) OVER w, 4) AS vix, round(last_value(ratio IGNORE NULLS) OVER w, 4) AS ratio")
-SQL["library_stats"] = f"SELECT family, count(*) AS n, count(*) FILTER (lookahead) AS lookahead, round(avg(length(text)), 3) AS mean_length FROM {_LIBRARY_SQL} GROUP BY family"
-SQL["library_search"] = f"SELECT name, family FROM {_LIBRARY_SQL} WHERE lower(name) LIKE '%momentum%' OR lower(text) LIKE '%momentum%'"
-SQL["library_diff"] = f"SELECT name, CASE WHEN lower(name) LIKE '%volume%' OR lower(text) LIKE '%volume%' THEN 'identical' ELSE 'missing' END AS state FROM {_LIBRARY_SQL}"
 QUERIES |= catalog_selection.QUERIES
 SQL |= catalog_selection.SQL
 QUERIES |= catalog_panel.QUERIES

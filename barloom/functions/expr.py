@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 EPS = 1e-12
 #: Moves values off exact rounding ties, which two engines may break either way.
 NUDGE = 1 + 1e-10
-#: From here on values are rounded to millions.
-LARGE = 1e9
 _OVER = "OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {lo} AND {hi})"
 
 
@@ -348,11 +346,12 @@ def evaluate(bars: DataFrame, factors: dict[str, Expr]) -> DataFrame:
 
 
 def rounded(values: DataFrame, digits: int = 4) -> DataFrame:
-    """symbol, ts and factor columns as the comparison with ``duckdb_sql`` takes them: rounded, large ones to millions, ts as text."""
+    """symbol, ts and factor columns as the comparison with ``duckdb_sql`` takes them: rounded to decimals and to five digits more before the point, ts as text."""
 
     def shown(n: str):
         x = F.col(f"`{n}`") * NUDGE
-        return F.when(F.abs(x) >= LARGE, F.round(x / 1e6) * 1e6).otherwise(F.round(x, digits)).alias(n)
+        unit = F.pow(F.lit(10.0), F.greatest(F.floor(F.log10(F.greatest(F.abs(x), F.lit(1.0)))) - 4, F.lit(0)).cast("double"))
+        return (F.round(x / unit, digits) * unit).alias(n)
 
     return values.select("symbol", F.col("ts").cast("string").alias("ts"), *[shown(n) for n in values.columns[2:]])
 
@@ -398,5 +397,6 @@ def duckdb_sql(bars_sql: str, factors: dict[str, Expr], digits: int = 4) -> str:
         at = new
     raw = [f'CAST({e.sql(names, True)} AS DOUBLE) * {NUDGE!r} AS "{n}"' for n, e in factors.items()]
     steps.append(f"raw AS (SELECT symbol, ts, {', '.join(raw)} FROM {at})")
-    out = [f'CASE WHEN NOT isfinite("{n}") THEN NULL WHEN abs("{n}") >= {LARGE!r} THEN round("{n}" / 1e6) * 1e6 ELSE round("{n}", {digits}) END AS "{n}"' for n in factors]
+    unit = "pow(10, greatest(floor(log10(greatest(abs({0}), 1))) - 4, 0))"
+    out = [f'CASE WHEN isfinite({c}) THEN round({c} / {unit.format(c)}, {digits}) * {unit.format(c)} END AS {c}' for c in (f'"{n}"' for n in factors)]
     return f"WITH {', '.join(steps)} SELECT symbol, CAST(ts AS VARCHAR) AS ts, {', '.join(out)} FROM raw"

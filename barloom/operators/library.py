@@ -7,8 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Parts of column names that tell of the target: such columns are no features.
-TARGET_WORDS = ("target", "label", "future", "forward", "next_ret", "y_true")
+#: Parts of column names that tell of the target or of what was made from it. Such columns are no features.
+TARGET_WORDS = ("future", "fwd", "forward", "next_", "target", "label", "return_t+", "pnl", "profit", "sharpe", "signal", "predict", "pred_", "forecast")
 
 
 def definitions(spark: SparkSession, rows: list[tuple[str, str, bool, str]]) -> DataFrame:
@@ -42,8 +42,9 @@ def health(library: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def features_only(columns: list[str]) -> list[str]:
-    """Columns whose names do not tell of the target."""
-    return [c for c in columns if not any(w in c.lower() for w in TARGET_WORDS) and c.lower() not in ("y", "ret", "returns_next")]
+    """Columns whose names do not tell of the target: none of TARGET_WORDS, not y or y_..., nor this library's own return columns."""
+    low = {c: c.lower() for c in columns}
+    return [c for c in columns if not any(w in low[c] for w in TARGET_WORDS) and not low[c].startswith("y_") and low[c] not in ("y", "ret", "returns_next")]
 
 
 def seconds_of(timeframe: str) -> int:
@@ -54,14 +55,16 @@ def seconds_of(timeframe: str) -> int:
     return int(found[1]) * {"m": 60, "h": 3600, "d": 86400, "w": 604800}[found[2]]
 
 
-def signal_lag(metadata: dict | None = None, params: dict | None = None, default: int = 1) -> int:
-    """Bars between a value and the trade on it: the first lag, signal_lag, trade_lag or shift in the metadata, then the parameters, else the default; lookahead
-    bars of the metadata are added."""
-    for given in (metadata or {}, params or {}):
-        for key in ("lag", "signal_lag", "trade_lag", "shift"):
-            if given.get(key) is not None:
-                return int(given[key]) + int((metadata or {}).get("lookahead", 0) or 0)
-    return default + int((metadata or {}).get("lookahead", 0) or 0)
+def signal_lag(metadata: dict | None = None, params: dict | None = None, default: int = 1, computation: dict | None = None) -> int:
+    """Bars between a value and the trade on it: the first of lag, signal_lag, trade_lag and shift that metadata, parameters or computation data hold (the names in this
+    order, each looked up in this order), else the default. The first of lookahead and future_bars found so is added. What is no whole number gives the default; never below 0."""
+    places = [metadata or {}, params or {}, computation or {}]
+    given = next((d[k] for k in ("lag", "signal_lag", "trade_lag", "shift") for d in places if d.get(k) is not None), default)
+    ahead = next((d[k] for k in ("lookahead", "future_bars") for d in places if d.get(k) is not None), 0)
+    try:
+        return max(0, int(given) + int(ahead or 0))
+    except (TypeError, ValueError):
+        return default
 
 
 def split_ratios(train: float, test: float, validation: float = 0.0) -> tuple[float, float, float]:

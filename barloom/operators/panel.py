@@ -136,7 +136,7 @@ SELECT CAST(y.t AS $string) AS ts, round(gross, 6) AS gross, round(turnover, 6)
     string="STRING",
 )
 
-#: Per date of a panel: size, symbols' coverage, variance gates, rank IC; then mean, deviation, ratio and t value over dates, and in each of $parts runs of dates the sign of the mean.
+#: Rank IC of each date of $least symbols or more; then mean and deviation in each of $parts runs of dates and the sign of the mean. Gates of coverage and variance are in ``cross_section``.
 IC_SEGMENTS = SqlOp(
     _RANKED
     + """, s AS (SELECT rank_ic, CAST(floor((row_number() OVER (ORDER BY ts) - 1) * $parts / CAST(count(*) OVER () AS DOUBLE)) AS INT) AS part FROM d WHERE rank_ic IS NOT NULL)
@@ -145,7 +145,7 @@ SELECT part, count(*) AS dates, round(avg(rank_ic), 6) AS rank_ic_mean, round(st
     parts=4,
 )
 
-#: Groups of each date by factor: mean return of each, whether means rise with the group (share of rising steps), spread of the outer ones and its cost.
+#: Groups of each date by factor: mean return of each, whether means rise with the group (share of rising steps), spread of the outer ones. Costs are in ``cross_section``.
 GROUP_SHAPE = SqlOp(
     _GROUPED
     + """, m AS (SELECT ts, grp, avg(ret) AS m FROM g GROUP BY ts, grp), t AS (SELECT grp, avg(m) AS m FROM m GROUP BY grp), r AS (SELECT grp, m, lag(m) OVER (ORDER BY grp) AS below FROM t)

@@ -88,7 +88,8 @@ s AS (SELECT *, CASE WHEN n >= 100 THEN 100e0 ELSE 70e0 END AS basic, CASE WHEN
 HEALTH_SCORE = SqlOp(
     _GRADE
     + """SELECT symbol, n, round(coverage, 4) AS coverage, basic, round(continuity, 4) AS continuity, quality, round(0.3 * basic + 0.4 * continuity + 0.3 * quality, 2) AS health,
-  CASE WHEN 0.3 * basic + 0.4 * continuity + 0.3 * quality >= 90 THEN 'good' WHEN 0.3 * basic + 0.4 * continuity + 0.3 * quality >= 70 THEN 'fair' ELSE 'poor' END AS band,
+  CASE WHEN 0.3 * basic + 0.4 * continuity + 0.3 * quality >= 100 THEN 'excellent' WHEN 0.3 * basic + 0.4 * continuity + 0.3 * quality >= 90 THEN 'good' WHEN 0.3 * basic + 0.4 * continuity + 0.3 * quality >= 80 THEN 'fair'
+    WHEN 0.3 * basic + 0.4 * continuity + 0.3 * quality >= 70 THEN 'poor' ELSE 'critical' END AS band,
   repeated = 0 AND gaps = 0 AND coverage >= 95 AND 0.3 * basic + 0.4 * continuity + 0.3 * quality >= 100 AS passed FROM s""",
     secs=3600,
 )

@@ -7,8 +7,8 @@ from .sqlop import SqlOp
 
 
 def shown(x: str, digits: int) -> str:
-    """Rounded; from a million on the power of ten with the sign, as products of many returns outgrow every fixed number of decimals."""
-    return f"CASE WHEN abs({x}) < 1e6 THEN round({x} * 1.0000000001, {digits}) ELSE round(sign({x}) * log10(abs({x})), 3) END"
+    """Rounded to decimals, then to nine significant digits, as far as two engines agree on products of many returns."""
+    return f"@SIG(round({x} * 1.0000000001, {digits}) * 1.0000000001)"
 
 
 #: scored(symbol, ts, name, value, ret): rows without value or return are left out, then the outer fifths of each factor's whole history are held for one bar.
@@ -22,8 +22,16 @@ c AS (SELECT *, CASE WHEN count(CASE WHEN 1 + net = 0 THEN 1 END) OVER w > 0 THE
 p AS (SELECT *, max(cumulative) OVER (PARTITION BY symbol, name, strategy ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS peak FROM c),
 v AS (SELECT *, (cumulative - peak) / nullif(peak, 0) AS drawdown FROM p)
 """
-#: Each bar's signal, net return, running product of 1 + net and drawdown from its maximum, for three strategies. A return of -100 % makes the product 0 from there on.
-BACKTEST = SqlOp(_SIGNALS + "SELECT symbol, name, strategy, CAST(ts AS $string) AS ts, signal, " + f"{shown('net', 5)} AS net, {shown('cumulative', 4)} AS cumulative, {shown('drawdown', 4)} AS drawdown FROM v", cost="0.001", slip="0.0005", string="STRING")
+#: Each bar's signal, net return, running product of 1 + net, its sign and the logarithm of its size to the base 10, and drawdown from its maximum, for three strategies. A return of
+#: -100 % makes the product 0 from there on; it has no logarithm then.
+BACKTEST = SqlOp(
+    _SIGNALS
+    + "SELECT symbol, name, strategy, CAST(ts AS $string) AS ts, signal, "
+    + f"{shown('net', 5)} AS net, {shown('cumulative', 4)} AS cumulative, CAST(sign(cumulative) AS INT) AS wealth_sign, round(CASE WHEN cumulative <> 0 THEN log10(abs(cumulative)) END, 5) AS log10_wealth, {shown('drawdown', 4)} AS drawdown FROM v",
+    cost="0.001",
+    slip="0.0005",
+    string="STRING",
+)
 
 #: Performance of each symbol, factor and strategy; 252 bars a year. Measures without a denominator are 0, the profit ratio without losses is missing.
 PERFORMANCE = SqlOp(

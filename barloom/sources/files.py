@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import csv
 import io
+import json
 import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.feather
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
+from pyspark.sql.types import StructType
 
 PRICES = ("open", "high", "low", "close", "volume")
-FORMATS = ("csv", "json", "parquet")
+FORMATS = ("csv", "json", "parquet", "feather")
 #: Names under which a time column is found, in this order.
 TIMES = ("date", "time", "timestamp", "ts", "datetime", "open_time", "create_time", "calc_time")
 
@@ -28,13 +32,48 @@ def form_of(path: str, form: str | None = None) -> str:
 
 
 def read_any(spark: SparkSession, path: str, form: str | None = None) -> DataFrame:
-    """CSV (with a header, types inferred), JSON lines or Parquet, by the suffix unless ``form`` says."""
+    """CSV (with a header, types inferred), JSON lines, Parquet or Feather, by the suffix unless ``form`` says."""
     form = form_of(path, form)
+    if form == "feather":
+        return feather(spark, path)
     return spark.read.csv(path, header=True, inferSchema=True) if form == "csv" else getattr(spark.read, form)(path)
 
 
+def feather(spark: SparkSession, pattern: str) -> DataFrame:
+    """Feather files, each read in a task. All are taken to have the columns of the first by path; what one lacks is null. Times without a zone count as UTC.
+
+    ValueError where there is no file.
+    """
+    files = spark.read.format("binaryFile").load(pattern).select("path", "content")
+
+    def table(blob: bytes) -> pa.Table:
+        return pyarrow.feather.read_table(io.BytesIO(blob))
+
+    def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = [from_arrow_schema(table(blob).schema).json() for blob in batch.column("content").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string())], ["schema"])
+
+    first = files.orderBy("path").limit(1).mapInArrow(described, "schema string").head()
+    if first is None:
+        raise ValueError(f"no files at {pattern!r}")
+    schema = StructType.fromJson(json.loads(first["schema"]))
+    target = to_arrow_schema(schema)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for blob in batch.column("content").to_pylist():
+                found = table(blob)
+                columns = [found.column(f.name).cast(f.type, safe=False) if f.name in found.column_names else pa.nulls(len(found), f.type) for f in target]
+                yield from pa.Table.from_arrays([c if isinstance(c, pa.ChunkedArray) else pa.chunked_array([c]) for c in columns], schema=target).combine_chunks().to_batches(max_chunksize=1 << 16)
+
+    return files.mapInArrow(rows, schema)
+
+
 def write_any(df: DataFrame, path: str, form: str | None = None) -> None:
     form, out = form_of(path, form), df.write.mode("overwrite")
+    if form == "feather":
+        raise ValueError("Feather is read only; write Parquet")
     out.csv(path, header=True) if form == "csv" else getattr(out, form)(path)
 
 
@@ -84,7 +123,7 @@ def page(df: DataFrame, size: int, number: int = 0, by: str = "ts") -> DataFrame
 def bar_paths(folder: str, base: str, timeframe: str, market: str = "futures", quote: str = "USDT") -> list[str]:
     """Where a symbol's bars may lie, the likeliest first."""
     names = [f"{base}_{quote}_{quote}-{timeframe}-{market}", f"{base}_{quote}-{timeframe}-{market}", f"{base}{quote}-{timeframe}-{market}", f"{base}_{quote}-{timeframe}", f"{base}{quote}-{timeframe}", f"{base}-{timeframe}"]
-    return [f"{folder.rstrip('/')}/{sub}{name}.{form}" for sub in (f"{market}/", "spot/", "") for name in names for form in ("parquet", "csv")]
+    return [f"{folder.rstrip('/')}/{sub}{name}.{form}" for sub in (f"{market}/", "spot/", "") for name in names for form in ("parquet", "feather", "csv")]
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -183,14 +222,19 @@ METRICS = {"sum_open_interest": "open_interest", "count_long_short_ratio": "lsr_
 
 
 def metrics(rows: DataFrame) -> DataFrame:
-    """Open interest and long/short ratios by time; what is no number is null, rows without a time go."""
-    return rows.select(as_time(F.col("create_time"), "string").alias("ts"), *[F.col(a).try_cast("double").alias(b) for a, b in METRICS.items()]).filter("ts is not null")
+    """Open interest and long/short ratios by time (create_time, else timestamp); what is no number, and fields that are not there, are null; rows without a time go."""
+    time = F.coalesce(*[as_time(F.col(c), "string") for c in ("create_time", "timestamp") if c in rows.columns], F.lit(None).cast("timestamp"))
+    cells = [F.col(a).try_cast("double").alias(b) if a in rows.columns else F.lit(None).cast("double").alias(b) for a, b in METRICS.items()]
+    return rows.select(time.alias("ts"), *cells).filter("ts is not null")
 
 
 def funding(rows: DataFrame) -> DataFrame:
-    """(ts, funding_rate) from a time and a rate column under any of their usual names; rows without either go."""
-    time = next(c for c in ("calc_time", "fundingtime", "funding_time", "timestamp", "date") if c in [x.lower() for x in rows.columns])
-    rate = next(c for c in ("last_funding_rate", "fundingrate", "funding_rate", "rate") if c in [x.lower() for x in rows.columns])
+    """(ts, funding_rate) from a time and a rate column under any of their usual names (fixed values); rows without either go. ValueError where no column is called so."""
+    low = [x.lower() for x in rows.columns]
+    time = next((c for c in ("calc_time", "fundingtime", "funding_time", "timestamp", "date") if c in low), None)
+    rate = next((c for c in ("last_funding_rate", "fundingrate", "funding_rate", "rate") if c in low), None)
+    if time is None or rate is None:
+        raise ValueError(f"no time and rate of funding among {rows.columns}")
     kinds = {k.lower(): v for k, v in rows.dtypes}
     return rows.select(as_time(F.col(time), kinds[time]).alias("ts"), F.col(rate).try_cast("double").alias("funding_rate")).dropna()
 

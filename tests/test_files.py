@@ -32,6 +32,29 @@ def test_scan_normalises_filters_and_refuses(spark, tmp_path):
         S.read_any(spark, "x.pickle")
 
 
+def test_feather_files_are_bars_too(spark, tmp_path):
+    import pandas as pd
+
+    path = tmp_path / "futures"
+    path.mkdir()
+    for base, n in (("BTC", 5), ("ETH", 3)):
+        table = pd.DataFrame({"date": pd.date_range("2024-01-01", periods=n, freq="h", tz="UTC"), **{c: [float(i) for i in range(n)] for c in S.PRICES}, "trades": range(n)})
+        table.to_feather(path / f"{base}_USDT-1h-futures.feather")
+    bars = S.scan_bars(spark, str(tmp_path), "BTC", "1h").orderBy("ts").collect()
+    assert [r["open"] for r in bars] == [0.0, 1.0, 2.0, 3.0, 4.0] and [r["trades"] for r in bars] == [0, 1, 2, 3, 4]
+    assert (bars[1]["ts"] - bars[0]["ts"]).total_seconds() == 3600
+    assert S.read_any(spark, str(path / "*.feather")).count() == 8 and S.scan_many(spark, str(tmp_path), ["BTC", "ETH"], "1h").count() == 8
+    with pytest.raises(ValueError):
+        S.write_any(spark.range(1), str(tmp_path / "x.feather"))
+
+
+def test_metrics_and_funding_fall_back(spark):
+    rows = spark.createDataFrame([("1704067200000", "5", "x")], "timestamp string, sum_open_interest string, other string")
+    assert [(r["open_interest"], r["lsr_top_account"]) for r in S.metrics(rows).collect()] == [(5.0, None)]
+    with pytest.raises(ValueError):
+        S.funding(rows)
+
+
 def test_archives_with_and_without_header(spark, tmp_path):
     for name, text in (("a", "1704067200000,1,2,0.5,1.5,10,0,0,0,4,5,0\n"), ("b", "open_time,open,high,low,close,volume\n1704070800000,2,3,1,2,x\n")):
         with zipfile.ZipFile(tmp_path / f"{name}.zip", "w") as z:

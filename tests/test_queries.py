@@ -23,4 +23,4 @@ def test_entry_is_the_flagship(spark):
 
 def test_queries_and_sql_have_the_same_names():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert {n for n in QUERIES if n not in SQL} == {"factors_recursive", "factor_weights"}
+    assert {n for n in QUERIES if n not in SQL} == {"factors_recursive", "factor_weights", "pca_components"}

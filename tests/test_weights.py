@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from barloom.operators import rolling_weights, selection, spectral
+from barloom.operators import rolling_weights, selection, spectral, walk_forward
 
 
 def test_principal_components_of_groups(spark):
@@ -82,3 +82,9 @@ def test_rolling_matrix_and_weights_of_every_date(spark, series):
     weights = rolling_weights.icir_weights(ic, names)
     made = rolling_weights.weighted_factor(frame_of(spark, series), weights, names).toPandas()
     assert made["ts"].min() == want.index[0] and len(made) == 150 - want.index[0]
+
+
+def test_student_probabilities():
+    known = [(2.0, 10, 0.073388035), (1.0, 1, 0.5), (0.0, 5, 1.0), (-2.7764451052, 4, 0.05), (12.7062047364, 1, 0.05), (1.9718962236, 200, 0.05)]
+    for t, freedom, p in known:
+        assert walk_forward.two_sided_p(t, freedom) == pytest.approx(p, rel=1e-4)
