@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.expr import Expr, col, lag, lead, or_zero, running, unless
 from barloom.operators.association import feature_scores, kendall
+from barloom.operators.combination import best_of_grid, greedy_combination, grid_search
 from barloom.operators.rolling_weights import icir_weights, rolling_ic_matrix
 from barloom.operators.spectral import principal_components
 from barloom.operators.sqlop import SqlOp
@@ -156,3 +160,52 @@ _PARTS = ", ".join(f"round(CASE WHEN n < 2 OR abs(w1) + abs(w2) + abs(w3) = 0 TH
 SQL["icir_weights"] = f"""WITH {_ROLLED}, z AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS n FROM ic), m AS (SELECT symbol, ts, n, {_MEANS} FROM z WINDOW u AS (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)),
 c AS (SELECT m.symbol, m.ts, m.n, m.u1, m.u2, m.u3, {moments_three([f"(z.{c} - m.u{i + 1})" for i, c in enumerate(_NAMES)])} FROM m JOIN z ON z.symbol = m.symbol AND z.ts <= m.ts GROUP BY ALL), {solved_three("symbol, ts")}
 SELECT symbol, CAST(ts AS VARCHAR) AS ts, n, {_PARTS} FROM o"""
+
+
+# ---- combinations and parameters ---------------------------------------------------------------
+def _greedy(spark, sf_dir):
+    return greedy_combination(_wide(spark, sf_dir), ["symbol"], _NAMES, most=3).withColumn("score", F.round("score", 8))
+
+
+def distance_to_mean(window: int) -> Expr:
+    """Close over its mean of the last rows, less 1: the mean from two running sums, so its cost does not grow with the window."""
+    close = col("close")
+    total = running(close)
+    return unless(close / ((total - or_zero(lag(total, window))) / float(window)) - 1.0, lag(close, window - 1))
+
+
+_GRID = [{"window": w} for w in range(2, 102)]
+_NEXT = lead(col("close"), 1) / col("close") - 1.0
+
+
+def _grid(spark, sf_dir, metric):
+    scores = grid_search(event_bars(spark, sf_dir), _NEXT, distance_to_mean, _GRID, metric)
+    return scores.select("symbol", (F.col("place") + 2).alias("window"), F.round("score", 7).alias("score"))
+
+
+def _grid_best(spark, sf_dir):
+    best = best_of_grid(grid_search(event_bars(spark, sf_dir), _NEXT, distance_to_mean, _GRID, "effectiveness_score").withColumn("score", F.round("score", 9)))
+    return best.select("symbol", (F.col("place") + 2).alias("window"), "score")
+
+
+QUERIES |= {"greedy_combination": _greedy, "grid_ic": partial(_grid, metric="ic"), "grid_ir": partial(_grid, metric="ir"), "grid_best": _grid_best}
+
+
+def _step_sql(step: int) -> str:
+    """One step: every name that is not chosen yet, with the mean over the chosen names and itself."""
+    before = f"g{step - 1}" if step > 1 else "(SELECT DISTINCT symbol, CAST([] AS VARCHAR[]) AS chosen FROM w)"
+    return f"""t{step} AS (SELECT w.symbol, p.chosen, c.name, c.i, ret, list_transform(list_append(p.chosen, c.name), lambda x: v[x]) AS cells FROM w JOIN {before} AS p ON p.symbol = w.symbol JOIN (VALUES ('m2', 0), ('m5', 1), ('span', 2)) AS c(name, i) ON NOT list_contains(p.chosen, c.name) WHERE ret IS NOT NULL),
+k{step} AS (SELECT symbol, chosen, name, i, ret, list_avg(cells) AS x FROM t{step} WHERE len(list_filter(cells, lambda x: x IS NOT NULL)) >= greatest(1, {step} // 2)),
+s{step} AS (SELECT symbol, chosen, name, i, (abs(covar_samp(x, ret) / nullif(stddev_samp(x) * stddev_samp(ret), 0)) + coalesce(count(*) FILTER (x <> 0 AND ret <> 0 AND sign(x) = sign(ret)) / CAST(nullif(count(*) FILTER (x <> 0 AND ret <> 0), 0) AS DOUBLE), 0.5)) / 2 AS score FROM k{step} GROUP BY symbol, chosen, name, i HAVING count(*) >= 10),
+g{step} AS (SELECT symbol, list_append(chosen, name) AS chosen, name, score FROM s{step} WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY score DESC, i) = 1)"""
+
+
+SQL["greedy_combination"] = f"WITH w AS (SELECT symbol, ret, MAP {{'m2': m2, 'm5': m5, 'span': span}} AS v FROM ({_WIDE.duck(bars=DUCK_BARS)}) AS q), {', '.join(_step_sql(s) for s in (1, 2, 3))} " + " UNION ALL ".join(f"SELECT symbol, {s} AS step, name, round(score, 8) AS score FROM g{s}" for s in (1, 2, 3))
+_GRID_SQL = f"""b AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn, lead(close) OVER (PARTITION BY symbol ORDER BY ts) / nullif(close, 0) - 1 AS ret FROM ({DUCK_BARS}) AS q), g AS (SELECT unnest(generate_series(2, 101)) AS w),
+f AS (SELECT a.symbol, a.rn, g.w, max(a.ret) AS ret, max(a.close) / nullif(avg(c.close), 0) - 1 AS x FROM g JOIN b AS a ON a.rn >= g.w AND a.ret IS NOT NULL JOIN b AS c ON c.symbol = a.symbol AND c.rn > a.rn - g.w AND c.rn <= a.rn GROUP BY a.symbol, a.rn, g.w),
+i AS (SELECT symbol, w, count(x) AS n, CASE WHEN stddev_samp(x) * stddev_samp(ret) > 1e-14 THEN covar_samp(x, ret) / (stddev_samp(x) * stddev_samp(ret)) END AS ic, coalesce(count(*) FILTER (x <> 0 AND ret <> 0 AND sign(x) = sign(ret)) / CAST(nullif(count(*) FILTER (x <> 0 AND ret <> 0), 0) AS DOUBLE), 0.5) AS wins FROM f GROUP BY symbol, w)"""
+_EVERY = "(SELECT DISTINCT symbol FROM b WHERE ret IS NOT NULL) AS s, g"
+SQL["grid_ic"] = f"WITH {_GRID_SQL} SELECT s.symbol, CAST(g.w AS INT) AS \"window\", CASE WHEN n >= 10 THEN round(ic, 7) END AS score FROM {_EVERY} LEFT JOIN i ON i.symbol = s.symbol AND i.w = g.w"
+SQL["grid_ir"] = f"""WITH {_GRID_SQL}, r AS (SELECT symbol, w, CASE WHEN count(*) OVER k >= 20 AND stddev_samp(x) OVER k * stddev_samp(ret) OVER k > 1e-14 THEN covar_samp(x, ret) OVER k / (stddev_samp(x) OVER k * stddev_samp(ret) OVER k) END AS c FROM f WHERE x IS NOT NULL WINDOW k AS (PARTITION BY symbol, w ORDER BY rn ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+d AS (SELECT symbol, w, stddev_samp(c) AS sd FROM r GROUP BY symbol, w) SELECT i.symbol, CAST(i.w AS INT) AS "window", CASE WHEN n >= 10 THEN round(CASE WHEN sd > 0 THEN ic / sd ELSE 0 END, 7) END AS score FROM i JOIN d ON d.symbol = i.symbol AND d.w = i.w"""
+SQL["grid_best"] = f"WITH {_GRID_SQL} SELECT symbol, CAST(w AS INT) AS \"window\", round((abs(ic) + wins) / 2, 9) AS score FROM i WHERE n >= 10 AND ic IS NOT NULL QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY round((abs(ic) + wins) / 2, 9) DESC, w) = 1"
