@@ -159,27 +159,28 @@ def date_measures(panel: DataFrame, groups: int = 5, min_coverage: float = 0.3,
     rows = rows.filter((F.col("total") >= least) & (F.col("valid") >= least) & (F.col("valid") / F.col("total") >= min_coverage) & F.col("__ok"))
     place = F.row_number().over(whole.orderBy("factor", "symbol"))
     rows = rows.withColumns({"rf": _rank("factor", day), "rr": _rank("ret", day), "grp": F.greatest(F.lit(0), F.ceil((place - 1) * F.lit(float(groups)) / (F.col("valid") - 1)).cast("int") - 1)})
+    rows = cut_lineage(rows.drop("__ok"))  # read again below; dealt by date
     # the factor's dates in order: one row a date
     dates = rows.groupBy(*day).agg(
         F.first("total").alias("total"), F.first("valid").alias("valid"), _correlation("rf", "ret").alias("ic"), _correlation("rf", "rr").alias("rank_ic"),
         F.array(*[F.avg(F.when(F.col("grp") == g, F.col("ret"))) for g in range(groups)]).alias("means"),
         F.sum((F.col("grp") == groups - 1).cast("long") + (F.col("grp") == 0).cast("long")).alias("outer"),
     )
-    dates = dates.withColumn("before", F.lag("ts").over(Window.partitionBy("name").orderBy("ts")))
+    dates = cut_lineage(dates.withColumn("before", F.lag("ts").over(Window.partitionBy("name").orderBy("ts"))))
     held = rows.select(*day, "symbol", "grp", "rf").join(dates.select(*day, "before"), day)
     by_symbol = Window.partitionBy("name", "symbol").orderBy("ts")
     there = F.lag("ts").over(by_symbol) == F.col("before")
     held = held.withColumns({"was": F.when(there, F.lag("grp").over(by_symbol)), "rw": F.when(there, F.lag("rf").over(by_symbol))})
     outer = F.col("grp").isin(0, groups - 1)
     moved = (outer & (F.col("was").isNull() | (F.col("was") != F.col("grp")))).cast("long")
-    change = held.groupBy(*day).agg(F.sum(moved).alias("moved"))
-    out = dates.join(change, day)
-    if fsc:
-        common = held.filter("rw is not null")
-        again = common.select(*day, _rank("rf", day).alias("a"), _rank("rw", day).alias("b")).groupBy(*day).agg(F.count(F.lit(1)).alias("n"), _correlation("a", "b").alias("fsc"))
-        out = out.join(again.filter(F.col("n") >= max(min_group, 5)).select(*day, "fsc"), day, "left")
-    else:
-        out = out.withColumn("fsc", F.lit(None).cast("double"))
+    held = held.select(*day, moved.alias("moved"), "rf", "rw", F.col("rw").isNotNull().alias("common"))
+    measures = [F.sum("moved").alias("moved")]
+    if fsc:  # ranks among the symbols of both dates
+        held = held.withColumns({"a": _rank("rf", [*day, "common"]), "b": _rank("rw", [*day, "common"])})
+        both = lambda c: F.when(F.col("common"), F.col(c))
+        measures.append(F.when(F.count_if("common") >= max(min_group, 5), _correlation(both("a"), both("b"))).alias("fsc"))
+    out = dates.join(held.groupBy(*day).agg(*measures), day)
+    out = out if fsc else out.withColumn("fsc", F.lit(None).cast("double"))
     turnover = F.when(F.col("before").isNotNull(), F.col("moved") / F.col("outer"))
     return out.select(*day, (F.col("valid") / F.col("total")).alias("coverage"), "valid", "ic", "rank_ic", "means", turnover.alias("turnover"), "fsc")
 
