@@ -24,6 +24,7 @@ from barloom.plans.languages import FEATURES, INFIX_SAMPLES, POSTFIX_FEATURES, P
 from barloom.sources import files as S_FILES
 from barloom.sources.bars import DUCK_BARS, DUCK_PANEL, event_bars, table_sql, user_bars
 from barloom.streaming.bars import event_stream, run_once, tumbling_bars
+from barloom.streaming.snapshot import replay
 
 FLAGSHIP = "cs_rank_ic"
 QUERIES: dict = {}
@@ -295,6 +296,28 @@ QUERIES["stream_bars"] = _stream_bars
 SQL["stream_bars"] = f"SELECT symbol, CAST(ts AS VARCHAR) AS ts, round(open, 4) AS open, round(high, 4) AS high, round(low, 4) AS low, round(close, 4) AS close, CAST(volume AS BIGINT) AS volume FROM ({DUCK_BARS}) AS b"
 
 
+_SIDES = {"funding": (_FUNDING, "funding_rate"), "mark": (_MARK, "mark_close"), "index": (_INDEX, "index_close")}
+
+
+def _stream_asof(spark, sf_dir):
+    rows = event_bars(spark, sf_dir).select("symbol", F.col("ts").cast("timestamp").alias("ts"), F.lit("bar").alias("side"), F.col("close").alias("value"))
+    for side, (sql, value) in _SIDES.items():
+        rows = rows.unionByName(table_sql(spark, sf_dir, sql, "events").select("symbol", F.col("ts").cast("timestamp").alias("ts"), F.lit(side).alias("side"), F.col(value).alias("value")))
+    found = replay(rows, list(_SIDES), keep=20, late="90 minutes")
+    mean = F.aggregate("recent", F.lit(0.0), lambda a, x: a + x) / F.size("recent")
+    return found.select("symbol", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.round("close", 4).alias("close"), *[F.round(c, 4).alias(c) for c in _SIDES], F.size("recent").alias("bars"), F.round(mean * NUDGE, 4).alias("mean_recent"))
+
+
+QUERIES["stream_asof"] = _stream_asof
+SQL["stream_asof"] = (
+    f"WITH b AS (SELECT symbol, CAST(ts AS TIMESTAMP) AS ts, close FROM ({DUCK_BARS}) AS q), " + ", ".join(f"{side} AS (SELECT symbol, CAST(ts AS TIMESTAMP) AS ts, {value} AS value FROM ({sql}) AS q)" for side, (sql, value) in _SIDES.items())
+    + ", e AS (SELECT max(ts) - INTERVAL 90 MINUTE AS upto FROM (SELECT ts FROM b " + " ".join(f"UNION ALL SELECT ts FROM {side}" for side in _SIDES) + ") AS u) "
+    + "SELECT b.symbol, CAST(b.ts AS VARCHAR) AS ts, round(close, 4) AS close, " + ", ".join(f"round({side}.value, 4) AS {side}" for side in _SIDES)
+    + f", CAST(count(*) OVER k AS INT) AS bars, round(avg(close) OVER k * {NUDGE!r}, 4) AS mean_recent FROM b " + " ".join(f"ASOF LEFT JOIN {side} ON b.symbol = {side}.symbol AND b.ts >= {side}.ts" for side in _SIDES)
+    + " WHERE b.ts <= (SELECT upto FROM e) WINDOW k AS (PARTITION BY b.symbol ORDER BY b.ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
+)
+
+
 # ---- market-wide series -----------------------------------------------------------------
 _QUOTES = "SELECT CAST(ts AS TIMESTAMP) AS ts, event_type AS ticker, value AS close FROM events"
 _GRID = "g AS (SELECT unnest(generate_series(min(bucket), max(bucket))) AS bucket FROM b) SELECT CAST(make_timestamp(bucket * {s} * 1000000) AS VARCHAR) AS ts, {cells} FROM g LEFT JOIN b USING (bucket) WINDOW w AS (ORDER BY bucket)"

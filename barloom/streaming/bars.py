@@ -22,7 +22,12 @@ def tumbling_bars(events: DataFrame, width: str = "1 hour", late: str = "2 hours
     ).select("symbol", F.col("window.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
-def run_once(stream: DataFrame, keys: list[str], folder: str | None = None) -> DataFrame:
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, or the warehouse where that is unset."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+def run_once(stream: DataFrame, keys: list[str], folder: str | None = None, mode: str = "update") -> DataFrame:
     """Run a stream over what there is now; the last state of each key.
 
     Each batch writes the rows that it changed as Parquet under the shared folder (``spark.checkpoint.dir``, else the warehouse), where the
@@ -30,13 +35,12 @@ def run_once(stream: DataFrame, keys: list[str], folder: str | None = None) -> D
     second run with the same ``folder`` goes on where the first stopped.
     """
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    folder = folder or f"{base.rstrip('/')}/barloom/stream-{uuid.uuid4().hex}"
+    folder = folder or f"{shared_folder(spark)}/barloom/stream-{uuid.uuid4().hex}"
 
     def put(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
 
-    query = stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(put).trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(put).trigger(availableNow=True).start()
     query.awaitTermination()
     last = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("batch")))
     rows = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{folder}/rows")
