@@ -22,8 +22,8 @@ from .common import _SEP, lower, only, pack, span_hashes, texts_of, word_spans
 ROWS, WIDTH, GRAMS = 1 << 17, 8, (3, 4, 5)
 #: Labelled rows that are used for training at most (the bound of the sample); all fewer are used.
 MOST_LABELLED = 6000
-#: A matrix row met in n of N training texts is scaled by log((N + 1) / n) * n / (n + HALF_TEXTS), and stays zero if n is below LEAST_TEXTS.
-LEAST_TEXTS, HALF_TEXTS = 3, 10.0
+#: A matrix row met in n of N training texts is scaled by log((N + 1) / n) * n / (n + HALF_TEXTS).
+HALF_TEXTS = 10.0
 #: Zero rows added to each text's mean, so that one n-gram of a very short text does not decide alone.
 PADDING = 150
 STEPS, BATCH, RATE, SCALE = 360, 256, 0.01, 3000.0
@@ -120,7 +120,7 @@ def fit(bags: Bags, seed: int = 7) -> Model:
         return Model(np.zeros(ROWS, np.float32), prior)
     met = np.bincount(bags.rows, minlength=ROWS)
     told = np.log((len(labels) + 1) / np.maximum(met, 1))  # rows of nearly all texts tell little
-    scale = np.where(met >= LEAST_TEXTS, told * met / (met + HALF_TEXTS), 0.0).astype(np.float32)
+    scale = (told * met / (met + HALF_TEXTS)).astype(np.float32)
     bags = bags.weighted(scale)
     rng = np.random.default_rng(seed)
     params = {"E": rng.normal(0, 1e-3, (ROWS, WIDTH)).astype(np.float32), "U": rng.normal(0, 0.5, (WIDTH, 2)).astype(np.float32), "b": np.array([0.0, prior], np.float32)}
