@@ -6,7 +6,7 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from barloom import catalog_panel, catalog_selection
+from barloom import catalog_panel, catalog_selection, catalog_universe
 from barloom.functions.expr import NUDGE, duckdb_sql, evaluate, rounded
 from barloom.functions.factors import FAMILIES
 from barloom.functions.generators import GENERATORS, basic, engineered, learning, targets
@@ -341,3 +341,5 @@ QUERIES |= catalog_selection.QUERIES
 SQL |= catalog_selection.SQL
 QUERIES |= catalog_panel.QUERIES
 SQL |= catalog_panel.SQL
+QUERIES |= catalog_universe.QUERIES
+SQL |= catalog_universe.SQL
