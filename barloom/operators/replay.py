@@ -54,7 +54,7 @@ def range_place() -> Factor:
 def _replayed(factors: dict[str, Factor], lookback: int):
     def run(done: pd.DataFrame, running: pd.DataFrame) -> pd.DataFrame:
         if not len(running):
-            return pd.DataFrame({"symbol": [], "ts": [], **{n: [] for n in factors}})
+            return running[["symbol", "ts"]].assign(**{n: np.empty(0) for n in factors})
         done, running = done.sort_values("n"), running.sort_values("seen", kind="stable").reset_index(drop=True)
         number, past = done["n"].to_numpy(), {c: done[c].to_numpy(float) for c in _VALUES}
         seen, now = running["seen"].to_numpy(), {c: running[c].to_numpy(float) for c in _VALUES}
