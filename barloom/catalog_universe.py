@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from barloom.operators import replay as R
+from barloom.operators.joins import join_extras
 from barloom.operators.universe import Rules, counts, members_only, universe
 from barloom.sources.bars import DUCK_BARS, event_bars, table_sql
 
@@ -86,3 +87,18 @@ p AS (SELECT symbol, ts, starts, close AS c, max(high) OVER v AS high, min(low)
 j AS (SELECT p.*, s.back, s.s1 + c AS t1, s.s2 + c * c AS t2, s.n, greatest(p.high, s.hi) AS top, least(p.low, s.lo) AS bottom FROM p ASOF LEFT JOIN s ON p.symbol = s.symbol AND p.starts >= s.ends)
 SELECT symbol, CAST(ts AS VARCHAR) AS ts, round(c / back - 1, 6) AS momentum, CASE WHEN n = 11 AND t2 - t1 * t1 / 12 > 1e-9 THEN round((c - t1 / 12) / sqrt((t2 - t1 * t1 / 12) / 11), 5) END AS zscore,
   CASE WHEN top > bottom THEN round((c - bottom) / (top - bottom), 6) END AS place FROM j"""
+
+# ---- series of the whole market -------------------------------------------------------------------
+_FEAR = "SELECT CAST(ts AS TIMESTAMP) AS ts, value AS fear, CAST(CASE WHEN value > 20 THEN user_id END AS DOUBLE) AS volume FROM events WHERE event_type = 'error'"
+_CALM = "SELECT CAST(date_trunc('day', ts) + INTERVAL 30 HOUR AS TIMESTAMP) AS ts, CAST(count(*) AS DOUBLE) AS calm FROM events WHERE value < 3 GROUP BY 1"
+
+
+def _market(spark, sf_dir):
+    bars = event_bars(spark, sf_dir).select("symbol", F.col("ts").cast("timestamp").alias("ts"), "close", "volume")
+    out = join_extras(bars, {"fear": table_sql(spark, sf_dir, _FEAR, "events"), "calm": table_sql(spark, sf_dir, _CALM, "events")})
+    return out.select("symbol", F.col("ts").cast("string").alias("ts"), F.round("close", 4).alias("close"), "volume", F.round("fear", 4).alias("fear"), "fear_volume", "calm")
+
+
+QUERIES["join_market_extras"] = _market
+SQL["join_market_extras"] = f"""WITH b AS ({DUCK_BARS}), f AS (SELECT ts, max((fear, volume)) AS r FROM ({_FEAR}) AS q GROUP BY ts), c AS ({_CALM})
+SELECT b.symbol, CAST(b.ts AS VARCHAR) AS ts, round(b.close, 4) AS close, b.volume, round(r[1], 4) AS fear, r[2] AS fear_volume, c.calm FROM b ASOF LEFT JOIN f ON b.ts >= f.ts ASOF LEFT JOIN c ON b.ts >= c.ts"""

@@ -33,9 +33,33 @@ def numeric(df: DataFrame, keys: tuple[str, ...] = ("symbol", "ts")) -> DataFram
     return df.select(*keys, *[c for c, kind in df.dtypes if c not in keys and (kind in kinds or kind.startswith("decimal"))])
 
 
+def asof_market(main: DataFrame, extra: DataFrame, ts: str = "ts", prefix: str = "extra") -> DataFrame:
+    """As ``asof`` for a series of the whole market, without a symbol: each row meets the latest ``extra`` row at or before its time, nulls of that row included.
+
+    Only the distinct times of ``main`` are ordered, day by day; what a day inherits comes from a table of one row a day, and the rows of ``main`` meet their
+    time by an equal key. Of extra rows with one time the one with the largest values stays; rows with a null time meet none.
+    """
+    given = [c for c in extra.columns if c != ts]
+    names = {c: f"{prefix}_{c}" if c in main.columns else c for c in given}
+    right = extra.filter(F.col(ts).isNotNull()).groupBy(F.col(ts).alias("__ts")).agg(F.max(F.struct(*given)).alias("__row"))
+    asked = main.select(F.col(ts).alias("__ts")).filter("__ts is not null").distinct()
+    marks = right.withColumn("__side", F.lit(0)).unionByName(asked.withColumn("__side", F.lit(1)), allowMissingColumns=True).withColumn("__day", F.col("__ts").cast("date"))
+    in_day = Window.partitionBy("__day").orderBy("__ts", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    inherited = marks.groupBy("__day").agg(F.max_by("__row", F.when(F.col("__side") == 0, F.col("__ts"))).alias("__last")).select("__day", F.last("__last", ignorenulls=True).over(before).alias("__old"))
+    met = marks.withColumn("__row", F.last("__row", ignorenulls=True).over(in_day)).filter("__side = 1").join(inherited, "__day").select("__ts", F.coalesce("__row", "__old").alias("__row"))
+    return main.join(met, F.col(ts) == F.col("__ts"), "left").select(*[main[c] for c in main.columns], *[F.col(f"__row.{c}").alias(n) for c, n in names.items()])
+
+
 def join_extras(bars: DataFrame, extras: dict[str, DataFrame]) -> DataFrame:
-    """A chain of as-of joins (name -> symbol, ts, columns), and basis = (mark - index) / index, or (close - index) / index where there is no mark."""
-    out = reduce(lambda df, item: asof(df, numeric(item[1]), prefix=item[0]), extras.items(), bars)
+    """A chain of as-of joins (name -> symbol, ts, columns; without symbol where a series is of the whole market), and basis = (mark - index) / index, or
+    (close - index) / index where there is no mark."""
+
+    def step(df: DataFrame, item: tuple[str, DataFrame]) -> DataFrame:
+        name, extra = item
+        return asof(df, numeric(extra), prefix=name) if "symbol" in extra.columns else asof_market(df, numeric(extra, ("ts",)), prefix=name)
+
+    out = reduce(step, extras.items(), bars)
     if "index_close" not in out.columns:
         return out
     price = F.coalesce("mark_close", "close") if "mark_close" in out.columns else F.col("close")

@@ -7,6 +7,7 @@ import pandas as pd
 import pytest
 
 from barloom.operators import replay as R
+from barloom.operators.joins import asof_market
 from barloom.operators.universe import Rules, members_only, resolve, universe, valid_at
 
 _RANGES = "base string, coin_id string, rank int, valid_from date, valid_to date"
@@ -101,3 +102,15 @@ def test_replay_of_nothing_and_of_repeated_times(spark):
     assert sorted(r["summed"] for r in twice) == [2.0, 5.0, 8.0] and {r["bars"] for r in twice} == {1.0} and {r["opened"] for r in twice} == {1.0}
     with pytest.raises(ValueError):
         R.replay(spark.createDataFrame([], schema), _FACTORS, 3600, lookback=0)
+
+
+def test_market_series_reach_over_days_and_carry_their_nulls(spark):
+    day = datetime(2024, 1, 1)
+    hours = lambda *hs: [day + timedelta(hours=h) for h in hs]
+    asked = hours(0, 1, 5, 30, 30, 100, 101)
+    main = spark.createDataFrame([(f"s{i % 2}", t, 1.0 * i) for i, t in enumerate(asked)] + [("s0", None, 9.0)], "symbol string, ts timestamp, value double")
+    extra = spark.createDataFrame([(t, v, w) for t, v, w in zip(hours(1, 1, 4, 50, 101), (1.0, 2.0, None, 5.0, 6.0), "abcde")] + [(None, 7.0, "z")], "ts timestamp, value double, tag string")
+    got = {(r["ts"], r["value"]): (r["x_value"], r["tag"]) for r in asof_market(main, extra, prefix="x").collect()}
+    assert got == dict(zip([*zip(asked, map(float, range(7))), (None, 9.0)], [(None, None), (2.0, "b"), (None, "c"), (None, "c"), (None, "c"), (5.0, "d"), (6.0, "e"), (None, None)]))
+    assert [r["x_value"] for r in asof_market(main, extra.limit(0), prefix="x").collect()] == [None] * 8
+    assert asof_market(main.limit(0), extra, prefix="x").count() == 0
