@@ -281,14 +281,15 @@ def current(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(f"{path}/version-{last:06d}")
 
 
-def upsert(spark: SparkSession, new: DataFrame, path: str, keys: list[str]) -> dict[str, int]:
+def upsert(spark: SparkSession, new: DataFrame, path: str, keys: list[str], latest: tuple[str, ...] = ()) -> dict[str, int]:
     """New rows over stored ones, by keys. The result is a new version beside the old; it counts once its number has been written, so a job that dies leaves
-    the old one. Rows repeated with one key in ``new`` count once. Counts of new, stored and resulting rows."""
+    the old one. Of rows repeated with one key in ``new`` the one with the largest ``latest`` columns stays, then the one with the largest hash, so a task
+    that runs again keeps the same row. Counts of new, stored and resulting rows."""
     old = current(spark, path)
     rows = new.withColumn("__new", F.lit(1))
     if old is not None:
         rows = rows.unionByName(old.withColumn("__new", F.lit(0)), allowMissingColumns=True)
-    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("__new")))
+    turn = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("__new"), *[F.desc_nulls_last(c) for c in latest], F.xxhash64(*new.columns).desc()))
     number = 1 + (spark.read.json(f"{path}/versions").agg(F.max("version")).head()[0] if old is not None else 0)
     rows.withColumn("__turn", turn).filter("__turn = 1").drop("__turn", "__new").write.mode("overwrite").parquet(f"{path}/version-{number:06d}")
     spark.createDataFrame([(number,)], "version int").write.mode("append").json(f"{path}/versions")

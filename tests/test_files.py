@@ -94,3 +94,13 @@ def test_market_series_fill_forward(spark):
     vix = quotes.filter("ticker = 'X'").selectExpr("ts", "close AS vix")
     caps = quotes.filter("ticker = 'Y'").selectExpr("ts", "close AS stable", "4.0D AS coin")
     assert [(r["vix"], r["stablecoin_supply_ratio"]) for r in S.sentiment(vix, caps, 3600).orderBy("ts").collect()][-1] == (5.0, 0.5)
+
+
+def test_upsert_of_repeated_keys_keeps_the_latest(spark, tmp_path):
+    rows = [(1, 5, "late"), (1, 2, "early"), (1, None, "never"), (2, None, "only"), (3, 1, "a"), (3, 1, "b")]
+    kept = []
+    for turn, order in enumerate((rows, rows[::-1])):
+        path = str(tmp_path / f"table{turn}")
+        assert S.upsert(spark, spark.createDataFrame(order, "k int, seq int, v string").repartition(3), path, ["k"], ("seq",)) == {"new": 6, "stored": 0, "result": 3}
+        kept.append({r["k"]: r["v"] for r in S.current(spark, path).collect()})
+    assert kept[0] == kept[1] and kept[0][1] == "late" and kept[0][2] == "only"
