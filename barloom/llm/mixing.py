@@ -115,16 +115,17 @@ def mix_sources(docs: DataFrame, id_col="doc_id", text_col="text", source_col="s
     """The training stream: rows of ``docs``, repeated or left out as the mix says, range-sorted by position.
 
     A document is never cut: the occurrence in which a source reaches its target is kept whole. Rows with equal ids, sources and texts, null
-    ids too, are told apart by their turn: each takes one row of the plan.
+    ids too, are told apart by their turn: each takes one row of the plan. A row travels as one struct, so its columns
+    may have any names.
     """
     plan = mix_plan(docs, id_col, text_col, source_col, **options)
     key = ["__none", "__id", "__size", "__of", "__mark"]
     turn = F.row_number().over(Window.partitionBy(*key).orderBy("__first"))
     plan = plan.select(*_row_key(F.col("id"), F.col("size"), F.col("source"), F.col("mark")), F.col("starts").alias("__starts"), F.col("position").alias("__first")).withColumn("__turn", turn)
     size = F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long")
-    own = docs.select("*", *_row_key(docs[id_col], size, docs[source_col], F.xxhash64(docs[text_col])), F.lit(0).alias("__first")).withColumn("__turn", turn).drop("__first")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *_row_key(docs[id_col], size, docs[source_col], F.xxhash64(docs[text_col])), F.lit(0).alias("__first")).withColumn("__turn", turn).drop("__first")
     out = own.join(plan, [*key, "__turn"])
-    return out.withColumn("__at", F.explode("__starts")).sort("__at", "__none", "__id").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.withColumn("__at", F.explode("__starts")).sort("__at", "__none", "__id").select("__row.*")
 
 
 def _row_key(id: Column, size: Column, source: Column, mark: Column) -> list[Column]:

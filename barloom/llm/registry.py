@@ -21,9 +21,12 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_near_dedup": near_dedup.SQL,
+    "op2_substring_dedup": substring_dedup.SQL,
     "op4_top_k": topk.SQL,
     "op7_line_dedup": line_dedup.SQL,
     "op9_exact_dedup": exact_dedup.SQL,
+    "op10_warc": warc.SQL,
     "op12_fill_in_middle": fill_middle.SQL,
     "op13_centroids": centroids.SQL,
 }

@@ -259,3 +259,13 @@ def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
     same = same.select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), "sha")
     changed = changed.select("id", "n_words", "n_removed", F.sha2("kept", 256).alias("sha"))
     return same.unionByName(changed).toDF("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place, unnest(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i + 49 <= len(w) THEN sha256(array_to_string(w[i:i + 49], ' ')) END)) AS ahead FROM w),
+f AS (SELECT ahead, min(doc_id) AS first FROM p WHERE ahead IS NOT NULL GROUP BY ahead),
+m AS (SELECT doc_id, word, place, coalesce(bool_or(coalesce(first < doc_id, false)) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS gone FROM p LEFT JOIN f USING (ahead)),
+k AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY place) FILTER (NOT gone), '') AS kept FROM m GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""

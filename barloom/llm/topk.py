@@ -132,13 +132,18 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: float = 256.0,
     its own id.
 
     Components become floor(scale * x). Null ids, null vectors and vectors with null or non-finite components take no part; vectors
-    of unlike length meet on their common components. Rows repeated with one id count once. Fewer than k candidates give fewer rows.
+    of unlike length meet on their common components. Of different vectors under one id the one whose scaled components are largest
+    in byte order counts, whatever the layout; rows repeated whole count once. Fewer than k candidates give fewer rows.
     """
     stage = stage or Stage(vectors.sparkSession, "topk")
     rows = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vector_col].cast("array<double>").alias("vector")).filter("id is not null")
     sample = rows.filter("vector is not null").orderBy(F.xxhash64("id"), "id").limit(PIVOTS).select("vector").collect()
     pivots = np.floor(scale * _vectors([r["vector"] for r in sample])[1])
     laid = stage.table(rows.mapInArrow(_cells(pivots, scale), "id bigint, cell int, vector binary"), "cells")
+    twice = stage.table(laid.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("id"), "twice")
+    if twice.head(1):
+        one = laid.join(twice, "id").groupBy("id").agg(F.max(F.struct("vector", "cell")).alias("of")).select("id", "of.cell", "of.vector")
+        laid = stage.table(laid.join(twice, "id", "left_anti").unionByName(one), "once")
     laid = laid.withColumn("asks", F.pmod("id", F.lit(every)) == 0)
     sizes = laid.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("asks").cast("long")).alias("q")).orderBy("cell").collect()  # PIVOTS rows at most
     if not sizes:

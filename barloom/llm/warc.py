@@ -257,3 +257,13 @@ def op10_warc(spark, sf_dir: str) -> DataFrame:
     return read_archives(spark, path, stage).select(
         whole(F.col("name")).alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), whole(F.col("refers")).alias("refers_to")
     )
+
+
+SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS digest FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS keep FROM p),
+d AS (SELECT *, list_transform(range(8), lambda i: ('0x' || digest[5 * i + 1:5 * i + 5])::INT) AS fives FROM g)
+SELECT page_id, strlen(html) AS payload_bytes, CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keep THEN keep END AS refers_to,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((fives[i // 4 + 1] >> (15 - 5 * (i % 4))) & 31)::INT + 1, 1)), '') AS payload_digest
+FROM d
+"""

@@ -219,6 +219,6 @@ def test_node_pairs_are_pruned_and_nothing_is_lost():
         assert (near == centroids._exact_distances(points, centers).argmin(axis=1)).all()
 
 
-@pytest.mark.parametrize("name", ["op12_fill_in_middle", "op13_centroids"])
+@pytest.mark.parametrize("name", ["op1_near_dedup", "op2_substring_dedup", "op4_top_k", "op9_exact_dedup", "op10_warc", "op12_fill_in_middle", "op13_centroids"])
 def test_query_equals_its_sql(spark, sf_dir, name):
     assert differences(registry.QUERIES[name](spark, sf_dir), registry.SQL[name], duck(sf_dir)) == ""

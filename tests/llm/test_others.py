@@ -86,6 +86,23 @@ def test_top_k_of_few_rows_and_of_none(spark):
     assert topk.top_k(two.limit(0)).count() == 0
 
 
+def test_top_k_of_repeated_ids_does_not_depend_on_the_layout(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i % 120, (rng.integers(-9, 9, 6) / 4).tolist()) for i in range(400)]
+    one = {}
+    for i, v in rows:
+        x = np.floor(256 * np.array(v))
+        if i not in one or x.tobytes() > one[i].tobytes():
+            one[i] = x
+    want = []
+    for q in (0, 50, 100):
+        best = sorted((-int(one[q] @ x), i) for i, x in one.items() if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "vec_id bigint, embedding array<double>").repartition(7)
+        assert sorted(map(tuple, topk.top_k(df).collect())) == want
+
+
 # ---- toxicity -----------------------------------------------------------------------------
 
 
@@ -176,6 +193,10 @@ def test_mixed_stream_is_whole_for_null_ids_and_repeated_rows(spark):
     assert out.count() == sum(len(r["starts"]) for r in plan)
     many = Counter(tuple(r) for r in out.collect())
     assert all(n <= 3 * rows.count(r) for r, n in many.items())
+    clash = {n: F.lit(n) for n in ("__id", "__none", "__turn", "__row", "__at", "__first", "__starts", "a.b")}
+    named = mixing.mix_sources(df.withColumns(clash))
+    assert named.columns == [*df.columns, *clash]
+    assert Counter(tuple(r) for r in named.collect()) == Counter({(*r, *clash): n for r, n in many.items()})
     assert mixing.mix_sources(df.limit(0)).count() == 0 and mixing.mix_plan(df.limit(0)).count() == 0
 
 
