@@ -19,6 +19,7 @@ from barloom.operators import quality as Q
 from barloom.operators import series as S
 from barloom.operators import trading as T
 from barloom.operators.selection import correlations, daily_rank_ic, ensemble, rank_agreement, weights, wide
+from barloom.operators.similarity import factor_likeness, ic_likeness
 from barloom.operators.sqlop import SqlOp
 from barloom.plans.languages import FEATURES, INFIX_SAMPLES, POSTFIX_FEATURES, POSTFIX_SAMPLES, infix, postfix
 from barloom.sources import files as S_FILES
@@ -272,6 +273,18 @@ def _rank_agreement(spark, sf_dir):
     return rank_agreement(INPUTS["long_user"][0](spark, sf_dir)).select("a", "b", "dates", F.round("spearman", 6).alias("spearman"), F.round("same_rank", 6).alias("same_rank"))
 
 
+def _likeness_shown(found):
+    return found.withColumns({c: F.round(c, 6) for c in ("pearson", "spearman", "max_abs")})
+
+
+def _factor_likeness(spark, sf_dir):
+    return _likeness_shown(factor_likeness(INPUTS["long_user"][0](spark, sf_dir), _NAMES, flipped=("2",), limit=0.6))
+
+
+def _ic_likeness(spark, sf_dir):
+    return _likeness_shown(ic_likeness(daily_rank_ic(_long_with_returns(spark, sf_dir)), _NAMES, limit=0.6))
+
+
 _IC_SQL = SqlOp(
     """WITH j AS (SELECT f.symbol, f.ts, f.name, f.value, p.ret FROM #factors AS f JOIN #panel AS p ON f.symbol = p.symbol AND f.ts = p.ts),
 k AS (SELECT ts, name, rank() OVER (PARTITION BY ts, name ORDER BY value) + (count(*) OVER (PARTITION BY ts, name, value) - 1) / 2.0 AS a, rank() OVER (PARTITION BY ts, name ORDER BY ret) + (count(*) OVER (PARTITION BY ts, name, ret) - 1) / 2.0 AS b FROM j),
@@ -288,6 +301,28 @@ QUERIES |= {"factor_correlation": _factor_correlation, "ic_correlation": _ic_cor
 SQL["factor_correlation"] = S.PAIR_CORRELATION.duck(factors=INPUTS["factors"][1])
 SQL["ic_correlation"] = _IC_SQL.duck(factors=INPUTS["long_user"][1], panel=INPUTS["panel"][1])
 SQL["rank_agreement"] = _AGREE_SQL.duck(factors=INPUTS["long_user"][1])
+#: Both correlations of pairs j(a, b, u, v), all pairs joined and ranked pair by pair.
+_PAIRS_SQL = """k AS (SELECT *, rank() OVER (PARTITION BY a, b ORDER BY u) + (count(*) OVER (PARTITION BY a, b, u) - 1) / 2.0 AS ru, rank() OVER (PARTITION BY a, b ORDER BY v) + (count(*) OVER (PARTITION BY a, b, v) - 1) / 2.0 AS rv FROM j),
+r AS (SELECT a, b, count(*) AS n, covar_samp(u, v) / nullif(stddev_samp(u) * stddev_samp(v), 0) AS pearson, covar_samp(ru, rv) / nullif(stddev_samp(ru) * stddev_samp(rv), 0) AS spearman FROM k GROUP BY a, b),
+m AS (SELECT *, greatest(coalesce(abs(pearson), 0), coalesce(abs(spearman), 0)) AS top FROM r)"""
+_LIKE_SQL = SqlOp(
+    f"""WITH f AS (SELECT symbol, ts, name, CASE WHEN name = '2' THEN -value ELSE value END AS value FROM #factors WHERE isfinite(value)),
+j AS (SELECT x.name AS a, y.name AS b, x.value AS u, y.value AS v FROM f AS x JOIN f AS y ON x.symbol = y.symbol AND x.ts = y.ts AND x.name < y.name), {_PAIRS_SQL}
+SELECT a, b, n, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman, round(top, 6) AS max_abs, top >= 0.6 AS alike FROM m WHERE n >= 10"""
+)
+_IC_LIKE_SQL = SqlOp(
+    f"""WITH q AS (SELECT f.ts, f.name, f.value, p.ret FROM #factors AS f JOIN #panel AS p ON f.symbol = p.symbol AND f.ts = p.ts),
+o AS (SELECT ts, name, rank() OVER (PARTITION BY ts, name ORDER BY value) + (count(*) OVER (PARTITION BY ts, name, value) - 1) / 2.0 AS a, rank() OVER (PARTITION BY ts, name ORDER BY ret) + (count(*) OVER (PARTITION BY ts, name, ret) - 1) / 2.0 AS b FROM q),
+i AS (SELECT ts, name, covar_samp(a, b) / nullif(stddev_samp(a) * stddev_samp(b), 0) AS ic FROM o GROUP BY ts, name),
+d AS (SELECT ts, count(*) AS known FROM i WHERE ic IS NOT NULL GROUP BY ts),
+t AS (SELECT count(*) AS dates, count(*) FILTER (known = {len(_NAMES)}) AS complete FROM d),
+e AS (SELECT CASE WHEN complete < 30 AND dates >= 30 THEN 'pairwise' ELSE 'intersection' END AS mode, CASE WHEN complete < 30 AND dates >= 30 THEN dates ELSE complete END AS aligned FROM t),
+j AS (SELECT x.name AS a, y.name AS b, x.ic AS u, y.ic AS v FROM i AS x JOIN i AS y ON x.ts = y.ts AND x.name < y.name JOIN d ON d.ts = x.ts CROSS JOIN e WHERE x.ic IS NOT NULL AND y.ic IS NOT NULL AND (mode = 'pairwise' OR known = {len(_NAMES)})), {_PAIRS_SQL}
+SELECT mode, aligned, a, b, n, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman, round(top, 6) AS max_abs, top >= 0.6 AS alike FROM m CROSS JOIN e WHERE n >= CASE WHEN mode = 'pairwise' THEN 30 ELSE 2 END"""
+)
+QUERIES |= {"factor_likeness": _factor_likeness, "ic_likeness": _ic_likeness}
+SQL["factor_likeness"] = _LIKE_SQL.duck(factors=INPUTS["long_user"][1])
+SQL["ic_likeness"] = _IC_LIKE_SQL.duck(factors=INPUTS["long_user"][1], panel=INPUTS["panel"][1])
 QUERIES["factor_weights"] = _factor_weights
 QUERIES["ensemble_rank_ic"] = _ensemble_rank_ic
 _ENSEMBLE = SqlOp("SELECT f.symbol, f.ts, sum(value * 0.25) / sum(0.25e0) AS factor, max(p.ret) AS ret FROM #factors AS f JOIN #panel AS p ON f.symbol = p.symbol AND f.ts = p.ts GROUP BY f.symbol, f.ts")
