@@ -18,6 +18,7 @@ from barloom.operators import panel as P
 from barloom.operators import quality as Q
 from barloom.operators import series as S
 from barloom.operators import trading as T
+from barloom.operators.scan import best_and_worst, composite, factor_scores, latest_values
 from barloom.operators.selection import correlations, daily_rank_ic, ensemble, rank_agreement, weights, wide
 from barloom.operators.similarity import factor_likeness, ic_likeness
 from barloom.operators.sqlop import SqlOp
@@ -285,6 +286,20 @@ def _ic_likeness(spark, sf_dir):
     return _likeness_shown(ic_likeness(daily_rank_ic(_long_with_returns(spark, sf_dir)), _NAMES, limit=0.6))
 
 
+_TURNED, _SCAN_WEIGHTS = {"2": -1}, {"1": 1.0, "2": 2.0, "3": -1.0, "5": 0.5}
+
+
+def _scan_scores(spark, sf_dir):
+    found = factor_scores(latest_values(INPUTS["long_user"][0](spark, sf_dir)), _TURNED, "rank", "winsor")
+    return found.withColumns({"value": F.round("value", 6), "score": F.round("score", 6)})
+
+
+def _scan_composite(spark, sf_dir):
+    scores = factor_scores(latest_values(INPUTS["long_user"][0](spark, sf_dir)), _TURNED, "rank_centered", "mad")
+    scored = composite(scores, _SCAN_WEIGHTS).withColumn("score", F.round("score", 9))
+    return best_and_worst(scored, 20, 20).withColumn("score", F.round("score", 6))
+
+
 _IC_SQL = SqlOp(
     """WITH j AS (SELECT f.symbol, f.ts, f.name, f.value, p.ret FROM #factors AS f JOIN #panel AS p ON f.symbol = p.symbol AND f.ts = p.ts),
 k AS (SELECT ts, name, rank() OVER (PARTITION BY ts, name ORDER BY value) + (count(*) OVER (PARTITION BY ts, name, value) - 1) / 2.0 AS a, rank() OVER (PARTITION BY ts, name ORDER BY ret) + (count(*) OVER (PARTITION BY ts, name, ret) - 1) / 2.0 AS b FROM j),
@@ -313,13 +328,36 @@ SELECT a, b, n, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman, ro
 _IC_LIKE_SQL = SqlOp(
     f"""WITH q AS (SELECT f.ts, f.name, f.value, p.ret FROM #factors AS f JOIN #panel AS p ON f.symbol = p.symbol AND f.ts = p.ts),
 o AS (SELECT ts, name, rank() OVER (PARTITION BY ts, name ORDER BY value) + (count(*) OVER (PARTITION BY ts, name, value) - 1) / 2.0 AS a, rank() OVER (PARTITION BY ts, name ORDER BY ret) + (count(*) OVER (PARTITION BY ts, name, ret) - 1) / 2.0 AS b FROM q),
-i AS (SELECT ts, name, covar_samp(a, b) / nullif(stddev_samp(a) * stddev_samp(b), 0) AS ic FROM o GROUP BY ts, name),
+i AS (SELECT ts, name, round(covar_samp(a, b) / nullif(stddev_samp(a) * stddev_samp(b), 0), 12) AS ic FROM o GROUP BY ts, name),
 d AS (SELECT ts, count(*) AS known FROM i WHERE ic IS NOT NULL GROUP BY ts),
 t AS (SELECT count(*) AS dates, count(*) FILTER (known = {len(_NAMES)}) AS complete FROM d),
 e AS (SELECT CASE WHEN complete < 30 AND dates >= 30 THEN 'pairwise' ELSE 'intersection' END AS mode, CASE WHEN complete < 30 AND dates >= 30 THEN dates ELSE complete END AS aligned FROM t),
 j AS (SELECT x.name AS a, y.name AS b, x.ic AS u, y.ic AS v FROM i AS x JOIN i AS y ON x.ts = y.ts AND x.name < y.name JOIN d ON d.ts = x.ts CROSS JOIN e WHERE x.ic IS NOT NULL AND y.ic IS NOT NULL AND (mode = 'pairwise' OR known = {len(_NAMES)})), {_PAIRS_SQL}
 SELECT mode, aligned, a, b, n, round(pearson, 6) AS pearson, round(spearman, 6) AS spearman, round(top, 6) AS max_abs, top >= 0.6 AS alike FROM m CROSS JOIN e WHERE n >= CASE WHEN mode = 'pairwise' THEN 30 ELSE 2 END"""
 )
+#: Latest values l(symbol, name, value), those of factors with two symbols clipped to lo and hi, and ranked.
+_SCAN = """WITH t AS (SELECT symbol, name, arg_max(value, ts) AS value FROM #factors GROUP BY symbol, name),
+l AS (SELECT *, count(*) OVER (PARTITION BY name) AS coverage FROM t WHERE isfinite(value)),
+{limits},
+c AS (SELECT symbol, l.name, value, coverage, CASE WHEN coverage >= 3 AND cut THEN greatest(least(value, hi), lo) ELSE value END AS used FROM l JOIN lim ON lim.name = l.name WHERE coverage >= 2),
+r AS (SELECT *, rank() OVER (PARTITION BY name ORDER BY used) + (count(*) OVER (PARTITION BY name, used) - 1) / 2.0 AS rank FROM c)"""
+_SCORES_SQL = SqlOp(
+    _SCAN.format(limits="q AS (SELECT name, quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.99) AS hi FROM l GROUP BY name), lim AS (SELECT *, lo < hi AS cut FROM q)")
+    + """ SELECT symbol, name, round(value, 6) AS value, coverage, CAST(floor(coverage + 1 - rank) AS INT) AS place,
+round(CASE WHEN name = '2' THEN 1 - (rank - 1) / (coverage - 1) ELSE (rank - 1) / (coverage - 1) END, 6) AS score FROM r"""
+)
+_COMPOSITE_SQL = SqlOp(
+    _SCAN.format(limits="q AS (SELECT name, median(value) AS m FROM l GROUP BY name), d AS (SELECT l.name, m, median(abs(value - m)) AS d FROM l JOIN q ON q.name = l.name GROUP BY l.name, m), lim AS (SELECT name, m - 3 * d AS lo, m + 3 * d AS hi, d > 0 AS cut FROM d)")
+    + """, w AS (SELECT * FROM (VALUES ('1', 1.0), ('2', 2.0), ('3', -1.0), ('5', 0.5)) AS v(name, w)),
+s AS (SELECT symbol, w.w::DOUBLE AS w, CASE WHEN r.name = '2' THEN -1 ELSE 1 END * (2 * (rank - 1) / (coverage - 1) - 1) AS score FROM r JOIN w ON w.name = r.name),
+p AS (SELECT symbol, count(*) AS factors, round(sum(score * w) / sum(abs(w)), 9) AS score FROM s GROUP BY symbol),
+o AS (SELECT *, row_number() OVER (ORDER BY score DESC, symbol) AS best, row_number() OVER (ORDER BY score, symbol DESC) AS worst FROM p)
+SELECT 'long' AS side, CAST(best AS INT) AS place, symbol, factors, round(score, 6) AS score FROM o WHERE best <= 20
+UNION ALL SELECT 'short', CAST(worst AS INT), symbol, factors, round(score, 6) FROM o WHERE worst <= 20"""
+)
+QUERIES |= {"scan_scores": _scan_scores, "scan_composite": _scan_composite}
+SQL["scan_scores"] = _SCORES_SQL.duck(factors=INPUTS["long_user"][1])
+SQL["scan_composite"] = _COMPOSITE_SQL.duck(factors=INPUTS["long_user"][1])
 QUERIES |= {"factor_likeness": _factor_likeness, "ic_likeness": _ic_likeness}
 SQL["factor_likeness"] = _LIKE_SQL.duck(factors=INPUTS["long_user"][1])
 SQL["ic_likeness"] = _IC_LIKE_SQL.duck(factors=INPUTS["long_user"][1], panel=INPUTS["panel"][1])

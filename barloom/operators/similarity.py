@@ -97,9 +97,10 @@ def ic_likeness(ic: DataFrame, names: list[str], least: int = 30, limit: float =
     """ic(ts, name, ic) -> (mode, aligned, ...) of ``likeness`` over dates.
 
     All pairs take the dates on which every factor has an IC (``intersection``). If these are fewer than ``least`` though there are as many dates
-    at all, each pair takes its own and needs ``least`` of them (``pairwise``). aligned is the number of dates used.
+    at all, each pair takes its own and needs ``least`` of them (``pairwise``). aligned is the number of dates used. ICs are rounded to 1e-12, so that
+    equal ones tie in whatever order they were summed up.
     """
-    table = cut_lineage(wide(ic, "ts", names, "ic"))
+    table = cut_lineage(wide(ic.withColumn("ic", F.round("ic", 12)), "ts", names, "ic"))
     whole = F.lit(True)
     for i in range(len(names)):
         whole = whole & F.col(f"c{i}").isNotNull()
