@@ -106,10 +106,10 @@ SELECT p.symbol, CAST(p.ts AS $string) AS ts, round(least(greatest(p.factor, q.l
 )
 
 #: The symbols with the largest median of the 30-bar mean turnover (10 bars at least; the plain mean for symbols of fewer than 30 bars); a share of $drop goes.
-#: The ranking is over one row a symbol.
+#: The ranking is over one row a symbol; equal turnovers rank by symbol, however their sums were rounded.
 LIQUIDITY = SqlOp(
     """WITH t AS (SELECT symbol, close * volume AS money, avg(close * volume) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS turn, count(*) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS n FROM #bars),
-m AS (SELECT symbol, CASE WHEN count(*) < 30 THEN avg(money) ELSE @PCT(CASE WHEN n >= 10 THEN turn END, 0.5) END AS liquidity FROM t GROUP BY symbol), r AS (SELECT *, row_number() OVER (ORDER BY liquidity DESC, symbol) AS place, count(*) OVER () AS n FROM m WHERE liquidity IS NOT NULL)
+m AS (SELECT symbol, CASE WHEN count(*) < 30 THEN avg(money) ELSE @PCT(CASE WHEN n >= 10 THEN turn END, 0.5) END AS liquidity FROM t GROUP BY symbol), r AS (SELECT *, row_number() OVER (ORDER BY @NEAR(liquidity) DESC, symbol) AS place, count(*) OVER () AS n FROM m WHERE liquidity IS NOT NULL)
 SELECT symbol, round(liquidity, 4) AS liquidity, CAST(place AS INT) AS place FROM r WHERE place <= ceil(n * (1 - $drop))""",
     drop="0.2",
 )

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-#: Fixed spellings of the two dialects.
-SPARK = {"SIG": "try_cast(format_string('%.8e', CAST({0} AS DOUBLE)) AS DOUBLE)", "PCT": "percentile", "MAXBY": "max_by", "MINBY": "min_by", "LAST": "last_value", "SECS": "timestampdiff(SECOND, {0}, {1})", "IGN": "last({0}, true)", "ADD": "{0} + make_dt_interval(0, 0, 0, {1})", "FLOORSECS": "unix_seconds(CAST({0} AS TIMESTAMP))", "EXPLODE": "explode(array({*}))", "FIRST": "first({0}, true)", "SEQ": "explode(sequence({0}, {1}))", "ROUNDSECS": "CAST(bround(unix_micros(CAST({0} AS TIMESTAMP)) / 1e6, 0) AS BIGINT)"}
-DUCK = {"SIG": "CAST(printf('%.8e', CAST({0} AS DOUBLE)) AS DOUBLE)", "PCT": "quantile_cont", "MAXBY": "arg_max", "MINBY": "arg_min", "LAST": "last_value", "SECS": "date_diff('second', {0}, {1})", "IGN": "last_value({0} IGNORE NULLS)", "ADD": "{0} + to_seconds({1})", "FLOORSECS": "CAST(epoch({0}) AS BIGINT)", "EXPLODE": "unnest([{*}])", "FIRST": "first_value({0} IGNORE NULLS)", "SEQ": "unnest(generate_series({0}, {1}))", "ROUNDSECS": "CAST(round_even(epoch_us({0}) / 1e6, 0) AS BIGINT)"}
+#: Fixed spellings of the two dialects. NEAR leaves 12 significant digits in Spark, so that sums which differ only by the order of their terms are equal; the SQL keeps the raw number.
+SPARK = {"NEAR": "try_cast(format_string('%.11e', CAST({0} AS DOUBLE)) AS DOUBLE)", "SIG": "try_cast(format_string('%.8e', CAST({0} AS DOUBLE)) AS DOUBLE)", "PCT": "percentile", "MAXBY": "max_by", "MINBY": "min_by", "LAST": "last_value", "SECS": "timestampdiff(SECOND, {0}, {1})", "IGN": "last({0}, true)", "ADD": "{0} + make_dt_interval(0, 0, 0, {1})", "FLOORSECS": "unix_seconds(CAST({0} AS TIMESTAMP))", "EXPLODE": "explode(array({*}))", "FIRST": "first({0}, true)", "SEQ": "explode(sequence({0}, {1}))", "ROUNDSECS": "CAST(bround(unix_micros(CAST({0} AS TIMESTAMP)) / 1e6, 0) AS BIGINT)"}
+DUCK = {"NEAR": "{0}", "SIG": "CAST(printf('%.8e', CAST({0} AS DOUBLE)) AS DOUBLE)", "PCT": "quantile_cont", "MAXBY": "arg_max", "MINBY": "arg_min", "LAST": "last_value", "SECS": "date_diff('second', {0}, {1})", "IGN": "last_value({0} IGNORE NULLS)", "ADD": "{0} + to_seconds({1})", "FLOORSECS": "CAST(epoch({0}) AS BIGINT)", "EXPLODE": "unnest([{*}])", "FIRST": "first_value({0} IGNORE NULLS)", "SEQ": "unnest(generate_series({0}, {1}))", "ROUNDSECS": "CAST(round_even(epoch_us({0}) / 1e6, 0) AS BIGINT)"}
 
 
 class SqlOp:
