@@ -10,13 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.sources.tables import cut_lineage
+
 
 def daily_rank_ic(long: DataFrame) -> DataFrame:
     """long(symbol, ts, name, value, ret) -> (ts, name, ic): Spearman IC with average ranks, date by date and factor by factor."""
     from pyspark.sql import Window
 
     def ranked(c: str):
-        return F.rank().over(Window.partitionBy("ts", "name").orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy("ts", "name", c)) - 1) / 2
+        up_to = Window.partitionBy("ts", "name").orderBy(c)  # one sort: the count takes all rows up to the value, its equals included
+        return (F.rank().over(up_to) + F.count(F.lit(1)).over(up_to)) / 2
 
     k = long.select("ts", "name", ranked("value").alias("a"), ranked("ret").alias("b"))
     spread = F.stddev_samp("a") * F.stddev_samp("b")
@@ -57,7 +60,9 @@ def correlations(table: DataFrame, names: list[str], least: int = 2) -> DataFram
 
 
 def moments(ic: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray, int, float]:
-    """Names, means of the known ICs, covariance (population) with unknown ICs as 0, dates, and the mean fourth moment sum that Ledoit-Wolf shrinkage needs."""
+    """Names, means of the known ICs, covariance (population) with unknown ICs as 0, dates, and the mean fourth moment sum that Ledoit-Wolf shrinkage needs.
+    ``ic`` is read several times, so it is computed once and kept: a row for each date and factor."""
+    ic = cut_lineage(ic)
     names = [r["name"] for r in ic.select("name").distinct().orderBy("name").collect()]
     k = len(names)
     table = wide(ic, "ts", names, "ic")
@@ -95,14 +100,22 @@ def unit_l1(w: np.ndarray, positive: bool = False) -> np.ndarray:
 
 def weights(ic: DataFrame, method: str = "max_icir", ridge: float = 1e-6) -> dict[str, float]:
     """Factor weights that sum to 1 in absolute value: equal, mean_ic, or max_icir (inverse shrunk covariance times mean). With fewer than five dates, or fewer than factors, equal."""
+    return all_weights(ic, (method,), ridge)[method]
+
+
+def all_weights(ic: DataFrame, methods: tuple[str, ...], ridge: float = 1e-6) -> dict[str, dict[str, float]]:
+    """``weights`` by several methods, from ICs and moments that are worked out once."""
     names, mean, cov, n, fourth = moments(ic)
-    if method == "equal" or n < max(5, len(names)):
-        w = np.ones(len(names))
-    elif method == "mean_ic":
-        w = mean
-    else:
-        w = np.linalg.lstsq((shrink(cov, n, fourth) if n > len(names) else cov * n / (n - 1)) + ridge * np.eye(len(names)), mean, rcond=None)[0]
-    return dict(zip(names, unit_l1(w).tolist(), strict=True))
+    out = {}
+    for method in methods:
+        if method == "equal" or n < max(5, len(names)):
+            w = np.ones(len(names))
+        elif method == "mean_ic":
+            w = mean
+        else:
+            w = np.linalg.lstsq((shrink(cov, n, fourth) if n > len(names) else cov * n / (n - 1)) + ridge * np.eye(len(names)), mean, rcond=None)[0]
+        out[method] = dict(zip(names, unit_l1(w).tolist(), strict=True))
+    return out
 
 
 def greedy(scores: dict[str, float], correlation: dict[tuple[str, str], float], most: int, limit: float) -> list[str]:

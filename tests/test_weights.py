@@ -88,3 +88,35 @@ def test_student_probabilities():
     known = [(2.0, 10, 0.073388035), (1.0, 1, 0.5), (0.0, 5, 1.0), (-2.7764451052, 4, 0.05), (12.7062047364, 1, 0.05), (1.9718962236, 200, 0.05)]
     for t, freedom, p in known:
         assert walk_forward.two_sided_p(t, freedom) == pytest.approx(p, rel=1e-4)
+
+
+def test_ics_of_several_weightings_are_computed_once(spark):
+    """An accumulator counts how often the rows behind the ICs are worked out."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    from barloom.operators.selection import all_weights
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def counted(x: pd.Series) -> pd.Series:
+        seen.add(len(x))
+        return x
+
+    rows = spark.createDataFrame([(t, n, 0.01 * ((t * k) % 7) - 0.02) for t in range(30) for k, n in ((3, "a"), (5, "b"))], "ts int, name string, ic double")
+    found = all_weights(rows.withColumn("ic", counted("ic")), ("equal", "mean_ic", "max_icir"))
+    assert seen.value == 60
+    assert set(found) == {"equal", "mean_ic", "max_icir"} and found["equal"] == {"a": 0.5, "b": 0.5}
+
+
+def test_daily_rank_ic_takes_average_ranks_of_ties(spark):
+    import pandas as pd
+
+    from barloom.operators.selection import daily_rank_ic
+
+    rows = [(t, n, float((i * k + t) % 4), float((i * 3 + t) % 5)) for t in range(3) for k, n in ((1, "a"), (7, "b")) for i in range(20)]
+    table = pd.DataFrame(rows, columns=["ts", "name", "value", "ret"])
+    found = {(r["ts"], r["name"]): r["ic"] for r in daily_rank_ic(spark.createDataFrame(table)).collect()}
+    for key, day in table.groupby(["ts", "name"]):
+        assert abs(found[key] - day["value"].rank().corr(day["ret"].rank())) < 1e-12
