@@ -26,53 +26,66 @@ from .common import Stage, may_hold, mix, only, span_hashes, texts_of, word_span
 
 WIDTH, ROUNDS = 50, 5
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
-_FAR = 1 << 40
+#: Bytes of text that are parsed at once.
+TOGETHER = 1 << 18
 
 
 class Level:
-    """Symbols of one text: name, word range [s, e), and the words [lo, hi) that decided it."""
+    """Symbols of texts laid end to end: name, word range [s, e), the words [lo, hi) that decided it, and whether it is its text's first. At the edge of a text
+    lo is the word before its first, or hi the word after its end: outside every window of that text, so that lo and hi ascend over all texts."""
 
-    __slots__ = ("name", "s", "e", "lo", "hi")
+    __slots__ = ("name", "s", "e", "lo", "hi", "new")
 
-    def __init__(self, name, s, e, lo, hi):
-        self.name, self.s, self.e, self.lo, self.hi = name, s, e, lo, hi
+    def __init__(self, name, s, e, lo, hi, new):
+        self.name, self.s, self.e, self.lo, self.hi, self.new = name, s, e, lo, hi, new
+
+    def _ends(self) -> np.ndarray:
+        """Whether a symbol is the last of its text."""
+        return np.concatenate((self.new[1:], [True]))
 
     def runs(self) -> Level:
         """Maximal runs of one symbol become a symbol; every symbol has looked at its neighbours."""
         n = len(self.name)
-        edge = np.flatnonzero(np.concatenate(([True], self.name[1:] != self.name[:-1])))
+        first = self.new.copy()
+        first[1:] |= self.name[1:] != self.name[:-1]
+        edge = np.flatnonzero(first)
         last = np.concatenate((edge[1:], [n])) - 1
         size = last - edge + 1
         name = self.name[edge]
-        name = np.where(size > 1, mix(name * _A + size.astype(np.uint64)), name)
-        lo = np.concatenate(([-_FAR], self.lo[edge[1:] - 1])) if len(edge) else self.lo
-        hi = np.concatenate((self.hi[last[:-1] + 1], [_FAR]))
-        return Level(name, self.s[edge], self.e[last], lo, hi)
+        many = np.flatnonzero(size > 1)
+        if len(many):
+            name[many] = mix(name[many] * _A + size[many].astype(np.uint64))
+        new, s, e = self.new[edge], self.s[edge], self.e[last]
+        lo = np.where(new, s - 1, self.lo[edge - 1])
+        hi = np.where(self._ends()[last], e + 1, self.hi[np.minimum(last + 1, n - 1)])
+        return Level(name, s, e, lo, hi, new)
 
     def pairs(self, turn: int) -> Level:
         """Adjacent (left, right) become a symbol. A left symbol without its right one has looked at what follows, a right one at what precedes."""
         n = len(self.name)
-        right = (mix(self.name ^ np.uint64(turn + 77)) >> np.uint64(63)).astype(bool)
+        right = mix(self.name ^ np.uint64(turn + 77)) >= np.uint64(1 << 63)
         starts = np.zeros(n, dtype=bool)
-        starts[:-1] = ~right[:-1] & right[1:]
+        starts[:-1] = ~right[:-1] & right[1:] & ~self.new[1:]
         second = np.zeros(n, dtype=bool)
         second[1:] = starts[:-1]
-        lo, hi = self.lo.copy(), self.hi.copy()
-        alone_left, alone_right = ~right & ~starts, right & ~second
-        hi[alone_left] = np.append(self.hi[1:], _FAR)[alone_left]
-        lo[alone_right] = np.append(-_FAR, self.lo[:-1])[alone_right]
+        name, e, lo, hi = self.name.copy(), self.e.copy(), self.lo.copy(), self.hi.copy()
+        left = np.flatnonzero(~right & ~starts)
+        hi[left] = np.where(self._ends()[left], self.e[left] + 1, self.hi[np.minimum(left + 1, n - 1)])
+        alone = np.flatnonzero(right & ~second)
+        lo[alone] = np.where(self.new[alone], self.s[alone] - 1, self.lo[alone - 1])
         at = np.flatnonzero(starts)
-        name, e = self.name.copy(), self.e.copy()
         name[at] = mix(self.name[at] * _A + mix(self.name[at + 1] + _B))
         e[at], hi[at] = self.e[at + 1], self.hi[at + 1]
-        keep = ~second
-        return Level(name[keep], self.s[keep], e[keep], lo[keep], hi[keep])
+        keep = np.flatnonzero(~second)
+        return Level(name[keep], self.s[keep], e[keep], lo[keep], hi[keep], self.new[keep])
 
 
-def parse(words: np.ndarray, rounds: int = ROUNDS) -> list[Level]:
-    """Levels 0 (the words) to ``rounds`` of one text."""
+def parse(words: np.ndarray, rounds: int = ROUNDS, begins: np.ndarray | None = None) -> list[Level]:
+    """Levels 0 (the words) to ``rounds`` of texts laid end to end, which begin at the words ``begins`` (one text without it)."""
     at = np.arange(len(words), dtype=np.int64)
-    levels = [Level(words, at, at + 1, at, at + 1)]
+    new = np.zeros(len(words), dtype=bool)
+    new[[0] if begins is None else begins] = True
+    levels = [Level(words, at, at + 1, at, at + 1, new)]
     for turn in range(rounds):
         levels.append(levels[-1].runs().pairs(turn))
     return levels
@@ -95,21 +108,26 @@ def _argmin(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarr
     return out
 
 
-def representatives(words: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, from, to): ranges of window starts of one text and the key of the symbol that represents them."""
-    n = len(words) - width + 1
+def representatives(words: np.ndarray, width: int = WIDTH, sizes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, from, to): ranges of window starts and the key of the symbol that represents them. ``words`` are those of texts of ``sizes`` words (one text without
+    it) laid end to end; no range or symbol reaches over the end of a text."""
+    sizes = np.array([len(words)]) if sizes is None else sizes
+    begins = np.cumsum(sizes) - sizes
+    windows = np.maximum(sizes - width + 1, 0)
+    n = int(windows.sum())
     if n < 1:
         none = np.zeros(0, dtype=np.int64)
         return none.astype(np.uint64), none, none
+    window = np.arange(n) + np.repeat(begins - (np.cumsum(windows) - windows), windows)  # the word at which each window starts
     key, place = np.zeros(n, dtype=np.uint64), np.full(n, -1, dtype=np.int64)
-    levels = parse(words)
+    levels = parse(words, begins=begins[sizes > 0])
     for depth in range(len(levels) - 1, -1, -1):
         level = levels[depth]
         open_at = np.flatnonzero(place < 0)
         if not len(open_at):
             break
-        first = np.searchsorted(level.lo, open_at, "left")
-        last = np.searchsorted(level.hi, open_at + width, "right") - 1
+        first = np.searchsorted(level.lo, window[open_at], "left")
+        last = np.searchsorted(level.hi, window[open_at] + width, "right") - 1
         some = first <= last
         if some.any():
             open_at = open_at[some]
@@ -118,7 +136,7 @@ def representatives(words: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray,
             key[open_at] = mix(level.name[chosen] + np.uint64(depth))
             place[open_at] = level.s[chosen] * (ROUNDS + 2) + depth
     cut = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-    return key[cut], cut, np.concatenate((cut[1:], [n])) - 1
+    return key[cut], window[cut], window[np.concatenate((cut[1:], [n])) - 1]
 
 
 ROW = pa.struct([("key", pa.int64()), ("whole", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
@@ -134,15 +152,19 @@ def _own(spans: list | None, raw: bytes, starts: np.ndarray, ends: np.ndarray) -
     return list(zip(lo[same].tolist(), hi[same].tolist(), strict=True))
 
 
+def _spaced(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> bool:
+    """Whether just one space stands between any two words."""
+    return bool((ends[:-1] + 1 == starts[1:]).all()) and not (np.frombuffer(raw, np.uint8)[ends[:-1]] != 32).any()
+
+
 def digests(raw: bytes, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The 128-bit digest, as two longs, of the words first..last - 1 of each range, one space between them."""
-    gaps = ends[:-1] + 1 == starts[1:]
-    if not gaps.all() or (np.frombuffer(raw, np.uint8)[ends[:-1]] != 32).any():
+    if not _spaced(raw, starts, ends):
         sizes = ends - starts
-        raw, starts = b" ".join([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]), np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
+        raw, starts = kept_text(raw, starts, ends), np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
         ends = starts + sizes
-    view = memoryview(raw)
-    found = [hashlib.blake2b(view[a:b], digest_size=16).digest() for a, b in zip(starts[first].tolist(), ends[last - 1].tolist(), strict=True)]
+    view, blake2b = memoryview(raw), hashlib.blake2b
+    found = [blake2b(view[a:b], digest_size=16).digest() for a, b in zip(starts[first].tolist(), ends[last - 1].tolist(), strict=True)]
     return np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
 
 
@@ -150,26 +172,52 @@ def kept_text(raw: bytes, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray
     """The words that stay, joined by one space."""
     if gone is not None:
         starts, ends = starts[~gone], ends[~gone]
+    if len(starts) and _spaced(raw, starts, ends):
+        return raw[starts[0] : ends[-1]]
     return b" ".join([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
 
 
+def _together(texts: Iterator[np.ndarray]) -> Iterator[list[bytes]]:
+    """Texts in groups of about ``TOGETHER`` bytes."""
+    group, size = [], 0
+    for buf in texts:
+        group.append(buf.tobytes())
+        size += len(buf)
+        if size >= TOGETHER:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n_words, sha, sizes, cols = [], [], [0], [[], [], [], []]
-        for buf in texts_of(batch.column(1)):
+        n_words, sha, counts, cols = [np.zeros(0, np.int64)], [], [np.zeros(1, np.int64)], [[], [], [], []]
+        for group in _together(texts_of(batch.column(1))):
+            raw = b" ".join(group)  # a space parts the texts and belongs to no word
+            buf = np.frombuffer(raw, np.uint8)
             starts, ends = word_spans(buf)
-            words, raw = span_hashes(buf, starts, ends), buf.tobytes()
-            n_words.append(len(words))
-            sha.append(hashlib.sha256(kept_text(raw, starts, ends)).hexdigest())
-            key, lo, hi = representatives(words)
-            whole = digests(raw, starts, ends, lo, hi + WIDTH)
-            for col, values in zip(cols, (key.view(np.int64), whole[:, 0], lo.astype(np.int32), hi.astype(np.int32)), strict=True):
+            at = np.cumsum([0, *[len(text) + 1 for text in group]])
+            bounds = np.searchsorted(starts, at)
+            sizes = np.diff(bounds)
+            key, lo, hi = representatives(span_hashes(buf, starts, ends), sizes=sizes)
+            cuts = np.searchsorted(lo, bounds)
+            whole = [np.zeros((0, 2), np.int64)]
+            for i, text in enumerate(group):
+                mine, some = slice(bounds[i], bounds[i + 1]), slice(cuts[i], cuts[i + 1])
+                first, last = starts[mine] - at[i], ends[mine] - at[i]
+                sha.append(hashlib.sha256(kept_text(text, first, last)).hexdigest())
+                if cuts[i] < cuts[i + 1]:
+                    whole.append(digests(text, first, last, lo[some] - bounds[i], hi[some] + WIDTH - bounds[i]))
+            base = np.repeat(bounds[:-1], np.diff(cuts))
+            for col, values in zip(cols, (key.view(np.int64), np.concatenate(whole)[:, 0], (lo - base).astype(np.int32), (hi - base).astype(np.int32)), strict=True):
                 col.append(values)
-            sizes.append(sizes[-1] + len(key))
+            n_words.append(sizes)
+            counts.append(np.diff(cuts))
         flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
         rows = pa.StructArray.from_arrays([pa.array(f, ROW.field(i).type) for i, f in enumerate(flat)], fields=list(ROW))
-        lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(sha, pa.string()), lists], ["id", "n_words", "sha", "rows"])
+        lists = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)), pa.int32()), rows)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(n_words), pa.int64()), pa.array(sha, pa.string()), lists], ["id", "n_words", "sha", "rows"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
