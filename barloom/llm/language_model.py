@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Stage, lower, mix, only, pack, texts_of, word_hashes
+from .common import Stage, lower, mix, only, pack, span_hashes, texts_of, word_hashes, word_spans
 
 #: Discount and strength of the contexts and of the unigram restaurant; sweeps thrown away and kept.
 DISCOUNT, STRENGTH, DISCOUNT0, STRENGTH0 = 0.75, 5.0, 0.5, 100.0
@@ -35,6 +35,8 @@ BURN_IN, SAMPLES = 2, 3
 ONE_BY_ONE = 8
 #: Text bytes for each bucket of pairs; mean text bytes of a block; tokens counted together; passes in which pairs are asked for, to save disk.
 BUCKET_BYTES, BLOCK_BYTES, GATHERED, PASSES = 16 << 20, 4 << 20, 1_000_000, 2
+#: Bytes of text that are tokenised at once.
+TOGETHER = 1 << 18
 END, START = np.uint64(0x5EED0E4D5EED0E4D), np.uint64(0xA11CE5ED5EED57A7)
 NO_ID = np.iinfo(np.int64).min
 
@@ -45,13 +47,45 @@ def tokens(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return words, np.concatenate(([START], words[:-1]))
 
 
+def tokens_of(texts) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(word hashes, context hashes, numbers of tokens) of texts in turn, about ``TOGETHER`` bytes at once: ``tokens`` of each, end to end."""
+    group, size = [], 0
+
+    def made() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        buf = lower(np.frombuffer(b" ".join(group), np.uint8))  # a space parts the texts and belongs to no word
+        starts, ends = word_spans(buf)
+        at = np.cumsum([0, *[len(text) + 1 for text in group]])
+        sizes = np.diff(np.searchsorted(starts, at)) + 1
+        last = np.cumsum(sizes) - 1
+        inner = np.ones(int(sizes.sum()), dtype=bool)
+        inner[last] = False
+        words = np.full(len(inner), END)
+        words[inner] = span_hashes(buf, starts, ends)
+        contexts = np.concatenate(([START], words[:-1]))
+        contexts[last[:-1] + 1] = START
+        return words, contexts, sizes
+
+    for buf in texts:
+        group.append(buf.tobytes())
+        size += len(buf)
+        if size >= TOGETHER:
+            yield made()
+            group, size = [], 0
+    if group:
+        yield made()
+
+
 def _key(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
     return mix(words ^ mix(contexts + np.uint64(0x9E3779B97F4A7C15)))
 
 
+def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
 def _cuts(sorted_hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Ascending hashes are dealt to buckets by range: the bounds of all buckets, and the buckets that have any."""
-    bucket = ((sorted_hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    bucket = _bucket(sorted_hashes, buckets)
     bounds = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
     return bounds, np.flatnonzero(np.diff(bounds))
 
@@ -96,7 +130,7 @@ def blocked(rows: DataFrame, total: int) -> DataFrame:
 class Pairs:
     """Distinct pairs of some texts by ascending key, and where each token's pair is among them."""
 
-    def __init__(self, tokenised: list[tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, tokenised: list[tuple[np.ndarray, ...]]):
         words, contexts = (np.concatenate([t[k] for t in tokenised]) for k in (0, 1))
         key = _key(words, contexts)
         order = np.argsort(key)
@@ -111,8 +145,19 @@ class Pairs:
         return np.unique(np.concatenate([self.words, self.contexts]))
 
 
-def _tokenised(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [tokens(buf) for buf in texts_of(table["text"])]
+def _tokenised(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    return list(tokens_of(texts_of(table["text"])))
+
+
+def squeeze(values: np.ndarray) -> bytes:
+    """``pack``, compressed: answers lie both in a table and in a shuffle. The size in front."""
+    raw = pack(values)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unsqueeze(raw: bytes, kind) -> np.ndarray:
+    size = int.from_bytes(raw[:8], "little")
+    return np.frombuffer(pa.decompress(raw[8:], size, codec="zstd", asbytes=True), kind) if size else np.zeros(0, kind)
 
 
 def _pairs_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -146,7 +191,7 @@ def _each(make, schema: dict):
 def _count(buckets: int):
     """(block, id, text) -> counts of the training texts' pairs, by bucket, for each GATHERED tokens."""
 
-    def counted(gathered: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    def counted(gathered: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         pairs = Pairs(gathered)
         counts = np.bincount(pairs.slots).astype(np.int32)
         bounds, some = _cuts(pairs.keys, buckets)
@@ -156,10 +201,10 @@ def _count(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered, n = [], 0
         for batch in batches:
-            for on, buf in zip(_trains(batch.column(1).to_numpy()), texts_of(batch.column(2)), strict=True):
-                if on:
-                    gathered.append(tokens(buf))
-                    n += len(gathered[-1][0])
+            training = (buf for on, buf in zip(_trains(batch.column(1).to_numpy()), texts_of(batch.column(2)), strict=True) if on)
+            for some in tokens_of(training):
+                gathered.append(some)
+                n += len(some[0])
                 if n >= GATHERED:
                     yield counted(gathered)
                     gathered, n = [], 0
@@ -367,11 +412,15 @@ def _ask(buckets: int, pairs: bool, part: int = 0, parts: int = 1):
     """A block's questions: its pairs' keys, or its nodes, by bucket; of each ``parts`` buckets one."""
 
     def run(table: pa.Table) -> pa.Table:
-        words, contexts = (np.concatenate(side) for side in zip(*_tokenised(table), strict=True))
-        hashes = np.unique(_key(words, contexts) if pairs else np.append(words, START))
+        words, contexts, _ = (np.concatenate(side) for side in zip(*_tokenised(table), strict=True))
+        hashes = _key(words, contexts) if pairs else np.append(words, START)
+        if parts > 1:
+            hashes = hashes[_bucket(hashes, buckets) % np.uint64(parts) == part]
+        hashes = np.sort(hashes)
+        hashes = hashes[np.concatenate(([True], hashes[1:] != hashes[:-1]))[: len(hashes)]]
         bounds, some = _cuts(hashes, buckets)
         block = table["block"][0].as_py()
-        rows = [{"bucket": int(b), "block": block, "hashes": pack(hashes[bounds[b] : bounds[b + 1]])} for b in some if b % parts == part]
+        rows = [{"bucket": int(b), "block": block, "hashes": pack(hashes[bounds[b] : bounds[b + 1]])} for b in some]
         return pa.Table.from_pylist(rows, schema=_schema(**ASKED))
 
     return run
@@ -399,7 +448,7 @@ def _tell_pairs(key, left: pa.Table, right: pa.Table) -> pa.Table:
         at, hit = _found(known, asked)
         numbers = np.where(_found(singles, asked)[1], np.float32(1.0 - DISCOUNT), np.float32(0.0))
         numbers[hit] = own[at[hit]]
-        out.append({"block": r["block"], "kind": 0, "bucket": r["bucket"], "numbers": pack(numbers), "counts": b""})
+        out.append({"block": r["block"], "kind": 0, "bucket": r["bucket"], "numbers": squeeze(numbers), "counts": b""})
     return pa.Table.from_pylist(out, schema=_schema(**TOLD))
 
 
@@ -424,7 +473,7 @@ def _tell_nodes(shared: list[Shared]):
                     numbers[0, hit] = 1.0 / (STRENGTH + sums[s][2][at])
                     numbers[1 + s, hit] = sample.parent(sums[s][1][at], np.frombuffer(rows[s]["tops"], np.int32)[at])
                     numbers[1 + len(shared) + s, hit] = (STRENGTH + DISCOUNT * sums[s][3][at]) / (STRENGTH + sums[s][2][at])
-            out.append({"block": r["block"], "kind": 1, "bucket": r["bucket"], "numbers": pack(numbers), "counts": pack(counts)})
+            out.append({"block": r["block"], "kind": 1, "bucket": r["bucket"], "numbers": squeeze(numbers), "counts": squeeze(counts)})
         return pa.Table.from_pylist(out, schema=_schema(**TOLD))
 
     return run
@@ -440,11 +489,11 @@ def _score(n: int, v: int):
         word, context = np.searchsorted(nodes, mine.words), np.searchsorted(nodes, mine.contexts)
         right = right.sort_by("bucket")
         of_pairs, of_nodes = (right.filter(pc.equal(right["kind"], k)) for k in (0, 1))
-        own = _joined(of_pairs, "numbers", np.float32).astype(np.float64)
-        counts = _joined(of_nodes, "counts", np.int64)
-        of_node = np.concatenate([np.frombuffer(x, np.float32).reshape(1 + 2 * SAMPLES, -1) for x in of_nodes["numbers"].to_pylist()], axis=1).astype(np.float64)
+        own = np.concatenate([unsqueeze(x, np.float32) for x in of_pairs["numbers"].to_pylist()]).astype(np.float64)
+        counts = np.concatenate([unsqueeze(x, np.int64) for x in of_nodes["counts"].to_pylist()])
+        of_node = np.concatenate([unsqueeze(x, np.float32).reshape(1 + 2 * SAMPLES, -1) for x in of_nodes["numbers"].to_pylist()], axis=1).astype(np.float64)
         p = own * of_node[0, context] + np.mean([of_node[1 + SAMPLES + s, context] * of_node[1 + s, word] for s in range(SAMPLES)], axis=0)
-        sizes = np.array([len(t[0]) for t in tokenised], dtype=np.int64)
+        sizes = np.concatenate([t[2] for t in tokenised])
         at = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         add = lambda x: np.add.reduceat(x[mine.slots], at)  # noqa: E731  every text has its end token
         cols = [left["id"].to_numpy(), sizes, add((counts[word] > 0).astype(np.int64)), add(np.log10((counts[word] + 1.0) / (n + v + 1.0))), add(np.log10(p))]
