@@ -4,8 +4,8 @@ Restaurants: one for each previous word (and one for the start of a text), all s
 unknown word. A word's customers in a context open tables; each table is a customer of the parent.
 
 A text belongs to a block by a hash of its id and words, so that every pass over the texts deals them alike. A block's distinct (context, word) pairs and its
-distinct words travel, once for each block, so neither a frequent word nor a frequent pair makes a large group; tokens never do: a task that needs
-them takes them from the text again, which is a fifth of their size. Pairs are
+distinct words travel, once for each block, so neither a frequent word nor a frequent pair makes a large group. For scoring each block is stored once, as its
+distinct words and its tokens' places among them, so that texts are shuffled and tokenised once and not for each question. Pairs are
 dealt to buckets by a hash of both; what is summed for a word, or for a context, is dealt by its own hash (a *node*).
 A pair met once has one customer at one table in every seating: such pairs are counted into their nodes once and then kept as bare keys.
 A Gibbs sweep takes each other pair's customers and tables out and seats the customers again, given all other tables of the sweep before: pair buckets send their nodes the
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from math import ceil, exp, inf, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ DISCOUNT, STRENGTH, DISCOUNT0, STRENGTH0 = 0.75, 5.0, 0.5, 100.0
 BURN_IN, SAMPLES = 2, 3
 #: Customers of a group that are seated one at a time before waits are drawn at once.
 ONE_BY_ONE = 8
+#: So few groups are seated with plain numbers: arrays cost more.
+FEW = 24
 #: Text bytes for each bucket of pairs; mean text bytes of a block; tokens counted together; passes in which pairs are asked for, to save disk.
 BUCKET_BYTES, BLOCK_BYTES, GATHERED, PASSES = 16 << 20, 4 << 20, 1_000_000, 2
 #: Bytes of text that are tokenised at once.
@@ -100,7 +103,7 @@ def _ddl(schema: dict) -> str:
 
 
 _B = "binary"
-COUNTS = {"bucket": "int", "words": _B, "contexts": _B, "counts": _B}
+COUNTS = {"bucket": "int", "nodes": _B, "words": _B, "contexts": _B, "counts": _B}
 #: Pairs with more customers than one.
 SEATS = {"bucket": "int", "words": _B, "contexts": _B, "nodes": _B, "customers": _B, "tables": _B, "summed": _B}
 #: kind 0: seats; 1: keys of pairs met once (nodes); 2: nodes of these pairs, times met as a word (customers) and as a context (tables).
@@ -108,8 +111,11 @@ FIRST = {"kind": "int", **SEATS}
 SENT = {"node_bucket": "int", "bucket": "int", "nodes": _B, "sums": _B}
 #: kind 0: the node bucket itself; 1: the answer to a pair bucket. base: what single pairs add; known: tokens, words, tables' sum, tops' sum.
 NODES = {"kind": "int", "node_bucket": "int", "bucket": "int", "nodes": _B, "sums": _B, "tops": _B, "base": _B, "known": "array<bigint>"}
+#: A block's texts: ids, numbers of tokens, distinct words with START (ascending), and each token's place among these.
+STORED = {"block": "bigint", "ids": _B, "sizes": _B, "nodes": _B, "words": _B}
 ASKED = {"bucket": "int", "block": "bigint", "hashes": _B}
-TOLD = {"block": "bigint", "kind": "int", "bucket": "int", "numbers": _B, "counts": _B}
+#: kind 0: of pairs (float); 1: of nodes (whole numbers).
+TOLD = {"block": "bigint", "kind": "int", "bucket": "int", "numbers": _B}
 SCORES = "id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
@@ -128,36 +134,68 @@ def blocked(rows: DataFrame, total: int) -> DataFrame:
 
 
 class Pairs:
-    """Distinct pairs of some texts by ascending key, and where each token's pair is among them."""
+    """Distinct keys, ascending, of some tokens' pairs: where each is met first, and where each token's pair is among them."""
 
-    def __init__(self, tokenised: list[tuple[np.ndarray, ...]]):
-        words, contexts = (np.concatenate([t[k] for t in tokenised]) for k in (0, 1))
-        key = _key(words, contexts)
+    def __init__(self, key: np.ndarray):
         order = np.argsort(key)
         key = key[order]
         new = np.concatenate(([True], key[1:] != key[:-1]))
         self.slots = np.empty(len(key), dtype=np.int64)
         self.slots[order] = np.cumsum(new) - 1
-        self.keys, at = key[new], order[new]
-        self.words, self.contexts = words[at], contexts[at]
-
-    def nodes(self) -> np.ndarray:
-        return np.unique(np.concatenate([self.words, self.contexts]))
-
-
-def _tokenised(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    return list(tokens_of(texts_of(table["text"])))
+        self.keys, self.first = key[new], order[new]
 
 
 def squeeze(values: np.ndarray) -> bytes:
-    """``pack``, compressed: answers lie both in a table and in a shuffle. The size in front."""
-    raw = pack(values)
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    """``pack``, compressed byte by byte of the numbers: all first bytes, then all second ones. The size in front."""
+    raw = np.ascontiguousarray(values).reshape(-1)
+    planes = pack(raw.view(np.uint8).reshape(len(raw), raw.itemsize).T)
+    return len(planes).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
 def unsqueeze(raw: bytes, kind) -> np.ndarray:
     size = int.from_bytes(raw[:8], "little")
-    return np.frombuffer(pa.decompress(raw[8:], size, codec="zstd", asbytes=True), kind) if size else np.zeros(0, kind)
+    if not size:
+        return np.zeros(0, kind)
+    planes = np.frombuffer(pa.decompress(raw[8:], size, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
+def squeeze_hashes(ascending: np.ndarray) -> bytes:
+    """Steps between hashes have leading zeros, which hashes have not."""
+    return squeeze(np.diff(ascending, prepend=np.uint64(0)))
+
+
+def unsqueeze_hashes(raw: bytes) -> np.ndarray:
+    return np.cumsum(unsqueeze(raw, np.uint64), dtype=np.uint64)
+
+
+class Block:
+    """The tokens of a block's texts, from a table of texts or from its stored row."""
+
+    def __init__(self, table: pa.Table):
+        self.number = table["block"][0].as_py()
+        if "text" in table.column_names:
+            words, _, self.sizes = (np.concatenate(side) for side in zip(*tokens_of(texts_of(table["text"])), strict=True))
+            self.ids = table["id"].to_numpy()
+            self.nodes, places = np.unique(np.append(words, START), return_inverse=True)
+            self.words = places[:-1].astype(np.int32)
+        else:
+            row = table.to_pylist()[0]
+            self.ids, self.sizes, self.words = (unsqueeze(row[name], kind) for name, kind in (("ids", np.int64), ("sizes", np.int64), ("words", np.int32)))
+            self.nodes = unsqueeze_hashes(row["nodes"])
+        self.at = np.cumsum(self.sizes) - self.sizes  # where texts begin
+        self.contexts = np.concatenate((self.words[:1], self.words[:-1]))
+        self.contexts[self.at] = np.searchsorted(self.nodes, START)
+
+    def keys(self) -> np.ndarray:
+        """The key of each token's pair."""
+        return _key(self.nodes[self.words], self.nodes[self.contexts])
+
+
+def _store(table: pa.Table) -> pa.Table:
+    block = Block(table)
+    row = {"block": block.number, "ids": squeeze(block.ids), "sizes": squeeze(block.sizes), "nodes": squeeze_hashes(block.nodes), "words": squeeze(block.words)}
+    return pa.Table.from_pylist([row], schema=_schema(**STORED))
 
 
 def _pairs_of(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -192,10 +230,16 @@ def _count(buckets: int):
     """(block, id, text) -> counts of the training texts' pairs, by bucket, for each GATHERED tokens."""
 
     def counted(gathered: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        pairs = Pairs(gathered)
-        counts = np.bincount(pairs.slots).astype(np.int32)
+        words, contexts = (np.concatenate([t[k] for t in gathered]) for k in (0, 1))
+        pairs = Pairs(_key(words, contexts))
+        words, contexts, counts = words[pairs.first], contexts[pairs.first], np.bincount(pairs.slots).astype(np.int32)
         bounds, some = _cuts(pairs.keys, buckets)
-        rows = [{"bucket": int(b), "words": pack(pairs.words[s]), "contexts": pack(pairs.contexts[s]), "counts": pack(counts[s])} for b in some for s in [slice(bounds[b], bounds[b + 1])]]
+        rows = []
+        for b in some:
+            s = slice(bounds[b], bounds[b + 1])
+            nodes, where = np.unique(np.concatenate([words[s], contexts[s]]), return_inverse=True)
+            word, context = np.split(where.astype(np.int32), 2)
+            rows.append({"bucket": int(b), "nodes": squeeze_hashes(nodes), "words": squeeze(word), "contexts": squeeze(context), "counts": pack(counts[s])})
         return pa.RecordBatch.from_pylist(rows, schema=_schema(**COUNTS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,10 +260,11 @@ def _count(buckets: int):
 
 def _seat_first(table: pa.Table) -> pa.Table:
     """Counts of one bucket -> its first seats: a table for each pair."""
-    words, contexts = _joined(table, "words", np.uint64), _joined(table, "contexts", np.uint64)
-    keys, at, slot = np.unique(_key(words, contexts), return_index=True, return_inverse=True)
-    customers = np.bincount(slot, weights=_joined(table, "counts", np.int32), minlength=len(at)).astype(np.int32)
-    words, contexts = words[at], contexts[at]
+    sent = [(unsqueeze_hashes(r["nodes"]), r) for r in table.to_pylist()]
+    words, contexts = (np.concatenate([nodes[unsqueeze(r[side], np.int32)] for nodes, r in sent]) for side in ("words", "contexts"))
+    pairs = Pairs(_key(words, contexts))
+    keys, words, contexts = pairs.keys, words[pairs.first], contexts[pairs.first]
+    customers = np.bincount(pairs.slots, weights=_joined(table, "counts", np.int32), minlength=len(keys)).astype(np.int32)
     once, more = np.flatnonzero(customers == 1), np.flatnonzero(customers > 1)
     nodes, where = np.unique(np.concatenate([words[more], contexts[more]]), return_inverse=True)
     where = where.astype(np.int32)
@@ -246,24 +291,57 @@ def seat(customers: np.ndarray, mass: np.ndarray, discount: float, rng, slope: n
         m = mass[live] + slope[live] * tables[live]
         tables[live] += rng.random(len(live)) * (n - discount * tables[live] + m) < m
     live = live[customers[live] > ONE_BY_ONE]
-    seated = np.full(len(live), float(ONE_BY_ONE))
+    made, seated, last = tables[live].astype(float), np.full(len(live), float(ONE_BY_ONE)), customers[live].astype(float)
+    fixed, more = mass[live], slope[live]
     while len(live):
-        m, off = np.maximum(mass[live] + slope[live] * tables[live], 1e-300), discount * tables[live] + 0.5
-        area = lambda y, m: (y + m) * np.log(y + m) - y * np.log(y)
-        low, end = seated - off, customers[live] - off
-        goal = area(low, m) + rng.exponential(size=len(live))
-        on = area(end, m) >= goal  # else everyone else finds a seat
-        live, seated, m, off, low, end, goal = (x[on] for x in (live, seated, m, off, low, end, goal))
-        y = np.minimum(end, (low + m / 2) * np.exp(np.minimum((goal - area(low, m)) / m, 600.0)) - m / 2)
-        for _ in range(5):
-            y = np.clip(y - (area(y, m) - goal) / np.log1p(m / y), low, end)
-        seated = np.clip(np.ceil(y + off - 1e-9), seated + 1, customers[live])
-        tables[live] += 1
-        on = seated < customers[live]
-        live, seated = live[on], seated[on]
+        m, draws = np.maximum(fixed + more * made, 1e-300), rng.exponential(size=len(live))
+        if len(live) > FEW:
+            seated = _next_tables(m, discount * made + 0.5, seated, last, draws)
+        else:
+            seated = np.array([_next_table(*x) for x in zip(m.tolist(), (discount * made + 0.5).tolist(), seated.tolist(), last.tolist(), draws.tolist(), strict=True)])
+        made += seated <= last  # else everyone else finds a seat
+        on = seated < last
+        if not on.all():
+            tables[live[~on]] = made[~on]
+            live, made, seated, last, fixed, more = (x[on] for x in (live, made, seated, last, fixed, more))
     return tables
 
 
+def _next_tables(m: np.ndarray, off: np.ndarray, seated: np.ndarray, last: np.ndarray, draws: np.ndarray) -> np.ndarray:
+    """The customer of each group who opens its next table; infinite where none does."""
+    area = lambda y, m: (y + m) * np.log(y + m) - y * np.log(y)
+    low, end = seated - off, last - off
+    start = area(low, m)
+    goal = start + draws
+    on = area(end, m) >= goal
+    out = np.full(len(m), np.inf)
+    m, off, seated, last, low, end, start, goal = (x[on] for x in (m, off, seated, last, low, end, start, goal))
+    y = np.minimum(end, (low + m / 2) * np.exp(np.minimum((goal - start) / m, 600.0)) - m / 2)
+    for _ in range(5):
+        step = (area(y, m) - goal) / np.log1p(m / y)
+        y = np.clip(y - step, low, end)
+        if np.all(np.abs(step) < 1e-4):  # Newton's next step would be below 1e-9
+            break
+    out[on] = np.clip(np.ceil(y + off - 1e-9), seated + 1, last)
+    return out
+
+
+def _next_table(m: float, off: float, seated: float, last: float, draw: float) -> float:
+    """``_next_tables`` of one group: a frequent pair opens thousands of tables after all others are done."""
+    low, end = seated - off, last - off
+    start = (low + m) * log(low + m) - low * log(low)
+    goal = start + draw
+    if (end + m) * log(end + m) - end * log(end) < goal:
+        return inf
+    y = min(end, (low + m / 2) * exp(min((goal - start) / m, 600.0)) - m / 2)
+    for _ in range(5):
+        step = ((y + m) * log(y + m) - y * log(y) - goal) / log1p(m / y)
+        y = min(max(y - step, low), end)
+        if abs(step) < 1e-4:
+            break
+    return min(max(ceil(y + off - 1e-9), seated + 1), last)
+
+
 class Shared:
     """Totals of a sweep: training tokens, distinct words, the unigram restaurant's customers and tables."""
 
@@ -412,20 +490,33 @@ def _ask(buckets: int, pairs: bool, part: int = 0, parts: int = 1):
     """A block's questions: its pairs' keys, or its nodes, by bucket; of each ``parts`` buckets one."""
 
     def run(table: pa.Table) -> pa.Table:
-        words, contexts, _ = (np.concatenate(side) for side in zip(*_tokenised(table), strict=True))
-        hashes = _key(words, contexts) if pairs else np.append(words, START)
+        block = Block(table)
+        hashes = block.keys() if pairs else block.nodes
         if parts > 1:
             hashes = hashes[_bucket(hashes, buckets) % np.uint64(parts) == part]
-        hashes = np.sort(hashes)
-        hashes = hashes[np.concatenate(([True], hashes[1:] != hashes[:-1]))[: len(hashes)]]
+        if pairs:
+            hashes = np.sort(hashes)
+            hashes = hashes[np.concatenate(([True], hashes[1:] != hashes[:-1]))[: len(hashes)]]
         bounds, some = _cuts(hashes, buckets)
-        block = table["block"][0].as_py()
-        rows = [{"bucket": int(b), "block": block, "hashes": pack(hashes[bounds[b] : bounds[b + 1]])} for b in some]
+        rows = [{"bucket": int(b), "block": block.number, "hashes": pack(hashes[bounds[b] : bounds[b + 1]])} for b in some]
         return pa.Table.from_pylist(rows, schema=_schema(**ASKED))
 
     return run
 
 
+def _send_asked(ask):
+    """What ``ask`` asks for stored blocks, hashes squeezed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                for asked in ask(pa.Table.from_batches([batch.slice(i, 1)])).to_batches():
+                    hashes = [squeeze_hashes(np.frombuffer(x, np.uint64)) for x in asked["hashes"].to_pylist()]
+                    yield asked.set_column(2, "hashes", pa.array(hashes, pa.binary()))
+
+    return run
+
+
 def _found(known: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where each asked hash is among the known (ascending), and whether it is there."""
     at = np.minimum(np.searchsorted(known, asked), max(0, len(known) - 1))
@@ -444,59 +535,67 @@ def _tell_pairs(key, left: pa.Table, right: pa.Table) -> pa.Table:
             own = np.maximum(np.frombuffer(row["customers"], np.int32) - DISCOUNT * np.frombuffer(row["summed"], np.float32) / SAMPLES, 0.0)
     out = []
     for r in left.to_pylist():
-        asked = np.frombuffer(r["hashes"], np.uint64)
+        asked = unsqueeze_hashes(r["hashes"])
         at, hit = _found(known, asked)
         numbers = np.where(_found(singles, asked)[1], np.float32(1.0 - DISCOUNT), np.float32(0.0))
         numbers[hit] = own[at[hit]]
-        out.append({"block": r["block"], "kind": 0, "bucket": r["bucket"], "numbers": squeeze(numbers), "counts": b""})
+        out.append({"block": r["block"], "kind": 0, "bucket": r["bucket"], "numbers": squeeze(numbers)})
     return pa.Table.from_pylist(out, schema=_schema(**TOLD))
 
 
-def _tell_nodes(shared: list[Shared]):
-    """Of each asked node: its training count; as a word, the unigram probability in each kept sweep; as a context, 1 / (strength +
-    customers), and the weight of the unigram in each kept sweep."""
+def _steps(numbers: np.ndarray, samples: int, back: bool = False) -> np.ndarray:
+    """Rows of nodes' numbers as what they differ by from an earlier row that is like them, and without signs, so that most bytes are 0; or ``back``."""
+    like = [None, 0, *[0, *[2] * (samples - 1)], *[None, *[2 + samples] * (samples - 1)], *[1, *[2 + 2 * samples] * (samples - 1)]]
+    out = (numbers >> 1) ^ -(numbers & 1) if back else numbers.copy()
+    for k, earlier in enumerate(like):
+        if earlier is not None:
+            out[k] += out[earlier] if back else -numbers[earlier]
+    return out if back else (out << 1) ^ (out >> 63)
+
+
+def _tell_nodes(samples: int):
+    """Whole numbers of each asked node (0 for one not met in training): its training count, its customers as a context, and of each kept sweep its tables as a
+    word, these tables' tables in the unigram restaurant, and its tables as a context; as ``_steps``."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         rows = sorted(right.to_pylist(), key=lambda r: r["sample"])
-        known = np.frombuffer(rows[0]["nodes"], np.uint64) if rows else np.zeros(0, np.uint64)
-        sums = [np.frombuffer(r["sums"], np.int64).reshape(4, -1) for r in rows]
+        known, numbers = np.zeros(0, np.uint64), np.zeros((2 + 3 * samples, 0), np.int64)
+        if rows:
+            known = np.frombuffer(rows[0]["nodes"], np.uint64)
+            sums = np.stack([np.frombuffer(r["sums"], np.int64).reshape(4, -1) for r in rows])
+            tops = np.stack([np.frombuffer(r["tops"], np.int32) for r in rows])
+            numbers = _steps(np.concatenate([sums[0, [0, 2]], sums[:, 1], tops, sums[:, 3]]), samples)
         out = []
         for r in left.to_pylist():
-            at, hit = _found(known, np.frombuffer(r["hashes"], np.uint64))
-            at, counts = at[hit], np.zeros(len(hit), np.int64)
-            numbers = np.zeros((1 + 2 * len(shared), len(hit)), np.float32)
-            numbers[0] = 1.0 / STRENGTH
-            for s, sample in enumerate(shared):
-                numbers[1 + s], numbers[1 + len(shared) + s] = sample.parent(np.zeros(1), np.zeros(1)), 1.0
-                if rows:
-                    counts[hit] = sums[s][0][at]
-                    numbers[0, hit] = 1.0 / (STRENGTH + sums[s][2][at])
-                    numbers[1 + s, hit] = sample.parent(sums[s][1][at], np.frombuffer(rows[s]["tops"], np.int32)[at])
-                    numbers[1 + len(shared) + s, hit] = (STRENGTH + DISCOUNT * sums[s][3][at]) / (STRENGTH + sums[s][2][at])
-            out.append({"block": r["block"], "kind": 1, "bucket": r["bucket"], "numbers": squeeze(numbers), "counts": squeeze(counts)})
+            at, hit = _found(known, unsqueeze_hashes(r["hashes"]))
+            told = np.zeros((len(numbers), len(hit)), np.int64)
+            told[:, hit] = numbers[:, at[hit]]
+            out.append({"block": r["block"], "kind": 1, "bucket": r["bucket"], "numbers": squeeze(told)})
         return pa.Table.from_pylist(out, schema=_schema(**TOLD))
 
     return run
 
 
-def _score(n: int, v: int):
+def _score(shared: list[Shared]):
     """Sums of one block's texts."""
+    n, v, samples = shared[-1].n, shared[-1].v, len(shared)
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        tokenised = _tokenised(left)
-        mine = Pairs(tokenised)
-        nodes = mine.nodes()
-        word, context = np.searchsorted(nodes, mine.words), np.searchsorted(nodes, mine.contexts)
+        block = Block(left)
+        mine = Pairs(block.keys())
+        word, context = block.words[mine.first], block.contexts[mine.first]
         right = right.sort_by("bucket")
-        of_pairs, of_nodes = (right.filter(pc.equal(right["kind"], k)) for k in (0, 1))
-        own = np.concatenate([unsqueeze(x, np.float32) for x in of_pairs["numbers"].to_pylist()]).astype(np.float64)
-        counts = np.concatenate([unsqueeze(x, np.int64) for x in of_nodes["counts"].to_pylist()])
-        of_node = np.concatenate([unsqueeze(x, np.float32).reshape(1 + 2 * SAMPLES, -1) for x in of_nodes["numbers"].to_pylist()], axis=1).astype(np.float64)
-        p = own * of_node[0, context] + np.mean([of_node[1 + SAMPLES + s, context] * of_node[1 + s, word] for s in range(SAMPLES)], axis=0)
-        sizes = np.concatenate([t[2] for t in tokenised])
-        at = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        add = lambda x: np.add.reduceat(x[mine.slots], at)  # noqa: E731  every text has its end token
-        cols = [left["id"].to_numpy(), sizes, add((counts[word] > 0).astype(np.int64)), add(np.log10((counts[word] + 1.0) / (n + v + 1.0))), add(np.log10(p))]
+        of_pairs, of_nodes = (right.filter(pc.equal(right["kind"], k))["numbers"].to_pylist() for k in (0, 1))
+        own = np.concatenate([unsqueeze(x, np.float32) for x in of_pairs]).astype(np.float64)
+        numbers = _steps(np.concatenate([unsqueeze(x, np.int64).reshape(2 + 3 * samples, -1) for x in of_nodes], axis=1), samples, back=True)
+        counts, customers, words, tops, contexts = numbers[0], numbers[1], *np.split(numbers[2:], 3)
+        fine = lambda x: x.astype(np.float32).astype(np.float64)
+        back = np.zeros(len(word))
+        for s, sample in enumerate(shared):
+            back += fine((STRENGTH + DISCOUNT * contexts[s]) / (STRENGTH + customers))[context] * fine(sample.parent(words[s], tops[s]))[word]
+        p = own * fine(1.0 / (STRENGTH + customers))[context] + back / samples
+        add = lambda x: np.add.reduceat(x[mine.slots], block.at)  # noqa: E731  every text has its end token
+        cols = [block.ids, block.sizes, add((counts > 0).astype(np.int64)[word]), add(np.log10((counts + 1.0) / (n + v + 1.0))[word]), add(np.log10(p))]
         return pa.Table.from_arrays([pa.array(c) for c in cols], ["id", "n_tokens", "n_known", "base_score", "score"])
 
     return run
@@ -517,24 +616,24 @@ def score_documents(docs: DataFrame, id_col="doc_id", text_col="text", stage: St
     seats, singles, nodes, shared = train(texts, buckets, stage)
     for one in nodes:
         stage.drop_part(one, "kind=1")
-    blocks = texts.groupBy("block")
+    stored = stage.table(texts.groupBy("block").applyInArrow(_store, _ddl(STORED)), "blocks")
     none = F.lit(None).cast("binary")
     pair_rows = seats.select("bucket", "words", "contexts", "nodes", "customers", "summed", none.alias("singles"))
     pair_rows = pair_rows.unionByName(singles.select("bucket", *[none.alias(c) for c in ("words", "contexts", "nodes", "customers", "summed")], "singles"))
     told = []
     for part in range(PASSES):
-        asked = blocks.applyInArrow(_ask(buckets, True, part, PASSES), _ddl(ASKED)).groupBy("bucket")
+        asked = stored.mapInArrow(_send_asked(_ask(buckets, True, part, PASSES)), _ddl(ASKED)).groupBy("bucket")
         told.append(stage.table(asked.cogroup(pair_rows.filter(F.col("bucket") % PASSES == part).groupBy("bucket")).applyInArrow(_tell_pairs, _ddl(TOLD)), "told"))
     stage.drop(seats, singles)
     kept = None
     for s, one in enumerate(nodes):
         one = one.filter("kind = 0").select(F.col("node_bucket").alias("bucket"), F.lit(s).alias("sample"), "nodes", "sums", "tops")
         kept = one if kept is None else kept.unionByName(one)
-    asked = blocks.applyInArrow(_ask(buckets, False), _ddl(ASKED)).groupBy("bucket")
-    told.append(stage.table(asked.cogroup(kept.groupBy("bucket")).applyInArrow(_tell_nodes(shared), _ddl(TOLD)), "told"))
+    asked = stored.mapInArrow(_send_asked(_ask(buckets, False)), _ddl(ASKED)).groupBy("bucket")
+    told.append(stage.table(asked.cogroup(kept.groupBy("bucket")).applyInArrow(_tell_nodes(len(shared)), _ddl(TOLD)), "told"))
     stage.drop(*nodes)
     answers = reduce(DataFrame.unionByName, told)
-    sums = blocks.cogroup(answers.groupBy("block")).applyInArrow(_score(shared[-1].n, shared[-1].v), SCORES)
+    sums = stored.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(shared), SCORES)
     out = sums.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id")))
     held_out = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     return out.select(
